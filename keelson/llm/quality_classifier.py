@@ -150,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
 
 def score(docs: DataFrame, model: SubwordClassifier, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ``score``, the probability of class 1, for every row."""
-    rows = docs.select(*keep, text)
+    rows = docs.select(*keep, F.col(text).alias("__text"))
     schema = T.StructType([*(rows.schema[k] for k in keep), T.StructField("score", T.DoubleType())])
     wanted = arrow_schema(schema)
     table, bias = model.folded()
@@ -187,14 +187,14 @@ def score(docs: DataFrame, model: SubwordClassifier, text: str = "text", keep: t
     return rows.mapInArrow(scored, schema)
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, ``held_out``, ``score`` and ``predicted`` for every row of ``docs``.
+def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep``, ``doc_id``, ``held_out``, ``score`` and ``predicted`` for every row of ``docs``.
 
     A null or empty text gets the score of no evidence (the bias alone). Repeated
     rows are scored each; an empty table gives no rows; without labels every
     score is 0.5. Columns besides ``doc_id`` and ``text`` are no inputs.
     """
     model = train(docs, labels)
-    return score(docs, model, keep=keep).select(
-        *keep, (bucket_of("doc_id", FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    return score(docs, model, keep=(*keep, "doc_id")).select(
+        *keep, "doc_id", (bucket_of("doc_id", FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )

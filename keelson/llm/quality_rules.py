@@ -85,9 +85,9 @@ def text_statistics(text: bytes | None) -> tuple[int, int, int, int, int, int]:
     return n, points, sum(map(text.count, _SYMBOLS)), n_lines, n_dup, repeated
 
 
-def with_statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
+def with_statistics(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
     """``keep`` and the counts of ``text_statistics`` for every row."""
-    rows = docs.select(*keep, text)
+    rows = docs.select(*keep, F.col(text).alias("__text"))
     schema = T.StructType([rows.schema[k] for k in keep] + list(_STATS))
     wanted = arrow_schema(schema)
 
@@ -224,15 +224,15 @@ def robust_distances(stats: DataFrame, good: Column, groups: tuple[str, str] = (
 BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 
 
-def quality_rules(docs: DataFrame, text: str = "text", cutoff: float = CUTOFF) -> DataFrame:
-    """One row a document: its counts, ``base_failed``, ``d2`` and ``kept``.
+def quality_rules(docs: DataFrame, text: str = "text", cutoff: float = CUTOFF, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row a document: ``keep``, ``doc_id``, its counts, ``base_failed``, ``d2`` and ``kept``.
 
     A null or empty text counts no words and fails. Null languages and sources
     are values of their own. Repeated rows are judged each and weigh as often.
-    An empty table gives no rows. Other columns, whatever their names, are not
-    looked at.
+    An empty table gives no rows. Columns that are not named, whatever their
+    names, are not looked at.
     """
-    stats = with_statistics(docs.select("doc_id", "lang", "source", F.col(text).alias("text"))).withColumn("base_failed", F.expr(BASE_FAILED))
+    stats = with_statistics(docs, text, (*keep, "doc_id", "lang", "source")).withColumn("base_failed", F.expr(BASE_FAILED))
     scored = robust_distances(stats, ~F.col("base_failed"))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff)
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_lines", "d2", *_NAMES)
+    return scored.select(*keep, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_lines", "d2", *_NAMES)

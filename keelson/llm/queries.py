@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, packing, quality_classifier, quality_rules, url_filters
+from . import jaccard_join, line_dedup, packing, quality_classifier, quality_rules, url_filters
 from .common import table
 
 #: Vocabulary files are read where the library that brings them has them.
@@ -30,6 +30,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "text", "n_lines", "n_dropped")
 
@@ -38,5 +42,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), url_filters.block_list(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_best_fit_packing, op5_quality_classifier, op9_line_dedup, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_best_fit_packing, op5_quality_classifier, op6_ngram_jaccard_join, op9_line_dedup, op10_url_filters)}
 ORACLE_SQL = {"op9_line_dedup": line_dedup.ORACLE_SQL, "op10_url_filters": url_filters.ORACLE_SQL}
