@@ -1,4 +1,82 @@
-"""The corpus pipeline: five stages, each on all documents that the one before kept."""
+"""The corpus pipeline: five stages, each on all that the one before kept.
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
+written and reread as the next one's ``docs``. All but the last return the
+columns of ``documents``; where a stage works beside them, the original columns
+travel as one struct, so that no name of theirs can clash.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keelson.llm import jaccard_join, line_dedup, packing, quality_classifier, quality_rules
+from keelson.llm.common import scratch, table
+from keelson.llm.queries import WORD_VOCABULARY, vocabulary
+
+
+def _with_row(docs: DataFrame, *columns: str) -> DataFrame:
+    return docs.select(F.struct("*").alias("row"), *columns)
+
+
+def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts to be of quality."""
+    judged = quality_classifier.classify_quality(_with_row(docs, "doc_id", "text"), table(spark, sf_dir, "labels"), keep=("row",))
+    return judged.where("predicted = 1").select("row.*")
+
+
+def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are no outliers of their language and source."""
+    judged = quality_rules.quality_rules(_with_row(docs, "doc_id", "lang", "source", "text"), keep=("row",))
+    return judged.where("kept").select("row.*")
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that are boilerplate of their source."""
+    cut = line_dedup.drop_boilerplate(_with_row(docs, "source", "text"))
+    row = F.col("row").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars")))
+    return cut.select(row.alias("row")).select("row.*")
+
+
+def jaccard_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies, the document of the smallest id.
+
+    Rows that repeat an id are one document. Rows of a null id stay.
+    """
+    ids = scratch(jaccard_join.jaccard_components(docs.select("doc_id", "text")).select("doc_id", "component_id"), "components")
+    gone = scratch(ids.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    if gone.count() <= jaccard_join.BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    return kept
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token pieces and their places in the sequences."""
+    return packing.pack(docs, vocabulary(WORD_VOCABULARY))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier_stage),
+    ("quality_rules", quality_rules_stage),
+    ("line_dedup", line_dedup_stage),
+    ("ngram_jaccard_join", jaccard_join_stage),
+    ("best_fit_packing", packing_stage),
+]
+#: SQL can express neither the classifier nor the packing; the tests compare the stages with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole of ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for at, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if at + 1 < len(STAGES):
+            docs = scratch(docs, name)
+    return docs
