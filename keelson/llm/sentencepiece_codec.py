@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from .common import arrow_schema, binaries
 
 SPACE = "▁"
-MEMO_PARTS = 300_000
+MEMO_PARTS = 900_000
 #: Documents that a result batch holds, so that batches of long texts stay small.
 BATCH_DOCS = 128
 
@@ -126,6 +127,15 @@ class Normalizer:
         return out.decode("utf-8", "replace"), np.array([*offsets, at])
 
 
+#: Texts in which a space mark is not simply one space before a word.
+_UNEVEN = re.compile(b"  | \n| $|^ |\0|\xe2\x96\x81").search
+
+
+def _spell(word: bytes) -> str:
+    """A word as the segmenter takes it: after its space mark, or after the newline before it."""
+    return word.decode("utf-8", "replace") if word.startswith(b"\n") else SPACE + word.decode("utf-8", "replace")
+
+
 class Codec:
     """Encoding with byte spans and decoding by one model file."""
 
@@ -148,35 +158,42 @@ class Codec:
         parts = SPACE in pieces and not any(SPACE in p.lstrip(SPACE) for p in pieces)
         lines = parts and byte_pieces and not any("\n" in p for p in pieces)
         self.part = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if lines else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall if parts else None
-        self.ids: dict[str, bytes] = {}
-        self.spans: dict[str, bytes] = {}
-
-    def _learn(self, parts: list[str]) -> None:
-        if len(self.ids) + len(parts) > MEMO_PARTS:
-            self.ids.clear()
-            self.spans.clear()
-        for part, ids in zip(parts, self.segmenter.encode(parts, num_threads=1), strict=True):
-            got = np.array(ids, np.int32)
-            widths = self.widths[got]
-            if self.unknown in ids:
-                widths = np.array([len(p.encode()) if i == self.unknown else w for i, p, w in zip(ids, self.segmenter.encode(part, out_type=str), widths, strict=True)], np.int32)
-            self.ids[part] = got.tobytes()
-            self.spans[part] = widths.astype(np.int32).tobytes()
+        self.ids: dict[bytes, bytes] = {}
+        self.simple = lines and self.normalizer.plain and self.normalizer.dummy and self.normalizer.escape
+        self.source_widths = self.widths - 2 * np.array([p.count(SPACE) for p in pieces], np.int32)
+        self.decimals = [str(i) for i in range(len(pieces))]
 
-    def encode(self, source: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, and of each piece the first source byte and the one after the last."""
-        text, offsets = self.normalizer.normalise(source)
-        parts = self.part(text) if self.part else [text] if text else []
+    def _ids(self, parts: list[bytes], spell) -> np.ndarray:
+        """The ids of parts in order; a part that is not remembered is spelt out and segmented."""
         known = self.ids
-        new = {p for p in parts if p not in known}
+        new = set(parts).difference(known)
         if new:
             if len(known) + len(new) > MEMO_PARTS:
+                known.clear()
                 new = set(parts)
-            self._learn(list(new))
-        ids = np.frombuffer(b"".join(map(self.ids.__getitem__, parts)), np.int32)
-        ends = np.cumsum(np.frombuffer(b"".join(map(self.spans.__getitem__, parts)), np.int32), dtype=np.int64)
-        marks = offsets[np.concatenate([[0], ends])] if len(ends) else np.zeros(1, np.int64)
-        return ids, marks[:-1].astype(np.int32), marks[1:].astype(np.int32)
+            new = list(new)
+            for part, ids in zip(new, self.segmenter.encode(list(map(spell, new)), num_threads=1), strict=True):
+                known[part] = struct.pack(f"{len(ids)}i", *ids)
+        return np.frombuffer(b"".join(map(known.__getitem__, parts)), np.int32)
+
+    def encode(self, source: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and of each piece the first source byte and the one after the last."""
+        if not source:
+            return (np.zeros(0, np.int32),) * 3
+        if self.simple and not _UNEVEN(source):
+            # Without a character map only spaces change: a mark of three bytes for one, and one before the text.
+            ids = self._ids(source.replace(b"\n", b" \n").split(b" "), _spell)
+            ends = np.cumsum(self.source_widths[ids], dtype=np.int32) - np.int32(1)
+            return ids, np.concatenate([np.zeros(1, np.int32), ends[:-1]]), ends
+        text, offsets = self.normalizer.normalise(source)
+        parts = self.part(text) if self.part else [text]
+        ids = self._ids([b"\0" + p.encode() for p in parts], lambda part: part[1:].decode()) if text else np.zeros(0, np.int32)
+        widths = self.widths[ids]
+        if len(ids) and (ids == self.unknown).any():
+            surfaces = [p for part in parts for p in self.segmenter.encode(part, out_type=str)]
+            widths = np.where(ids == self.unknown, [len(p.encode()) for p in surfaces], widths)
+        marks = offsets[np.concatenate([[0], np.cumsum(widths, dtype=np.int64)])].astype(np.int32)
+        return ids, marks[:-1], marks[1:]
 
 
 _CODECS: dict[str, Codec] = {}
@@ -245,7 +262,7 @@ def digests(encoded: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",))
     def of(codec: Codec, ids: list[int] | None) -> tuple[int, str, str]:
         ids = ids or []
         text = codec.processor.decode(ids) if ids else ""
-        return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+        return len(ids), hashlib.sha256(",".join(map(codec.decimals.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     return _each_ids(encoded, model, keep, fields, of)
