@@ -1,0 +1 @@
+"""Project-risk analytics on Spark: rules, schedules, graphs and signals as DataFrames."""
