@@ -107,7 +107,11 @@ def clause_edges(equipment: DataFrame, clauses: DataFrame) -> DataFrame:
     terms = equipment.select("tag", F.split("tag", "-")[0].alias("prefix")).join(F.broadcast(known), "prefix", "left").select("tag", F.explode(F.array_compact(F.array(F.upper("tag"), "phrase"))).alias("phrase")).distinct()
     runs = F.regexp_extract_all(F.upper("text"), F.lit(r"([A-Z0-9]+(?:-[A-Z0-9]+)*)"), F.lit(1))
     words = clauses.select(F.col("clause"), runs.alias("w"))
-    grams = [F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i, n=n: F.array_join(F.slice("w", i + 1, n), " ")) for n in range(1, longest + 1)]
+
+    def grams_of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.array_join(F.slice("w", i, n), " "))
+
+    grams = [grams_of(n) for n in range(1, longest + 1)]
     phrases = words.where(F.size("w") > 0).select("clause", F.explode(F.array_distinct(F.concat(*grams))).alias("phrase"))
     return phrases.join(terms, "phrase").select(F.col("tag").alias("src"), F.col("clause").alias("dst")).distinct()
 
@@ -201,7 +205,6 @@ def open_on_critical_path(items: DataFrame, links: DataFrame, activities: DataFr
     return kept.select("item", "activity", gate.alias("gates_milestone"), path.alias("path"))
 
 
-def mentions(edges: DataFrame, arrow: str = "-{}->") -> Column:
-    """A path text for each edge."""
-    before, after = arrow.split("{}")
-    return F.concat(F.col("src"), F.lit(f" {before}"), F.col("relationship"), F.lit(f"{after} "), F.col("dst"))
+def path_text() -> Column:
+    """An edge as text: ``src -RELATIONSHIP-> dst``."""
+    return F.concat(F.col("src"), F.lit(" -"), F.col("relationship"), F.lit("-> "), F.col("dst"))
