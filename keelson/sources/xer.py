@@ -43,7 +43,7 @@ def read_schedule(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     f = lambda name: F.nullif(F.col("fields")[name], F.lit(""))
     day = lambda name: F.substring(f(name), 1, 10).try_cast("date")
     days = lambda name: f(name).try_cast("double") / HOURS_PER_DAY
-    first = rows.where("table_name = 'PROJECT'").groupBy("file").agg(F.min(F.struct("seq", "fields.proj_id", "fields.proj_short_name", "fields.last_recalc_date")).alias("p"))
+    first = rows.where("table_name = 'PROJECT'").groupBy("file").agg(F.min(F.struct("seq", *(F.col("fields")[n].alias(n) for n in ("proj_id", "proj_short_name", "last_recalc_date")))).alias("p"))
     projects = first.select("file", F.col("p.proj_id").alias("proj_id"), F.col("p.proj_short_name").alias("project_name"), F.substring("p.last_recalc_date", 1, 10).try_cast("date").alias("data_date"))
     tasks = rows.where("table_name = 'TASK'").withColumn("proj_id", f("proj_id")).join(F.broadcast(projects.select("file", "proj_id")), ["file", "proj_id"])
     total_float = f("total_float_hr_cnt").try_cast("double") / HOURS_PER_DAY
