@@ -40,16 +40,19 @@ def valid_links(activities: DataFrame, links: DataFrame) -> DataFrame:
 
 def waves(activities: DataFrame, links: DataFrame) -> DataFrame:
     """``task_code, wave``: the longest chain of links that leads to each activity; a cycle fails."""
-    links = valid_links(activities, links).select("predecessor", "successor").distinct()
-    settled = _cut(activities.select("task_code", F.lit(0).alias("wave")))
+    links = _cut(valid_links(activities, links).select("predecessor", "successor").distinct())
+    reached = activities.select("task_code", F.lit(0).alias("wave"))
+    last, most = activities.select("task_code"), None
     for k in range(1, MAX_WAVES):
-        # Whatever follows an activity of the last wave moves to this one.
-        moved = _cut(links.join(settled.where(F.col("wave") == k - 1).select(F.col("task_code").alias("predecessor")), "predecessor", "left_semi").select(F.col("successor").alias("task_code")).distinct())
-        if moved.isEmpty():
-            return settled
-        if k > settled.count():
-            raise ValueError("the links have a cycle")
-        settled = _cut(settled.join(moved.withColumn("next", F.lit(k)), "task_code", "left").select("task_code", F.coalesce("next", "wave").alias("wave")))
+        # Whatever follows an activity that the last wave reached is reached again by this one; the last time counts.
+        last = _cut(links.join(last.withColumnRenamed("task_code", "predecessor"), "predecessor", "left_semi").select(F.col("successor").alias("task_code")).distinct())
+        if last.isEmpty():
+            return reached.groupBy("task_code").agg(F.max("wave").alias("wave"))
+        if k % 16 == 0:
+            most = most or activities.count()
+            if k > most:
+                break
+        reached = reached.unionByName(last.withColumn("wave", F.lit(k)))
     raise ValueError("the links have a cycle")
 
 
@@ -81,7 +84,8 @@ def forward_pass(activities: DataFrame, links: DataFrame, data_date: Column) ->
     )
     ranked = _cut(waves(activities, links).join(own, "task_code"))
     last = ranked.agg(F.max("wave")).first()[0]
-    passed = None
+    links = _cut(links)
+    passed = None  # the levels so far, each written once
     for k in range((last if last is not None else -1) + 1):
         here = ranked.where(F.col("wave") == k)
         if passed is None:
@@ -95,7 +99,8 @@ def forward_pass(activities: DataFrame, links: DataFrame, data_date: Column) ->
         driven = ~F.col("fixed") & F.coalesce(F.col("cand") > F.col("earliest"), F.lit(False))
         start = F.when(driven, F.col("cand")).otherwise(F.col("earliest"))
         level = best.select("task_code", start.alias("start"), F.coalesce("fixed_finish", start + F.col("duration")).alias("finish"), F.when(driven, F.col("who")).alias("driver"))
-        passed = _cut(level if passed is None else passed.unionByName(level))
+        level = _cut(level)
+        passed = level if passed is None else passed.unionByName(level)
     if passed is None:
         passed = activities.select("task_code", F.lit(0.0).alias("start"), F.lit(0.0).alias("finish"), F.lit(None).cast("string").alias("driver")).limit(0)
     return passed

@@ -542,13 +542,13 @@ chain as (
 
 @query(f"with recursive {_DRIVERS} select conv_id, turn, max(back) over (partition by conv_id) - back as pos from chain")
 def driving_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _paths(spark, sf_dir).select("conv_id", "turn", "pos")
+    activities, links = turns(spark, sf_dir)
+    return _paths(activities, schedule.forward_pass(activities, links, _data_date())).select("conv_id", "turn", "pos")
 
 
-def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    activities, links = turns(spark, sf_dir)
+def _paths(activities: DataFrame, passed: DataFrame) -> DataFrame:
     last = activities.groupBy("conv_id").agg(F.max("turn").alias("turn")).select(F.concat(F.lit("C"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("milestone"))
-    path = schedule.driving_path(schedule.forward_pass(activities, links, _data_date()))
+    path = schedule.driving_path(passed)
     return path.join(last, "milestone", "left_semi").select("milestone", "task_code", *_split_code(), "pos")
 
 
@@ -564,8 +564,9 @@ def slip_workdays(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def slip_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     activities, links = turns(spark, sf_dir)
-    slipped = schedule.slips(schedule.forward_pass(activities, links, _data_date()), activities, _data_date())
-    found = schedule.slip_origin(_paths(spark, sf_dir), slipped).withColumnRenamed("origin", "task_code")
+    passed = schedule.forward_pass(activities, links, _data_date())
+    slipped = schedule.slips(passed, activities, _data_date())
+    found = schedule.slip_origin(_paths(activities, passed), slipped).withColumnRenamed("origin", "task_code")
     return found.select(*_split_code(), "slip").withColumnRenamed("turn", "origin")
 
 

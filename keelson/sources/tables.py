@@ -42,7 +42,7 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_procedures(spark: SparkSession, path: str) -> DataFrame:
     """Procedures of a catalogue, which is an object with ``procedures`` or an array of them."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     either = F.coalesce(F.from_json("value", PROCEDURES)["procedures"], F.from_json("value", PROCEDURES.removeprefix("procedures ")))
     return text.select(F.explode(either).alias("p")).select("p.*")
 

@@ -16,7 +16,7 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
 
     A file is one row, as its records depend on the lines before them; many files are read in parallel.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.split("value", "\r?\n").alias("lines"))
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\r?\n").alias("lines"))
     blank = F.struct(F.lit("").alias("name"), F.array().cast("array<string>").alias("names"), F.array().cast("array<struct<name:string,seq:int,fields:map<string,string>>>").alias("rows"), F.lit(0).alias("n"))
 
     def step(state, line):

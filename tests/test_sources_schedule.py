@@ -93,3 +93,40 @@ def test_stream_equals_batch(spark, tmp_path, small):
     stream.start(source, critical, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = {(r["entity_id"], r["score"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(r["entity_id"], r["score"]) for r in convergence_scores(log, critical).collect()}
+
+
+def test_a_whole_project(spark, tmp_path):
+    """The agents' findings converge on the equipment; a corrected submittal takes one agent's signal away."""
+    from keelson.plans.run_all import analyse
+
+    _, activities, links = xer.read_schedule(spark, export(tmp_path))
+    req = spark.createDataFrame([(1, "E-1", "rated output", "output", "2.0", "MVA", "greater_equal", None, None, "CRITICAL", "")], "req int, clause_id string, parameter string, canonical_parameter string, value string, unit string, comparison string, value_max string, tolerance string, criticality string, source_text string")
+    log = spark.createDataFrame([], "seq long, agent string, event_type string, entity_id string, entity_type string, severity string, description string, risk_score double, ts timestamp")
+    day = F.lit("2026-07-20").cast("date")
+
+    def run(output):
+        par = spark.createDataFrame([(1, "Rated output", "output", output, "MVA", 1)], "seq int, parameter string, canonical_parameter string, value string, unit string, page int")
+        return analyse(activities, links, req, par, log, day, "ACT-003", "UPS-02A", trials=500)
+
+    def of(reports):
+        return {r["entity_id"]: r["agents"] for r in reports.alerts.collect()}
+
+    assert of(run("1.8")) == {"UPS-02A": ["CHRONOS", "SPECTRA", "TRACIS"]}
+    assert of(run("2.1")) == {"UPS-02A": ["CHRONOS", "TRACIS"]}
+
+
+def test_questions(spark):
+    from keelson.operators import questions
+
+    nodes = spark.createDataFrame(
+        [("UPS-02A", "Equipment", {"vendor": "V"}, 0.8), ("DEV::UPS-02A::E-1::p", "Deviation", {}, None), ("DEV::UPS-02AB::E-1::p", "Deviation", {}, None), ("ACT-1", "ScheduleActivity", {"is_critical": "true"}, None), ("V", "Vendor", {}, None), ("NCR-1", "NCR", {"status": "OPEN"}, None), ("NCR-2", "NCR", {"status": "closed"}, None), ("RFI-1", "RFI", {"status": "Open"}, None)],
+        "node_id string, node_type string, attributes map<string,string>, risk_score double",
+    )
+    edges = spark.createDataFrame([("ACT-1", "UPS-02A", "REQUIRES"), ("UPS-02A", "V", "PROCURED_FROM"), ("NCR-1", "UPS-02A", "IMPACTS"), ("NCR-2", "UPS-02A", "IMPACTS"), ("RFI-1", "ACT-1", "LINKED_TO")], "src string, dst string, relationship string")
+    assert sorted(r["kind"] for r in questions.equipment_status(nodes, edges, "UPS-02A").collect()) == ["activity", "deviation", "equipment", "ncr", "ncr", "vendor"]
+    assert [r["id"] for r in questions.field_reports(nodes, edges).collect()] == ["NCR-1"]
+    assert questions.field_reports(nodes, edges, True).count() == 2
+    risks = spark.createDataFrame([("UPS-02A", "TRACIS", 0.8)], "node_id string, agent string, score double")
+    assert questions.deliveries_at_risk(nodes, risks).count() == 1
+    row = questions.entity_contexts(nodes, edges).first()
+    assert (row["n_activities"], row["n_open_ncrs"], row["n_open_rfis"], row["n_deviations"], row["on_critical_path"]) == (1, 1, 1, 1, True)
