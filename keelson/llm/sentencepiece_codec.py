@@ -132,7 +132,9 @@ _UNEVEN = re.compile(b"  | \n| $|^ |\0|\xe2\x96\x81").search
 
 
 def _spell(word: bytes) -> str:
-    """A word as the segmenter takes it: after its space mark, or after the newline before it."""
+    """A part as the segmenter takes it: normalised text as it is, a word after its space mark or the newline before it."""
+    if word.startswith(b"\0"):
+        return word[1:].decode()
     return word.decode("utf-8", "replace") if word.startswith(b"\n") else SPACE + word.decode("utf-8", "replace")
 
 
@@ -163,34 +165,48 @@ class Codec:
         self.source_widths = self.widths - 2 * np.array([p.count(SPACE) for p in pieces], np.int32)
         self.decimals = [str(i) for i in range(len(pieces))]
 
-    def _ids(self, parts: list[bytes], spell) -> np.ndarray:
-        """The ids of parts in order; a part that is not remembered is spelt out and segmented."""
+    def _learn(self, parts: set[bytes]) -> None:
+        """Segment the parts that are not remembered."""
         known = self.ids
-        new = set(parts).difference(known)
+        new = parts.difference(known)
         if new:
             if len(known) + len(new) > MEMO_PARTS:
                 known.clear()
-                new = set(parts)
+                new = parts
             new = list(new)
-            for part, ids in zip(new, self.segmenter.encode(list(map(spell, new)), num_threads=1), strict=True):
+            for part, ids in zip(new, self.segmenter.encode(list(map(_spell, new)), num_threads=1), strict=True):
                 known[part] = struct.pack(f"{len(ids)}i", *ids)
-        return np.frombuffer(b"".join(map(known.__getitem__, parts)), np.int32)
 
     def encode(self, source: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and of each piece the first source byte and the one after the last."""
-        if not source:
-            return (np.zeros(0, np.int32),) * 3
-        if self.simple and not _UNEVEN(source):
-            # Without a character map only spaces change: a mark of three bytes for one, and one before the text.
-            ids = self._ids(source.replace(b"\n", b" \n").split(b" "), _spell)
+        return self.encode_all([source])[0]
+
+    def encode_all(self, sources: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``encode`` of several texts, whose new parts are segmented at once."""
+        prepared = []
+        for source in sources:
+            if not source:
+                prepared.append(([], None))
+            elif self.simple and not _UNEVEN(source):
+                # Without a character map only spaces change: a mark of three bytes for one, and one before the text.
+                prepared.append((source.replace(b"\n", b" \n").split(b" "), None))
+            else:
+                text, offsets = self.normalizer.normalise(source)
+                parts = self.part(text) if self.part else [text] if text else []
+                prepared.append(([b"\0" + p.encode() for p in parts], offsets))
+        self._learn(set().union(*(parts for parts, _ in prepared)))
+        return [self._spans(*one) for one in prepared]
+
+    def _spans(self, parts: list[bytes], offsets: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids = np.frombuffer(b"".join(map(self.ids.__getitem__, parts)), np.int32)
+        if offsets is None:
+            if not len(ids):
+                return ids, ids, ids
             ends = np.cumsum(self.source_widths[ids], dtype=np.int32) - np.int32(1)
             return ids, np.concatenate([np.zeros(1, np.int32), ends[:-1]]), ends
-        text, offsets = self.normalizer.normalise(source)
-        parts = self.part(text) if self.part else [text]
-        ids = self._ids([b"\0" + p.encode() for p in parts], lambda part: part[1:].decode()) if text else np.zeros(0, np.int32)
         widths = self.widths[ids]
         if len(ids) and (ids == self.unknown).any():
-            surfaces = [p for part in parts for p in self.segmenter.encode(part, out_type=str)]
+            surfaces = [p for part in parts for p in self.segmenter.encode(_spell(part), out_type=str)]
             widths = np.where(ids == self.unknown, [len(p.encode()) for p in surfaces], widths)
         marks = offsets[np.concatenate([[0], np.cumsum(widths, dtype=np.int64)])].astype(np.int32)
         return ids, marks[:-1], marks[1:]
@@ -210,6 +226,13 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int32), pa.int32()))
 
 
+def _int_lists(column: pa.ListArray) -> Iterator[list[int] | None]:
+    """Python lists of a column of integer lists; much faster than ``to_pylist``."""
+    values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+    for i, missing in enumerate(column.is_null().to_pylist()):
+        yield None if missing else values[offsets[i] : offsets[i + 1]].tolist()
+
+
 def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ``ids``, and ``begins`` and ``ends``, each piece's bytes in the original text.
 
@@ -226,7 +249,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH_DOCS):
                 part = batch.slice(start, BATCH_DOCS)
-                found = [codec.encode(t or b"") for t in binaries(part.column(len(keep)))]
+                found = codec.encode_all([t or b"" for t in binaries(part.column(len(keep)))])
                 columns = [*part.columns[: len(keep)], *(_lists([f[i] for f in found]) for i in range(3))]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, wanted, strict=True)], schema=wanted)
 
@@ -244,7 +267,7 @@ def _each_ids(encoded: DataFrame, model: str, keep: tuple[str, ...], more: list[
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH_DOCS):
                 part = batch.slice(start, BATCH_DOCS)
-                found = [of(codec, ids) for ids in part.column(len(keep)).to_pylist()]
+                found = [of(codec, ids) for ids in _int_lists(part.column(len(keep)))]
                 columns = [*part.columns[: len(keep)], *(pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), list(wanted)[len(keep) :], strict=True))]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, wanted, strict=True)], schema=wanted)
 
