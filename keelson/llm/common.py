@@ -7,6 +7,7 @@ is lost later, its tasks reread the table instead of recomputing the past.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -47,6 +48,18 @@ def bucket_of(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, Spark hands Python functions so many rows at a time at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def binaries(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding."""
     if pa.types.is_large_string(column.type):
@@ -77,27 +90,3 @@ def rows_to_batches(rows: Iterable[tuple], schema: pa.Schema, weigh: Callable[[t
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True))
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
-class WordMemo:
-    """Results for words, computed for many new words at once and kept up to a limit.
-
-    Texts repeat their words, so what depends on one word alone is computed once
-    for it. The memo is emptied when it holds ``limit`` words, which bounds its
-    memory and changes no result.
-    """
-
-    def __init__(self, compute: Callable[[list], list], limit: int = 400_000):
-        self.compute, self.limit, self.known = compute, limit, {}
-
-    def of(self, texts: list[list]) -> dict:
-        """A mapping that has every word of ``texts`` (lists of words)."""
-        known = self.known
-        new = {w for words in texts for w in words if w not in known}
-        if len(known) + len(new) > self.limit and known:
-            known = self.known = {}
-            new = {w for words in texts for w in words}
-        if new:
-            new = list(new)
-            known.update(zip(new, self.compute(new), strict=True))
-        return known

@@ -37,21 +37,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, binaries, scratch
+from .common import arrow_batches, arrow_schema, binaries, scratch
 
 WORDS = 5
 #: Links hold where OVER * overlap >= UNDER * (sum of sizes): a similarity of 3/4 or more.
 OVER, UNDER = 7, 3
 HASH_BITS = 48
-SKETCH = 256
+#: Histograms have about as many cells as the set has shingles, at least and at most so many.
+LEAST_CELLS, MOST_CELLS = 64, 1 << 14
+#: Rows of an Arrow batch: sets are long rows.
+ARROW_ROWS = 512
 #: Shingles that come last in the order: at most so many, each met ``REPEATS`` times in some task's chunk of ``CHUNK``.
 FREQUENT = 1 << 19
 REPEATS = 3
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 #: Tables of classes up to this size are broadcast.
 BROADCAST_ROWS = 1_000_000
 MAX_ROUNDS = 60
+#: Further rounds of pivots before what is left is compared exhaustively; a set asks two of its lists in each.
+PIVOTS = 2
 _MASK = np.uint64((1 << HASH_BITS) - 1)
+_PLACE = "(at & 4294967295) / shiftright(at, 32)"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,6 +84,23 @@ def to_blob(shingles: np.ndarray) -> bytes:
     return shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : HASH_BITS // 8].tobytes()
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """A set's histogram: counts of its hashes by their low bits."""
+    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (len(shingles).bit_length() - 1)))
+    return np.minimum(np.bincount((shingles & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def largest_overlap(left: bytes, right: bytes) -> int | None:
+    """The most that two sets can have in common by their histograms; None if a full cell leaves it open."""
+    a, b = np.frombuffer(left, np.uint8), np.frombuffer(right, np.uint8)
+    if a.max() == 255 or b.max() == 255:
+        return None
+    if len(a) != len(b):  # the finer one in the cells of the coarser
+        few = min(len(a), len(b))
+        a, b = a.reshape(-1, few).sum(axis=0, dtype=np.int64), b.reshape(-1, few).sum(axis=0, dtype=np.int64)
+    return int(np.minimum(a, b).sum(dtype=np.int64))
+
+
 def from_blob(blob: bytes) -> np.ndarray:
     packed = np.frombuffer(blob, np.uint8).reshape(-1, HASH_BITS // 8)
     wide = np.zeros((len(packed), 8), np.uint8)
@@ -112,7 +135,7 @@ def _sets(words: int):
                         blobs.append(None)
                         continue
                     seen.add(cid)
-                    sketches.append(np.minimum(np.bincount((found & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes())
+                    sketches.append(sketch(found))
                     blobs.append(to_blob(found))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(cids, pa.int64()), pa.array(sketches, pa.binary()), pa.array(blobs, pa.binary())], schema=wanted)
 
@@ -132,7 +155,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(token[often].astype(np.int64)), pa.array(times[often])], schema=wanted)
 
     held, size = [], 0
-    for batch in batches:
+    for batch in _slices(batches):
         for blob in batch.column(0).to_pylist():
             held.append(from_blob(blob))
             size += len(held[-1])
@@ -189,23 +212,23 @@ def _prefixes(shared):
     return list_prefixes
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def _bounded(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keep the pairs whose histograms allow a link."""
-    for batch in pairs:
-        if not batch.num_rows:
-            continue
-        left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (4, 5))
-        most = np.minimum(left, right).sum(axis=1, dtype=np.int64)
-        full = (left == 255).any(axis=1) | (right == 255).any(axis=1)  # a full cell counts no further
-        sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-        kept = full | (OVER * most >= UNDER * sizes)
-        yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "na", "nb"]).filter(pa.array(kept))
+    for batch in _slices(pairs):
+        most = [largest_overlap(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+        sizes = (batch.column(2).to_numpy() + batch.column(3).to_numpy()).tolist()
+        kept = [m is None or OVER * m >= UNDER * n for m, n in zip(most, sizes, strict=True)]
+        yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "na", "nb"]).filter(pa.array(kept, pa.bool_()))
 
 
 def _overlaps(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pairs:
-        if not batch.num_rows:
-            continue
+    for batch in _slices(pairs):
         common = [len(np.intersect1d(from_blob(x), from_blob(y), assume_unique=True)) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(common, pa.int64())], names=["a", "b", "na", "nb", "common"])
 
@@ -218,15 +241,16 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def _compare(pairs: DataFrame, stored: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, na, nb) that may link, with ``common``, the size of their intersection."""
+def _compare(pairs: DataFrame, stored: DataFrame, owners: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, na, nb) that may link, with ``common``, the size of their intersection.
 
-    def fetched(wanted: DataFrame, column: str) -> DataFrame:
-        cids = scratch(wanted.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "wanted")
-        return stored.join(_small(cids), "cid", "left_semi").groupBy("cid").agg(F.first(column).alias(column))
+    Of the stored copies of a set, the owner's is taken, so that what is stored
+    needs no shuffle to be fetched: the wanted classes are few.
+    """
 
     def both(wanted: DataFrame, column: str) -> DataFrame:
-        have = scratch(fetched(wanted, column), "fetched")
+        cids = wanted.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        have = stored.join(_small(scratch(cids.join(owners, "cid"), "wanted")), ["cid", "doc_id"]).select("cid", column)
         with_b = wanted.join(have.select(F.col("cid").alias("b"), F.col(column).alias("right")), "b")
         return with_b.join(have.select(F.col("cid").alias("a"), F.col(column).alias("left")), "a").select("a", "b", "na", "nb", "left", "right")
 
@@ -289,6 +313,21 @@ def _derived(pairs: DataFrame, related: DataFrame) -> tuple[DataFrame, DataFrame
     return known.where("yes").select("a", "b"), known.where("not yes and not no").select("a", "b", "na", "nb")
 
 
+def _related(compared: DataFrame) -> DataFrame:
+    """``cid, common, pivot, n_pivot``: of each set, its largest overlap with a pivot (either set of a pair)."""
+    ways = [compared.select(F.col(x).alias("cid"), "common", F.col(y).alias("pivot"), F.col(f"n{y}").alias("n_pivot")) for x, y in ("ab", "ba")]
+    best = ways[0].union(ways[1]).groupBy("cid").agg(F.max(F.struct("common", "pivot", "n_pivot")).alias("best"))
+    return scratch(best.select("cid", "best.*"), "related")
+
+
+def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The entries of lists with several components; ``is_main`` for those of a list's largest one."""
+    labelled = lists.select("token", "cid", "at").join(_small(labels), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    bounds = labelled.withColumns({"low": F.expr("min(comp) over (partition by token)"), "high": F.expr("max(comp) over (partition by token)")}).where("low < high")
+    sized = bounds.withColumn("size", F.expr("count(*) over (partition by token, comp)")).withColumn("main", F.expr("max(struct(size, comp)) over (partition by token)"))
+    return sized.select("token", "cid", "at", "comp", (F.col("comp") == F.col("main.comp")).alias("is_main"))
+
+
 def jaccard_components(docs: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
@@ -297,48 +336,56 @@ def jaccard_components(docs: DataFrame, text: str = "text", words: int = WORDS)
     rows of null ids only, its id is null. Other columns are not looked at; an
     empty table gives no rows.
     """
+    with arrow_batches(docs.sparkSession, ARROW_ROWS):
+        return _components_of(docs, text, words)
+
+
+def _components_of(docs: DataFrame, text: str, words: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = scratch(rows.mapInArrow(_sets(words), _SETS), "sets")
-    stored = sets.where("blob is not null").select("cid", "sketch", "blob")
+    stored = sets.where("blob is not null").select("cid", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "sketch", "blob")
+    owners = scratch(stored.groupBy("cid").agg(F.min("doc_id").alias("doc_id")), "owners")
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(stored))  # FREQUENT entries at most: 8 MB
 
     entries = stored.select("cid", "blob").mapInArrow(_prefixes(frequent), _ENTRIES)
-    met = entries.withColumns({"first": F.expr("min(cid) over (partition by token)"), "last": F.expr("max(cid) over (partition by token)")})
-    lists = met.where("first < last").withColumn("pivot", F.expr("min(struct(cid, at)) over (partition by token)"))
-    lists = scratch(lists.select("token", "cid", "at", F.col("pivot.cid").alias("pivot"), F.col("pivot.at").alias("pivot_at")), "lists")
-
-    # The pivots' answers.
-    asked = scratch(_pairs(lists, "pivot", "pivot_at", "cid", "at"), "pairs")
-    compared = _compare(asked, stored)
+    ends = {"first": F.expr("min(cid) over (partition by token)"), "last": F.expr("max(cid) over (partition by token)")}
+    met = entries.withColumns(ends | {"smallest": F.expr("min(shiftright(at, 32)) over (partition by token)")}).where("first < last")
+    # Entries that are too far back for a partner of the list's smallest size are skipped, and lists of one set then.
+    n, left = F.shiftright("at", 32), F.shiftright("at", 32) - F.col("at").bitwiseAND(0xFFFFFFFF)
+    met = met.where((OVER * left >= UNDER * (n + F.col("smallest"))) & (4 * left >= 3 * n)).withColumns(ends).where("first < last")
+    lists = scratch(met.select("token", "cid", "at"), "lists")
+
+    # Each list's first pivot: the set for which the shingle comes earliest, as it has the fewest shingles of its own.
+    first = lists.withColumn("pivot", F.expr(f"min(struct({_PLACE}, cid, at)) over (partition by token)"))
+    first = first.select("token", "cid", "at", F.col("pivot.cid").alias("pivot"), F.col("pivot.at").alias("pivot_at"))
+    asked = scratch(_pairs(first, "pivot", "pivot_at", "cid", "at"), "pairs")
+    compared = _compare(asked, stored, owners)
     links = compared.where(_linked(F.col("common"))).select("a", "b")
-    labels = scratch(components(links), "labels")
-    related = scratch(
-        compared.select(F.col("b").alias("cid"), "common", F.col("a").alias("pivot"), F.col("na").alias("n_pivot"))
-        .groupBy("cid").agg(F.max(F.struct("common", "pivot", "n_pivot")).alias("best")).select("cid", "best.*"), "related"
-    )
-
-    # A second pivot for lists that lie in several components; another for each list.
-    labelled = lists.select("token", "cid", "at").join(_small(labels), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    open_lists = labelled.withColumns({"low": F.expr("min(comp) over (partition by token)"), "high": F.expr("max(comp) over (partition by token)")}).where("low < high")
-    open_lists = open_lists.withColumn("pivot", F.expr("min(struct(xxhash64(cid, token), cid, at, comp)) over (partition by token)"))
-    open_lists = scratch(open_lists.select("token", "cid", "at", "comp", F.col("pivot.cid").alias("pivot"), F.col("pivot.at").alias("pivot_at"), F.col("pivot.comp").alias("pivot_comp")), "lists")
-    again = _pairs(open_lists.where("comp <> pivot_comp"), "pivot", "pivot_at", "cid", "at").join(asked.select("a", "b"), ["a", "b"], "left_anti")
-    again = scratch(again, "pairs")
-    proved, unsure = _derived(again, related)
-    links = links.union(proved).union(_compare(unsure, stored).where(_linked(F.col("common"))).select("a", "b"))
+    related = _related(compared)
     labels = scratch(components(links), "labels")
 
-    # What is left: pairs of a list in different components, one of them not the list's largest.
-    labelled = open_lists.select("token", "cid", "at").join(_small(labels), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    sized = labelled.withColumn("size", F.expr("count(*) over (partition by token, comp)"))
-    sized = sized.withColumns({"low": F.expr("min(comp) over (partition by token)"), "high": F.expr("max(comp) over (partition by token)"), "main": F.expr("max(struct(size, comp)) over (partition by token)")})
-    sized = scratch(sized.where("low < high").select("token", "cid", "at", "comp", (F.col("comp") == F.col("main.comp")).alias("is_main")), "lists")
-    one = sized.where("not is_main").select("token", F.col("cid").alias("x"), F.col("at").alias("at_x"), F.col("comp").alias("comp_x"))
-    other = sized.select("token", "cid", "at", "comp", "is_main")
-    meet = one.join(other, (one["token"] == other["token"]) & (F.col("comp_x") != F.col("comp")) & (F.col("is_main") | (F.col("x") < F.col("cid"))) & _may_link("at_x", "at"))
-    rest = _pairs(meet, "x", "at_x", "cid", "at").join(asked.union(again).select("a", "b"), ["a", "b"], "left_anti")
+    # Further pivots of lists that lie in several components, from the list's largest, for a few of each set's lists.
+    for turn in range(PIVOTS):
+        lists = scratch(_open_lists(lists, labels), "lists")
+        among = lists.withColumn("pivot", F.expr(f"min(case when is_main then struct(xxhash64(cid, {turn}), cid, at) end) over (partition by token)"))
+        outside = among.where("not is_main").select("cid", F.struct(F.xxhash64("token", F.lit(turn)), "at", F.col("pivot.cid").alias("pivot"), F.col("pivot.at").alias("pivot_at")).alias("ask"))
+        outside = outside.where(_may_link("ask.at", "ask.pivot_at")).groupBy("cid").agg(F.array(F.min("ask"), F.max("ask")).alias("asks")).select("cid", F.explode("asks").alias("ask"))
+        again = _pairs(outside.select("cid", "ask.at", "ask.pivot", "ask.pivot_at"), "pivot", "pivot_at", "cid", "at")
+        again = scratch(again.join(asked.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        if again.isEmpty():
+            break
+        proved, unsure = _derived(again, related)
+        links = links.union(proved).union(_compare(unsure, stored, owners).where(_linked(F.col("common"))).select("a", "b"))
+        labels = scratch(components(links), "labels")
+        asked = asked.union(again)
+
+    # What is left: all pairs of a list in different components, one of them not the list's largest.
+    lists = scratch(_open_lists(lists, labels), "lists")
+    one = lists.where("not is_main").select("token", F.col("cid").alias("x"), F.col("at").alias("at_x"), F.col("comp").alias("comp_x"))
+    meet = one.join(lists, (one["token"] == lists["token"]) & (F.col("comp_x") != F.col("comp")) & (F.col("is_main") | (F.col("x") < F.col("cid"))) & _may_link("at_x", "at"))
+    rest = _pairs(meet, "x", "at_x", "cid", "at").join(asked.select("a", "b"), ["a", "b"], "left_anti")
     proved, unsure = _derived(scratch(rest, "pairs"), related)
-    links = links.union(proved).union(_compare(unsure, stored).where(_linked(F.col("common"))).select("a", "b"))
+    links = links.union(proved).union(_compare(unsure, stored, owners).where(_linked(F.col("common"))).select("a", "b"))
     labels = scratch(components(links), "labels")
 
     classes = sets.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first"))
@@ -347,3 +394,22 @@ def jaccard_components(docs: DataFrame, text: str = "text", words: int = WORDS)
     firsts = classes.groupBy("comp").agg(F.min("first").alias("component"))
     by_class = classes.join(firsts, "comp").select("cid", "component")
     return sets.select("doc_id", "n", "cid").join(by_class, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+
+
+ORACLE_SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select doc_id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end)) as shingle from d
+), n as (
+  select d.doc_id, coalesce(c, 0) as n from d left join (select doc_id, count(*) as c from s group by 1) using (doc_id)
+), p as (
+  select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by 1, 2
+), e as (
+  select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 75 * (nx.n + ny.n - c)
+), r as (
+  select doc_id, doc_id as reached from n union select r.doc_id, e.y from r join e on e.x = r.reached
+)
+select n.doc_id, cast(n.n as bigint) as n_shingles, min(reached) as component_id from n join r using (doc_id) group by 1, 2
+"""

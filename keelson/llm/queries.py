@@ -77,4 +77,4 @@ QUERIES = {
         op10_url_filters,
     )
 }
-ORACLE_SQL = {"op9_line_dedup": line_dedup.ORACLE_SQL, "op10_url_filters": url_filters.ORACLE_SQL}
+ORACLE_SQL = {"op6_ngram_jaccard_join": jaccard_join.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL, "op10_url_filters": url_filters.ORACLE_SQL}
