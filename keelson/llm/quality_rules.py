@@ -42,7 +42,7 @@ CUTOFF = 41.0
 #: (name, expression over the statistics, smallest standard deviation that is believed). The floors
 #: keep a coordinate that is constant among most documents from making every other value an outlier.
 COORDINATES = (
-    ("z_length", "ln(n_words)", 0.35),
+    ("z_length", "ln(n_words)", 0.8),
     ("z_word", "ln(word_chars / n_words)", 0.12),
     ("z_symbols", "asin(sqrt(least(1.0, n_symbols / word_chars)))", 0.06),
     ("z_lines", "asin(sqrt(n_dup_lines / n_lines))", 0.15),
