@@ -139,13 +139,25 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
                 found = [document_features(t) for t in binaries(part.column(2))]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1).cast(pa.int32()), pa.array([f[0] for f in found], wanted.field(2).type), pa.array([f[1] for f in found], wanted.field(3).type)], schema=wanted)
 
-    got = rows.select("doc_id", "label", "text").mapInArrow(featurise, schema).toArrow().sort_by("doc_id")
-    features = []
-    for at, times in zip(got["at"], got["times"], strict=True):
-        times = np.asarray(times.values, np.float32)
-        features.append((np.asarray(at.values, np.int64), times / max(times.sum(), 1)))
-    return SubwordClassifier.fit(features, got["label"].to_pylist())
-
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The model of the whole sample, which one task can hold: ``sample`` rows of ``BUCKETS`` features at most."""
+        rows = []
+        for batch in batches:
+            for doc_id, label, at, times in zip(*(batch.column(k) for k in range(4)), strict=True):
+                times = np.array(times.values, np.float32)
+                rows.append((doc_id.as_py(), label.as_py(), np.array(at.values, np.int32), times / max(times.sum(), 1)))
+        rows.sort(key=operator.itemgetter(0))
+        model = SubwordClassifier.fit([row[2:] for row in rows], [row[1] for row in rows])
+        blobs = [pa.array([part.astype("<f4").tobytes()], pa.binary()) for part in (model.embeddings, model.output, model.bias)]
+        yield pa.RecordBatch.from_arrays(blobs, names=["embeddings", "output", "bias"])
+
+    # The features stay on the executors; the driver gets the model alone: 8 MB.
+    features = rows.select("doc_id", "label", "text").mapInArrow(featurise, schema).repartition(1)
+    got = features.mapInArrow(fitted, "embeddings binary, output binary, bias binary").toArrow().to_pylist()
+    if not got:
+        return SubwordClassifier.fit([], [])
+    embeddings, output, bias = (np.frombuffer(got[0][k], "<f4") for k in ("embeddings", "output", "bias"))
+    return SubwordClassifier(embeddings.reshape(BUCKETS, DIMENSIONS), output.reshape(2, DIMENSIONS), bias)
 
 
 def score(docs: DataFrame, model: SubwordClassifier, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
