@@ -33,8 +33,8 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that are boilerplate of their source."""
-    cut = line_dedup.drop_boilerplate(_with_row(docs, "source", "text"))
+    """All documents, without the lines that are boilerplate of their source. Copies count once: the next stage removes them."""
+    cut = line_dedup.drop_boilerplate(_with_row(docs, "source", "text"), copies_once=True)
     row = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars")))

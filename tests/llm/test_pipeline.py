@@ -52,3 +52,22 @@ def test_no_documents_and_odd_rows(spark):
             assert docs.count() or not rows, name
             if name == "ngram_jaccard_join" and docs.count():
                 assert len(rows) == 3  # the repeated row is one document
+
+
+def test_copies_keep_one_whole_text(spark):
+    """Groups of copies that are a third of their source: one whole text of each stays, and boilerplate goes."""
+    words = lambda *k: " ".join(f"w{'x'.join(map(str, k))}y{i}" for i in range(12))
+    copied = "\n".join(words("copy", k) for k in range(6))
+    rows = [(i, "menu of the site\n" + "\n".join(words("own", i, k) for k in range(5)), "exact") for i in range(20)] + [(100 + i, copied, "exact") for i in range(10)]
+    near = [words("near", k) for k in range(40)]
+    rows += [(200 + i, "\n".join(words("other", i, k) for k in range(5)), "near") for i in range(20)]
+    rows += [(300 + i, "\n".join([*near[:i], words("edit", i), *near[i + 1 :]]), "near") for i in range(10)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    cut = corpus_pipeline.line_dedup_stage(spark, docs, "").cache()
+    texts = {r["doc_id"]: r["text"] for r in cut.collect()}
+    assert all(texts[100 + i] == copied for i in range(10))
+    assert all("menu of the site" not in texts[i] and texts[i] for i in range(20))
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.jaccard_join_stage(spark, cut, "").collect()}
+    assert [d for d in kept if 100 <= d < 200] == [100]
+    assert any(sum(line in text.split("\n") for line in near) == 39 for text in kept.values())
+    assert all(kept.values())
