@@ -13,6 +13,7 @@ Where a host has too few pages to tell (``MIN_PAGES``), and for elements whose
 tag, role, class or id says that they are no content (navigation, adverts,
 notices, forms, comments and the like), the tree's prior decides.
 
+Pages of a host that have the same kept blocks are one content, and count once.
 Features are counted as hashes with partial sums before the shuffle, so a host
 with a third of all pages is no hot task; a site's tree is bounded by the number
 of its distinct paths, and cut nodes are one short array a host.
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 from .common import arrow_schema, rows_to_batches, scratch
 from .url_filters import host_and_path
 
-#: Pages that a host needs before its style tree decides, importance below which a branch goes,
+#: Distinct contents that a host's pages need before its style tree decides, importance below which a branch goes,
 #: and what a level of presentation weighs less than the one above it.
 MIN_PAGES = 10
 LEAST_IMPORTANCE = 0.35
@@ -185,12 +186,12 @@ def node_id(path: tuple[str, ...]) -> int:
 
 
 _FEATURES = T.StructType(
-    [T.StructField("host", T.StringType()), T.StructField("node", T.LongType()), T.StructField("parent", T.LongType()), T.StructField("depth", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("feature", T.LongType())]
+    [T.StructField("host", T.StringType()), T.StructField("node", T.LongType()), T.StructField("parent", T.LongType()), T.StructField("depth", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("feature", T.LongType()), T.StructField("content", T.LongType())]
 )
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each page, once each: a node's style (kind 0) and its texts (kind 1), as hashes."""
+    """Of each page, once each: a node's style (kind 0) and its texts (kind 1), as hashes, and one row for itself (kind 2), all beside the hash of its kept blocks."""
     wanted = arrow_schema(_FEATURES)
 
     def rows() -> Iterator[tuple]:
@@ -199,8 +200,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 blocks, elements = parse(page or "")
                 seen = {(path, 0, xxhash.xxh3_64_intdigest("\0".join(children)) - (1 << 63)) for path, dropped, children in elements if not dropped}
                 seen |= {(path, 1, xxhash.xxh3_64_intdigest(text) - (1 << 63)) for path, dropped, text in blocks if not dropped}
+                content = xxhash.xxh3_64_intdigest("\0".join("/".join(path) + "\0" + text for path, dropped, text in blocks if not dropped)) - (1 << 63)
+                yield host, 0, None, 0, 2, 0, content
                 for path, kind, feature in seen:
-                    yield host, node_id(path), node_id(path[:-1]) if path else None, len(path), kind, feature
+                    yield host, node_id(path), node_id(path[:-1]) if path else None, len(path), kind, feature, content
 
     yield from rows_to_batches(rows(), wanted)
 
@@ -208,15 +211,15 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def low_nodes(pages: DataFrame, min_pages: int = MIN_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:
     """``host, low``: of each host with enough pages, the nodes whose branches are cut.
 
-    ``pages`` has ``host`` and ``html``. With m pages, a node's presentation
+    ``pages`` has ``host`` and ``html``. Pages with the same kept blocks are one. With m pages, a node's presentation
     importance is the entropy of its styles (base m, 1 if it is alone), and its
     content importance 1 less the mean entropy of its texts over the pages that
     have them: a text that n pages have once each has entropy log_m n.
     """
     features = pages.select("host", "html").mapInArrow(_features, _FEATURES)
-    counts = features.groupBy("host", "node", "parent", "depth", "kind", "feature").agg(F.count("*").alias("n"))
-    sizes = scratch(pages.groupBy("host").agg(F.count("*").alias("m")).where(F.col("m") >= min_pages), "hosts")
-    nodes = counts.groupBy("host", "node", "parent", "depth", "kind").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.ln("n")).alias("n_ln"), F.sum(F.ln("n")).alias("ln"), F.count("*").alias("kinds"))
+    counts = scratch(features.distinct().groupBy("host", "node", "parent", "depth", "kind", "feature").agg(F.count("*").alias("n")), "counts")
+    sizes = scratch(counts.where("kind = 2").select("host", F.col("n").alias("m")).where(F.col("m") >= min_pages), "hosts")
+    nodes = counts.where("kind < 2").groupBy("host", "node", "parent", "depth", "kind").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.ln("n")).alias("n_ln"), F.sum(F.ln("n")).alias("ln"), F.count("*").alias("kinds"))
     nodes = nodes.join(sizes, "host")
     own = nodes.withColumn(
         "importance",
@@ -268,8 +271,8 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, least: float = LEAST_I
     """``page_id, url, text, n_chars`` for every row of ``pages``.
 
     A null page has an empty text. Pages of a null url, or one without host,
-    count to the host of the empty name. Repeated rows are pages each; an empty
-    table gives no rows; other columns are not looked at.
+    count to the host of the empty name. Every row gets its text, repeated ones too,
+    but copies weigh as one page in the site's tree; an empty table gives no rows; other columns are not looked at.
     """
     rows = pages.select("page_id", "url", host_and_path(F.col("url"))[0].alias("host"), "html")
     low = scratch(low_nodes(rows, min_pages, least), "low")

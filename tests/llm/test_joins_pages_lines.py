@@ -153,6 +153,18 @@ def test_site_tree_cuts_what_recurs(spark):
     assert html_extraction.extract(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_host_keep_their_article(spark):
+    """Hosts of copies only, of one article and of two, keep all texts; copies beside varied pages hide no boilerplate."""
+    page = lambda i: f"<div class=top>Welcome to the site</div><div class=body><p>Story {i} first</p><p>and second {i * 7}</p></div>"
+    rows = [(i, f"http://one.com/{i}", page(1)) for i in range(12)] + [(100 + i, f"http://two.com/{i}", page(i % 2)) for i in range(12)]
+    rows += [(200 + i, f"http://mixed.com/{i}", page(max(i, 20))) for i in range(40)]
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i].endswith("Story 1 first\nand second 7") for i in range(12))
+    assert all(f"Story {i % 2} first" in got[100 + i] for i in range(12))
+    assert all(got[200 + i] == f"Story {max(i, 20)} first\nand second {max(i, 20) * 7}" for i in range(40))
+
+
 def brute_lines(rows, ratio, least):
     pages, having = Counter(), Counter()
     for _, source, text in rows:
