@@ -7,11 +7,11 @@ is lost later, its tasks reread the table instead of recomputing the past.
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +20,16 @@ from pyspark.sql import types as T
 #: Rows that Python functions return at a time, and bytes after which they return earlier.
 BATCH_ROWS = 4096
 BATCH_BYTES = 8 << 20
+#: Rows that Spark hands Python functions at a time at most: texts are long rows.
+TEXT_ROWS = 512
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder; only where the cluster names none (tests), a temporary one."""
+    """The shared folder. Only a session of one process (``local``) may go without; a cluster has to name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="keelson-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -48,16 +52,40 @@ def bucket_of(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)
 
 
-@contextlib.contextmanager
-def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within it, Spark hands Python functions so many rows at a time at most."""
+def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Lower the session's Arrow batches to ``rows``.
+
+    It lasts, as what an operator returns is run later; a lower setting stays.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+class WordMemo:
+    """Numbers of words, computed once a task: ``compute`` gives a row of ``width`` for each of a list of words.
+
+    At most ``most_words`` of ``most_bytes`` in all are remembered, besides the words of one text.
+    """
+
+    def __init__(self, width: int, compute: Callable[[list[bytes]], np.ndarray], most_words: int = 200_000, most_bytes: int = 32 << 20):
+        self.compute, self.most_words, self.most_bytes = compute, most_words, most_bytes
+        self.number: dict[bytes, int] = {}
+        self.held, self.table = 0, np.zeros((1024, width))
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """A row for each of ``words``."""
+        new = [w for w in set(words) if w not in self.number]
+        if new:
+            if len(self.number) + len(new) > self.most_words or self.held > self.most_bytes:
+                self.number, self.held, new = {}, 0, list(set(words))
+            first = len(self.number)
+            if first + len(new) > len(self.table):
+                self.table = np.concatenate([self.table[:first], np.zeros((max(first, 1024) + len(new), self.table.shape[1]))])
+            self.table[first : first + len(new)] = self.compute(new)
+            self.number.update(zip(new, range(first, first + len(new)), strict=True))
+            self.held += sum(map(len, new))
+        return self.table[np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))]
 
 
 def binaries(column: pa.Array) -> list[bytes | None]:

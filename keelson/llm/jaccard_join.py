@@ -11,9 +11,13 @@ Method: prefix lists with set-relation skipping.
 * Each class lists the first ``n - ceil(3n/4) + 1`` of its shingles in one global
   order: linked sets share one of them. The order is by hash, but shingles that
   tasks meet repeatedly come last (the more frequent, the later), so that shared
-  passages stay out of the lists. The order is only a matter of speed.
-* Index skipping by position: of a list's entries, those whose size, or whose
-  position beyond which too few shingles are left, rule a partner out are skipped.
+  passages stay out of the lists. A task meets a shingle twice among ``CHUNK`` once
+  about ``sqrt(2 N / CHUNK)`` of all N are equal to it, so what is missed grows
+  slower than the input. The order is only a matter of speed.
+* Index skipping by position: lists are parted in blocks by set size. An entry is
+  met with the blocks that its size and its position (how many shingles are left
+  from there on) leave possible; the others are skipped whole, and entries of
+  which no block is left are dropped.
 * Answer skipping: each list's first class (its pivot) is compared with the
   others, which finds groups of alike sets in linear work. From a set's overlap
   with a pivot, its overlap with the pivot's other partners is bounded both ways;
@@ -22,12 +26,15 @@ Method: prefix lists with set-relation skipping.
 * What is left, pairs of a list that lie in different components, is compared
   exhaustively. Nothing is capped: skipped pairs are decided or connected.
 
-Overlaps are computed from whole sets, after a bound from small histograms of
-the sets has ruled most pairs out.
+Overlaps are computed from whole sets of 64-bit hashes, after a bound from small
+histograms of the sets has ruled most pairs out. Sets are not stored: those that
+are compared are computed again from their texts. Two shingles of one document
+collide with probability n^2 / 2^65 (1e-11 for a text of 20,000 words).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,38 +44,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches, arrow_schema, binaries, scratch
+from .common import TEXT_ROWS, arrow_schema, binaries, rows_to_batches, scratch, small_batches
 
 WORDS = 5
 #: Links hold where OVER * overlap >= UNDER * (sum of sizes): a similarity of 3/4 or more.
 OVER, UNDER = 7, 3
-HASH_BITS = 48
 #: Histograms have about as many cells as the set has shingles, at least and at most so many.
 LEAST_CELLS, MOST_CELLS = 64, 1 << 14
-#: Rows of an Arrow batch: sets are long rows.
-ARROW_ROWS = 512
 #: Shingles that come last in the order: at most so many, each met ``REPEATS`` times in some task's chunk of ``CHUNK``.
 FREQUENT = 1 << 19
-REPEATS = 3
-CHUNK = 1 << 20
+REPEATS = 2
+CHUNK = 1 << 21
 #: Tables of classes up to this size are broadcast.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 1 << 19
 MAX_ROUNDS = 60
 #: Further rounds of pivots before what is left is compared exhaustively; a set asks two of its lists in each.
-PIVOTS = 2
-_MASK = np.uint64((1 << HASH_BITS) - 1)
+PIVOTS = 1
 _PLACE = "(at & 4294967295) / shiftright(at, 32)"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 48-bit hashes of a text's shingles; one for a text of fewer words, none without words."""
+    """Sorted distinct 64-bit hashes of a text's shingles; one for a text of fewer words, none without words."""
     found = (text or b"").lower().split()  # of bytes: A-Z, and at ASCII white space
     n = len(found)
     if n == 0:
         return np.zeros(0, np.uint64)
     if n < words:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(found), seed=n)], np.uint64) & _MASK
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(found), seed=n)], np.uint64)
     hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, n)
     rolled = hashed[: n - words + 1].copy()
     for k in range(1, words):
@@ -77,11 +80,11 @@ def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
     rolled ^= rolled >> np.uint64(29)
     rolled *= np.uint64(0xBF58476D1CE4E5B9)
     rolled ^= rolled >> np.uint64(32)
-    return np.unique(rolled & _MASK)
+    return np.unique(rolled)
 
 
-def to_blob(shingles: np.ndarray) -> bytes:
-    return shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : HASH_BITS // 8].tobytes()
+def class_of(shingles: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
 def sketch(shingles: np.ndarray) -> bytes:
@@ -101,81 +104,76 @@ def largest_overlap(left: bytes, right: bytes) -> int | None:
     return int(np.minimum(a, b).sum(dtype=np.int64))
 
 
-def from_blob(blob: bytes) -> np.ndarray:
-    packed = np.frombuffer(blob, np.uint8).reshape(-1, HASH_BITS // 8)
-    wide = np.zeros((len(packed), 8), np.uint8)
-    wide[:, : HASH_BITS // 8] = packed
-    return wide.reshape(-1).view("<u8")
+_SETS = T.StructType(
+    [T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("cid", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("token", T.LongType()), T.StructField("times", T.LongType())]
+)
+
 
+def _distinct_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(class, set) of the texts in column 0, each class once a task."""
+    seen: set[int] = set()
+    for batch in batches:
+        for text in binaries(batch.column(0)):
+            found = shingle_set(text, words)
+            if len(found) and (cid := class_of(found)) not in seen:
+                seen.add(cid)
+                yield cid, found
 
-_SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("cid", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("blob", T.BinaryType())])
+
+def _signed(hashes: np.ndarray) -> pa.Array:
+    return pa.array(hashes.view(np.int64))
 
 
 def _sets(words: int):
+    """A row a document (``n``, ``cid``; a histogram once a class and task), and of shingles met several times how often (``token``, ``times``), chunk by chunk."""
     wanted = arrow_schema(_SETS)
 
+    def repeated(held: list[np.ndarray]) -> pa.RecordBatch:
+        token, times = np.unique(np.concatenate(held), return_counts=True)
+        often = times >= REPEATS
+        columns = [_signed(token[often]), pa.array(times[often].astype(np.int64))]
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(columns[0]), f.type) for f in list(wanted)[:4]), *columns], schema=wanted)
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # of this task's sets, each is stored once
+        seen: set[int] = set()
+        held, size = [], 0
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                sizes, cids, sketches, blobs = [], [], [], []
+            for start in range(0, batch.num_rows, TEXT_ROWS):
+                part = batch.slice(start, TEXT_ROWS)
+                sizes, cids, sketches = [], [], []
                 for text in binaries(part.column(1)):
                     found = shingle_set(text, words)
+                    cid = class_of(found) if len(found) else None
                     sizes.append(len(found))
-                    if not len(found):
-                        cids.append(None)
-                        sketches.append(None)
-                        blobs.append(None)
-                        continue
-                    cid = xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
                     cids.append(cid)
-                    if cid in seen:
+                    if cid is None or cid in seen:
                         sketches.append(None)
-                        blobs.append(None)
                         continue
                     seen.add(cid)
                     sketches.append(sketch(found))
-                    blobs.append(to_blob(found))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(cids, pa.int64()), pa.array(sketches, pa.binary()), pa.array(blobs, pa.binary())], schema=wanted)
+                    held.append(found)
+                    size += len(found)
+                    if size >= CHUNK:
+                        yield repeated(held)
+                        held, size = [], 0
+                none = pa.nulls(len(sizes), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(cids, pa.int64()), pa.array(sketches, pa.binary()), none, none], schema=wanted)
+        if held:
+            yield repeated(held)
 
     return build
 
 
-_COUNTS = T.StructType([T.StructField("token", T.LongType()), T.StructField("times", T.LongType())])
-
-
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles met several times, with how often, chunk by chunk."""
-    wanted = arrow_schema(_COUNTS)
-
-    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        token, times = np.unique(np.concatenate(held), return_counts=True)
-        often = times >= REPEATS
-        return pa.RecordBatch.from_arrays([pa.array(token[often].astype(np.int64)), pa.array(times[often])], schema=wanted)
-
-    held, size = [], 0
-    for batch in _slices(batches):
-        for blob in batch.column(0).to_pylist():
-            held.append(from_blob(blob))
-            size += len(held[-1])
-            if size >= CHUNK:
-                yield counted(held)
-                held, size = [], 0
-    if held:
-        yield counted(held)
-
-
-def frequent_shingles(stored: DataFrame, limit: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``limit`` of the most frequent shingles, sorted, and a level (log2 of the count) for each."""
-    counts = scratch(stored.select("blob").mapInArrow(_repeated, _COUNTS).groupBy("token").agg(F.floor(F.log2(F.sum("times"))).cast("int").alias("level")), "frequent")
+def frequent_shingles(counted: DataFrame, limit: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``limit`` of the most frequent shingles (``token``, ``times``), sorted, and a level (log2 of the count) for each."""
+    counts = scratch(counted.groupBy("token").agg(F.floor(F.log2(F.sum("times"))).cast("int").alias("level")), "frequent")
     held, lowest = 0, 64
     for row in sorted(counts.groupBy("level").count().collect(), key=lambda r: -r["level"]):
         if held + row["count"] > limit:
             break
         held, lowest = held + row["count"], row["level"]
     got = counts.where(F.col("level") >= lowest).toArrow()  # `limit` rows at most
-    token, level = got["token"].to_numpy().astype(np.uint64), got["level"].to_numpy().astype(np.uint64)
+    token, level = got["token"].to_numpy().view(np.uint64), got["level"].to_numpy().astype(np.uint8)
     order = np.argsort(token)
     return token[order], level[order]
 
@@ -183,35 +181,48 @@ def frequent_shingles(stored: DataFrame, limit: int = FREQUENT) -> tuple[np.ndar
 _ENTRIES = T.StructType([T.StructField("token", T.LongType()), T.StructField("cid", T.LongType()), T.StructField("at", T.LongType())])
 
 
-def _prefixes(shared):
+def prefix(shingles: np.ndarray, frequent: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Of a sorted set, the shingles that it lists: the first by (level, hash) of which a linked set has one."""
+    k = len(shingles) - -(-3 * len(shingles) // 4) + 1
+    if len(frequent):
+        near = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+        often = frequent[near] == shingles
+        if often.any():
+            return shingles[np.argsort(np.where(often, levels[near], 0), kind="stable")[:k]]
+    return shingles[:k]
+
+
+def _prefixes(shared, words: int):
     wanted = arrow_schema(_ENTRIES)
 
     def list_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, levels = shared.value
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                sets = [from_blob(b) for b in part.column(1).to_pylist()]
-                if not sets:
-                    continue
-                every = np.concatenate(sets)
-                if len(frequent):
-                    near = np.minimum(np.searchsorted(frequent, every), len(frequent) - 1)
-                    every = every | (np.where(frequent[near] == every, levels[near], np.uint64(0)) << np.uint64(HASH_BITS))
-                tokens, cids, at, done = [], [], [], 0
-                for cid, one in zip(part.column(0).to_pylist(), sets, strict=True):
-                    n = len(one)
-                    ordered = np.sort(every[done : done + n])
-                    done += n
-                    k = n - -(-3 * n // 4) + 1
-                    tokens.append(ordered[:k] & _MASK)
-                    cids.append(np.full(k, cid, np.int64))
-                    at.append(np.arange(k, dtype=np.int64) | (n << 32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.concatenate(cids)), pa.array(np.concatenate(at))], schema=wanted)
+        held, size = [], 0
+
+        def entries() -> pa.RecordBatch:
+            tokens, cids, at = (np.concatenate([h[k] for h in held]) for k in range(3))
+            return pa.RecordBatch.from_arrays([_signed(tokens), pa.array(cids), pa.array(at)], schema=wanted)
+
+        for cid, one in _distinct_sets(batches, words):
+            listed = prefix(one, frequent, levels)
+            held.append((listed, np.full(len(listed), cid, np.int64), np.arange(len(listed), dtype=np.int64) | (len(one) << 32)))
+            size += len(listed)
+            if size >= 1 << 16:
+                yield entries()
+                held, size = [], 0
+        if held:
+            yield entries()
 
     return list_prefixes
 
 
+def _blobs(words: int):
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows_to_batches(((cid, found.astype("<u8").tobytes()) for cid, found in _distinct_sets(batches, words)), pa.schema([("cid", pa.int64()), ("blob", pa.binary())]), lambda row: len(row[1]))
+
+    return build
+
+
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
@@ -229,7 +240,7 @@ def _bounded(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _overlaps(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _slices(pairs):
-        common = [len(np.intersect1d(from_blob(x), from_blob(y), assume_unique=True)) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+        common = [len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True)) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(common, pa.int64())], names=["a", "b", "na", "nb", "common"])
 
 
@@ -241,21 +252,36 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def _compare(pairs: DataFrame, stored: DataFrame, owners: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, na, nb) that may link, with ``common``, the size of their intersection.
+class Sets:
+    """The corpus as sets: ``rows`` (doc_id, text), and ``sets`` (doc_id, n, cid, sketch) made from them."""
 
-    Of the stored copies of a set, the owner's is taken, so that what is stored
-    needs no shuffle to be fetched: the wanted classes are few.
-    """
+    def __init__(self, rows: DataFrame, sets: DataFrame, words: int):
+        self.rows, self.sets, self.words = rows, sets, words
+        self.owners = scratch(sets.where("sketch is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id")), "owners")
 
-    def both(wanted: DataFrame, column: str) -> DataFrame:
-        cids = wanted.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        have = stored.join(_small(scratch(cids.join(owners, "cid"), "wanted")), ["cid", "doc_id"]).select("cid", column)
-        with_b = wanted.join(have.select(F.col("cid").alias("b"), F.col(column).alias("right")), "b")
+    def _wanted(self, pairs: DataFrame) -> DataFrame:
+        return scratch(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(self.owners, "cid"), "wanted")
+
+    def _both(self, pairs: DataFrame, have: DataFrame, column: str) -> DataFrame:
+        """``pairs`` with what both classes have; ``have`` is of the wanted classes alone."""
+        with_b = pairs.join(have.select(F.col("cid").alias("b"), F.col(column).alias("right")), "b")
         return with_b.join(have.select(F.col("cid").alias("a"), F.col(column).alias("left")), "a").select("a", "b", "na", "nb", "left", "right")
 
-    near = scratch(both(pairs, "sketch").mapInArrow(_bounded, _PAIR), "near")
-    return scratch(both(near, "blob").mapInArrow(_overlaps, _PAIR + ", common long"), "compared")
+    def compare(self, pairs: DataFrame) -> DataFrame:
+        """``pairs`` (a, b, na, nb) that may link, with ``common``, the size of their intersection.
+
+        Only texts of compared classes are made sets again: a class is looked up by its
+        owner's id. A null id fits all rows of null ids, whose classes then tell.
+        """
+        wanted = _small(self._wanted(pairs))
+        sketches = self.sets.where("sketch is not null").join(wanted.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.first("sketch").alias("sketch"))
+        near = scratch(self._both(pairs, sketches, "sketch").mapInArrow(_bounded, _PAIR), "near")
+        wanted = _small(self._wanted(near))
+        ids = wanted.select(F.col("doc_id").alias("id")).distinct()
+        texts = self.rows.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
+        blobs = texts.mapInArrow(_blobs(self.words), "cid long, blob binary").join(wanted.select("cid"), "cid", "left_semi")
+        blobs = scratch(blobs.groupBy("cid").agg(F.first("blob").alias("blob")), "blobs")
+        return scratch(self._both(near, blobs, "blob").mapInArrow(_overlaps, _PAIR + ", common long"), "compared")
 
 
 def _linked(common: Column) -> Column:
@@ -336,18 +362,14 @@ def jaccard_components(docs: DataFrame, text: str = "text", words: int = WORDS)
     rows of null ids only, its id is null. Other columns are not looked at; an
     empty table gives no rows.
     """
-    with arrow_batches(docs.sparkSession, ARROW_ROWS):
-        return _components_of(docs, text, words)
-
-
-def _components_of(docs: DataFrame, text: str, words: int) -> DataFrame:
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sets = scratch(rows.mapInArrow(_sets(words), _SETS), "sets")
-    stored = sets.where("blob is not null").select("cid", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "sketch", "blob")
-    owners = scratch(stored.groupBy("cid").agg(F.min("doc_id").alias("doc_id")), "owners")
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(stored))  # FREQUENT entries at most: 8 MB
+    made = scratch(rows.mapInArrow(_sets(words), _SETS), "sets")
+    sets = made.where("n is not null").select("doc_id", "n", "cid", "sketch")
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(made.where("token is not null")))  # FREQUENT entries at most: 5 MB
+    corpus = Sets(rows, sets, words)
 
-    entries = stored.select("cid", "blob").mapInArrow(_prefixes(frequent), _ENTRIES)
+    entries = rows.select("text").mapInArrow(_prefixes(frequent, words), _ENTRIES)
     ends = {"first": F.expr("min(cid) over (partition by token)"), "last": F.expr("max(cid) over (partition by token)")}
     met = entries.withColumns(ends | {"smallest": F.expr("min(shiftright(at, 32)) over (partition by token)")}).where("first < last")
     # Entries that are too far back for a partner of the list's smallest size are skipped, and lists of one set then.
@@ -359,7 +381,7 @@ def _components_of(docs: DataFrame, text: str, words: int) -> DataFrame:
     first = lists.withColumn("pivot", F.expr(f"min(struct({_PLACE}, cid, at)) over (partition by token)"))
     first = first.select("token", "cid", "at", F.col("pivot.cid").alias("pivot"), F.col("pivot.at").alias("pivot_at"))
     asked = scratch(_pairs(first, "pivot", "pivot_at", "cid", "at"), "pairs")
-    compared = _compare(asked, stored, owners)
+    compared = corpus.compare(asked)
     links = compared.where(_linked(F.col("common"))).select("a", "b")
     related = _related(compared)
     labels = scratch(components(links), "labels")
@@ -375,17 +397,15 @@ def _components_of(docs: DataFrame, text: str, words: int) -> DataFrame:
         if again.isEmpty():
             break
         proved, unsure = _derived(again, related)
-        links = links.union(proved).union(_compare(unsure, stored, owners).where(_linked(F.col("common"))).select("a", "b"))
+        links = links.union(proved).union(corpus.compare(unsure).where(_linked(F.col("common"))).select("a", "b"))
         labels = scratch(components(links), "labels")
         asked = asked.union(again)
 
     # What is left: all pairs of a list in different components, one of them not the list's largest.
     lists = scratch(_open_lists(lists, labels), "lists")
-    one = lists.where("not is_main").select("token", F.col("cid").alias("x"), F.col("at").alias("at_x"), F.col("comp").alias("comp_x"))
-    meet = one.join(lists, (one["token"] == lists["token"]) & (F.col("comp_x") != F.col("comp")) & (F.col("is_main") | (F.col("x") < F.col("cid"))) & _may_link("at_x", "at"))
-    rest = _pairs(meet, "x", "at_x", "cid", "at").join(asked.select("a", "b"), ["a", "b"], "left_anti")
+    rest = _pairs(_open_pairs(lists), "x", "at_x", "cid", "at").join(asked.select("a", "b"), ["a", "b"], "left_anti")
     proved, unsure = _derived(scratch(rest, "pairs"), related)
-    links = links.union(proved).union(_compare(unsure, stored, owners).where(_linked(F.col("common"))).select("a", "b"))
+    links = links.union(proved).union(corpus.compare(unsure).where(_linked(F.col("common"))).select("a", "b"))
     labels = scratch(components(links), "labels")
 
     classes = sets.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first"))
@@ -396,6 +416,22 @@ def _components_of(docs: DataFrame, text: str, words: int) -> DataFrame:
     return sets.select("doc_id", "n", "cid").join(by_class, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
+def _block(size: Column) -> Column:
+    """Sets that link have sizes in one block or in neighbouring ones."""
+    return F.floor(F.log(size) / F.lit(math.log(4 / 3))).cast("int")
+
+
+def _open_pairs(lists: DataFrame) -> DataFrame:
+    """Pairs of lists' entries in different components, one of them not of the list's largest, that size and position leave possible."""
+    n, left = F.shiftright("at", 32), F.shiftright("at", 32) - F.col("at").bitwiseAND(0xFFFFFFFF)
+    largest = F.least(F.floor(4 * n / 3), F.floor(OVER * left / UNDER) - n)  # of the partners that the position leaves
+    smallest = F.ceil(3 * n / 4)
+    one = lists.where("not is_main").where(largest >= smallest)
+    one = one.select(F.col("token").alias("listed"), F.col("cid").alias("x"), F.col("at").alias("at_x"), F.col("comp").alias("comp_x"), F.explode(F.sequence(_block(smallest), _block(largest))).alias("of_size"))
+    lists = lists.withColumn("block", _block(F.shiftright("at", 32)))
+    return one.join(lists, (F.col("listed") == F.col("token")) & (F.col("of_size") == F.col("block")) & (F.col("comp_x") != F.col("comp")) & (F.col("is_main") | (F.col("x") < F.col("cid"))) & _may_link("at_x", "at"))
+
+
 ORACLE_SQL = r"""
 with recursive d as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents

@@ -85,9 +85,18 @@ def test_star_components(spark):
     assert all(got.get(x, x) == label[x] for x in label)
 
 
-def test_blobs():
-    sets = np.unique(np.random.default_rng(1).integers(0, 1 << 48, 1000).astype(np.uint64))
-    assert (jaccard_join.from_blob(jaccard_join.to_blob(sets)) == sets).all()
+def test_linked_sets_share_a_listed_shingle():
+    """Whatever shingles are held for frequent."""
+    g = np.random.default_rng(1)
+    for _ in range(300):
+        pool = np.unique(g.integers(0, 1 << 63, 60).astype(np.uint64))
+        a, b = (np.unique(g.choice(pool, g.integers(1, 60))) for _ in range(2))
+        b = np.unique(np.concatenate([g.permutation(a)[: len(a) * 9 // 10], b[: len(a) // 12]]))
+        frequent = np.sort(g.choice(pool, g.integers(0, len(pool)), replace=False))
+        levels = g.integers(1, 9, len(frequent)).astype(np.uint8)
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 75 * (len(a) + len(b) - both) and both:
+            assert len(np.intersect1d(jaccard_join.prefix(a, frequent, levels), jaccard_join.prefix(b, frequent, levels)))
 
 
 @pytest.mark.parametrize("blocks", [(8192, 32768, 4096), (7, 50, 16)])
