@@ -2,20 +2,28 @@
 
 Each text gives a few counts (``statistics``), which are transformed to five
 near-normal coordinates (``COORDINATES``). For every language and source the
-minimum-covariance-determinant estimate of centre and scatter is found by
-concentration steps, and a document goes when its squared Mahalanobis distance
-from it exceeds ``CUTOFF``, or when a base rule fails.
-
-At scale: a concentration step is one aggregation over all rows. Each row's
-distance falls into one of a fixed number of bins; counts, sums and products
-are summed by group and bin (partial sums before the shuffle, so a group with a
-third of all rows is no hot task), and the bins nearest to the centre that
-hold ``CORE`` of the group's rows give the next estimate. Estimates are a row a
-group, joined to the rows with salted keys or, when few, broadcast.
-
-A group too small for an estimate (under ``MIN_GROUP`` rows) is pooled with the
-other small groups of its language, and if those are too few, with all of the
-kind; where even they are too few, only the base rules hold.
+minimum-covariance-determinant estimate of centre and scatter is sought, and a
+document goes when its squared Mahalanobis distance from it exceeds ``CUTOFF``,
+or when a base rule fails.
+
+The estimate is the fast one: many random starts of six rows, two concentration
+steps each, the best of them concentrated until their determinant falls no more
+(on about ``SAMPLE`` rows a group); the ``STARTS`` best are then concentrated
+over *all* rows, the one of the lowest determinant goes on until it falls no
+more, and the rows within the usual quantile of it give the final estimate.
+Each distinct vector of a group weighs once, so that copies do not make a core.
+
+At scale: a step over all rows is one aggregation. Each row's distance falls
+into one of a fixed number of bins; counts, sums and products are summed by
+group and bin (partial sums before the shuffle, so a group with a third of all
+rows is no hot task). The bins nearest to the centre that hold the core give
+the next estimate, the last of them by the share of it that is still wanted.
+Estimates are a row a group, joined to the rows with salted keys or, when few,
+broadcast.
+
+How far a small group's own estimate can be trusted is in its cutoff, which is
+widened by the factor of a prediction region, (m^2 - 1) / (m (m - 5)) for m
+vectors; there is no scatter of five vectors or less, so none are outliers there.
 """
 
 from __future__ import annotations
@@ -31,12 +39,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, binaries, scratch
-
-#: Share of a group's rows that the estimate rests on, and concentration steps.
-CORE = 0.75
-STEPS = 6
-MIN_GROUP = 60
+from .common import arrow_schema, binaries, scratch, small_batches
+
+#: Share of a group's vectors that the estimate rests on at least.
+CORE = 0.5
+#: Vectors a group, about, that the starts are sought in; random starts there, those refined there, and those that all rows refine.
+SAMPLE, DRAWS, REFINED, STARTS = 600, 100, 10, 2
+#: Steps that all starts do over all rows, steps at most, and the fall of the determinant's logarithm that ends them.
+FIRST_STEPS, MOST_STEPS, STILL = 2, 20, 1e-3
+#: Quantile of normal rows that the final estimate rests on.
+WEIGHED = 0.975
+SEED = 7
 #: Squared distance above which a document goes: of five normal coordinates, one in 10^7 exceeds it.
 CUTOFF = 41.0
 #: (name, expression over the statistics, smallest standard deviation that is believed). The floors
@@ -86,14 +99,16 @@ def text_statistics(text: bytes | None) -> tuple[int, int, int, int, int, int]:
 
 
 def with_statistics(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
-    """``keep`` and the counts of ``text_statistics`` for every row."""
-    rows = docs.select(*keep, F.col(text).alias("__text"))
+    """``keep`` and the counts of ``text_statistics`` for every row. ``text`` crosses to Python once, be it kept or not."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(*keep) if text in keep else docs.select(*keep, text)
+    text_at = rows.columns.index(text)
     schema = T.StructType([rows.schema[k] for k in keep] + list(_STATS))
     wanted = arrow_schema(schema)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [text_statistics(t) for t in binaries(batch.column(len(keep)))]
+            found = [text_statistics(t) for t in binaries(batch.column(text_at))]
             columns = [pa.array([f[i] for f in found], pa.int64()) for i in range(len(_STATS))]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*batch.columns[: len(keep)], *columns], wanted, strict=True)], schema=wanted)
 
@@ -125,11 +140,13 @@ def chi2_quantile(p: float, df: int) -> float:
 
 def consistency(core: float, p: int) -> float:
     """What makes the covariance of the nearest ``core`` of normal rows that of all."""
+    if core >= 1:
+        return 1.0
     return core / chi2_cdf(chi2_quantile(core, p), p + 2)
 
 
 def estimate(n: float, sums: np.ndarray, products: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Centre and inverse scatter from sums over the core; the floors are added to the scatter."""
+    """Centre and scatter from sums over the core; the floors are added to the scatter."""
     p = len(sums)
     centre = sums / n
     scatter = np.zeros((p, p))
@@ -139,23 +156,88 @@ def estimate(n: float, sums: np.ndarray, products: np.ndarray, factor: float) ->
     values, vectors = np.linalg.eigh(scatter)
     scatter = (vectors * np.maximum(values, 0)) @ vectors.T
     scatter += np.diag(np.maximum(0, _FLOORS**2 - np.diag(scatter)) + 0.05 * _FLOORS**2)
-    return centre, np.linalg.inv(scatter)
+    return centre, scatter
+
+
+def core_size(n: int, core: float = CORE) -> int:
+    """Of n vectors, those in the core: the share, but so many that no half less than it can be far off."""
+    return min(n, max(math.floor(core * n), (n + len(_NAMES) + 1) // 2))
+
+
+def _products(x: np.ndarray) -> np.ndarray:
+    squared = x.T @ x
+    return np.array([squared[i, j] for i, j in _PAIRS])
+
+
+def concentrate(x: np.ndarray, centre: np.ndarray, scatter: np.ndarray, h: int, factor: float, steps: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Concentration steps over the rows of ``x`` until the determinant falls no more: centre, scatter and the logarithm of its determinant."""
+    best = (centre, scatter, np.inf)
+    for _ in range(steps):
+        away = x - centre
+        near = x[np.argsort(((away @ np.linalg.inv(scatter)) * away).sum(axis=1), kind="stable")[:h]]
+        centre, scatter = estimate(h, near.sum(axis=0), _products(near), factor)
+        determinant = float(np.linalg.slogdet(scatter)[1])
+        if determinant > best[2] - 1e-9:
+            break
+        best = (centre, scatter, determinant)
+    return best
+
+
+def fast_mcd(x: np.ndarray, core: float = CORE, starts: int = STARTS, draws: int = DRAWS, refined: int = REFINED) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """The best ``starts`` estimates for the rows of ``x``, lowest determinant first, from ``draws`` random starts and that of all rows."""
+    random, (n, p) = np.random.default_rng(SEED), x.shape
+    h = core_size(n, core)
+    factor = consistency(h / n, p)
+    chosen = [np.arange(n)] + [random.choice(n, p + 1, replace=False) for _ in range(draws if n > p + 1 else 0)]
+    tried = []
+    for rows in chosen:
+        few = x[rows]
+        centre, scatter = estimate(len(few), few.sum(axis=0), _products(few), 1.0)
+        tried.append(concentrate(x, centre, scatter, h, factor, 2))
+    found: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for centre, scatter, _ in sorted(tried, key=lambda e: e[2])[:refined]:
+        one = concentrate(x, centre, scatter, h, factor, 100)
+        if all(abs(one[2] - other[2]) > 1e-6 for other in found):
+            found.append(one)
+    return sorted(found, key=lambda e: e[2])[:starts]
+
+
+_MODEL = T.StructType(
+    [
+        T.StructField("grp", T.StringType()),
+        T.StructField("start", T.IntegerType()),
+        T.StructField("det", T.DoubleType()),
+        T.StructField("m", T.DoubleType()),
+        *(T.StructField(f"c{i}", T.DoubleType()) for i in range(len(_NAMES))),
+        *(T.StructField(f"p{i}{j}", T.DoubleType()) for i, j in _PAIRS),
+    ]
+)
+
 
+def _model_row(grp: str, start: int, m: float, centre: np.ndarray, scatter: np.ndarray) -> tuple:
+    inverse = np.linalg.inv(scatter)
+    return (grp, start, float(np.linalg.slogdet(scatter)[1]), float(m), *centre, *(inverse[i, j] for i, j in _PAIRS))
 
-_MODEL = T.StructType([T.StructField("grp", T.StringType()), *(T.StructField(f"c{i}", T.DoubleType()) for i in range(len(_NAMES))), *(T.StructField(f"p{i}{j}", T.DoubleType()) for i, j in _PAIRS)])
 
+def _begin(core: float):
+    def begin(frame: pd.DataFrame) -> pd.DataFrame:
+        x = frame.sort_values(_NAMES)[_NAMES].to_numpy(float)
+        return pd.DataFrame([_model_row(frame["grp"].iloc[0], k, len(x), centre, scatter) for k, (centre, scatter, _) in enumerate(fast_mcd(x, core))], columns=_MODEL.names)
 
-def _solve(factor: float):
-    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for row in frame.to_dict("records"):
-                sums = np.array([row[f"s{i}"] for i in range(len(_NAMES))])
-                centre, inverse = estimate(row["n"], sums, np.array([row[f"q{i}{j}"] for i, j in _PAIRS]), factor)
-                rows.append((row["grp"], *centre, *(inverse[i, j] for i, j in _PAIRS)))
-            yield pd.DataFrame(rows, columns=_MODEL.names)
+    return begin
 
-    return solve
+
+def _solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Estimates from sums (``n``, ``s``, ``q``) over ``share`` of the group's vectors."""
+    for frame in frames:
+        rows = []
+        for row in frame.to_dict("records"):
+            sums = np.array([row[f"s{i}"] for i in range(len(_NAMES))])
+            rows.append(_model_row(row["grp"], row["start"], row["n"], *estimate(row["n"], sums, np.array([row[f"q{i}{j}"] for i, j in _PAIRS]), consistency(row["share"], len(_NAMES)))))
+        yield pd.DataFrame(rows, columns=_MODEL.names)
+
+
+_SUMS = ["n", *(f"s{i}" for i in range(len(_NAMES))), *(f"q{i}{j}" for i, j in _PAIRS)]
 
 
 def _moments() -> list[Column]:
@@ -164,75 +246,85 @@ def _moments() -> list[Column]:
 
 
 def _with_distance(rows: DataFrame, model: DataFrame, few: bool) -> DataFrame:
-    """Rows with ``d2``, the squared distance from their group's centre; null without a model."""
+    """Rows with ``d2``, the squared distance from their group's centre, once for each start; null without a model."""
     if few:
         joined = rows.join(F.broadcast(model), "grp", "left")
     else:
         salted = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(salted, ["grp", "salt"], "left").drop("salt")
+        joined = rows.withColumn("salt", F.pmod(F.hash(*_NAMES), F.lit(SALTS))).join(salted, ["grp", "salt"], "left").drop("salt")
     away = [F.col(n) - F.col(f"c{i}") for i, n in enumerate(_NAMES)]
     terms = [away[i] * away[j] * F.col(f"p{i}{j}") * (1 if i == j else 2) for i, j in _PAIRS]
     total = terms[0]
     for term in terms[1:]:
         total = total + term
-    return joined.withColumn("d2", total).drop(*_MODEL.names[1:])
+    return joined.withColumn("d2", total).drop(*_MODEL.names[4:])
 
 
-def robust_distances(stats: DataFrame, good: Column, groups: tuple[str, str] = ("lang", "source"), core: float = CORE, steps: int = STEPS, min_group: int = MIN_GROUP) -> DataFrame:
-    """``stats`` with ``d2``, from estimates over the rows for which ``good`` holds.
-
-    ``d2`` is null where ``good`` fails or no estimate can be made.
+def _concentrated(vectors: DataFrame, model: DataFrame, sizes: DataFrame, few: bool) -> DataFrame:
+    """The model after one concentration step over all vectors."""
+    bin_of = F.greatest(F.lit(LOWEST_BIN), F.least(F.lit(HIGHEST_BIN), F.floor(F.log2(F.greatest(F.col("d2"), F.lit(1e-300))) * BINS_PER_OCTAVE)))
+    binned = _with_distance(vectors, model, few).withColumn("bin", bin_of.cast("int")).groupBy("grp", "start", "bin").agg(*_moments())
+    upto = F.expr("sum(n) over (partition by grp, start order by bin)")
+    part = F.least(F.lit(1.0), (F.col("h") - (F.col("upto") - F.col("n"))) / F.col("n"))
+    core = binned.join(F.broadcast(sizes) if few else sizes, "grp").withColumn("upto", upto).withColumn("part", part).where("part > 0")
+    summed = core.groupBy("grp", "start").agg(*(F.sum(F.col(c) * F.col("part")).alias(c) for c in _SUMS), F.first("share").alias("share"))
+    return scratch(summed.mapInPandas(_solve, _MODEL), "model")
+
+
+def robust_model(vectors: DataFrame, core: float = CORE) -> tuple[DataFrame, bool]:
+    """The estimate of each group of distinct ``vectors`` (grp and coordinates), and whether groups are few."""
+    p = len(_NAMES)
+    h = F.least(F.col("total"), F.greatest(F.floor(F.lit(core) * F.col("total")), F.floor((F.col("total") + p + 1) / 2)))
+    sizes = vectors.groupBy("grp").agg(F.count("*").alias("total")).withColumn("h", h).withColumn("share", F.col("h") / F.col("total"))
+    sizes = scratch(sizes, "groups")
+    few = sizes.count() <= BROADCAST_GROUPS
+    drawn = vectors.join(F.broadcast(sizes) if few else sizes, "grp").where(F.pmod(F.xxhash64(F.lit(SEED), *_NAMES), F.lit(1 << 30)) < F.lit(SAMPLE << 30) / F.greatest(F.col("total"), F.lit(SAMPLE)))
+    model = scratch(drawn.select("grp", *_NAMES).groupBy("grp").applyInPandas(_begin(core), _MODEL), "model")
+    for step in range(MOST_STEPS):
+        after = _concentrated(vectors, model, sizes, few)
+        fell = after.join(model.select("grp", "start", F.col("det").alias("before")), ["grp", "start"]).agg(F.max(F.col("before") - F.col("det"))).first()[0]
+        if step + 1 == FIRST_STEPS:
+            best = after.groupBy("grp").agg(F.min_by("start", F.struct("det", "start")).alias("start"))
+            after = scratch(after.join(best, ["grp", "start"], "left_semi"), "model")
+        model = after
+        if step + 1 >= FIRST_STEPS and (fell is None or fell < STILL):
+            break
+    weighed = _with_distance(vectors, model, few).where(F.col("d2") <= chi2_quantile(WEIGHED, p)).groupBy("grp", "start").agg(*_moments())
+    return scratch(weighed.withColumn("share", F.lit(WEIGHED)).mapInPandas(_solve, _MODEL), "model"), few
+
+
+def robust_distances(stats: DataFrame, good: Column, groups: tuple[str, str] = ("lang", "source"), core: float = CORE) -> DataFrame:
+    """``stats`` with ``d2`` and ``widened``, what its group's cutoff is multiplied by (null without limit), from estimates over the rows for which ``good`` holds.
+
+    Both are null where ``good`` fails.
     """
     lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")) for c in groups)
     rows = stats.withColumn("good", F.coalesce(good, F.lit(False)))
     for name, expression, _ in COORDINATES:
         rows = rows.withColumn(name, F.when(F.col("good"), F.expr(expression)))
-    keyed = rows.withColumn("g_lang", lang).withColumn("g_fine", F.concat(F.length(lang).cast("string"), F.lit(":"), lang, source))
-    keyed = scratch(keyed, "statistics")
-    sizes = keyed.where("good").groupBy("g_fine", "g_lang").agg(F.count("*").alias("n"))
-    small = F.col("n") < min_group
-    by_lang = sizes.where(small).groupBy("g_lang").agg(F.sum("n").alias("n_lang"))
-    named = sizes.join(by_lang, "g_lang", "left").select(
-        "g_fine", F.when(~small, F.concat(F.lit("f"), "g_fine")).when(F.col("n_lang") >= min_group, F.concat(F.lit("l"), "g_lang")).otherwise("rest").alias("grp"), "n"
-    )
-    named = scratch(named, "groups")
-    few = named.count() <= BROADCAST_GROUPS
-    if few:
-        keyed = keyed.join(F.broadcast(named.select("g_fine", "grp")), "g_fine", "left")
-    else:
-        salted = named.select("g_fine", "grp", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        keyed = keyed.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(salted, ["g_fine", "salt"], "left").drop("salt")
-    keyed = keyed.drop("g_fine", "g_lang")
-    totals = named.groupBy("grp").agg(F.sum("n").alias("total")).where(F.col("total") >= min_group)
-    good_rows = keyed.where("good")
-    #: The first centre: all rows, each coordinate by itself, is drawn in by the steps.
-    model = scratch(good_rows.groupBy("grp").agg(*_moments()).where(F.col("n") >= min_group).mapInPandas(_solve(1.0), _MODEL), "model")
-    factor = consistency(core, len(_NAMES))
-    bin_of = F.greatest(F.lit(LOWEST_BIN), F.least(F.lit(HIGHEST_BIN), F.floor(F.log2(F.greatest(F.col("d2"), F.lit(1e-300))) * BINS_PER_OCTAVE)))
-    for _ in range(steps):
-        binned = _with_distance(good_rows, model, few).where(F.col("d2").isNotNull()).withColumn("bin", bin_of.cast("int")).groupBy("grp", "bin").agg(*_moments())
-        core_bins = (
-            binned.join(totals, "grp")
-            .withColumn("before", F.expr("coalesce(sum(n) over (partition by grp order by bin rows between unbounded preceding and 1 preceding), 0)"))
-            .where(F.col("before") < F.lit(core) * F.col("total"))
-        )
-        summed = core_bins.groupBy("grp").agg(*(F.sum(c).alias(c) for c in ["n", *(f"s{i}" for i in range(len(_NAMES))), *(f"q{i}{j}" for i, j in _PAIRS)]))
-        model = scratch(summed.mapInPandas(_solve(factor), _MODEL), "model")
-    return _with_distance(keyed, model, few).drop("grp", "good")
+    keyed = scratch(rows.withColumn("grp", F.concat(F.length(lang).cast("string"), F.lit(":"), lang, source)), "statistics")
+    vectors = scratch(keyed.where("good").select("grp", *_NAMES).distinct(), "vectors")
+    model, few = robust_model(vectors, core)
+    p = len(_NAMES)
+    widened = F.when(F.col("m") > p, (F.col("m") ** 2 - 1) / (F.col("m") * (F.col("m") - p)))
+    return _with_distance(keyed, model, few).withColumn("widened", widened).drop("grp", "good", "start", "det", "m")
 
 
 BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 
 
-def quality_rules(docs: DataFrame, text: str = "text", cutoff: float = CUTOFF, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row a document: ``keep``, ``doc_id``, its counts, ``base_failed``, ``d2`` and ``kept``.
+def quality_rules(docs: DataFrame, text: str = "text", cutoff: float = CUTOFF, keep: tuple[str, ...] = (), doc_id: str = "doc_id", groups: tuple[str, str] = ("lang", "source")) -> DataFrame:
+    """One row a document: ``keep``, ``doc_id``, its counts, ``base_failed``, ``d2``, ``widened`` and ``kept``.
 
     A null or empty text counts no words and fails. Null languages and sources
-    are values of their own. Repeated rows are judged each and weigh as often.
-    An empty table gives no rows. Columns that are not named, whatever their
-    names, are not looked at.
+    are values of their own. Repeated rows are judged each, and weigh once in an
+    estimate. An empty table gives no rows. Columns that are not named, whatever
+    their names, are not looked at; kept ones may not be named like a result.
     """
-    stats = with_statistics(docs, text, (*keep, "doc_id", "lang", "source")).withColumn("base_failed", F.expr(BASE_FAILED))
-    scored = robust_distances(stats, ~F.col("base_failed"))
-    kept = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff)
-    return scored.select(*keep, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_lines", "d2", *_NAMES)
+    names = tuple(dict.fromkeys((*keep, doc_id)))
+    if clash := set(names) & {*_STATS.names, *_NAMES, "base_failed", "kept", "d2", "widened", "grp", "good"}:
+        raise ValueError(f"kept columns are named like results: {sorted(clash)}")
+    stats = with_statistics(docs, text, tuple(dict.fromkeys((*names, *groups)))).withColumn("base_failed", F.expr(BASE_FAILED))
+    scored = robust_distances(stats, ~F.col("base_failed"), groups)
+    kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= F.lit(cutoff) * F.col("widened"), F.lit(True))
+    return scored.select(*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_lines", "d2", "widened", *_NAMES)

@@ -1,5 +1,6 @@
 """Quality rules, quality classifier and language identification."""
 
+import itertools
 import random
 import re
 import zlib
@@ -62,12 +63,50 @@ def test_outliers_are_rejected_and_the_rest_kept(spark):
     assert quality_rules.quality_rules(df.limit(0)).count() == 0
 
 
+def of_rows(x, factor):
+    return quality_rules.estimate(len(x), x.sum(0), quality_rules._products(x), factor)
+
+
 def test_core_estimate_equals_brute_force():
-    """The estimate of a core set is its mean and (with the floors) the inverse of its covariance."""
+    """The estimate of a core set is its mean and (with the floors) its covariance."""
     x = np.random.default_rng(0).normal(size=(500, 5)) * 2 + 3
-    centre, inverse = quality_rules.estimate(len(x), x.sum(0), np.array([(x[:, i] * x[:, j]).sum() for i in range(5) for j in range(i, 5)]), 1.0)
+    centre, scatter = of_rows(x, 1.0)
     assert np.allclose(centre, x.mean(0))
-    assert np.allclose(np.linalg.inv(inverse), np.cov(x.T, bias=True) + np.diag(0.05 * quality_rules._FLOORS**2))
+    assert np.allclose(scatter, np.cov(x.T, bias=True) + np.diag(0.05 * quality_rules._FLOORS**2))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_fast_mcd_finds_the_least_determinant(seed):
+    """Of all cores of a small set, the one whose covariance has the least determinant."""
+    g = np.random.default_rng(seed)
+    x = g.normal(size=(12, 5)) * 3
+    x[:4] += 40
+    h = quality_rules.core_size(12)
+    factor = quality_rules.consistency(h / 12, 5)
+    least = min(np.linalg.slogdet(of_rows(x[list(c)], factor)[1])[1] for c in itertools.combinations(range(12), h))
+    assert quality_rules.fast_mcd(x)[0][2] == pytest.approx(least, abs=1e-9)
+
+
+def test_model_over_all_rows_equals_brute_force(spark):
+    """A cluster of a third of the rows does not hide itself, and copies of one row do not make the core."""
+    g = np.random.default_rng(3)
+    x = g.normal(size=(3000, 5)) * quality_rules._FLOORS * 3
+    x[:1000] += quality_rules._FLOORS * 40
+    rows = [("a", *map(float, v)) for v in x] + [("b", *map(float, v)) for v in x[1000:1100]] + [("c", *map(float, x[0]))]
+    vectors = spark.createDataFrame(rows, "grp string, " + ", ".join(f"{n} double" for n in quality_rules._NAMES)).repartition(5)
+    model = {r["grp"]: r for r in quality_rules.robust_model(vectors)[0].collect()}
+    for grp, of in (("a", x), ("b", x[1000:1100])):
+        centre, scatter, _ = quality_rules.fast_mcd(of)[0]
+        away = of - centre
+        near = of[((away @ np.linalg.inv(scatter)) * away).sum(axis=1) <= quality_rules.chi2_quantile(quality_rules.WEIGHED, 5)]
+        centre, scatter = of_rows(near, quality_rules.consistency(quality_rules.WEIGHED, 5))
+        inverse = np.linalg.inv(scatter)
+        got = np.array([[model[grp][f"p{min(i, j)}{max(i, j)}"] for j in range(5)] for i in range(5)])
+        assert np.abs(np.array([model[grp][f"c{i}"] for i in range(5)]) - centre).max() < 0.1 * quality_rules._FLOORS.max()
+        far = lambda inv: ((away @ inv) * away).sum(axis=1)
+        assert np.allclose(np.log(far(got)), np.log(far(inverse)), atol=0.15)
+        assert ((far(got) > quality_rules.CUTOFF) == (of[:, 0] > quality_rules._FLOORS[0] * 20)).all()
+    assert model["c"]["m"] == 1
 
 
 def auc(scores, labels):
@@ -98,6 +137,23 @@ def test_classifier_edge_cases(spark):
     assert quality_classifier.classify_quality(docs.limit(0), labels).count() == 0
 
 
+def test_scores_equal_brute_force(spark):
+    """The score is the softmax of the average of a document's vectors, feature by feature."""
+    g = np.random.default_rng(5)
+    shape = (quality_classifier.BUCKETS, quality_classifier.DIMENSIONS)
+    model = quality_classifier.SubwordClassifier(g.normal(size=shape).astype(np.float32), g.normal(size=(2, shape[1])).astype(np.float32), np.array([0.3, -0.2], np.float32))
+    r = random.Random(4)
+    texts = [prose(r, n) for n in (1, 5, 80)] + ["twice twice twice once", "a b\tc\nd", "", None]
+    got = {s["doc_id"]: s["score"] for s in quality_classifier.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        words = [w.encode() for w in (text or "").split()]
+        buckets = [b for w in words for b in quality_classifier.word_features([w])[1]]
+        buckets += [quality_classifier.word_features([quality_classifier.REPEAT])[1][-1] for a, b in zip(words, words[1:], strict=False) if a == b]
+        hidden = np.mean([model.embeddings[b].astype(float) for b in buckets], axis=0) if buckets else np.zeros(shape[1])
+        logits = model.output @ hidden + model.bias
+        assert got[i] == pytest.approx(np.exp(logits[1]) / np.exp(logits).sum(), abs=1e-6)
+
+
 def test_word_features_do_not_depend_on_company():
     words = [b"abc", b"de", "é".encode(), b"x" * 30, b"\xff"]
     owner, bucket = quality_classifier.word_features(words)
