@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, binaries, bucket_of
+from .common import WordMemo, arrow_schema, binaries, bucket_of, small_batches
 
 BUCKETS = 1 << 17
 DIMENSIONS = 16
@@ -152,6 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
         yield pa.RecordBatch.from_arrays(blobs, names=["embeddings", "output", "bias"])
 
     # The features stay on the executors; the driver gets the model alone: 8 MB.
+    small_batches(docs.sparkSession)
     features = rows.select("doc_id", "label", "text").mapInArrow(featurise, schema).repartition(1)
     got = features.mapInArrow(fitted, "embeddings binary, output binary, bias binary").toArrow().to_pylist()
     if not got:
@@ -161,52 +162,47 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
 
 
 def score(docs: DataFrame, model: SubwordClassifier, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and ``score``, the probability of class 1, for every row."""
-    rows = docs.select(*keep, F.col(text).alias("__text"))
+    """``keep`` and ``score``, the probability of class 1, for every row. ``text`` crosses to Python once, be it kept or not."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(*keep) if text in keep else docs.select(*keep, text)
+    text_at = rows.columns.index(text)
     schema = T.StructType([*(rows.schema[k] for k in keep), T.StructField("score", T.DoubleType())])
     wanted = arrow_schema(schema)
     table, bias = model.folded()
     shared = docs.sparkSession.sparkContext.broadcast((table, bias))  # BUCKETS doubles: 1 MB
     repeat = float(table[word_features([REPEAT])[1][-1]])
 
-    def logits_of(words: list[bytes]) -> list[tuple[float, int]]:
+    def logits_of(words: list[bytes]) -> np.ndarray:
+        """Of each word, the sum over its features and their number."""
         owner, bucket = word_features(words)
-        table = shared.value[0]
-        return list(zip(np.bincount(owner, table[bucket], len(words)).tolist(), np.bincount(owner, minlength=len(words)).tolist(), strict=True))
+        return np.stack([np.bincount(owner, shared.value[0][bucket], len(words)), np.bincount(owner, minlength=len(words))], axis=1)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[bytes, float] = {}
-        counts: dict[bytes, int] = {}
-        bias = shared.value[1]
+        memo, bias = WordMemo(2, logits_of), shared.value[1]
         for batch in batches:
             out = []
-            for one in binaries(batch.column(len(keep))):
+            for one in binaries(batch.column(text_at)):
                 words = (one or b"").split()
-                new = list({w for w in words if w not in sums})
-                if new:
-                    if len(sums) + len(new) > 400_000:
-                        sums.clear()
-                        counts.clear()
-                        new = list(set(words))
-                    for w, (s, n) in zip(new, logits_of(new), strict=True):
-                        sums[w], counts[w] = s, n
-                same = sum(map(operator.eq, words, words[1:]))
-                n = sum(map(counts.__getitem__, words)) + same
-                z = (sum(map(sums.__getitem__, words)) + same * repeat) / n + bias if n else bias
+                z = bias
+                if words:
+                    same = sum(map(operator.eq, words, words[1:]))
+                    total, n = memo.of(words).sum(axis=0)
+                    z += (total + same * repeat) / (n + same)
                 out.append(1 / (1 + np.exp(-min(max(z, -500.0), 500.0))))
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*batch.columns[: len(keep)], pa.array(out, pa.float64())], wanted, strict=True)], schema=wanted)
 
     return rows.mapInArrow(scored, schema)
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep: tuple[str, ...] = (), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``keep``, ``doc_id``, ``held_out``, ``score`` and ``predicted`` for every row of ``docs``.
 
     A null or empty text gets the score of no evidence (the bias alone). Repeated
     rows are scored each; an empty table gives no rows; without labels every
     score is 0.5. Columns besides ``doc_id`` and ``text`` are no inputs.
     """
-    model = train(docs, labels)
-    return score(docs, model, keep=(*keep, "doc_id")).select(
-        *keep, "doc_id", (bucket_of("doc_id", FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    model = train(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), labels)
+    names = dict.fromkeys((*keep, doc_id))
+    return score(docs, model, text, tuple(names)).select(
+        *names, (bucket_of(doc_id, FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
