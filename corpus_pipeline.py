@@ -2,8 +2,8 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
 written and reread as the next one's ``docs``. All but the last return the
-columns of ``documents``; where a stage works beside them, the original columns
-travel as one struct, so that no name of theirs can clash.
+columns of ``documents``; where a stage works beside them, they have positional
+names meanwhile, so that no name of theirs can clash.
 """
 
 from __future__ import annotations
@@ -16,44 +16,51 @@ from keelson.llm.common import scratch, table
 from keelson.llm.queries import WORD_VOCABULARY, vocabulary
 
 
-def _with_row(docs: DataFrame, *columns: str) -> DataFrame:
-    return docs.select(F.struct("*").alias("row"), *columns)
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns ``_0``, ``_1`` and so on, and what each was called (the first of a name)."""
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(reversed(docs.columns), reversed(names), strict=True))
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be of quality."""
-    judged = quality_classifier.classify_quality(_with_row(docs, "doc_id", "text"), table(spark, sf_dir, "labels"), keep=("row",))
-    return judged.where("predicted = 1").select("row.*")
+    rows, name = _numbered(docs)
+    judged = quality_classifier.classify_quality(rows, table(spark, sf_dir, "labels"), keep=tuple(rows.columns), doc_id=name["doc_id"], text=name["text"])
+    return judged.where("predicted = 1").select(*rows.columns).toDF(*docs.columns)
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers of their language and source."""
-    judged = quality_rules.quality_rules(_with_row(docs, "doc_id", "lang", "source", "text"), keep=("row",))
-    return judged.where("kept").select("row.*")
+    rows, name = _numbered(docs)
+    judged = quality_rules.quality_rules(rows, name["text"], keep=tuple(rows.columns), doc_id=name["doc_id"], groups=(name["lang"], name["source"]))
+    return judged.where("kept").select(*rows.columns).toDF(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that are boilerplate of their source. Copies count once: the next stage removes them."""
-    cut = line_dedup.drop_boilerplate(_with_row(docs, "source", "text"), copies_once=True)
-    row = F.col("row").withField("text", F.col("text"))
-    if "n_chars" in docs.columns:
-        row = row.withField("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars")))
-    return cut.select(row.alias("row")).select("row.*")
+    rows, name = _numbered(docs)
+    cut = line_dedup.drop_boilerplate(rows, name["source"], name["text"], copies_once=True)
+    if n_chars := name.get("n_chars"):
+        cut = cut.withColumn(n_chars, F.when(F.col("n_dropped") > 0, F.length(name["text"])).otherwise(F.col(n_chars)).cast(docs.schema["n_chars"].dataType))
+    return cut.select(*rows.columns).toDF(*docs.columns)
 
 
 def jaccard_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies, the document of the smallest id.
 
-    Rows that repeat an id are one document. Rows of a null id stay.
+    Rows of a null id stay. Rows that repeat an id and its text are one document.
+    Where different texts share an id, all of them stay if one's component has
+    that id, and else none: their rows cannot be told apart by what the join returns.
     """
-    ids = scratch(jaccard_join.jaccard_components(docs.select("doc_id", "text")).select("doc_id", "component_id"), "components")
-    gone = scratch(ids.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    if gone.count() <= jaccard_join.BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return kept
+    ids = jaccard_join.jaccard_components(docs.select("doc_id", "text")).select("doc_id", "component_id")
+    by_id = scratch(ids.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count("*").alias("n")).where("gone or n > 1"), "gone")
+    hint = F.broadcast if by_id.count() <= jaccard_join.BROADCAST_ROWS else lambda df: df
+    kept = docs.join(hint(by_id.where("gone")), "doc_id", "left_anti")
+    repeated = by_id.where("n > 1 and doc_id is not null").select("doc_id")
+    if not repeated.isEmpty():
+        again = kept.join(hint(repeated), "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("text"))
+        kept = kept.join(hint(repeated), "doc_id", "left_anti").select(*docs.columns).union(again.dropDuplicates(["doc_id", "text"]).select("row.*"))
+    return kept.select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
