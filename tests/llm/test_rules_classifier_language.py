@@ -174,6 +174,51 @@ def test_language_models_are_distributions():
     assert sorted(set(owner.tolist())) == [0, 1, 2, 3, 4]
 
 
+def brute_kneser_ney(words, order=4):
+    """Interpolated Kneser-Ney by dictionaries: the probability of a window's last unit after the others."""
+    counts = [Counter() for _ in range(order + 1)]
+    for word, times in words.items():
+        units = "\1" * (order - 1) + word + "\2"
+        for i in range(order - 1, len(units)):
+            counts[order][units[i - order + 1 : i + 1]] += times
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    discount = {}
+    for n in range(1, order + 1):
+        once, twice = (sum(t == k for t in counts[n].values()) for k in (1, 2))
+        discount[n] = once / (once + 2 * twice) if once and twice else 0.5
+
+    def p(gram):
+        n = len(gram)
+        if n == 0:
+            return 1 / (len(counts[1]) + 1)
+        after = {g: t for g, t in counts[n].items() if g[:-1] == gram[:-1]}
+        total = sum(after.values())
+        if not total:
+            return p(gram[1:])
+        return max(after.get(gram, 0) - discount[n], 0) / total + discount[n] * len(after) / total * p(gram[1:])
+
+    return p
+
+
+def test_models_equal_brute_force():
+    r = random.Random(8)
+    words = Counter("".join(r.choice("abcdeé") for _ in range(r.randint(1, 6))) for _ in range(400))
+    owner, gram = language_id.windows([w.encode() for w in words])
+    distinct, at = np.unique(gram, return_inverse=True)
+    model = language_id.KneserNey(distinct, np.bincount(at, np.array(list(words.values()))[owner]))
+    p = brute_kneser_ney(words)
+    for text in ("abc", "zebra", "éa", "bad", "xyz", "a"):
+        _, asked = language_id.windows([text.encode()])
+        units = "\1\1\1" + text + "\2"
+        assert np.allclose(model.log_probabilities(asked), [np.log(p(units[i - 3 : i + 1])) for i in range(3, len(units))], atol=1e-5)
+
+
+def test_letters():
+    assert language_id.letter_runs("ab½c²①_9d") == ["ab", "c", "d"]
+    assert language_id.letter_runs("½²①") == []
+
+
 def test_language_on_held_out_rows(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     got = language_id.identify_languages(docs).join(docs, "doc_id").where("held_out").collect()
