@@ -7,6 +7,8 @@ is lost later, its tasks reread the table instead of recomputing the past.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -62,13 +64,27 @@ def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def frugal(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``function``, which gives a task's memory back to the system at its end: Python workers are kept for later stages."""
+
+    @functools.wraps(function)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim:
+            trim(0)
+
+    return run
+
+
 class WordMemo:
     """Numbers of words, computed once a task: ``compute`` gives a row of ``width`` for each of a list of words.
 
     At most ``most_words`` of ``most_bytes`` in all are remembered, besides the words of one text.
     """
 
-    def __init__(self, width: int, compute: Callable[[list[bytes]], np.ndarray], most_words: int = 200_000, most_bytes: int = 32 << 20):
+    def __init__(self, width: int, compute: Callable[[list[bytes]], np.ndarray], most_words: int = 100_000, most_bytes: int = 16 << 20):
         self.compute, self.most_words, self.most_bytes = compute, most_words, most_bytes
         self.number: dict[bytes, int] = {}
         self.held, self.table = 0, np.zeros((1024, width))

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TEXT_ROWS, arrow_schema, binaries, rows_to_batches, scratch, small_batches
+from .common import TEXT_ROWS, arrow_schema, binaries, frugal, rows_to_batches, scratch, small_batches
 
 WORDS = 5
 #: Links hold where OVER * overlap >= UNDER * (sum of sizes): a similarity of 3/4 or more.
@@ -54,7 +54,7 @@ LEAST_CELLS, MOST_CELLS = 64, 1 << 14
 #: Shingles that come last in the order: at most so many, each met ``REPEATS`` times in some task's chunk of ``CHUNK``.
 FREQUENT = 1 << 19
 REPEATS = 2
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Tables of classes up to this size are broadcast.
 BROADCAST_ROWS = 1 << 19
 MAX_ROUNDS = 60
@@ -275,13 +275,13 @@ class Sets:
         """
         wanted = _small(self._wanted(pairs))
         sketches = self.sets.where("sketch is not null").join(wanted.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.first("sketch").alias("sketch"))
-        near = scratch(self._both(pairs, sketches, "sketch").mapInArrow(_bounded, _PAIR), "near")
+        near = scratch(self._both(pairs, sketches, "sketch").mapInArrow(frugal(_bounded), _PAIR), "near")
         wanted = _small(self._wanted(near))
         ids = wanted.select(F.col("doc_id").alias("id")).distinct()
         texts = self.rows.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
-        blobs = texts.mapInArrow(_blobs(self.words), "cid long, blob binary").join(wanted.select("cid"), "cid", "left_semi")
+        blobs = texts.mapInArrow(frugal(_blobs(self.words)), "cid long, blob binary").join(wanted.select("cid"), "cid", "left_semi")
         blobs = scratch(blobs.groupBy("cid").agg(F.first("blob").alias("blob")), "blobs")
-        return scratch(self._both(near, blobs, "blob").mapInArrow(_overlaps, _PAIR + ", common long"), "compared")
+        return scratch(self._both(near, blobs, "blob").mapInArrow(frugal(_overlaps), _PAIR + ", common long"), "compared")
 
 
 def _linked(common: Column) -> Column:
@@ -364,12 +364,12 @@ def jaccard_components(docs: DataFrame, text: str = "text", words: int = WORDS)
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    made = scratch(rows.mapInArrow(_sets(words), _SETS), "sets")
+    made = scratch(rows.mapInArrow(frugal(_sets(words)), _SETS), "sets")
     sets = made.where("n is not null").select("doc_id", "n", "cid", "sketch")
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(made.where("token is not null")))  # FREQUENT entries at most: 5 MB
     corpus = Sets(rows, sets, words)
 
-    entries = rows.select("text").mapInArrow(_prefixes(frequent, words), _ENTRIES)
+    entries = rows.select("text").mapInArrow(frugal(_prefixes(frequent, words)), _ENTRIES)
     ends = {"first": F.expr("min(cid) over (partition by token)"), "last": F.expr("max(cid) over (partition by token)")}
     met = entries.withColumns(ends | {"smallest": F.expr("min(shiftright(at, 32)) over (partition by token)")}).where("first < last")
     # Entries that are too far back for a partner of the list's smallest size are skipped, and lists of one set then.

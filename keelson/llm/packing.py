@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, rows_to_batches, scratch
+from .common import arrow_schema, frugal, rows_to_batches, scratch, small_batches
 
 LENGTH = 2048
 SLACK = 4
@@ -35,8 +35,8 @@ SLACK = 4
 BLOCK = 100_000
 GROUP = 100_000
 SEPARATOR = 0
-#: Words whose ids a task remembers.
-MEMO_WORDS = 800_000
+#: Words, and parts of words, whose ids a task remembers, and as many that it met before these.
+MEMO_WORDS = 200_000
 
 _MEMBER = ("doc_id", "piece", "start", "length", "ids_crc32")
 BIN = T.StructType(
@@ -74,7 +74,7 @@ class WordTokenizer(dict):
 
     Where the vocabulary's pre-tokenizer drops white space and joins nothing over
     it, the ids of a text are those of its words in order, and each distinct word
-    is encoded once (``MEMO_WORDS`` are kept). Texts are parted at space, tab and
+    is encoded once (the last ``MEMO_WORDS`` are kept, and those of the ones before that are met again). Texts are parted at space, tab and
     newline; other white space stays inside a "word", which the library handles
     whole. Words of the common Latin ranges are parted by the vocabulary's own
     pattern here, and the library's model encodes each distinct part. For files
@@ -90,6 +90,7 @@ class WordTokenizer(dict):
 
         super().__init__()
         self.tokenizer, self.parts = Tokenizer.from_file(path), {}
+        self.old_words, self.old_parts = {}, {}
         self.model = self.tokenizer.model
         spec = json.loads(self.tokenizer.to_str())
         spec["model"] = {k: v for k, v in spec["model"].items() if k not in ("vocab", "merges")}
@@ -109,18 +110,25 @@ class WordTokenizer(dict):
     def _part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
-            mapped = part.encode().decode("latin-1").translate(self.alphabet)
+            found = self.old_parts.get(part)
+            if found is None:
+                mapped = part.encode().decode("latin-1").translate(self.alphabet)
+                found = _as_bytes([t.id for t in self.model.tokenize(mapped)])
             if len(self.parts) >= MEMO_WORDS:
-                self.parts.clear()
-            found = self.parts[part] = _as_bytes([t.id for t in self.model.tokenize(mapped)])
+                self.old_parts, self.parts = self.parts, {}
+            self.parts[part] = found
         return found
 
     def __missing__(self, word: str) -> bytes:
-        if self.find and _PLAIN(word) and not self.has_special(word):
+        found = self.old_words.get(word)
+        if found is not None:
+            pass
+        elif self.find and _PLAIN(word) and not self.has_special(word):
             found = b"".join(map(self._part, self.find(word.lower())))
         else:
             found = self._library(word) if word else b""
         if len(self) >= MEMO_WORDS:
+            self.old_words = dict(self)
             self.clear()
         self[word] = found
         return found
@@ -234,16 +242,17 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", length: int = LENG
     piece. Repeated rows and repeated or null ids are packed as often as they
     occur. Other columns of ``docs`` are not looked at; no rows give no rows.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col(text).alias("text"))
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
-    bins = scratch(rows.mapInArrow(_pack_locally(tokenizer, length, block), BIN), "bins")
+    bins = scratch(rows.mapInArrow(frugal(_pack_locally(tokenizer, length, block)), BIN), "bins")
     done = [bins.where(F.col("size") >= length - slack)]
     open_bins = bins.where(F.col("size") < length - slack)
     n_open = open_bins.count()
     while n_open > 1:
         groups = max(1, -(-n_open // group))
         dealt = open_bins.repartition(groups, F.xxhash64("doc_id", "piece")) if groups > 1 else open_bins.coalesce(1)
-        merged = scratch(dealt.mapInArrow(_pack_bins(length), BIN), "bins")
+        merged = scratch(dealt.mapInArrow(frugal(_pack_bins(length)), BIN), "bins")
         left = merged.count()
         if groups == 1 or left > 0.98 * n_open:
             open_bins = merged

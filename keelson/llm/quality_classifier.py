@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordMemo, arrow_schema, binaries, bucket_of, small_batches
+from .common import WordMemo, arrow_schema, binaries, bucket_of, frugal, small_batches
 
 BUCKETS = 1 << 17
 DIMENSIONS = 16
@@ -153,8 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
 
     # The features stay on the executors; the driver gets the model alone: 8 MB.
     small_batches(docs.sparkSession)
-    features = rows.select("doc_id", "label", "text").mapInArrow(featurise, schema).repartition(1)
-    got = features.mapInArrow(fitted, "embeddings binary, output binary, bias binary").toArrow().to_pylist()
+    features = rows.select("doc_id", "label", "text").mapInArrow(frugal(featurise), schema).repartition(1)
+    got = features.mapInArrow(frugal(fitted), "embeddings binary, output binary, bias binary").toArrow().to_pylist()
     if not got:
         return SubwordClassifier.fit([], [])
     embeddings, output, bias = (np.frombuffer(got[0][k], "<f4") for k in ("embeddings", "output", "bias"))
@@ -191,7 +191,7 @@ def score(docs: DataFrame, model: SubwordClassifier, text: str = "text", keep: t
                 out.append(1 / (1 + np.exp(-min(max(z, -500.0), 500.0))))
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*batch.columns[: len(keep)], pa.array(out, pa.float64())], wanted, strict=True)], schema=wanted)
 
-    return rows.mapInArrow(scored, schema)
+    return rows.mapInArrow(frugal(scored), schema)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep: tuple[str, ...] = (), doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, binaries, scratch, small_batches
+from .common import arrow_schema, binaries, frugal, scratch, small_batches
 
 #: Share of a group's vectors that the estimate rests on at least.
 CORE = 0.5
@@ -112,7 +112,7 @@ def with_statistics(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFr
             columns = [pa.array([f[i] for f in found], pa.int64()) for i in range(len(_STATS))]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*batch.columns[: len(keep)], *columns], wanted, strict=True)], schema=wanted)
 
-    return rows.mapInArrow(counted, schema)
+    return rows.mapInArrow(frugal(counted), schema)
 
 
 def gamma_p(a: float, x: float) -> float:
