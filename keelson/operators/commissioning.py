@@ -50,9 +50,10 @@ def verdicts(results: DataFrame, steps: DataFrame) -> DataFrame:
 def failure_rfis(results: DataFrame, procedures: DataFrame, last_number: int = 0) -> DataFrame:
     """An RFI for each failed reading, numbered on in the order of sessions and steps."""
     failed = results.where("result = 'FAIL'").join(procedures.select("procedure_id", "title", "system", "equipment_tag", "linked_activity"), "procedure_id")
-    # Failures are few; they are numbered in one order, as ids must run on.
-    number = F.row_number().over(Window.orderBy("session_id", "step_no")) - 1 + F.lit(last_number)
-    return failed.select(
+    from ..sources.store import numbered
+
+    number = F.col("__number")
+    return numbered(failed, "__number", "session_id", "step_no", first=last_number).select(
         next_id(number, "RFI").alias("rfi_id"), F.concat("title", F.lit(" - step "), F.col("step_no").cast("string"), F.lit(" acceptance failure")).alias("subject"),
         F.coalesce("system", F.lit("Commissioning")).alias("discipline"), F.lit("Open").alias("status"), F.when(F.col("critical_hold"), "High").otherwise("Medium").alias("priority"),
         F.lit("GUIDE (auto)").alias("raised_by"), F.lit("Vendor").alias("ball_in_court"), "linked_activity", "equipment_tag",

@@ -90,14 +90,34 @@ def page_chunks(pages: DataFrame, budget: int = CHUNK_CHARS) -> DataFrame:
     return folded.select("doc_id", F.posexplode("chunks").alias("chunk", "c")).select("doc_id", "chunk", "c.*")
 
 
-def clause_texts(clauses: DataFrame, pages: DataFrame) -> DataFrame:
-    """``clause_id, page, source_text``: of the first page that has the clause's id, that line and the two after it.
+def occurring(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
+    """Rows of ``texts`` beside each row of ``names`` whose ``name`` the text contains, anywhere.
 
-    Ids are found as tokens of lines and joined by equality.
+    Instead of comparing all pairs, the substrings that may be names are joined
+    by equality: those around each hyphen that have the shape (characters before
+    the first hyphen, and in all) of some name. Shapes are as few as lengths are.
+    Empty and null names occur nowhere.
     """
+    names = names.where(F.length(name) > 0)
+    shapes = names.select((F.instr(name, "-") - 1).alias("before"), F.length(name).alias("long")).distinct().collect()
+    if not shapes:
+        return texts.join(names, F.lit(False))
+    n = F.length(text)
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    hyphens = F.filter(places, lambda i: F.substring(F.col(text), i, F.lit(1)) == "-")
+
+    def parts(before: int, long: int) -> Column:
+        starts = F.transform(hyphens, lambda i: i - before) if before >= 0 else places
+        return F.transform(F.filter(starts, lambda i: (i >= 1) & (i + long - 1 <= n)), lambda i: F.substring(F.col(text), i, F.lit(long)))
+
+    found = F.array_distinct(F.concat(*(parts(s["before"], s["long"]) for s in shapes)))
+    return texts.withColumn("__found", F.explode(found)).join(names, F.col("__found") == F.col(name)).drop("__found")
+
+
+def clause_texts(clauses: DataFrame, pages: DataFrame) -> DataFrame:
+    """``clause_id, page, source_text``: of the first page that contains the clause's id, the first such line and the two after it."""
     lines = pages.select("page", F.split("text", "\r?\n").alias("lines")).select("page", F.posexplode("lines").alias("at", "line"), "lines")
-    found = lines.select("page", "at", "lines", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"([A-Za-z]+-[0-9][A-Za-z0-9.]*[A-Za-z0-9]|[A-Za-z]+-[0-9])"), F.lit(1)))).alias("clause_id"))
-    hits = found.join(clauses.select("clause_id").distinct(), "clause_id")
+    hits = occurring(lines, "line", clauses.select("clause_id").distinct(), "clause_id")
     first = first_by(hits, ["clause_id"], F.col("page").asc(), F.col("at").asc())
     return first.select("clause_id", "page", F.substring(F.trim(F.array_join(F.slice("lines", F.col("at") + 1, 3), " ")), 1, 400).alias("source_text"))
 

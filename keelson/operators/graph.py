@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import tags_in
+from .documents import occurring
 from .events import first_by
 
 # Words that tie a clause to the equipment of a tag's prefix.
@@ -96,24 +97,17 @@ def edges_between(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str
 
 
 def clause_edges(equipment: DataFrame, clauses: DataFrame) -> DataFrame:
-    """``src`` (tag), ``dst`` (clause) where a clause names the tag or a keyword of the tag's prefix.
+    """``src`` (tag), ``dst`` (clause) where a clause's text, in upper case, contains the tag or a keyword of the tag's prefix.
 
-    ``equipment`` has ``tag``, ``clauses`` has ``clause`` and ``text``. Tags and
-    keywords are looked up in the words of the text, by equal keys: a join of
-    word runs instead of a nested loop over all pairs.
+    ``equipment`` has ``tag``, ``clauses`` has ``clause`` and ``text``. Keywords
+    are few and tested in the text's row; tags are looked up by ``occurring``.
     """
-    longest = max(len(k.split()) for ks in KEYWORDS.values() for k in ks)
-    known = equipment.sparkSession.createDataFrame([(p, k) for p, ks in KEYWORDS.items() for k in ks], "prefix string, phrase string")
-    terms = equipment.select("tag", F.split("tag", "-")[0].alias("prefix")).join(F.broadcast(known), "prefix", "left").select("tag", F.explode(F.array_compact(F.array(F.upper("tag"), "phrase"))).alias("phrase")).distinct()
-    runs = F.regexp_extract_all(F.upper("text"), F.lit(r"([A-Z0-9]+(?:-[A-Z0-9]+)*)"), F.lit(1))
-    words = clauses.select(F.col("clause"), runs.alias("w"))
-
-    def grams_of(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.array_join(F.slice("w", i, n), " "))
-
-    grams = [grams_of(n) for n in range(1, longest + 1)]
-    phrases = words.where(F.size("w") > 0).select("clause", F.explode(F.array_distinct(F.concat(*grams))).alias("phrase"))
-    return phrases.join(terms, "phrase").select(F.col("tag").alias("src"), F.col("clause").alias("dst")).distinct()
+    upper = clauses.select("clause", F.upper("text").alias("text"))
+    named = occurring(upper, "text", equipment.select("tag", F.upper("tag").alias("name")), "name").select("tag", "clause")
+    prefixes = [F.when(F.coalesce(F.exists(F.array(*map(F.lit, phrases)), lambda k: F.contains(F.col("text"), k)), F.lit(False)), F.lit(prefix)) for prefix, phrases in KEYWORDS.items()]
+    meant = upper.select("clause", F.explode(F.array_compact(F.array(*prefixes))).alias("prefix"))
+    meant = meant.join(equipment.select("tag", F.split("tag", "-")[0].alias("prefix")), "prefix").select("tag", "clause")
+    return named.union(meant).select(F.col("tag").alias("src"), F.col("clause").alias("dst")).distinct()
 
 
 def containing(left: DataFrame, text: Column, right: DataFrame, part: Column) -> DataFrame:

@@ -22,8 +22,10 @@ def raised(reports: DataFrame, last_number: int = 0) -> DataFrame:
     fault = F.when(blank(F.col("title")) | blank(F.col("description")), F.raise_error(F.lit("a report needs a title and a description"))).when(
         ~F.coalesce(F.col("severity").isin(*FIELD_RISK), F.lit(False)), F.raise_error(F.lit("unknown severity"))
     )
-    number = F.row_number().over(Window.orderBy("seq")) - 1 + F.lit(last_number)
-    return reports.withColumns({"severity": F.coalesce(fault.cast("string"), F.col("severity")), "ncr_id": next_id(number, "NCR"), "equipment_tag": F.upper(F.trim(F.coalesce("equipment_tag", F.lit("")))), "status": F.lit("OPEN")})
+    from ..sources.store import numbered
+
+    number = F.col("__number")
+    return numbered(reports, "__number", "seq", first=last_number).withColumns({"severity": F.coalesce(fault.cast("string"), F.col("severity")), "ncr_id": next_id(number, "NCR"), "equipment_tag": F.upper(F.trim(F.coalesce("equipment_tag", F.lit("")))), "status": F.lit("OPEN")}).drop("__number")
 
 
 def highest_number(ids: Column) -> Column:

@@ -84,40 +84,54 @@ def forward_pass(activities: DataFrame, links: DataFrame, data_date: Column) ->
     )
     ranked = _cut(waves(activities, links).join(own, "task_code"))
     last = ranked.agg(F.max("wave")).first()[0]
-    links = _cut(links)
-    passed = None  # the levels so far, each written once
+    at = ranked.select(F.col("task_code").alias("successor"), F.col("wave").alias("due"), F.col("duration").alias("d"))
+    links = _cut(links.join(at, "successor"))
+    passed = waiting = None  # the levels so far, each written once, and what they allow for activities of later waves
     for k in range((last if last is not None else -1) + 1):
         here = ranked.where(F.col("wave") == k)
-        if passed is None:
+        if waiting is None:
             best = here.withColumns({"cand": F.lit(None).cast("double"), "who": F.lit(None).cast("string")})
         else:
-            into = links.join(here.select(F.col("task_code").alias("successor"), F.col("duration").alias("d")), "successor")
-            into = into.join(passed.select(F.col("task_code").alias("predecessor"), F.col("start").alias("s"), F.col("finish").alias("f")), "predecessor")
-            cand = F.when(F.col("link") == "SS", F.col("s") + F.col("lag")).when(F.col("link") == "FF", F.col("f") + F.col("lag") - F.col("d")).otherwise(F.col("f") + F.col("lag"))
-            top = first_by(into.select(F.col("successor").alias("task_code"), F.col("predecessor").alias("who"), cand.alias("cand"), "seq"), ["task_code"], F.col("cand").desc(), F.col("seq").asc())
+            top = first_by(waiting.where(F.col("due") == k).drop("due"), ["task_code"], F.col("cand").desc(), F.col("seq").asc())
             best = here.join(top.drop("seq"), "task_code", "left")
         driven = ~F.col("fixed") & F.coalesce(F.col("cand") > F.col("earliest"), F.lit(False))
         start = F.when(driven, F.col("cand")).otherwise(F.col("earliest"))
         level = best.select("task_code", start.alias("start"), F.coalesce("fixed_finish", start + F.col("duration")).alias("finish"), F.when(driven, F.col("who")).alias("driver"))
         level = _cut(level)
         passed = level if passed is None else passed.unionByName(level)
+        out = links.join(level.select(F.col("task_code").alias("predecessor"), F.col("start").alias("s"), F.col("finish").alias("f")), "predecessor")
+        cand = F.when(F.col("link") == "SS", F.col("s") + F.col("lag")).when(F.col("link") == "FF", F.col("f") + F.col("lag") - F.col("d")).otherwise(F.col("f") + F.col("lag"))
+        out = out.select(F.col("successor").alias("task_code"), F.col("predecessor").alias("who"), cand.alias("cand"), "seq", "due")
+        waiting = _cut(out if waiting is None else waiting.where(F.col("due") > k).unionByName(out))
     if passed is None:
         passed = activities.select("task_code", F.lit(0.0).alias("start"), F.lit(0.0).alias("finish"), F.lit(None).cast("string").alias("driver")).limit(0)
     return passed
 
 
-def driving_path(passed: DataFrame, milestone: str | None = None) -> DataFrame:
-    """``milestone, task_code, pos``: the chain of drivers up to a milestone (or to every activity), origin first."""
-    view = "__keelson_passed"
-    passed.createOrReplaceTempView(view)
-    where = f"where task_code = '{milestone}'" if milestone is not None else ""
-    chain = passed.sparkSession.sql(
-        f"""with recursive chain(milestone, task_code, driver, back) as (
-              select task_code, task_code, driver, 0 from {view} {where}
-              union all
-              select c.milestone, p.task_code, p.driver, c.back + 1 from chain c join {view} p on p.task_code = c.driver)
-            select milestone, task_code, back from chain"""
-    )
+def driving_path(passed: DataFrame, milestones: DataFrame | str | None = None) -> DataFrame:
+    """``milestone, task_code, pos``: the chain of drivers up to each milestone, origin first.
+
+    ``milestones`` is a table with ``task_code``, or one code; without it every
+    activity is one. Chains double in length a round: those of up to n links are
+    joined with each activity's driver n links back, so a chain of n links takes
+    log2(n) rounds.
+    """
+    if isinstance(milestones, str):
+        milestones = passed.where(F.col("task_code") == milestones)
+    ends = passed.select("task_code") if milestones is None else milestones.select("task_code").distinct().join(passed.select("task_code"), "task_code", "left_semi")
+    chain = _cut(ends.select(F.col("task_code").alias("milestone"), "task_code", F.lit(0).alias("back")))
+    jump = _cut(passed.where("driver is not null").select("task_code", F.col("driver").alias("before")))
+    length = 1
+    while True:
+        longer = chain.join(jump, "task_code").select("milestone", F.col("before").alias("task_code"), (F.col("back") + length).alias("back"))
+        longer = _cut(longer)
+        if longer.isEmpty():
+            break
+        if length > passed.count():
+            raise ValueError("drivers form a cycle")
+        chain = _cut(chain.union(longer))
+        jump = _cut(jump.join(jump.select(F.col("task_code").alias("before"), F.col("before").alias("far")), "before").select("task_code", F.col("far").alias("before")))
+        length *= 2
     last = F.max("back").over(Window.partitionBy("milestone"))
     return chain.select("milestone", "task_code", (last - F.col("back")).alias("pos"))
 

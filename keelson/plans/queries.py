@@ -174,9 +174,9 @@ def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Filters and orders
 
 
-@query("select p_partkey, p_retailprice / 2000 as risk_score from part where p_retailprice / 2000 > 0.5")
+@query("select p_partkey, (p_retailprice - 900) / 100 as risk_score from part where (p_retailprice - 900) / 100 > 0.5")
 def risk_above(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = load(spark, sf_dir, "part").select("p_partkey", F.lit("Equipment").alias("node_type"), (F.col("p_retailprice") / 2000).alias("risk_score"))
+    nodes = load(spark, sf_dir, "part").select("p_partkey", F.lit("Equipment").alias("node_type"), ((F.col("p_retailprice") - 900) / 100).alias("risk_score"))
     return graph.at_risk(nodes).select("p_partkey", "risk_score")
 
 
@@ -219,17 +219,17 @@ def semi_both_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with e as (select distinct 'S' || l_suppkey as src, 'P' || l_partkey as dst from lineitem where l_quantity >= 49), n as (select 'S' || s_suppkey as id, s_name as label from supplier union all select 'P' || p_partkey, p_name from part)
+    """with e as (select distinct 'S' || l_suppkey as src, 'P' || l_partkey as dst from lineitem), n as (select 'S' || s_suppkey as id, s_name as label from supplier union all select 'P' || p_partkey, p_name from part)
     select src as node_id, dst as neighbour, 'out' as direction, label from e join n on n.id = dst union all select dst, src, 'in', label from e join n on n.id = src"""
 )
 def neighbors_in_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = load(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst"), F.lit("SUPPLIES").alias("relationship")).distinct()
+    edges = load(spark, sf_dir, "lineitem").select(F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst"), F.lit("SUPPLIES").alias("relationship")).distinct()
     nodes = load(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("node_id"), F.col("s_name").alias("label")).union(load(spark, sf_dir, "part").select(F.concat(F.lit("P"), "p_partkey"), "p_name"))
     return graph.neighbours(edges, nodes, "SUPPLIES", "both").select("node_id", "neighbour", "direction", F.col("node.label").alias("label"))
 
 
 @query(
-    """with m as (select l_orderkey, l_suppkey, row_number() over (partition by l_orderkey order by l_linenumber, l_suppkey) as rn from lineitem where l_quantity >= 45)
+    """with m as (select l_orderkey, l_suppkey, row_number() over (partition by l_orderkey order by l_linenumber, l_suppkey) as rn from lineitem)
     select 'C' || c_custkey as item, cast(o_orderkey as varchar) as activity, coalesce('S' || m.l_suppkey, 'critical path') as gates_milestone from customer join orders on c_custkey = o_custkey left join m on m.l_orderkey = o_orderkey and m.rn = 1
     where c_mktsegment = 'BUILDING' and (o_orderpriority = '1-URGENT' or m.l_suppkey is not null)"""
 )
@@ -238,7 +238,7 @@ def hop3_open_critical(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = customers.select(F.concat(F.lit("C"), "c_custkey").alias("item"), F.when(F.col("c_mktsegment") == "BUILDING", "Open").otherwise("Closed").alias("status"))
     links = orders.select(F.concat(F.lit("C"), "o_custkey").alias("item"), F.col("o_orderkey").cast("string").alias("activity"))
     activities = orders.select(F.col("o_orderkey").cast("string").alias("activity"), (F.col("o_orderpriority") == "1-URGENT").alias("is_critical"))
-    milestones = load(spark, sf_dir, "lineitem").where("l_quantity >= 45").select(F.col("l_orderkey").cast("string").alias("activity"), F.concat(F.lit("S"), "l_suppkey").alias("milestone"), F.struct("l_linenumber", "l_suppkey").alias("seq"))
+    milestones = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("activity"), F.concat(F.lit("S"), "l_suppkey").alias("milestone"), F.struct("l_linenumber", "l_suppkey").alias("seq"))
     return graph.open_on_critical_path(items, links, activities, milestones).select("item", "activity", "gates_milestone")
 
 
@@ -250,15 +250,15 @@ def keyword_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """with e as (select 'UPS-' || lpad(cast(p_size as varchar), 2, '0') as tag from part union select 'GEN-' || lpad(cast(p_size as varchar), 2, '0') from part where p_size <= 5),
-    c as (select p_partkey, case when p_partkey % 3 = 0 then 'the uninterruptible unit ' || p_name when p_partkey % 3 = 1 then 'standby engine of ' || p_name else 'unit UPS-' || lpad(cast(p_size as varchar), 2, '0') end as t from part where p_partkey < 200)
+    c as (select p_partkey, case when p_partkey % 3 = 0 then 'the uninterruptible unit ' || p_name when p_partkey % 3 = 1 then 'standby engine of ' || p_name else 'unit UPS-' || lpad(cast(p_size as varchar), 2, '0') end as t from part)
     select tag, p_partkey from e, c where contains(upper(t), tag) or (starts_with(tag, 'UPS') and contains(upper(t), 'UNINTERRUPTIBLE')) or (starts_with(tag, 'GEN') and contains(upper(t), 'STANDBY ENGINE')) or (starts_with(tag, 'UPS') and contains(upper(t), 'UPS'))"""
 )
 def clause_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = load(spark, sf_dir, "part")
     size = F.lpad(F.col("p_size").cast("string"), 2, "0")
     tags = part.select(F.concat(F.lit("UPS-"), size).alias("tag")).union(part.where("p_size <= 5").select(F.concat(F.lit("GEN-"), size))).distinct()
-    text = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("the uninterruptible unit "), "p_name")).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("standby engine of "), "p_name")).otherwise(F.concat(F.lit("unit UPS "), F.lit("UPS-"), size))
-    clauses = part.where("p_partkey < 200").select(F.col("p_partkey").alias("clause"), text.alias("text"))
+    text = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("the uninterruptible unit "), "p_name")).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("standby engine of "), "p_name")).otherwise(F.concat(F.lit("unit UPS-"), size))
+    clauses = part.select(F.col("p_partkey").alias("clause"), text.alias("text"))
     return graph.clause_edges(tags, clauses).select(F.col("src").alias("tag"), F.col("dst").alias("p_partkey"))
 
 
@@ -277,10 +277,10 @@ def open_items_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """select p_partkey, count(distinct o_orderkey) as n_activities, count(distinct case when o_orderstatus = 'O' then o_orderkey end) as n_open, coalesce(string_agg(distinct case when o_orderpriority = '1-URGENT' then cast(o_orderkey as varchar) end, ',' order by case when o_orderpriority = '1-URGENT' then cast(o_orderkey as varchar) end), '') as critical,
-      bool_or(o_orderpriority = '1-URGENT') as on_critical_path from part join lineitem on p_partkey = l_partkey join orders on o_orderkey = l_orderkey where p_size = 7 group by 1"""
+      bool_or(o_orderpriority = '1-URGENT') as on_critical_path from part join lineitem on p_partkey = l_partkey join orders on o_orderkey = l_orderkey group by 1"""
 )
 def entity_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = load(spark, sf_dir, "part").where("p_size = 7").select("p_partkey")
+    part = load(spark, sf_dir, "part").select("p_partkey")
     joined = part.join(load(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey"), F.col("p_partkey") == F.col("l_partkey")).join(load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), F.col("o_orderkey") == F.col("l_orderkey"))
     each = joined.select("p_partkey", "o_orderkey", "o_orderstatus", "o_orderpriority").distinct()  # then plain counts: one distinct for all of them
     urgent = F.col("o_orderpriority") == "1-URGENT"
@@ -305,22 +305,22 @@ def entity_status_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Deliveries
 
-_BUFFERS = """orders_of as (select l_partkey as tag, min(case when l_linenumber = 1 then l_orderkey end) as delivery from lineitem where l_partkey < 400 group by 1),
+_BUFFERS = """orders_of as (select l_partkey as tag, min(case when l_linenumber = 1 then l_orderkey end) as delivery from lineitem group by 1),
 eta as (select d.tag, d.delivery, min(cast(l_shipdate as date)) as eta, bool_or(o_orderpriority = '1-URGENT') as crit from orders_of d join lineitem l on l.l_partkey = d.tag and l.l_orderkey = d.delivery and l.l_linenumber = 1 join orders on o_orderkey = d.delivery group by 1, 2),
-need as (select l_partkey as tag, min(cast(o_orderdate as date)) + 3000 as need, bool_or(o_orderpriority = '1-URGENT') as crit from lineitem join orders on o_orderkey = l_orderkey where l_partkey < 400 and l_linenumber <> 1 group by 1),
-buf as (select e.tag, delivery, eta, need, date_diff('day', eta, need) % 40 - 10 as buffer_days, e.crit or n.crit as critical from eta e join need n using (tag))"""
+need as (select l_partkey as tag, min(cast(o_orderdate as date)) + 1130 as need, bool_or(o_orderpriority = '1-URGENT') as crit from lineitem join orders on o_orderkey = l_orderkey where l_linenumber <> 1 group by 1),
+buf as (select e.tag, delivery, eta, need, date_diff('day', eta, need) as buffer_days, e.crit or n.crit as critical from eta e join need n using (tag))"""
 
 
 def _buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = load(spark, sf_dir, "lineitem").where("l_partkey < 400").select("l_partkey", "l_orderkey", "l_linenumber", "l_shipdate")
+    lines = load(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_shipdate")
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
     joined = lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
     rows = joined.select(
         F.col("l_partkey").alias("tag"), F.col("l_orderkey").alias("task_code"), (F.col("l_linenumber") == 1).alias("is_delivery"), F.lit("TK_NotStart").alias("status"), (F.col("o_orderpriority") == "1-URGENT").alias("is_critical"),
         F.lit(None).cast("date").alias("actual_end"), F.to_date("l_shipdate").alias("early_end"), F.lit(None).cast("date").alias("target_end"),
-        F.date_add(F.to_date("o_orderdate"), 3000).alias("early_start"), F.lit(None).cast("date").alias("target_start"), F.struct("l_orderkey", "l_shipdate").alias("seq"),
+        F.date_add(F.to_date("o_orderdate"), 1130).alias("early_start"), F.lit(None).cast("date").alias("target_start"), F.struct("l_orderkey", "l_shipdate").alias("seq"),
     )
-    return delivery.delivery_buffers(rows).withColumn("buffer_days", F.col("buffer_days") % 40 - 10)
+    return delivery.delivery_buffers(rows)
 
 
 @query(f"with {_BUFFERS} select tag, delivery as delivery_activity, strftime(eta, '%Y-%m-%d') as revised_eta, strftime(need, '%Y-%m-%d') as required_by, cast(buffer_days as integer) as buffer_days, critical as on_critical_path from buf")
@@ -348,7 +348,7 @@ def delivery_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COMPARED = """cmp as (
   select l_orderkey, l_linenumber, l_partkey, p_size, (case l_linenumber % 3 when 0 then l_quantity when 1 then l_quantity * 1000 * 0.001 else l_quantity end) as compared, cast(p_size as double) as required,
     case l_linenumber % 4 when 0 then 'greater_equal' when 1 then 'less_equal' when 2 then 'equal' else 'range' end as op, case when p_type in ('STANDARD', 'SMALL') then 'CRITICAL' when p_type = 'PROMO' then 'MINOR' else 'MAJOR' end as criticality
-  from lineitem join part on p_partkey = l_partkey where l_orderkey < 2000
+  from lineitem join part on p_partkey = l_partkey
 ), jud as (
   select *, case op when 'greater_equal' then compared >= required when 'less_equal' then compared <= required when 'equal' then abs(compared - required) <= 0.1 * required else compared >= required and compared <= required + 5 end as compliant,
     round(abs(compared - required) / required * 100, 2) as margin_pct from cmp
@@ -356,7 +356,7 @@ _COMPARED = """cmp as (
 
 
 def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = load(spark, sf_dir, "lineitem").where("l_orderkey < 2000").join(load(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    joined = load(spark, sf_dir, "lineitem").join(load(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
     k, kind = F.col("l_linenumber") % 3, F.col("l_linenumber") % 4
     whole = F.col("l_quantity").cast("int")
     rows = joined.select(
@@ -458,10 +458,10 @@ def next_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _report_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     action = F.when(F.col("agent") == "signup", "raise").when(F.col("agent") == "purchase", "disposition").when(F.col("agent") == "error", "close")
-    return event_log(spark, sf_dir).select(F.col("entity_id").alias("ncr_id"), "seq", action.alias("action")).where("action is not null and seq % 4 = 0")
+    return event_log(spark, sf_dir).select(F.col("entity_id").alias("ncr_id"), "seq", action.alias("action")).where("action is not null")
 
 
-_FOLD = """log as (select cast(user_id as varchar) as id, event_id as seq, case event_type when 'signup' then 'R' when 'purchase' then 'D' when 'error' then 'C' end as a from events where event_type in ('signup', 'purchase', 'error') and event_id % 4 = 0),
+_FOLD = """log as (select cast(user_id as varchar) as id, event_id as seq, case event_type when 'signup' then 'R' when 'purchase' then 'D' when 'error' then 'C' end as a from events where event_type in ('signup', 'purchase', 'error')),
 seqd as (select id, a, row_number() over (partition by id order by seq) as n from log),
 walk as (
   select id, cast(0 as bigint) as n, '' as st, 0 as refused from (select distinct id from log)
@@ -492,12 +492,12 @@ def field_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with d as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(o_orderdate as date) as a, cast(l_shipdate as date) as b from lineitem join orders on o_orderkey = l_orderkey where l_orderkey < 3000),
+    """with d as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(o_orderdate as date) as a, cast(l_shipdate as date) as b from lineitem join orders on o_orderkey = l_orderkey),
     i as (select *, date_diff('day', date '1970-01-05', a) as na, date_diff('day', date '1970-01-05', b) as nb from d)
     select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(case when a <= b then (nb // 7) * 5 + least(nb % 7, 5) - (na // 7) * 5 - least(na % 7, 5) else ((nb + 1) // 7) * 5 + least((nb + 1) % 7, 5) - ((na + 1) // 7) * 5 - least((na + 1) % 7, 5) end as bigint) as workdays from i"""
 )
 def busday_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = load(spark, sf_dir, "lineitem").where("l_orderkey < 3000").join(load(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    joined = load(spark, sf_dir, "lineitem").join(load(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
     return joined.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", scalars.workdays_between(F.to_date("o_orderdate"), F.to_date("l_shipdate")).alias("workdays"))
 
 
@@ -548,8 +548,8 @@ def driving_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _paths(activities: DataFrame, passed: DataFrame) -> DataFrame:
     last = activities.groupBy("conv_id").agg(F.max("turn").alias("turn")).select(F.concat(F.lit("C"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("milestone"))
-    path = schedule.driving_path(passed)
-    return path.join(last, "milestone", "left_semi").select("milestone", "task_code", *_split_code(), "pos")
+    path = schedule.driving_path(passed, last.withColumnRenamed("milestone", "task_code"))
+    return path.select("milestone", "task_code", *_split_code(), "pos")
 
 
 @query(f"with recursive {FORWARD} select conv_id, turn, finish - 5 * turn as slip from passed")
@@ -694,12 +694,12 @@ def content_hash_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with p as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as page from documents where doc_id < 200 and text is not null),
+    """with p as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as page from documents where text is not null),
     c as (select doc_id, page, line from p where length(line) > 0), n as (select doc_id, list(length(line) order by page) as ls, list(page order by page) as ps from c group by 1)
     select doc_id, cast(len(ls) as integer) as n_pages, cast(list_sum(ls) as bigint) as chars from n"""
 )
 def page_chunks_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = load(spark, sf_dir, "documents").where("doc_id < 200").select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text"))
+    pages = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text"))
     chunks = documents.page_chunks(pages, 500)
     sizes = pages.where(F.length("text") > 0).groupBy("doc_id").agg(F.count("*").cast("int").alias("n_pages"))
     return chunks.groupBy("doc_id").agg(F.sum("chars").alias("chars")).join(sizes, "doc_id").select("doc_id", "n_pages", "chars")
@@ -734,16 +734,16 @@ def document_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select("p_partkey", status.alias("status"))
 
 
-@query("select source as name, count(*) as n, string_agg(doc_id, ',' order by doc_id desc) as history from documents where doc_id < 300 group by 1")
+@query("select source as name, count(*) as n, string_agg(doc_id, ',' order by doc_id desc) as history from documents group by 1")
 def upload_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").where("doc_id < 300").select(F.col("source").alias("name"), F.timestamp_seconds("doc_id").alias("ts"), F.lit("u").alias("uploaded_by"), F.col("doc_id").cast("string").alias("version_id"))
+    docs = load(spark, sf_dir, "documents").select(F.col("source").alias("name"), F.timestamp_seconds("doc_id").alias("ts"), F.lit("u").alias("uploaded_by"), F.col("doc_id").cast("string").alias("version_id"))
     listed = documents.upload_histories(docs.select("name").distinct(), docs)
     return listed.select("name", F.size("history").cast("long").alias("n"), F.array_join(F.transform("history", lambda h: h["version_id"]), ",").alias("history"))
 
 
-@query("select o_orderkey, strftime(cast(o_orderdate as date), '%Y-%m-%d') as bar_start, greatest(0, o_orderkey % 20 - 5)::integer as slip_days from orders where o_orderkey < 1000")
+@query("select o_orderkey, strftime(cast(o_orderdate as date), '%Y-%m-%d') as bar_start, greatest(0, o_orderkey % 20 - 5)::integer as slip_days from orders")
 def gantt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.to_date("o_orderdate")
     none = F.lit(None).cast("date")
-    rows = load(spark, sf_dir, "orders").where("o_orderkey < 1000").select("o_orderkey", none.alias("actual_start"), day.alias("early_start"), none.alias("target_start"), none.alias("actual_end"), F.date_add(day, (F.col("o_orderkey") % 20).cast("int")).alias("early_end"), F.date_add(day, 5).alias("target_end"))
+    rows = load(spark, sf_dir, "orders").select("o_orderkey", none.alias("actual_start"), day.alias("early_start"), none.alias("target_start"), none.alias("actual_end"), F.date_add(day, (F.col("o_orderkey") % 20).cast("int")).alias("early_end"), F.date_add(day, 5).alias("target_end"))
     return dashboard.gantt_rows(rows).select("o_orderkey", F.col("bar_start").cast("string").alias("bar_start"), F.col("slip_days").cast("int").alias("slip_days"))

@@ -16,6 +16,8 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="keelson-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -23,6 +25,19 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str, *order: str, first: int = 1) -> DataFrame:
+    """``df`` with ``name``: the rows' numbers in an order, from ``first`` on, without a gap.
+
+    Rows are dealt in ranges of the order; a range begins where the counts of
+    those before it end, so no task sees more than its range.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = scratch(dealt.withColumns({"__range": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "numbered")
+    sizes = dealt.groupBy("__range").agg(F.count("*").alias("n"))  # a row a partition
+    before = sizes.select("__range", (F.sum("n").over(Window.orderBy("__range")) - F.col("n")).alias("__before"))
+    return dealt.join(F.broadcast(before), "__range").withColumn(name, F.col("__before") + F.col("__at") + first).drop("__range", "__at", "__before")
+
+
 class Store:
     """A table under a folder. A replacement is written beside the current version and then named current."""
 
@@ -70,5 +85,4 @@ def publish(store: Store, events: DataFrame) -> DataFrame:
     """Append events after checking them; their numbers continue the log's."""
     last = store.read().agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
     checked = publishable(events)
-    order = F.row_number().over(Window.orderBy("ts", "agent", "entity_id"))
-    return store.append(checked.withColumn("n", order).join(F.broadcast(last)).withColumn("seq", (F.col("last") + F.col("n")).cast("long")).drop("n", "last"))
+    return store.append(numbered(checked, "n", "ts", "agent", "entity_id").join(F.broadcast(last)).withColumn("seq", (F.col("last") + F.col("n")).cast("long")).drop("n", "last"))

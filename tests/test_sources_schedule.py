@@ -39,6 +39,9 @@ def test_export_to_forecast(spark, tmp_path):
     assert got["ACT-001"] == (-13.0, 18.0, None)
     assert got["ACT-002"] == (18.0, 23.0, "ACT-001")
     assert got["ACT-003"] == (25.0, 25.0, "ACT-002")
+    long = spark.createDataFrame([(f"it's {i}", f"it's {i - 1}" if i else None) for i in range(1001)], "task_code string, driver string")
+    chain = schedule.driving_path(long, "it's 1000")
+    assert [(r["pos"], r["task_code"]) for r in chain.orderBy("pos").collect()] == [(i, f"it's {i}") for i in range(1001)]
     path = schedule.driving_path(passed, "ACT-003")
     assert [r["task_code"] for r in path.orderBy("pos").collect()] == ["ACT-001", "ACT-002", "ACT-003"]
     slipped = schedule.slips(passed, activities, day)
