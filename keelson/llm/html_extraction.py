@@ -5,18 +5,21 @@ elements that stand on the same path of tags and classes are one node of the
 site's style tree. Over the host's pages a node collects presentation styles
 (the sequences of its children) and content features (its texts). Both have an
 entropy: styles that differ from page to page make a node important, and texts
-that recur over the pages make it noise. A node's importance combines the
-importance of its presentation with that of what is below it, and branches of
-low importance are cut from each page; the rest is the page's text.
+that recur over the pages make it noise. A node's importance combines that of
+its presentation, which weighs more the more children it has, with that of the
+content below it. A host's main branch holds its most important text; branches
+beside it whose importance is below a share of its own are cut from each page.
 
-Where a host has too few pages to tell (``MIN_PAGES``), and for elements whose
-tag, role, class or id says that they are no content (navigation, adverts,
-notices, forms, comments and the like), the tree's prior decides.
+The tree is over all elements. Besides it there is a prior: elements whose tag,
+role, class or id says that they are no content (navigation, adverts, notices,
+forms, comments and the like) are left out, as on a host of one page, or with
+menus that change from page to page, entropies cannot tell.
 
-Pages of a host that have the same kept blocks are one content, and count once.
+Pages of a host that have the same blocks are one content, and count once.
 Features are counted as hashes with partial sums before the shuffle, so a host
 with a third of all pages is no hot task; a site's tree is bounded by the number
-of its distinct paths, and cut nodes are one short array a host.
+of its distinct paths. Elements below ``MAX_DEPTH`` belong to their ancestor's
+node at that depth.
 """
 
 from __future__ import annotations
@@ -31,16 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, rows_to_batches, scratch
+from .common import arrow_schema, frugal, rows_to_batches, scratch, small_batches
 from .url_filters import host_and_path
 
-#: Distinct contents that a host's pages need before its style tree decides, importance below which a branch goes,
-#: and what a level of presentation weighs less than the one above it.
-MIN_PAGES = 10
-LEAST_IMPORTANCE = 0.35
+#: Share of the main branch's importance below which a branch goes, and what each child takes from the weight of a node's content.
+LEAST_IMPORTANCE = 0.75
 ATTENUATION = 0.9
+MAX_DEPTH = 64
 #: Hosts' cut nodes are broadcast up to so many, and else joined with salted keys.
-BROADCAST_NODES = 1 << 20
+BROADCAST_NODES = 1 << 18
 SALTS = 32
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,7 +57,7 @@ NOISE = re.compile(
 #: An open element of the first kind ends where one of the second begins.
 _CLOSES = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 _SCOPES = frozenset("html body article aside section div main nav header footer table ul ol dl form blockquote td th li figure".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)  # the last form: a quote is never closed
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _DIGITS = re.compile(r"\d+")
 _SPACES = re.compile(r"\s+")
@@ -130,11 +132,11 @@ def parse(page: str) -> tuple[list[tuple[tuple[str, ...], bool, str]], list[tupl
         if not found:
             break
         at = found.end()
-        tag = found[2]
+        ending, tag, attributes = found.group(1, 2, 3) if found[2] else found.group(4, 5, 6)
         if not tag:
             continue
         tag = tag.lower()
-        if found[1]:
+        if ending:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
                     close(len(stack) - depth)
@@ -152,14 +154,14 @@ def parse(page: str) -> tuple[list[tuple[tuple[str, ...], bool, str]], list[tupl
                     break
                 if stack[depth].tag in _SCOPES:
                     break
-        name, dropped = _signature(tag, found[3], any(e.tag in ("article", "main") for e in stack))
+        name, dropped = _signature(tag, attributes, any(e.tag in ("article", "main") for e in stack))
         parent = stack[-1]
         parent.children.append(name)
         if tag in BLOCK or dropped != parent.dropped:
             flush()
         if tag in VOID:
             continue
-        element = Element(tag, (*parent.path, name), parent.dropped or dropped)
+        element = Element(tag, (*parent.path, name) if len(parent.path) < MAX_DEPTH else parent.path, parent.dropped or dropped)
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}\s*>|$", re.I).search(page, at)
             elements.append((element.path, True, ()))
@@ -186,111 +188,129 @@ def node_id(path: tuple[str, ...]) -> int:
 
 
 _FEATURES = T.StructType(
-    [T.StructField("host", T.StringType()), T.StructField("node", T.LongType()), T.StructField("parent", T.LongType()), T.StructField("depth", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("feature", T.LongType()), T.StructField("content", T.LongType())]
+    [
+        T.StructField("host", T.StringType()),
+        T.StructField("node", T.LongType()),
+        T.StructField("above", T.ArrayType(T.LongType())),
+        T.StructField("kind", T.IntegerType()),
+        T.StructField("feature", T.LongType()),
+        T.StructField("size", T.LongType()),
+        T.StructField("content", T.LongType()),
+    ]
 )
+_STYLE, _TEXT, _PAGE, _NODE = range(4)
+
+
+def _hashed(*parts: str) -> int:
+    return xxhash.xxh3_64_intdigest("\0".join(parts)) - (1 << 63)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each page, once each: a node's style (kind 0) and its texts (kind 1), as hashes, and one row for itself (kind 2), all beside the hash of its kept blocks."""
+    """Of each page, once each: a node's styles (``size`` children) and texts (``size`` characters), as hashes, and a row for the page, beside the hash of its blocks; and the nodes with the ids from the root down to them."""
     wanted = arrow_schema(_FEATURES)
 
     def rows() -> Iterator[tuple]:
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 blocks, elements = parse(page or "")
-                seen = {(path, 0, xxhash.xxh3_64_intdigest("\0".join(children)) - (1 << 63)) for path, dropped, children in elements if not dropped}
-                seen |= {(path, 1, xxhash.xxh3_64_intdigest(text) - (1 << 63)) for path, dropped, text in blocks if not dropped}
-                content = xxhash.xxh3_64_intdigest("\0".join("/".join(path) + "\0" + text for path, dropped, text in blocks if not dropped)) - (1 << 63)
-                yield host, 0, None, 0, 2, 0, content
-                for path, kind, feature in seen:
-                    yield host, node_id(path), node_id(path[:-1]) if path else None, len(path), kind, feature, content
+                seen = {(path, _STYLE, _hashed(*children), len(children)) for path, _, children in elements if children}
+                seen |= {(path, _TEXT, _hashed(text), len(text)) for path, _, text in blocks}
+                content = _hashed(*("/".join(path) + "\0" + text for path, dropped, text in blocks if not dropped))
+                yield host, 0, None, _PAGE, 0, 0, content
+                for path in {path for path, *_ in seen}:
+                    yield host, node_id(path), [node_id(path[:k]) for k in range(len(path) + 1)], _NODE, 0, 0, 0
+                for path, kind, feature, size in seen:
+                    yield host, node_id(path), None, kind, feature, size, content
 
     yield from rows_to_batches(rows(), wanted)
 
 
-def low_nodes(pages: DataFrame, min_pages: int = MIN_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:
-    """``host, low``: of each host with enough pages, the nodes whose branches are cut.
+def importances(pages: DataFrame) -> DataFrame:
+    """``host, node, above, importance, amount, main, main_above, main_importance``: the nodes of each host's style tree that have text below them.
 
-    ``pages`` has ``host`` and ``html``. Pages with the same kept blocks are one. With m pages, a node's presentation
-    importance is the entropy of its styles (base m, 1 if it is alone), and its
-    content importance 1 less the mean entropy of its texts over the pages that
-    have them: a text that n pages have once each has entropy log_m n.
+    ``pages`` has ``host`` and ``html``. Pages with the same kept blocks are one.
+    With m pages, a text that n of them have is worth 1 - log_m n, and content
+    the mean of its texts; presentation is worth the entropy of a node's styles
+    (base: the pages that have it; 1 if one has it). ``amount`` is the characters
+    of texts in the node itself times their worth; the main branch is the parent
+    of the node with most of it.
+    """
+    features = pages.select("host", "html").mapInArrow(frugal(_features), _FEATURES)
+    counts = scratch(features.distinct().groupBy("host", "node", "above", "kind", "feature", "size").agg(F.count("*").alias("n")), "counts")
+    hosts = counts.where(F.col("kind") == _PAGE).select("host", F.col("n").alias("m"))
+    nodes = counts.where(F.col("kind") == _NODE).select("host", "node", "above")
+    sums = [F.sum("n").alias("total"), F.sum(F.col("n") * F.ln("n")).alias("n_ln"), F.sum(F.ln("n")).alias("ln"), F.count("*").alias("kinds"), F.sum(F.col("size") * F.col("n")).alias("sized")]
+    own = counts.where(F.col("kind") <= _TEXT).groupBy("host", "node", "kind").agg(*sums).join(hosts, "host")
+    worth = 1 - F.col("ln") / F.col("kinds") / F.ln(F.greatest(F.lit(2), F.col("m")))
+    texts = own.where(F.col("kind") == _TEXT).select("host", "node", worth.alias("worth"), "kinds", (worth * F.col("sized")).alias("amount"))
+    entropy = F.when(F.col("total") > 1, F.least(F.lit(1.0), (F.ln("total") - F.col("n_ln") / F.col("total")) / F.ln("total"))).otherwise(1.0)
+    styles = own.where(F.col("kind") == _STYLE).select("host", "node", entropy.alias("style"), F.pow(F.lit(ATTENUATION), F.col("sized") / F.col("total")).alias("left"))
+    placed = scratch(nodes.join(texts, ["host", "node"], "left").join(styles, ["host", "node"], "left"), "nodes")
+    # A branch's content: the texts of all nodes below it, by one aggregation over their ancestors.
+    below = placed.where("worth is not null").select("host", F.explode("above").alias("node"), "worth", "kinds")
+    below = below.groupBy("host", "node").agg((F.sum(F.col("worth") * F.col("kinds")) / F.sum("kinds")).alias("held"))
+    left = F.coalesce("left", F.lit(1.0))
+    valued = placed.join(below, ["host", "node"]).select("host", "node", "above", ((1 - left) * F.coalesce("style", F.lit(0.0)) + left * F.col("held")).alias("importance"), F.coalesce("amount", F.lit(0.0)).alias("amount"))
+    valued = scratch(valued, "importances")
+    main = valued.groupBy("host").agg(F.max_by("above", F.struct("amount", "node")).alias("path"))
+    main = main.select("host", F.when(F.size("path") > 1, F.slice("path", 1, F.size("path") - 1)).otherwise(F.col("path")).alias("main_above"))
+    main = main.withColumn("main", F.element_at("main_above", -1))
+    worth_of_main = valued.select("host", F.col("node").alias("main"), F.col("importance").alias("main_importance"))
+    return valued.join(main.join(worth_of_main, ["host", "main"]), "host")
+
+
+def low_nodes(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
+    """``host, low``: of each host, the nodes whose branches are cut; none of them is above, or below, the main one."""
+    beside = ~F.array_contains("main_above", F.col("node")) & ~F.array_contains("above", F.col("main"))
+    low = importances(pages).where(beside & (F.col("importance") < F.lit(least) * F.col("main_importance")))
+    return low.groupBy("host").agg(F.collect_set("node").alias("low"))
+
+
+def page_text(page: str | None, low: frozenset[int] | set[int] = frozenset(), prior: bool = True) -> str:
+    """The page's main text: its blocks but for those that the prior drops and those below a node in ``low``.
+
+    Without ``prior`` only scripts, styles and what else no browser shows goes.
     """
-    features = pages.select("host", "html").mapInArrow(_features, _FEATURES)
-    counts = scratch(features.distinct().groupBy("host", "node", "parent", "depth", "kind", "feature").agg(F.count("*").alias("n")), "counts")
-    sizes = scratch(counts.where("kind = 2").select("host", F.col("n").alias("m")).where(F.col("m") >= min_pages), "hosts")
-    nodes = counts.where("kind < 2").groupBy("host", "node", "parent", "depth", "kind").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.ln("n")).alias("n_ln"), F.sum(F.ln("n")).alias("ln"), F.count("*").alias("kinds"))
-    nodes = nodes.join(sizes, "host")
-    own = nodes.withColumn(
-        "importance",
-        F.when(F.col("kind") == 1, 1 - F.col("ln") / F.col("kinds") / F.ln(F.greatest(F.lit(2), F.col("m")))).otherwise(
-            F.least(F.lit(1.0), (F.ln("total") - F.col("n_ln") / F.col("total")) / F.ln(F.greatest(F.lit(2), F.col("total"))))
-        ),
-    )
-    by_node = own.groupBy("host", "node", "parent", "depth").agg(
-        F.max(F.when(F.col("kind") == 1, F.col("importance"))).alias("content"), F.max(F.when(F.col("kind") == 0, F.col("importance"))).alias("style"), F.sum(F.when(F.col("kind") == 1, F.col("total")).otherwise(0)).alias("weight")
-    )
-    by_node = scratch(by_node, "nodes")
-    # Importance passes up from the deepest nodes: a branch counts by its content, and its style at a discount.
-    below = None
-    deepest = by_node.agg(F.max("depth")).first()[0] or 0
-    done = []
-    for depth in range(deepest, -1, -1):
-        here = by_node.where(F.col("depth") == depth)
-        if below is not None:
-            here = here.join(below, ["host", "node"], "left")
-        else:
-            here = here.withColumn("sum_below", F.lit(0.0)).withColumn("weight_below", F.lit(0).cast("long"))
-        weight = F.col("weight") + F.coalesce("weight_below", F.lit(0))
-        content = F.try_divide(F.coalesce(F.col("content") * F.col("weight"), F.lit(0.0)) + F.coalesce("sum_below", F.lit(0.0)), weight)
-        composite = F.when(weight > 0, (1 - ATTENUATION) * F.coalesce("style", F.lit(1.0)) + ATTENUATION * content)
-        here = here.select("host", "node", "parent", composite.alias("importance"), content.alias("held"), weight.alias("all"))
-        here = scratch(here, "level")
-        done.append(here)
-        below = here.where("all > 0").groupBy("host", F.col("parent").alias("node")).agg(F.sum(F.col("held") * F.col("all")).alias("sum_below"), F.sum("all").alias("weight_below"))
-    every = done[0]
-    for more in done[1:]:
-        every = every.union(more)
-    return every.where(F.col("importance") < least).groupBy("host").agg(F.collect_set("node").alias("low"))
-
-
-def page_text(page: str | None, low: frozenset[int] | set[int] = frozenset()) -> str:
-    """The page's main text: its blocks but for dropped ones and those below a node in ``low``."""
     blocks, _ = parse(page or "")
     verdicts: dict[tuple[str, ...], bool] = {}
 
     def is_low(path: tuple[str, ...]) -> bool:
         if path not in verdicts:
-            verdicts[path] = bool(path) and (node_id(path) in low or is_low(path[:-1]))
+            verdicts[path] = any(node_id(path[:k]) in low for k in range(1, len(path) + 1))
         return verdicts[path]
 
-    return "\n".join(text for path, dropped, text in blocks if not dropped and not (low and is_low(path)))
+    return "\n".join(text for path, dropped, text in blocks if not (dropped and (prior or "head" in path)) and not (low and is_low(path)))
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:
+def extract(pages: DataFrame, least: float = LEAST_IMPORTANCE, prior: bool = True) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages``.
 
     A null page has an empty text. Pages of a null url, or one without host,
     count to the host of the empty name. Every row gets its text, repeated ones too,
     but copies weigh as one page in the site's tree; an empty table gives no rows; other columns are not looked at.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", host_and_path(F.col("url"))[0].alias("host"), "html")
-    low = scratch(low_nodes(rows, min_pages, least), "low")
+    low = scratch(low_nodes(rows, least), "low")
+    schema = T.StructType([rows.schema["page_id"], rows.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    wanted = arrow_schema(schema)
+    shared = None
     if (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= BROADCAST_NODES:
-        joined = rows.join(F.broadcast(low), "host", "left")
+        shared = pages.sparkSession.sparkContext.broadcast({r["host"]: frozenset(r["low"]) for r in low.toLocalIterator()})  # BROADCAST_NODES at most
+        joined = rows
     else:
         salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
-    schema = T.StructType([rows.schema["page_id"], rows.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    wanted = arrow_schema(schema)
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left").drop("salt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                for page_id, url, page, low in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    text = page_text(page, set(low or ()))
+                page_ids, urls, hosts, pages, *lows = (c.to_pylist() for c in batch.columns)
+                for page_id, url, page, low in zip(page_ids, urls, pages, lows[0] if lows else map(shared.value.get, hosts), strict=True):
+                    text = page_text(page, frozenset(low or ()), prior)
                     yield page_id, url, text, len(text)
 
         yield from rows_to_batches(rows(), wanted, lambda r: len(r[2]))
 
-    return joined.select("page_id", "url", "html", "low").mapInArrow(run, schema)
+    columns = ["page_id", "url", "host", "html"] + ([] if shared else ["low"])
+    return joined.select(*columns).mapInArrow(frugal(run), schema)

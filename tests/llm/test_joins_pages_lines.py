@@ -145,6 +145,7 @@ def test_pages_equal_their_articles(spark):
         ("<script>if (a<b) '</p>'</script><style>p{}</style><!-- <p>c</p> --><p>t &#233; &lt;b&gt;</p>", "t é <b>"),
         ("<ul><li>a<li>b</ul><table><tr><td>1<td>2</table>", "a\nb\n1\n2"), ("<p>a</i></b>b</p></div>c", "ab\nc"), ("<p>unclosed <b", "unclosed"),
         ("<div class='adventure header-image-caption'>kept?</div><p class='shadow'>yes</p>", "yes"), ("<body class='menu'><p>x</p></body>", "x"), ("a<br>b", "a b"),
+        ('<p>t <a href="x>link</a> more</p>', "t link more"), ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
     ],
 )
 def test_page_text(page, text):
@@ -162,6 +163,26 @@ def test_site_tree_cuts_what_recurs(spark):
     assert html_extraction.extract(df.limit(0)).count() == 0
 
 
+def test_tree_alone_removes_chrome_and_no_article(spark):
+    """On whole pages and without the prior: menus that recur go, every line of an article stays."""
+    pages = table(spark, "/root/testdata/sf0.01", "pages").select(F.concat(F.lit("http://one.com/"), "page_id").alias("url"), "page_id", "html")
+    source = {r["page_id"]: r["html"] for r in pages.collect()}
+    fewer = 0
+    for r in html_extraction.extract(pages, prior=False).collect():
+        article = re.search("<article>(.*?)</article>", source[r["page_id"]], re.S)[1]
+        blocks = (" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("<p>|</p>|<h1>|</h1>|<br>", article))
+        assert "\n".join(b for b in blocks if b) in r["text"]
+        fewer += len(r["text"]) < len(html_extraction.page_text(source[r["page_id"]], prior=False))
+    assert fewer > 0.9 * len(source)
+
+
+def test_deep_pages_and_low_nodes(spark):
+    deep = "<div>" * 3000 + "deep text" + "</div>" * 3000
+    df = spark.createDataFrame([(i, f"http://a.com/{i}", f"<div class=top>same</div>{deep if i == 3 else f'<main>own {i}</main>'}") for i in range(9)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(df).collect()}
+    assert got[3] == "deep text" and got[4] == "own 4"
+
+
 def test_copies_of_a_host_keep_their_article(spark):
     """Hosts of copies only, of one article and of two, keep all texts; copies beside varied pages hide no boilerplate."""
     page = lambda i: f"<div class=top>Welcome to the site</div><div class=body><p>Story {i} first</p><p>and second {i * 7}</p></div>"
