@@ -233,7 +233,7 @@ def importances(pages: DataFrame) -> DataFrame:
     the mean of its texts; presentation is worth the entropy of a node's styles
     (base: the pages that have it; 1 if one has it). ``amount`` is the characters
     of texts in the node itself times their worth; the main branch is the parent
-    of the node with most of it.
+    of the node with most of it, or, where all texts are below that, the node.
     """
     features = pages.select("host", "html").mapInArrow(frugal(_features), _FEATURES)
     counts = scratch(features.distinct().groupBy("host", "node", "above", "kind", "feature", "size").agg(F.count("*").alias("n")), "counts")
@@ -248,15 +248,16 @@ def importances(pages: DataFrame) -> DataFrame:
     placed = scratch(nodes.join(texts, ["host", "node"], "left").join(styles, ["host", "node"], "left"), "nodes")
     # A branch's content: the texts of all nodes below it, by one aggregation over their ancestors.
     below = placed.where("worth is not null").select("host", F.explode("above").alias("node"), "worth", "kinds")
-    below = below.groupBy("host", "node").agg((F.sum(F.col("worth") * F.col("kinds")) / F.sum("kinds")).alias("held"))
+    below = below.groupBy("host", "node").agg((F.sum(F.col("worth") * F.col("kinds")) / F.sum("kinds")).alias("held"), F.count("*").alias("n_texts"))
     left = F.coalesce("left", F.lit(1.0))
-    valued = placed.join(below, ["host", "node"]).select("host", "node", "above", ((1 - left) * F.coalesce("style", F.lit(0.0)) + left * F.col("held")).alias("importance"), F.coalesce("amount", F.lit(0.0)).alias("amount"))
+    valued = placed.join(below, ["host", "node"]).select("host", "node", "above", ((1 - left) * F.coalesce("style", F.lit(0.0)) + left * F.col("held")).alias("importance"), F.coalesce("amount", F.lit(0.0)).alias("amount"), "n_texts")
     valued = scratch(valued, "importances")
-    main = valued.groupBy("host").agg(F.max_by("above", F.struct("amount", "node")).alias("path"))
-    main = main.select("host", F.when(F.size("path") > 1, F.slice("path", 1, F.size("path") - 1)).otherwise(F.col("path")).alias("main_above"))
+    main = valued.groupBy("host").agg(F.max_by("above", F.struct("amount", "node")).alias("path"), F.max("n_texts").alias("every"))
+    main = main.withColumn("node", F.get("path", F.size("path") - 2)).join(valued.select("host", "node", "n_texts"), ["host", "node"], "left")
+    main = main.select("host", F.when(F.col("n_texts") < F.col("every"), F.slice("path", 1, F.size("path") - 1)).otherwise(F.col("path")).alias("main_above"))
     main = main.withColumn("main", F.element_at("main_above", -1))
     worth_of_main = valued.select("host", F.col("node").alias("main"), F.col("importance").alias("main_importance"))
-    return valued.join(main.join(worth_of_main, ["host", "main"]), "host")
+    return valued.drop("n_texts").join(main.join(worth_of_main, ["host", "main"]), "host")
 
 
 def low_nodes(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
