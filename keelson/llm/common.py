@@ -78,6 +78,19 @@ def frugal(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
     return run
 
 
+def in_groups(texts: Iterable[bytes | None], most_bytes: int = 1 << 20) -> Iterator[list[bytes | None]]:
+    """Runs of texts of about ``most_bytes`` in all."""
+    group, held = [], 0
+    for one in texts:
+        group.append(one)
+        held += len(one or b"")
+        if held >= most_bytes:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
 class WordMemo:
     """Numbers of words, computed once a task: ``compute`` gives a row of ``width`` for each of a list of words.
 
@@ -89,18 +102,23 @@ class WordMemo:
         self.number: dict[bytes, int] = {}
         self.held, self.table = 0, np.zeros((1024, width))
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """A row for each of ``words``."""
-        new = [w for w in set(words) if w not in self.number]
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Compute what is not yet known of several texts' words, at once."""
+        words = set().union(*texts)
+        new = [w for w in words if w not in self.number]
         if new:
             if len(self.number) + len(new) > self.most_words or self.held > self.most_bytes:
-                self.number, self.held, new = {}, 0, list(set(words))
+                self.number, self.held, new = {}, 0, list(words)
             first = len(self.number)
             if first + len(new) > len(self.table):
                 self.table = np.concatenate([self.table[:first], np.zeros((max(first, 1024) + len(new), self.table.shape[1]))])
             self.table[first : first + len(new)] = self.compute(new)
             self.number.update(zip(new, range(first, first + len(new)), strict=True))
             self.held += sum(map(len, new))
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """A row for each of ``words``."""
+        self.learn([words])
         return self.table[np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))]
 
 
