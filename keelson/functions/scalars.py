@@ -156,3 +156,21 @@ def workday_offset(start: Column, workdays: Column) -> Column:
     """The workday that lies ``workdays`` (cut to whole days) after ``start``, which rolls on from a weekend."""
     k = _workday_number(start) + workdays.cast("long")
     return F.date_add(F.lit("1970-01-05").cast("date"), (F.floor(k / F.lit(5)) * 7 + F.pmod(k, F.lit(5))).cast("int"))
+
+
+def half_even(number: Column, places: int) -> Column:
+    """Rounded as IEEE arithmetic has it: ties, which are rare among binary values, go to the even digit.
+
+    The product with the power of ten and its rounding error (found by splitting
+    both factors) tell on which side of a tie the exact value lies.
+    """
+    scale = float(10**places)
+    split = lambda x: (x * 134217729.0) - ((x * 134217729.0) - x)
+    high, s_high = split(number), split(scale)
+    low, s_low = number - high, scale - s_high
+    product = number * scale
+    error = ((high * s_high - product) + high * s_low + low * s_high) + low * s_low
+    whole = F.floor(product).cast("double")
+    beyond = product - whole - 0.5
+    up = (beyond > 0) | ((beyond == 0) & ((error > 0) | ((error == 0) & (F.pmod(whole, F.lit(2.0)) == 1))))
+    return F.when(F.abs(product) < 2.0**52, F.when(up, whole + 1).otherwise(whole) / scale).otherwise(number)

@@ -47,6 +47,31 @@ def verdicts(results: DataFrame, steps: DataFrame) -> DataFrame:
     return done.join(F.broadcast(total), "procedure_id").select("session_id", "procedure_id", "n_done", "n_failed", state.alias("state"))
 
 
+def started(requests: DataFrame, procedures: DataFrame) -> DataFrame:
+    """Sessions as they begin: ``requests`` (session_id, procedure_id, operator, started_at); an unknown procedure fails the job."""
+    known = procedures.select("procedure_id", F.col("title").alias("procedure_title"), "equipment_tag", F.size("steps").alias("total_steps"))
+    fault = F.when(F.col("total_steps").isNull(), F.raise_error(F.concat(F.lit("unknown procedure "), F.coalesce("procedure_id", F.lit("null")))))
+    return requests.join(known, "procedure_id", "left").withColumns(
+        {"operator": F.coalesce("operator", F.lit("Commissioning Engineer")), "current_step": F.lit(1), "status": F.coalesce(fault.cast("string"), F.lit("in_progress")), "sign_off_blocked": F.lit(False)}
+    )
+
+
+def session_states(sessions: DataFrame, results: DataFrame, steps: DataFrame) -> DataFrame:
+    """``session_id, procedure_id, n_done, n_failed, current_step, sign_off_blocked, state`` of each session.
+
+    ``sessions`` (session_id, procedure_id, completed_at null until it is
+    completed). In progress until every step has a reading, then
+    ``steps_complete``; once completed it passed, if every step has a reading
+    and none failed, and else failed. Sessions without readings are there too.
+    """
+    total = steps.groupBy("procedure_id").agg(F.count("*").alias("n_steps"))
+    done = results.groupBy("session_id").agg(F.count("*").alias("n_done"), F.count_if(F.col("result") == "FAIL").alias("n_failed"))
+    joined = sessions.join(done, "session_id", "left").join(total, "procedure_id", "left").fillna(0, ["n_done", "n_failed", "n_steps"])
+    read = F.col("n_done") >= F.col("n_steps")
+    state = F.when(F.col("completed_at").isNotNull(), F.when(read & (F.col("n_failed") == 0), "passed").otherwise("failed")).when(read, "steps_complete").otherwise("in_progress")
+    return joined.select("session_id", "procedure_id", "n_done", "n_failed", F.least(F.col("n_done") + 1, "n_steps").alias("current_step"), (F.col("n_failed") > 0).alias("sign_off_blocked"), state.alias("state"))
+
+
 def failure_rfis(results: DataFrame, procedures: DataFrame, last_number: int = 0) -> DataFrame:
     """An RFI for each failed reading, numbered on in the order of sessions and steps."""
     failed = results.where("result = 'FAIL'").join(procedures.select("procedure_id", "title", "system", "equipment_tag", "linked_activity"), "procedure_id")

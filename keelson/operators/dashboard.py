@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import hours_saved, risk_band
-from .graph import AT_RISK
+from .events import recent
+from .graph import AT_RISK, critical_activities
 
 
 def counters(nodes: DataFrame, alerts: DataFrame, events: DataFrame) -> DataFrame:
@@ -53,3 +54,20 @@ def month_ticks(domain: DataFrame) -> DataFrame:
     """The first days of months within a time domain."""
     months = F.sequence(F.trunc("domain_start", "month"), F.trunc("domain_end", "month"), F.expr("interval 1 month"))
     return domain.select(F.explode(months).alias("tick")).where("tick is not null")
+
+
+def summary(nodes: DataFrame, activities: DataFrame, milestones: DataFrame, alerts: DataFrame, events: DataFrame, recent_events: int = 25) -> dict[str, DataFrame]:
+    """The parts of the dashboard, each a table of its own.
+
+    ``nodes`` (node_id, node_type, status, risk_score), ``milestones`` the
+    simulated ones (node_id, p90 and what else is known of them).
+    """
+    return {
+        "metrics": counters(nodes, alerts, events),
+        "equipment": equipment_by_risk(nodes),
+        "deviations": nodes.where("node_type = 'Deviation'"),
+        "milestone": milestones.where("p90 is not null").orderBy("node_id").limit(1),
+        "critical_path": critical_activities(activities),
+        "alerts": alerts,
+        "recent_events": recent(events, recent_events),
+    }

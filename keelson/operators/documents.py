@@ -38,6 +38,28 @@ def deleted(versions: DataFrame, log: DataFrame, version: str, live: str) -> tup
     return versions.where(F.col("version_id") != version), log.where(~F.coalesce(F.col("version_id") == version, F.lit(False)))
 
 
+def activated(versions: DataFrame, log: DataFrame, version: str, live: str | None, by: str, at: Column) -> DataFrame:
+    """The log after a revision is made the live one; nothing is added if it is already. An unknown one is an error."""
+    if version == live:
+        return log
+    if versions.where(F.col("version_id") == version).isEmpty():
+        raise ValueError(f"no such revision: {version}")
+    entry = log.sparkSession.range(1).select(F.lit(version).alias("version_id"), at.alias("ts"), F.lit(by).alias("uploaded_by"), F.lit(f"activated {version}").alias("original_name"))
+    return log.unionByName(entry, allowMissingColumns=True)
+
+
+def with_seeds(versions: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Versions and the bundled ones that are missing: seeds that were deleted return in the next listing."""
+    return versions.unionByName(seeds.join(versions.select("version_id"), "version_id", "left_anti"), allowMissingColumns=True)
+
+
+def active_revision(files: DataFrame, assets: DataFrame, content: str = "content") -> DataFrame:
+    """``files`` with the ``revision`` of the asset (revision, content) of the same bytes, or 'unknown'."""
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    known = assets.groupBy(digest(content).alias("__digest")).agg(F.min("revision").alias("revision"))
+    return files.withColumn("__digest", digest(content)).join(known, "__digest", "left").withColumn("revision", F.coalesce("revision", F.lit("unknown"))).drop("__digest")
+
+
 def upload_histories(documents: DataFrame, log: DataFrame) -> DataFrame:
     """Documents by name with all their uploads, the newest first."""
     entry = F.struct("ts", "uploaded_by", "version_id")

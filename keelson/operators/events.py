@@ -56,6 +56,17 @@ def without_matching(events: DataFrame, **fields: object) -> DataFrame:
     return events.where(~matching(**fields))
 
 
+def removed_count(events: DataFrame, **fields: object) -> DataFrame:
+    """One row: how many rows ``without_matching`` leaves out."""
+    return events.agg(F.count_if(matching(**fields)).alias("n_removed"))
+
+
+def page(events: DataFrame, entity: str | None = None, agent: str | None = None, limit: int = 100, order: str = "seq") -> DataFrame:
+    """The newest events that the filters leave, newest first, each with ``n_total``, their count before the limit."""
+    chosen = select_events(events, entity, agent)
+    return recent(chosen, limit, order).join(chosen.agg(F.count("*").alias("n_total"))).orderBy(F.col(order).desc())  # one row beside
+
+
 def first_by(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row a key: the first by ``order`` (the window is cut to one row before the shuffle)."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -28,6 +28,8 @@ KEYWORDS = {
 }
 FINAL_MILESTONE = "commissioning complete"
 AT_RISK = 0.5
+#: Parts that are tested in each text's row at most.
+MOST_PARTS = 256
 
 
 # Versions
@@ -111,8 +113,34 @@ def clause_edges(equipment: DataFrame, clauses: DataFrame) -> DataFrame:
 
 
 def containing(left: DataFrame, text: Column, right: DataFrame, part: Column) -> DataFrame:
-    """Rows of both sides where ``text`` contains ``part``: for a small right side, which is broadcast."""
-    return left.join(F.broadcast(right), text.contains(part))
+    """Rows of both sides where ``text`` contains ``part``.
+
+    Up to ``MOST_PARTS`` parts are broadcast and tested in each row; more are
+    looked up by ``occurring``, a join by equality.
+    """
+    if right.limit(MOST_PARTS + 1).count() <= MOST_PARTS:
+        return left.join(F.broadcast(right), text.contains(part))
+    return occurring(left.withColumn("__text", text), "__text", right.withColumn("__part", part), "__part").drop("__text", "__part")
+
+
+def deviation_graph(deviations: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of deviations (equipment_tag, clause_id, parameter).
+
+    A deviation deviates from those specifications of its tag whose id contains
+    its clause's id, and impacts the activities that require its tag.
+    """
+    found = deviations.withColumn("dev", F.concat_ws("::", F.lit("DEV"), "equipment_tag", "clause_id", "parameter"))
+    nodes = found.select(F.col("dev").alias("node_id"), F.lit("Deviation").alias("node_type")).distinct()
+    specified = edges.where("relationship = 'SPECIFIED_BY'").select(F.col("src").alias("equipment_tag"), "dst")
+    required = edges.where("relationship = 'REQUIRES'").select(F.col("dst").alias("equipment_tag"), F.col("src").alias("dst"))
+    from_ = found.join(specified, "equipment_tag").where(F.contains("dst", "clause_id")).select(F.col("dev").alias("src"), "dst", F.lit("DEVIATES_FROM").alias("relationship"))
+    to = found.select("equipment_tag", "dev").join(required, "equipment_tag").select(F.col("dev").alias("src"), "dst", F.lit("IMPACTS").alias("relationship"))
+    return nodes, from_.union(to).distinct()
+
+
+def sizes(nodes: DataFrame, edges: DataFrame, vectors: DataFrame) -> DataFrame:
+    """One row: how many nodes, edges and vectors there are."""
+    return nodes.agg(F.count("*").alias("n_nodes")).join(edges.agg(F.count("*").alias("n_edges"))).join(vectors.agg(F.count("*").alias("n_vectors")))  # one row each
 
 
 # Building the graph from facts

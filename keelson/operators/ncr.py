@@ -83,3 +83,15 @@ def report_events(reports: DataFrame, nodes: DataFrame) -> DataFrame:
         F.lit("FIELD").alias("agent"), F.lit("ncr_raised").alias("event_type"), entity.alias("entity_id"), F.when(F.col("known"), "Equipment").otherwise("NCR").alias("entity_type"),
         "severity", F.concat_ws(": ", "ncr_id", "title").alias("description"), by_value(F.col("severity"), FIELD_RISK).alias("risk_score"),
     )
+
+
+def listing(reports: DataFrame, order: str = "seq") -> DataFrame:
+    """Reports, the newest first, each with ``n_open``, how many of all are not closed."""
+    live = reports.agg(F.count_if(F.coalesce("status", F.lit("")) != "CLOSED").alias("n_open"))
+    return reports.join(live).orderBy(F.col(order).desc())  # one row beside
+
+
+def drafted(notes: DataFrame, text: str = "description") -> DataFrame:
+    """Drafts of reports from their descriptions alone: the start as title, nothing known of the place, a major one."""
+    blank = [F.lit("").alias(c) for c in ("equipment_tag", "location", "spec_clause")]
+    return notes.select("*", F.substring(F.coalesce(text, F.lit("")), 1, 90).alias("title"), *blank, F.lit("MAJOR").alias("severity"))

@@ -74,3 +74,10 @@ def entity_contexts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     equipment = nodes.where("node_type = 'Equipment'").select(F.col("node_id").alias("entity_id"))
     joined = equipment.join(direct, "entity_id", "left").join(rfis, "entity_id", "left").join(deviations, "entity_id", "left")
     return joined.fillna(0, ["n_activities", "n_open_ncrs", "n_open_rfis", "n_deviations"]).fillna(False, ["on_critical_path"])
+
+
+def evidence(facts: DataFrame, most: int = 5) -> DataFrame:
+    """One row: the first facts of an answer as text."""
+    first = facts.orderBy("kind", "id", "path").limit(most)  # five rows
+    entry = F.struct("kind", "id", "path", "fact")
+    return first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda f: F.coalesce(f["fact"], F.lit("null"))), ", ").alias("facts")).select(F.concat(F.lit("Graph evidence: ["), "facts", F.lit("]")).alias("answer"))

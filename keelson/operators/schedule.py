@@ -9,10 +9,10 @@ every wave is cut off from the ones before (``checkpoint``).
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +24,8 @@ LOGISTICS = re.compile(r"deliver|receiv|procure|fabricat|ship|manufactur", re.I)
 TRIALS, SEED = 5000, 42
 MAX_WAVES = 10_000
 TRIALS_PER_BLOCK = 2500
+#: Activities of one schedule at most: they are one row.
+MOST_TASKS = 100_000
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -172,60 +174,105 @@ def triangular(duration: float, name: str, status: str) -> tuple[float, float, f
     return max(duration - spread, 0.5 * duration), duration, duration + 2 * spread
 
 
-def _simulator(tasks: list[dict], links: dict[str, list[tuple[str, str, float]]], milestone: str, seed: int):
-    def simulate(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in blocks:
-            for block, first, n in zip(frame["block"], frame["first"], frame["n"], strict=True):
-                random = np.random.default_rng([seed, int(block)])
-                start: dict[str, np.ndarray] = {}
-                finish: dict[str, np.ndarray] = {}
-                for task in tasks:
-                    code, d = task["task_code"], task["duration"]
-                    if task["status"] == "TK_Complete":
-                        start[code] = np.full(n, min(task["fixed_finish"], 0.0))
-                        finish[code] = np.full(n, task["fixed_finish"])
-                        continue
-                    sampled = random.triangular(*triangular(d, task["name"], task["status"]), int(n)) if d > 0 else np.zeros(n)
-                    begin = np.full(n, max(0.0, task["planned"] or 0.0) if task["status"] == "TK_NotStart" else 0.0)
-                    for before, link, lag in links.get(code, ()):
-                        allowed = start[before] + lag if link == "SS" else finish[before] + lag - (sampled if link == "FF" else 0)
-                        begin = np.maximum(begin, allowed)
-                    start[code], finish[code] = begin, begin + sampled
-                yield pd.DataFrame({"trial": np.arange(first, first + n), "finish": finish[milestone]})
+def _trials(tasks: list[dict], milestone: str, random: np.random.Generator, n: int) -> np.ndarray:
+    """The milestone's finish in ``n`` trials; ``tasks`` in the order of their waves."""
+    start: dict[str, np.ndarray] = {}
+    finish: dict[str, np.ndarray] = {}
+    for task in tasks:
+        code, d = task["task_code"], task["duration"]
+        if task["status"] == "TK_Complete":
+            start[code] = np.full(n, min(task["fixed_finish"], 0.0))
+            finish[code] = np.full(n, task["fixed_finish"])
+            continue
+        sampled = random.triangular(*triangular(d, task["name"], task["status"]), n) if d > 0 else np.zeros(n)
+        begin = np.full(n, max(0.0, task["planned"] or 0.0) if task["status"] == "TK_NotStart" else 0.0)
+        for link in task["links"] or ():
+            before, lag = link["predecessor"], link["lag"]
+            begin = np.maximum(begin, start[before] + lag if link["link"] == "SS" else finish[before] + lag - (sampled if link["link"] == "FF" else 0))
+        start[code], finish[code] = begin, begin + sampled
+    return finish[milestone]
+
+
+def _simulator(seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def simulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                one = row.drop_columns("schedule").to_pylist()[0]
+                finish = _trials(one["tasks"], one["milestone"], np.random.default_rng([seed, one["stream"], one["block"]]), one["n"])
+                key = row.column("schedule").take(pa.array(np.zeros(one["n"], np.int64)))
+                yield pa.RecordBatch.from_arrays([key, pa.array(np.arange(one["first"], one["first"] + one["n"])), pa.array(finish)], names=["schedule", "trial", "finish"])
 
     return simulate
 
 
-def simulate_finish(spark: SparkSession, activities: DataFrame, links: DataFrame, data_date: Column, milestone: str, trials: int = TRIALS, seed: int = SEED) -> DataFrame:
-    """``trial, finish``: the milestone's finish in each trial, in workdays from the data date.
+def simulate_each(activities: DataFrame, links: DataFrame, data_date: Column, milestones: DataFrame, schedule: str, trials: int = TRIALS, seed: int = SEED) -> DataFrame:
+    """``schedule, trial, finish`` of every schedule: its milestone's finish in each trial, in workdays from the data date.
 
-    Trials are dealt in blocks over the cluster, each with a stream of its own,
-    so the result does not depend on the number of tasks. One schedule, in the
-    order of its waves, is sent to the tasks.
+    ``activities`` has the column named by ``schedule``, ``milestones`` has it
+    and ``milestone``, one a schedule; links stay within a schedule. A schedule
+    with its links is one row of at most ``MOST_TASKS`` activities (a larger one
+    fails the job) and goes to as many tasks as its trials have blocks; each
+    block has a random stream of its own, so that the result depends neither on
+    the tasks nor on the other schedules. Nothing is gathered on the driver.
     """
     linked = valid_links(activities, links)
     order = waves(activities, linked)
     offset = lambda day: workdays_between(data_date, day).cast("double")
-    tasks = [
-        r.asDict()
-        for r in remaining_durations(activities, data_date).join(order, "task_code")
-        .select("task_code", "name", "status", "duration", "wave", offset(F.coalesce("actual_end", data_date)).alias("fixed_finish"), offset(F.col("target_start")).alias("planned"))
-        .orderBy("wave", "task_code").collect()
-    ]
-    into: dict[str, list[tuple[str, str, float]]] = {}
-    for r in linked.orderBy("seq").collect():
-        into.setdefault(r["successor"], []).append((r["predecessor"], r["link"], r["lag_days"] or 0.0))
+    link = F.struct("seq", "predecessor", "link", F.coalesce("lag_days", F.lit(0.0)).alias("lag"))
+    into = linked.groupBy(F.col("successor").alias("task_code")).agg(F.array_sort(F.collect_list(link)).alias("links"))
+    work = remaining_durations(activities, data_date).join(order, "task_code").join(into, "task_code", "left")
+    task = F.struct("wave", "task_code", "name", "status", "duration", offset(F.coalesce("actual_end", data_date)).alias("fixed_finish"), offset(F.col("target_start")).alias("planned"), "links")
+    whole = work.groupBy(F.col(schedule).alias("schedule")).agg(F.array_sort(F.collect_list(task)).alias("tasks"))
+    bounded = F.when(F.size("tasks") > MOST_TASKS, F.raise_error(F.lit(f"a schedule has over {MOST_TASKS} activities")).cast(whole.schema["tasks"].dataType)).otherwise(F.col("tasks"))
+    whole = whole.withColumn("tasks", bounded).join(milestones.select(F.col(schedule).alias("schedule"), "milestone"), "schedule")
     n_blocks = -(-trials // TRIALS_PER_BLOCK)
+    blocks = whole.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).repartition("schedule", "block")
     first = F.col("block") * TRIALS_PER_BLOCK
-    blocks = spark.range(0, n_blocks, 1, n_blocks).select(F.col("id").alias("block"), (F.col("id") * TRIALS_PER_BLOCK).alias("first"))
-    blocks = blocks.withColumn("n", F.least(F.lit(TRIALS_PER_BLOCK), F.lit(trials) - first))
-    return blocks.mapInPandas(_simulator(tasks, into, milestone, seed), "trial long, finish double")
+    stream = F.crc32(F.col("schedule").cast("string").cast("binary"))
+    blocks = blocks.select("schedule", "tasks", "milestone", "block", stream.alias("stream"), first.cast("long").alias("first"), F.least(F.lit(TRIALS_PER_BLOCK), F.lit(trials) - first).alias("n"))
+    return blocks.mapInArrow(_simulator(seed), f"schedule {whole.schema['schedule'].dataType.simpleString()}, trial long, finish double")
+
+
+def simulate_finish(spark: SparkSession, activities: DataFrame, links: DataFrame, data_date: Column, milestone: str, trials: int = TRIALS, seed: int = SEED) -> DataFrame:
+    """``trial, finish`` of one schedule: ``simulate_each`` with all activities in one."""
+    wanted = spark.range(1).select(F.lit(0).alias("__schedule"), F.lit(milestone).alias("milestone"))
+    return simulate_each(activities.withColumn("__schedule", F.lit(0)), links, data_date, wanted, "__schedule", trials, seed).select("trial", "finish")
 
 
-def simulation_summary(trials: DataFrame, data_date: Column, baseline: Column) -> DataFrame:
-    """One row: P50, P80 and P90 (interpolated) in workdays and as dates, the share later than the baseline, and the delay."""
+def simulation_summary(trials: DataFrame, data_date: Column, baseline: Column, by: str | None = None) -> DataFrame:
+    """P50, P80 and P90 (interpolated) in workdays and as dates, the share later than the baseline, and the delay.
+
+    One row, or with ``by`` one for each of that column's values; a percentile
+    needs the distinct finishes of one schedule's trials, which ``trials`` bounds.
+    """
     limit = workdays_between(data_date, baseline)
-    row = trials.agg(F.percentile("finish", F.array(F.lit(0.5), F.lit(0.8), F.lit(0.9))).alias("p"), F.round(F.avg((F.col("finish") > limit).cast("int")), 3).alias("breach"))
+    keys = [by] if by else []
+    row = trials.groupBy(*keys).agg(F.percentile("finish", F.array(F.lit(0.5), F.lit(0.8), F.lit(0.9))).alias("p"), F.round(F.avg((F.col("finish") > limit).cast("int")), 3).alias("breach"))
     dates = {f"p{q}_date": workday_offset(data_date, F.col("p")[i]) for i, q in enumerate((50, 80, 90))}
-    row = row.select("breach", *(F.col("p")[i].alias(f"p{q}") for i, q in enumerate((50, 80, 90))), *(d.alias(n) for n, d in dates.items()))
+    row = row.select(*keys, "breach", *(F.col("p")[i].alias(f"p{q}") for i, q in enumerate((50, 80, 90))), *(d.alias(n) for n, d in dates.items()))
     return row.withColumn("expected_delay_days", F.datediff("p50_date", baseline))
+
+
+# What may be done about a late milestone.
+MITIGATIONS = (
+    "Expedite the slipped delivery (air freight / vendor premium).",
+    "Resequence downstream commissioning to overlap non-dependent tests.",
+    "Negotiate interim milestone relief with the owner before breach.",
+)
+
+
+def narrative(path: DataFrame, origin: DataFrame, simulated: DataFrame, sla: Column) -> DataFrame:
+    """``milestone, causal_narrative, mitigation_options``: what drives each milestone, as text.
+
+    ``path`` (milestone, task_code, pos), ``origin`` (milestone, origin, slip),
+    ``simulated`` one row with P50, P80, P90 dates and the share beyond ``sla``.
+    """
+    codes = path.groupBy("milestone").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "task_code"))), lambda x: x["task_code"]), " -> ").alias("codes"))
+    facts = codes.join(origin, "milestone", "left").join(F.broadcast(simulated))  # one row beside
+    said = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("None"))
+    text = F.concat(
+        F.lit("Driving path "), "codes", F.lit(": origin slip "), said("slip"), F.lit(" workdays at "), said("origin"), F.lit("; P50 "), said("p50_date"),
+        F.lit(", P80 "), said("p80_date"), F.lit(", P90 "), said("p90_date"), F.lit("; P(miss SLA "), sla.cast("string"), F.lit(") = "), said("breach"),
+    )
+    return facts.select("milestone", text.alias("causal_narrative"), F.array(*map(F.lit, MITIGATIONS)).alias("mitigation_options"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, scalars
-from ..operators import commissioning, compliance, convergence, dashboard, delivery, documents, events, graph, ncr, retrieval, schedule
+from ..operators import commissioning, compliance, convergence, dashboard, delivery, documents, events, graph, ncr, questions, retrieval, schedule
 from ..session import load
 from .analogues import CRITICAL, EVENT_LOG, FORWARD, critical_entities, event_log, turns
 
@@ -570,17 +570,14 @@ def slip_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*_split_code(), "slip").withColumnRenamed("turn", "origin")
 
 
-def _simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The longest conversation as one schedule, with durations from its texts.
-    activities, links = turns(spark, sf_dir)
-    work = activities.where("conv_id = 0").withColumns({"original_duration_days": F.col("duration") + 1, "early_end": F.lit(None).cast("date")})
-    last = work.agg(F.max("turn")).first()[0]
-    return schedule.simulate_finish(spark, work, links, _data_date(), f"C0-{last}")
-
-
 @query()
 def mc_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule.simulation_summary(_simulated(spark, sf_dir), _data_date(), F.lit("2026-08-20").cast("date"))
+    # Every conversation as a schedule, with durations from its texts.
+    activities, links = turns(spark, sf_dir)
+    work = activities.withColumns({"original_duration_days": F.col("duration") + 1, "early_end": F.lit(None).cast("date")})
+    last = work.groupBy("conv_id").agg(F.max_by("task_code", "turn").alias("milestone"))
+    trials = schedule.simulate_each(work, links, _data_date(), last, "conv_id", trials=1000)
+    return schedule.simulation_summary(trials, _data_date(), F.lit("2026-08-20").cast("date"), by="schedule").withColumnRenamed("schedule", "conv_id")
 
 
 @query("select quantile_cont(l_extendedprice, 0.5) as p50, quantile_cont(l_extendedprice, 0.8) as p80, quantile_cont(l_extendedprice, 0.9) as p90, round(avg(cast(l_extendedprice > 50000 as integer)), 3) as breach from lineitem")
@@ -747,3 +744,85 @@ def gantt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("date")
     rows = load(spark, sf_dir, "orders").select("o_orderkey", none.alias("actual_start"), day.alias("early_start"), none.alias("target_start"), none.alias("actual_end"), F.date_add(day, (F.col("o_orderkey") % 20).cast("int")).alias("early_end"), F.date_add(day, 5).alias("target_end"))
     return dashboard.gantt_rows(rows).select("o_orderkey", F.col("bar_start").cast("string").alias("bar_start"), F.col("slip_days").cast("int").alias("slip_days"))
+
+
+# Listings and state
+
+
+@query(f"with {EVENT_LOG} select seq, agent, entity_id, count(*) over () as n_total from ev where agent = 'error' order by seq desc limit 100")
+def events_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.page(event_log(spark, sf_dir), agent="error").select("seq", "agent", "entity_id", "n_total")
+
+
+@query(f"with {EVENT_LOG} select count(*) as n_removed from ev where agent = 'error' and severity = 'LOW'")
+def removed_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.removed_count(event_log(spark, sf_dir), agent="error", severity="LOW")
+
+
+@query(
+    f"""with {_READINGS}, s as (select distinct conv_id as session_id from conversations), d as (select session_id, count(*) as n_done, count(*) filter (where result = 'FAIL') as n_failed from res group by 1),
+    j as (select s.session_id, coalesce(n_done, 0) as n_done, coalesce(n_failed, 0) as n_failed from s left join d using (session_id))
+    select session_id, n_done, n_failed, least(n_done + 1, 8) as current_step, n_failed > 0 as sign_off_blocked,
+      case when session_id % 3 = 0 then case when n_done >= 8 and n_failed = 0 then 'passed' else 'failed' end when n_done >= 8 then 'steps_complete' else 'in_progress' end as state from j"""
+)
+def session_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    readings, steps, _ = _session(spark, sf_dir)
+    completed = F.when(F.col("session_id") % 3 == 0, F.timestamp_seconds("session_id"))
+    sessions = readings.select("session_id", "procedure_id").distinct().withColumn("completed_at", completed)
+    return commissioning.session_states(sessions, commissioning.judged(readings, steps), steps).drop("procedure_id")
+
+
+@query(f"with {EVENT_LOG} select seq, 'N' || seq as ncr_id, count(*) filter (where agent <> 'error') over () as n_open from ev where severity = 'CRITICAL'")
+def ncr_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reports = event_log(spark, sf_dir).where("severity = 'CRITICAL'").select("seq", F.concat(F.lit("N"), "seq").alias("ncr_id"), F.when(F.col("agent") == "error", "CLOSED").otherwise("OPEN").alias("status"))
+    return ncr.listing(reports).select("seq", "ncr_id", "n_open")
+
+
+@query("select doc_id, coalesce(substr(text, 1, 90), '') as title, '' as spec_clause, 'MAJOR' as severity from documents")
+def ncr_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ncr.drafted(load(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "title", "spec_clause", "severity")
+
+
+@query(
+    """with d as (select distinct 'P' || p_partkey as tag, 'CL-' || p_size as clause from part where p_size % 5 = 0), e as (select distinct 'P' || l_partkey as tag, 'O' || l_orderkey as act, 'SPEC::CL-' || (l_linenumber * 5) || '0::x' as spec from lineitem)
+    select distinct 'DEV::' || d.tag || '::' || clause || '::x' as src, spec as dst, 'DEVIATES_FROM' as relationship from d join e using (tag) where contains(spec, clause)
+    union select distinct 'DEV::' || d.tag || '::' || clause || '::x', act, 'IMPACTS' from d join e using (tag)"""
+)
+def deviation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, lines = load(spark, sf_dir, "part"), load(spark, sf_dir, "lineitem")
+    tag = F.concat(F.lit("P"), "l_partkey")
+    found = part.where("p_size % 5 = 0").select(F.concat(F.lit("P"), "p_partkey").alias("equipment_tag"), F.concat(F.lit("CL-"), "p_size").alias("clause_id"), F.lit("x").alias("parameter"))
+    specified = lines.select(tag.alias("src"), F.concat(F.lit("SPEC::CL-"), F.col("l_linenumber") * 5, F.lit("0::x")).alias("dst"), F.lit("SPECIFIED_BY").alias("relationship"))
+    required = lines.select(F.concat(F.lit("O"), "l_orderkey").alias("src"), tag.alias("dst"), F.lit("REQUIRES").alias("relationship"))
+    return graph.deviation_graph(found, specified.union(required))[1]
+
+
+@query("select (select count(*) from part) as n_nodes, (select count(*) from lineitem) as n_edges, (select count(*) from embeddings) as n_vectors")
+def graph_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.sizes(*(load(spark, sf_dir, t) for t in ("part", "lineitem", "embeddings")))
+
+
+@query("with a as (select sha256(text) as h, min(lang) as revision from documents where text is not null and source is not null group by 1) select doc_id, coalesce(a.revision, 'unknown') as revision from documents left join a on sha256(text) = h")
+def active_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    files = docs.select("doc_id", F.col("text").alias("content"))
+    assets = docs.where("text is not null and source is not null").select(F.col("lang").alias("revision"), F.col("text").alias("content"))
+    return documents.active_revision(files, assets).select("doc_id", "revision")
+
+
+@query("select distinct sha256(text)[1:12] as version_id from documents where text is not null")
+def seeds_return(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = documents.retained(load(spark, sf_dir, "documents").where("text is not null").select("text", "lang"), "text").select("version_id", "lang")
+    kept = versions.where("lang <> 'en'")
+    return documents.with_seeds(kept, versions).select("version_id")
+
+
+@query(
+    """select 'N' || o_orderkey as id, case when l_suppkey is not null then 'N' || o_orderkey || ' -IMPACTS-> S' || l_suppkey end as path
+    from orders left join (select distinct l_orderkey, l_suppkey from lineitem) on l_orderkey = o_orderkey where upper(o_orderstatus) <> 'F'"""
+)
+def open_ncrs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.create_map(F.lit("status"), F.when(F.col("o_orderstatus") == "F", "closed").otherwise(F.col("o_orderstatus")))
+    nodes = load(spark, sf_dir, "orders").select(F.concat(F.lit("N"), "o_orderkey").alias("node_id"), F.lit("NCR").alias("node_type"), status.alias("attributes"), F.lit(0.5).alias("risk_score"))
+    edges = load(spark, sf_dir, "lineitem").select(F.concat(F.lit("N"), "l_orderkey").alias("src"), F.concat(F.lit("S"), "l_suppkey").alias("dst"), F.lit("IMPACTS").alias("relationship")).distinct()
+    return questions.field_reports(nodes, edges).select("id", "path")

@@ -6,20 +6,34 @@ thing handed on. A derivation replaces the events of the one before.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import milestone_risk, milestone_severity, slip_risk, slip_severity
 from ..functions.scalars import tags_in
 from ..operators import compliance, convergence, delivery, graph, schedule
 from ..operators.events import by_agent, without_agents
+from ..sources.store import scratch
 
 AGENTS = ("SPECTRA", "CHRONOS", "TRACIS")
 _FIELDS = ("event_type", "entity_id", "entity_type", "severity", "description", "risk_score")
 
 
+def timed(stages: dict[str, Callable[[], DataFrame]]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Run stages one after the other: their written results, and ``stage, seconds`` (a row each)."""
+    results, rows = {}, []
+    for name, stage in stages.items():
+        begin = time.monotonic()
+        results[name] = scratch(stage(), name)
+        rows.append((name, time.monotonic() - begin))
+    spark = SparkSession.active()
+    return results, spark.createDataFrame(rows, "stage string, seconds double")
+
+
 @dataclass
 class Reports:
     """What an analysis gives; every field is a DataFrame."""

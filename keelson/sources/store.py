@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,42 +41,95 @@ def numbered(df: DataFrame, name: str, *order: str, first: int = 1) -> DataFrame
 
 
 class Store:
-    """A table under a folder. A replacement is written beside the current version and then named current."""
+    """A table under a folder, changed by versions: folders ``v1, v2, ...``, each a replacement or an addition.
+
+    The table is the last replacement and what was added since. A version is
+    written aside and renamed to the next free number, which fails where another
+    writer took it; so versions are seen whole, and none is lost or overwritten.
+    It asks for a file system that renames folders atomically.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        jvm = spark._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._files.getUri(), spark._jsc.hadoopConfiguration())
 
     def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(root):
-            return []
-        names = [s.getPath() for s in files.listStatus(root)]
-        done = lambda p: files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
-        return sorted(int(p.getName()[1:]) for p in names if p.getName().startswith("v") and p.getName()[1:].isdigit() and done(p))
+        root = self._path(self.path)
+        names = [s.getPath().getName() for s in self._files.listStatus(root)] if self._files.exists(root) else []
+        return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
+
+    def _current(self, versions: list[int]) -> list[str]:
+        """The folders that make up the table, the oldest first."""
+        parts: list[str] = []
+        for n in reversed(versions):
+            parts.insert(0, f"{self.path}/v{n}")
+            if self._files.exists(self._path(f"{self.path}/v{n}/_replaces")):
+                break
+        return parts
 
     def read(self) -> DataFrame:
-        """The newest complete version; empty if there is none."""
-        versions = self._versions()
-        if not versions:
+        """The table as it is now; empty if there is none."""
+        parts = self._current(self._versions())
+        if not parts:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{versions[-1]}")
+        return self.spark.read.schema(self.schema).parquet(*parts)
 
-    def replace(self, rows: DataFrame) -> DataFrame:
-        """Readers see the old version or the new one, never a mixture."""
-        version = (self._versions() or [0])[-1] + 1
+    def _write(self, rows: DataFrame, replaces: bool) -> str:
+        """``rows`` in a folder of their own, not yet part of the table."""
+        aside = f"{self.path}/_aside-{uuid.uuid4().hex}"
         empty = self.spark.createDataFrame([], self.schema)
-        empty.unionByName(rows, allowMissingColumns=True).select(*empty.columns).write.parquet(f"{self.path}/v{version}")
+        empty.unionByName(rows, allowMissingColumns=True).select(*empty.columns).write.parquet(aside)
+        if replaces:
+            self._files.create(self._path(f"{aside}/_replaces"), False).close()
+        return aside
+
+    def _commit(self, aside: str, version: int) -> bool:
+        """Make a folder the version of that number; false if there is one."""
+        target = self._path(f"{self.path}/v{version}")
+        if self._files.exists(target):
+            return False
+        options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            self._context.rename(self._path(aside), target, options)
+        except Py4JJavaError:
+            if self._files.exists(target) and self._files.exists(self._path(aside)):
+                return False
+            raise
+        return True
+
+    def _next(self) -> int:
+        return (self._versions() or [0])[-1] + 1
+
+    def _publish(self, rows: DataFrame, replaces: bool) -> DataFrame:
+        aside = self._write(rows, replaces)
+        while not self._commit(aside, self._next()):
+            pass  # each turn another writer got on
         return self.read()
 
+    def replace(self, rows: DataFrame) -> DataFrame:
+        """Readers see the old table or the new one, never a mixture."""
+        return self._publish(rows, True)
+
     def append(self, rows: DataFrame) -> DataFrame:
         """Added as one: all rows or none become visible together with the old ones."""
-        version = (self._versions() or [0])[-1]
-        if not version:
-            return self.replace(rows)
-        empty = self.spark.createDataFrame([], self.schema)
-        empty.unionByName(rows, allowMissingColumns=True).select(*empty.columns).write.mode("append").parquet(f"{self.path}/v{version}")
+        return self._publish(rows, False)
+
+    def change(self, rows: Callable[[DataFrame], DataFrame], replaces: bool = False) -> DataFrame:
+        """Add (or put in place) what ``rows`` makes of the table; made again if another writer changed it meanwhile."""
+        while True:
+            versions = self._versions()
+            parts = self._current(versions)
+            now = self.spark.read.schema(self.schema).parquet(*parts) if parts else self.spark.createDataFrame([], self.schema)
+            if self._commit(self._write(rows(now), replaces), (versions or [0])[-1] + 1):
+                return self.read()
+
+    def read_or_build(self, build: Callable[[], DataFrame]) -> DataFrame:
+        """The table, built if there is none yet; of writers that build at once, the first one's counts for all."""
+        if not self._versions():
+            self._commit(self._write(build(), True), 1)
         return self.read()
 
     def clear(self) -> DataFrame:
@@ -82,7 +137,11 @@ class Store:
 
 
 def publish(store: Store, events: DataFrame) -> DataFrame:
-    """Append events after checking them; their numbers continue the log's."""
-    last = store.read().agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
-    checked = publishable(events)
-    return store.append(numbered(checked, "n", "ts", "agent", "entity_id").join(F.broadcast(last)).withColumn("seq", (F.col("last") + F.col("n")).cast("long")).drop("n", "last"))
+    """Append events after checking them; their numbers continue the log's, also when several writers publish at once."""
+    checked = scratch(publishable(events), "published")
+
+    def fresh(log: DataFrame) -> DataFrame:
+        last = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))  # one row
+        return numbered(checked, "n", "ts", "agent", "entity_id").join(F.broadcast(last)).withColumn("seq", (F.col("last") + F.col("n")).cast("long")).drop("n", "last")
+
+    return store.change(fresh)

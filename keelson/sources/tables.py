@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import clean_cell
 from ..schemas import PROCEDURES, RFI_FIELDS
@@ -15,6 +16,9 @@ HEADINGS = {
     "question": "question", "response": "response", "cost_impact": "cost", "schedule_impact": "schedule impact",
 }
 
+# Names of fields that a cache of source facts must not have.
+FORBIDDEN_KEYS = ("deviation", "deviations", "compliant", "compliance", "violation", "risk_score", "severity", "delay_days")
+
 
 def register(cells: DataFrame) -> DataFrame:
     """RFIs out of a sheet's rows (``file, row, cells array<string>``), whatever stands above its heading.
@@ -57,3 +61,30 @@ def is_stale(sources: DataFrame, caches: DataFrame) -> DataFrame:
     """``name, stale``: whether a source (name, modified) is newer than what was derived from it, or nothing was."""
     derived = caches.groupBy("name").agg(F.min("modified").alias("derived"))
     return sources.join(derived, "name", "left").select("name", (F.col("derived").isNull() | (F.col("modified") > F.col("derived"))).alias("stale"))
+
+
+def forbidden_keys(rows: DataFrame) -> list[str]:
+    """Paths of fields, at any depth, whose names give an answer away (``FORBIDDEN_KEYS``, in any case); read off the schema."""
+    found: list[str] = []
+
+    def walk(kind: T.DataType, path: str) -> None:
+        if isinstance(kind, T.StructType):
+            for field in kind.fields:
+                inner = f"{path}.{field.name}".lstrip(".")
+                if field.name.lower() in FORBIDDEN_KEYS:
+                    found.append(inner)
+                walk(field.dataType, inner)
+        elif isinstance(kind, T.ArrayType):
+            walk(kind.elementType, path)
+        elif isinstance(kind, T.MapType):
+            walk(kind.valueType, path)
+
+    walk(rows.schema, "")
+    return found
+
+
+def without_answers(rows: DataFrame, source: str) -> DataFrame:
+    """``rows``, or an error if they have forbidden keys."""
+    if bad := forbidden_keys(rows):
+        raise ValueError(f"{source} has answers in {', '.join(sorted(bad))}")
+    return rows
