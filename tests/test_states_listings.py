@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keelson.functions import scalars
-from keelson.operators import commissioning, documents, events, graph, ncr, questions, schedule
+from keelson.operators import commissioning, dashboard, documents, events, graph, ncr, questions, schedule
 from keelson.plans.run_all import timed
 from keelson.sources import store, tables
 
@@ -129,3 +129,17 @@ def test_caches_have_no_answers_and_stages_are_timed(spark):
         tables.without_answers(bad, "x")
     results, times = timed({"one": lambda: spark.range(3), "two": lambda: spark.range(4)})
     assert results["two"].count() == 4 and [r["stage"] for r in times.collect()] == ["one", "two"]
+
+
+def test_the_dashboard_has_its_parts(spark):
+    nodes = spark.createDataFrame([("UPS-01", "Equipment", None, 0.7), ("GEN-01", "Equipment", None, 0.2), ("D", "Deviation", None, None), ("R", "RFI", "Open", None)], "node_id string, node_type string, status string, risk_score double")
+    activities = spark.createDataFrame([("a", True, dt.date(2026, 2, 1)), ("b", True, dt.date(2026, 1, 1)), ("c", False, None)], "task_code string, is_critical boolean, early_start date")
+    milestones = spark.createDataFrame([("m", 9.0), ("l", None)], "node_id string, p90 double")
+    rows = spark.createDataFrame([(i,) for i in range(30)], "seq long")
+    parts = dashboard.summary(nodes, activities, milestones, spark.range(2), rows)
+    metrics = parts["metrics"].first()
+    assert (metrics["equipment_at_risk"], metrics["open_deviations"], metrics["open_rfis"], metrics["n_alerts"], metrics["n_events"]) == (1, 1, 1, 2, 30)
+    assert [r["node_id"] for r in parts["equipment"].collect()] == ["UPS-01", "GEN-01"]
+    assert [r["task_code"] for r in parts["critical_path"].collect()] == ["b", "a"]
+    assert parts["milestone"].first()["node_id"] == "m" and parts["deviations"].count() == 1
+    assert [r["seq"] for r in parts["recent_events"].collect()] == list(range(29, 4, -1))
