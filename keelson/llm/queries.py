@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extraction, jaccard_join, language_id, line_dedup, nearest_neighbours, packing, quality_classifier, quality_rules, sentencepiece_codec, url_filters
+from . import bpe_automaton, html_extraction, jaccard_join, language_id, lexical_search, line_dedup, merkle_manifest, nearest_neighbours, packing, quality_classifier, quality_rules, sentencepiece_codec, url_filters
 from .common import table
 
 #: Vocabulary files are read where the library that brings them has them.
@@ -62,6 +62,19 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), url_filters.block_list(spark))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.verify_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = vocabulary(WORD_VOCABULARY)
+    return bpe_automaton.digests(bpe_automaton.encode(table(spark, sf_dir, "documents"), model), model)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -75,6 +88,15 @@ QUERIES = {
         op8_nearest_neighbours,
         op9_line_dedup,
         op10_url_filters,
+        op11_lexical_search,
+        op12_merkle_manifest,
+        op13_bpe_automaton,
     )
 }
-ORACLE_SQL = {"op6_ngram_jaccard_join": jaccard_join.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL, "op10_url_filters": url_filters.ORACLE_SQL}
+ORACLE_SQL = {
+    "op6_ngram_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op9_line_dedup": line_dedup.ORACLE_SQL,
+    "op10_url_filters": url_filters.ORACLE_SQL,
+    "op11_lexical_search": lexical_search.ORACLE_SQL,
+    "op12_merkle_manifest": merkle_manifest.ORACLE_SQL,
+}
