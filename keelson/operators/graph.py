@@ -7,12 +7,13 @@ target and relationship; of repeated ones the last counts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import tags_in
 from .documents import occurring
 from .events import first_by
+from .segments import HOT_ROWS, with_last, with_next
 
 # Words that tie a clause to the equipment of a tag's prefix.
 KEYWORDS = {
@@ -35,10 +36,9 @@ MOST_PARTS = 256
 # Versions
 
 
-def with_validity(versions: DataFrame, key: str = "node_id", time: str = "tx_time", seq: str = "seq") -> DataFrame:
+def with_validity(versions: DataFrame, key: str = "node_id", time: str = "tx_time", seq: str = "seq", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Versions with ``tx_from`` and ``tx_to``, the time of the next one (null for the current)."""
-    following = F.lead(time).over(Window.partitionBy(key).orderBy(time, seq))
-    return versions.withColumns({"tx_from": F.col(time), "tx_to": following})
+    return with_next(versions.withColumn("tx_from", F.col(time)), [key], [time, seq], time, "tx_to", hot_rows)
 
 
 def as_of(versions: DataFrame, at: Column, key: str = "node_id", time: str = "tx_time", seq: str = "seq") -> DataFrame:
@@ -46,14 +46,13 @@ def as_of(versions: DataFrame, at: Column, key: str = "node_id", time: str = "tx
     return first_by(versions.where(F.col(time) <= at), [key], F.col(time).desc(), F.col(seq).desc())
 
 
-def as_of_each(versions: DataFrame, asked: DataFrame, key: str = "node_id", time: str = "tx_time", at: str = "at", seq: str = "seq") -> DataFrame:
+def as_of_each(versions: DataFrame, asked: DataFrame, key: str = "node_id", time: str = "tx_time", at: str = "at", seq: str = "seq", hot_rows: int = HOT_ROWS) -> DataFrame:
     """For each row (key, at) of ``asked``, the latest version by then: one sort of both sides' union, no range join."""
     names = [c for c in versions.columns if c != key]
     state = F.struct(*names)
     left = asked.select(key, F.col(at).alias("__t"), F.lit(1).alias("__asked"), F.lit(None).cast(versions.select(state.alias("s")).schema["s"].dataType).alias("__state"), F.lit(None).cast(versions.schema[seq].dataType).alias("__seq"))
     right = versions.select(key, F.col(time).alias("__t"), F.lit(0).alias("__asked"), state.alias("__state"), F.col(seq).alias("__seq"))
-    order = Window.partitionBy(key).orderBy("__t", "__asked", "__seq").rowsBetween(Window.unboundedPreceding, 0)
-    found = left.unionByName(right).withColumn("__last", F.last("__state", ignorenulls=True).over(order))
+    found = with_last(left.unionByName(right), [key], ["__t", "__asked", "__seq"], "__state", "__last", hot_rows)
     return found.where("__asked = 1 and __last is not null").select(key, F.col("__t").alias(at), "__last.*")
 
 

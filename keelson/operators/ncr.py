@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import FIELD_RISK, FIELD_RISK_WITHOUT, by_value
 from ..functions.scalars import next_id
+from .segments import Transitions
 
 # Severities, dispositions, and the state that each action needs and gives.
 DISPOSITIONS = ("use-as-is", "rework", "reject")
@@ -33,29 +34,21 @@ def highest_number(ids: Column) -> Column:
     return F.max(F.regexp_extract(ids, r"-(\d+)$", 1).try_cast("int"))
 
 
-def states(log: DataFrame, key: str = "ncr_id", order: str = "seq", strict: bool = False) -> DataFrame:
-    """``key, status, n_actions, n_refused``: a fold of each report's actions in order.
+def states(log: DataFrame, key: str = "ncr_id", order: str = "seq", strict: bool = False, hot_rows: int = 100_000) -> DataFrame:
+    """``key, status, n_actions, n_refused``: what each report's actions in order lead to.
 
     An action that its report's state does not allow is refused and changes
-    nothing; with ``strict`` it fails the job.
+    nothing; with ``strict`` it fails the job. Runs of actions compose, so a
+    report of more than ``hot_rows`` actions is folded in parts.
     """
-    steps = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("action").alias("action"))))
-    by_report = log.groupBy(key).agg(steps.alias("steps"))
-    start = F.struct(F.lit("").alias("status"), F.lit(0).alias("refused"))
-
-    def move(state: Column, step: Column) -> Column:
-        after = None
-        for action, (needs, gives) in TRANSITIONS.items():
-            test = (step["action"] == action) & (state["status"] == (needs or ""))
-            after = F.when(test, F.lit(gives)) if after is None else after.when(test, F.lit(gives))
-        refused = after.otherwise(F.lit(None)).isNull()
-        return F.struct(F.coalesce(after, state["status"]).alias("status"), (state["refused"] + refused.cast("int")).alias("refused"))
-
-    folded = by_report.withColumn("state", F.aggregate("steps", start, move))
-    refused = F.col("state.refused")
+    names = ["", *dict.fromkeys(gives for _, gives in TRANSITIONS.values())]
+    machine = Transitions(names, {action: (needs or "", gives) for action, (needs, gives) in TRANSITIONS.items()})
+    found = machine.runs(log, [key], order, "action", hot_rows)
+    refused = F.get("run.refused", F.lit(0)).cast("int")
     if strict:
         refused = F.when(refused > 0, F.raise_error(F.lit("a transition is not allowed")).cast("int")).otherwise(refused)
-    return folded.select(key, F.col("state.status").alias("status"), F.size("steps").alias("n_actions"), refused.alias("n_refused"))
+    status = F.get(F.array(*map(F.lit, names)), F.get("run.to", F.lit(0)))
+    return found.select(key, status.alias("status"), F.col("n_actions").cast("int").alias("n_actions"), refused.alias("n_refused"))
 
 
 def field_risk(reports: DataFrame, tags: DataFrame) -> DataFrame:

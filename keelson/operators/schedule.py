@@ -1,9 +1,8 @@
 """Schedules: topological waves, the forward pass, driving paths, slips and simulation.
 
-The forward pass is a max-plus recursion, which one query can't express; it runs
-in waves over the links. A wave is one join and one aggregation, so a schedule
-of n activities takes as many jobs as its longest chain has links, not n, and
-every wave is cut off from the ones before (``checkpoint``).
+The forward pass is a max-plus recursion, which one query can't express; it is
+solved by elimination (``maxplus``), in rounds that grow with the logarithm of a
+schedule's depth. Results in between are written, so that each starts anew.
 """
 
 from __future__ import annotations
@@ -18,11 +17,12 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import workday_offset, workdays_between
 from .events import first_by
+from .maxplus import longest
+from .quantiles import summarised
 
 # Names of logistics work, trials and seed of a simulation, and the spreads of durations.
 LOGISTICS = re.compile(r"deliver|receiv|procure|fabricat|ship|manufactur", re.I)
 TRIALS, SEED = 5000, 42
-MAX_WAVES = 10_000
 TRIALS_PER_BLOCK = 2500
 #: Activities of one schedule at most: they are one row.
 MOST_TASKS = 100_000
@@ -42,20 +42,9 @@ def valid_links(activities: DataFrame, links: DataFrame) -> DataFrame:
 
 def waves(activities: DataFrame, links: DataFrame) -> DataFrame:
     """``task_code, wave``: the longest chain of links that leads to each activity; a cycle fails."""
-    links = _cut(valid_links(activities, links).select("predecessor", "successor").distinct())
-    reached = activities.select("task_code", F.lit(0).alias("wave"))
-    last, most = activities.select("task_code"), None
-    for k in range(1, MAX_WAVES):
-        # Whatever follows an activity that the last wave reached is reached again by this one; the last time counts.
-        last = _cut(links.join(last.withColumnRenamed("task_code", "predecessor"), "predecessor", "left_semi").select(F.col("successor").alias("task_code")).distinct())
-        if last.isEmpty():
-            return reached.groupBy("task_code").agg(F.max("wave").alias("wave"))
-        if k % 16 == 0:
-            most = most or activities.count()
-            if k > most:
-                break
-        reached = reached.unionByName(last.withColumn("wave", F.lit(k)))
-    raise ValueError("the links have a cycle")
+    steps = valid_links(activities, links).select(F.col("predecessor").alias("src"), F.col("successor").alias("dst"), F.lit(1.0).alias("weight"))
+    found = longest(activities.select(F.col("task_code").alias("node"), F.lit(0.0).alias("least")), steps)
+    return found.select(F.col("node").alias("task_code"), F.col("value").cast("int").alias("wave"))
 
 
 def remaining_durations(activities: DataFrame, data_date: Column) -> DataFrame:
@@ -73,6 +62,10 @@ def forward_pass(activities: DataFrame, links: DataFrame, data_date: Column) ->
     active work stands on its actual dates; other work starts at the latest of
     the data date, its planned start and what its predecessors allow. The driver
     is the first predecessor, in the links' order, that sets the start.
+
+    What a predecessor of actual dates allows is known, so those links only raise
+    the earliest starts. All others add a constant to the predecessor's start:
+    ``longest`` solves them, and one more join of the links finds the drivers.
     """
     links = valid_links(activities, links).withColumn("lag", F.coalesce("lag_days", F.lit(0.0)))
     offset = lambda day: workdays_between(data_date, F.coalesce(day, data_date)).cast("double")
@@ -84,30 +77,24 @@ def forward_pass(activities: DataFrame, links: DataFrame, data_date: Column) ->
         F.when(done | active, begun).otherwise(F.greatest(F.lit(0.0), F.coalesce(workdays_between(data_date, F.col("target_start")).cast("double"), F.lit(0.0)))).alias("earliest"),
         F.when(done, offset(F.col("actual_end"))).when(active, F.greatest(begun, F.lit(0.0)) + F.col("duration")).alias("fixed_finish"),
     )
-    ranked = _cut(waves(activities, links).join(own, "task_code"))
-    last = ranked.agg(F.max("wave")).first()[0]
-    at = ranked.select(F.col("task_code").alias("successor"), F.col("wave").alias("due"), F.col("duration").alias("d"))
-    links = _cut(links.join(at, "successor"))
-    passed = waiting = None  # the levels so far, each written once, and what they allow for activities of later waves
-    for k in range((last if last is not None else -1) + 1):
-        here = ranked.where(F.col("wave") == k)
-        if waiting is None:
-            best = here.withColumns({"cand": F.lit(None).cast("double"), "who": F.lit(None).cast("string")})
-        else:
-            top = first_by(waiting.where(F.col("due") == k).drop("due"), ["task_code"], F.col("cand").desc(), F.col("seq").asc())
-            best = here.join(top.drop("seq"), "task_code", "left")
-        driven = ~F.col("fixed") & F.coalesce(F.col("cand") > F.col("earliest"), F.lit(False))
-        start = F.when(driven, F.col("cand")).otherwise(F.col("earliest"))
-        level = best.select("task_code", start.alias("start"), F.coalesce("fixed_finish", start + F.col("duration")).alias("finish"), F.when(driven, F.col("who")).alias("driver"))
-        level = _cut(level)
-        passed = level if passed is None else passed.unionByName(level)
-        out = links.join(level.select(F.col("task_code").alias("predecessor"), F.col("start").alias("s"), F.col("finish").alias("f")), "predecessor")
-        cand = F.when(F.col("link") == "SS", F.col("s") + F.col("lag")).when(F.col("link") == "FF", F.col("f") + F.col("lag") - F.col("d")).otherwise(F.col("f") + F.col("lag"))
-        out = out.select(F.col("successor").alias("task_code"), F.col("predecessor").alias("who"), cand.alias("cand"), "seq", "due")
-        waiting = _cut(out if waiting is None else waiting.where(F.col("due") > k).unionByName(out))
-    if passed is None:
-        passed = activities.select("task_code", F.lit(0.0).alias("start"), F.lit(0.0).alias("finish"), F.lit(None).cast("string").alias("driver")).limit(0)
-    return passed
+    own = _cut(own)
+    end = lambda name: own.select(F.col("task_code").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("duration", "fixed", "earliest", "fixed_finish")))
+    into = links.join(end("successor").where("not successor_fixed"), "successor").join(end("predecessor"), "predecessor")
+    before = F.when(F.col("link") == "SS", F.lit(0.0)).otherwise(F.col("predecessor_duration"))
+    weight = before + F.col("lag") - F.when(F.col("link") == "FF", F.col("successor_duration")).otherwise(0.0)
+    known = F.when(F.col("link") == "SS", F.col("predecessor_earliest")).otherwise(F.col("predecessor_fixed_finish")) - before + weight
+    into = _cut(into.select("predecessor", "successor", "seq", weight.alias("weight"), F.when(F.col("predecessor_fixed"), known).alias("known")))
+    raised = into.where("known is not null").groupBy(F.col("successor").alias("task_code")).agg(F.max("known").alias("known"))
+    nodes = own.where("not fixed").join(raised, "task_code", "left").select(F.col("task_code").alias("node"), F.greatest("earliest", "known").alias("least"))
+    moving = into.where("known is null").select(F.col("predecessor").alias("src"), F.col("successor").alias("dst"), "weight")
+    started = longest(nodes, moving).select(F.col("node").alias("task_code"), F.col("value").alias("start"))
+    allowed = into.join(started.select(F.col("task_code").alias("predecessor"), F.col("start").alias("s")), "predecessor", "left")
+    allowed = allowed.select(F.col("successor").alias("task_code"), F.col("predecessor").alias("who"), F.coalesce("known", F.col("s") + F.col("weight")).alias("cand"), "seq")
+    top = first_by(allowed, ["task_code"], F.col("cand").desc(), F.col("seq").asc()).select("task_code", "who", "cand")
+    best = own.join(started, "task_code", "left").join(top, "task_code", "left")
+    driven = ~F.col("fixed") & F.coalesce(F.col("cand") > F.col("earliest"), F.lit(False))
+    start = F.coalesce("start", "earliest")
+    return _cut(best.select("task_code", start.alias("start"), F.coalesce("fixed_finish", start + F.col("duration")).alias("finish"), F.when(driven, F.col("who")).alias("driver")))
 
 
 def driving_path(passed: DataFrame, milestones: DataFrame | str | None = None) -> DataFrame:
@@ -243,14 +230,10 @@ def simulate_finish(spark: SparkSession, activities: DataFrame, links: DataFrame
 def simulation_summary(trials: DataFrame, data_date: Column, baseline: Column, by: str | None = None) -> DataFrame:
     """P50, P80 and P90 (interpolated) in workdays and as dates, the share later than the baseline, and the delay.
 
-    One row, or with ``by`` one for each of that column's values; a percentile
-    needs the distinct finishes of one schedule's trials, which ``trials`` bounds.
+    One row, or with ``by`` one for each of that column's values.
     """
-    limit = workdays_between(data_date, baseline)
-    keys = [by] if by else []
-    row = trials.groupBy(*keys).agg(F.percentile("finish", F.array(F.lit(0.5), F.lit(0.8), F.lit(0.9))).alias("p"), F.round(F.avg((F.col("finish") > limit).cast("int")), 3).alias("breach"))
-    dates = {f"p{q}_date": workday_offset(data_date, F.col("p")[i]) for i, q in enumerate((50, 80, 90))}
-    row = row.select(*keys, "breach", *(F.col("p")[i].alias(f"p{q}") for i, q in enumerate((50, 80, 90))), *(d.alias(n) for n, d in dates.items()))
+    row = summarised(trials, "finish", workdays_between(data_date, baseline), {f"p{q}": q / 100 for q in (50, 80, 90)}, [by] if by else [])
+    row = row.withColumns({f"p{q}_date": workday_offset(data_date, F.col(f"p{q}")) for q in (50, 80, 90)})
     return row.withColumn("expected_delay_days", F.datediff("p50_date", baseline))
 
 

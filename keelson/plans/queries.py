@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, scalars
-from ..operators import commissioning, compliance, convergence, dashboard, delivery, documents, events, graph, ncr, questions, retrieval, schedule
+from ..operators import commissioning, compliance, convergence, dashboard, delivery, documents, events, graph, ncr, quantiles, questions, retrieval, schedule
 from ..session import load
 from .analogues import CRITICAL, EVENT_LOG, FORWARD, critical_entities, event_log, turns
 
@@ -582,9 +582,16 @@ def mc_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select quantile_cont(l_extendedprice, 0.5) as p50, quantile_cont(l_extendedprice, 0.8) as p80, quantile_cont(l_extendedprice, 0.9) as p90, round(avg(cast(l_extendedprice > 50000 as integer)), 3) as breach from lineitem")
 def percentiles_and_exceedance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.percentile("l_extendedprice", F.array(F.lit(0.5), F.lit(0.8), F.lit(0.9)))
-    row = load(spark, sf_dir, "lineitem").agg(p.alias("p"), F.round(F.avg((F.col("l_extendedprice") > 50000).cast("int")), 3).alias("breach"))
-    return row.select(F.col("p")[0].alias("p50"), F.col("p")[1].alias("p80"), F.col("p")[2].alias("p90"), "breach")
+    return quantiles.summarised(load(spark, sf_dir, "lineitem"), "l_extendedprice", F.lit(50000), {"p50": 0.5, "p80": 0.8, "p90": 0.9})
+
+
+@query(
+    """select l_returnflag, l_suppkey, quantile_cont(l_quantity, 0.05) as p5, quantile_cont(l_quantity, 0.5) as p50, quantile_cont(l_quantity, 0.95) as p95, round(avg(cast(l_quantity > 40 as integer)), 3) as breach
+    from lineitem group by 1, 2"""
+)
+def percentiles_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "lineitem").select("l_returnflag", "l_suppkey", "l_quantity")
+    return quantiles.summarised(rows, "l_quantity", F.lit(40), {"p5": 0.05, "p50": 0.5, "p95": 0.95}, ["l_returnflag", "l_suppkey"])
 
 
 # Rules

@@ -27,14 +27,19 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_ranges(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` dealt by ranges of an order and written, with ``__range`` (ascending) and ``__at``, a row's place in it."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return scratch(dealt.withColumns({"__range": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "ranges")
+
+
 def numbered(df: DataFrame, name: str, *order: str, first: int = 1) -> DataFrame:
     """``df`` with ``name``: the rows' numbers in an order, from ``first`` on, without a gap.
 
     Rows are dealt in ranges of the order; a range begins where the counts of
     those before it end, so no task sees more than its range.
     """
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    dealt = scratch(dealt.withColumns({"__range": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "numbered")
+    dealt = in_ranges(df, *order)
     sizes = dealt.groupBy("__range").agg(F.count("*").alias("n"))  # a row a partition
     before = sizes.select("__range", (F.sum("n").over(Window.orderBy("__range")) - F.col("n")).alias("__before"))
     return dealt.join(F.broadcast(before), "__range").withColumn(name, F.col("__before") + F.col("__at") + first).drop("__range", "__at", "__before")
