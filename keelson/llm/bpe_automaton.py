@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -33,9 +34,10 @@ from .common import arrow_schema, binaries, frugal, in_groups, small_batches
 from .packing import _PLAIN, WordTokenizer
 from .sentencepiece_codec import _int_lists, _lists
 
-#: Table states that are kept, and bytes of words and parts, with their ids, that are remembered (an entry has ENTRY besides).
+#: Table states that are kept, and bytes of words, and of their parts, with ids, that are remembered (an entry has ENTRY
+#: besides), and as many that were met before these.
 MOST_STATES = 100_000
-MEMO_BYTES, ENTRY = 80 << 20, 200
+MEMO_BYTES, ENTRY = 40 << 20, 200
 
 
 class MergeAutomaton:
@@ -108,13 +110,22 @@ class MergeAutomaton:
 
 
 class WordAutomaton:
-    """Transitions by base symbols over all the arcs of a ``MergeAutomaton``."""
+    """Transitions by base symbols over all the arcs of a ``MergeAutomaton``.
+
+    A place within a token is a node of the trie and the state that the token's
+    arc would leave. Below a node with up to ``FEW`` tokens the state matters only
+    by which of them it allows, so these stand for it, and places of no token are
+    dropped: this lets most prefixes share their table states.
+    """
+
+    FEW = 6
 
     def __init__(self, automaton: MergeAutomaton, spelled: dict[int, tuple[int, ...]], most_states: int = MOST_STATES):
         self.automaton, self.most = automaton, most_states
         self.width = {token: len(s) for token, s in spelled.items()}
         self.children: list[dict[int, int]] = [{}]
         self.token: list[int] = [-1]
+        self.below: list[tuple[int, ...] | None] = [None]
         for token, symbols in spelled.items():
             at = 0
             for x in symbols:
@@ -122,7 +133,11 @@ class WordAutomaton:
                     self.children[at][x] = len(self.children)
                     self.children.append({})
                     self.token.append(-1)
+                    self.below.append(())
                 at = self.children[at][x]
+                few = self.below[at]
+                if few is not None:
+                    self.below[at] = (*few, token) if len(few) < self.FEW else None
             self.token[at] = token
         self._forget()
 
@@ -130,18 +145,30 @@ class WordAutomaton:
         self.places: list[tuple] = [((0, 0),)]
         self.moves: list[dict[int, tuple[int, int]]] = [{}]
         self.numbers: dict[tuple, int] = {((0, 0),): 0}
+        self.allowed: dict[tuple[int, int], list[int]] = {}
 
     def _move(self, state: int, symbol: int) -> tuple[int, int]:
         """The table state after a symbol, and the token that ends with it."""
-        after, ended = [], None
+        after, ended, follows = [], None, self.automaton.follows
         for arc_from, node in self.places[state]:
             node = self.children[node].get(symbol)
             if node is None:
                 continue
-            if self.children[node]:
+            few, token = self.below[node], self.token[node]
+            if few is None:
+                ends = token >= 0 and follows(arc_from, token)
                 after.append((arc_from, node))
-            token = self.token[node]
-            if token >= 0 and self.automaton.follows(arc_from, token):
+            else:
+                if isinstance(arc_from, tuple):
+                    allowed = [t for t in few if t in arc_from]
+                else:
+                    allowed = self.allowed.get((arc_from, node))
+                    if allowed is None:
+                        allowed = self.allowed[arc_from, node] = [t for t in few if follows(arc_from, t)]
+                ends = token in allowed
+                if len(allowed) > ends:
+                    after.append((tuple(allowed), node))
+            if ends:
                 if ended is not None:
                     raise ValueError("a word has two spellings")
                 ended = token
@@ -157,17 +184,18 @@ class WordAutomaton:
 
     def encode(self, symbols: list[int]) -> list[int]:
         """The tokens of a word of base symbols."""
-        if len(self.places) > self.most:
+        if len(self.places) > self.most or len(self.allowed) > 4 * self.most:
             self._forget()
-        state, ended = 0, []
+        moves, state, ended = self.moves, 0, []
         for x in symbols:
-            found = self.moves[state].get(x) or self._move(state, x)
-            state = found[0]
-            ended.append(found[1])
-        tokens, at = [], len(ended)
+            row = moves[state]
+            state, token = row[x] if x in row else self._move(state, x)
+            ended.append(token)
+        tokens, at, width = [], len(ended), self.width
         while at:
-            tokens.append(ended[at - 1])
-            at -= self.width[tokens[-1]]
+            token = ended[at - 1]
+            tokens.append(token)
+            at -= width[token]
         return tokens[::-1]
 
 
@@ -209,7 +237,7 @@ class AutomatonTokenizer(WordTokenizer):
         decoder = (spec["decoder"] or {}).get("type")
         if decoder not in (None, "ByteLevel"):
             raise ValueError("a decoder of another kind")
-        self.joins_bytes, self.held = decoder == "ByteLevel", 0
+        self.joins_bytes, self.held, self.held_parts = decoder == "ByteLevel", 0, 0
         if self.joins_bytes:
             byte_of = {chr(c): b for b, c in self.alphabet.items()}
             spell = lambda label: bytes(map(byte_of.__getitem__, label)) if all(ch in byte_of for ch in label) else label.encode()
@@ -227,21 +255,15 @@ class AutomatonTokenizer(WordTokenizer):
     def _part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
-            found = self._kept(self.parts, part, self._word(part.encode().decode("latin-1").translate(self.alphabet)))
+            found = self.old_parts.get(part)
+            if found is None:
+                found = array("I", self._word(part.encode().decode("latin-1").translate(self.alphabet))).tobytes()
+            self.held_parts += ENTRY + len(part) + len(found)
+            if self.held_parts > MEMO_BYTES:
+                self.old_parts, self.parts, self.held_parts = self.parts, {}, 0
+            self.parts[part] = found
         return found
 
-    def _kept(self, memo: dict, key: str, ids: list[int]) -> bytes:
-        """``ids`` as bytes, remembered; memos are emptied when they are large."""
-        packed = np.array(ids, "<u4").tobytes()
-        weight = ENTRY + len(key) + len(packed)
-        self.held += weight
-        if self.held > MEMO_BYTES:
-            self.parts.clear()
-            self.clear()
-            self.held = weight
-        memo[key] = packed
-        return packed
-
     def _pieces(self, text: str) -> Iterator[str]:
         normal = self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
         if self.tokenizer.pre_tokenizer is None:
@@ -261,14 +283,22 @@ class AutomatonTokenizer(WordTokenizer):
             at = hit.end() if hit else len(text)
             if hit:
                 ids.append(self.special[hit.group()])
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if self.find and _PLAIN(word) and not self.has_special(word):
+        found = self.old_words.get(word)
+        if found is not None:
+            pass
+        elif self.find and _PLAIN(word) and not self.has_special(word):
             found = b"".join(map(self._part, self.find(word.lower())))
         else:
             found = self._library(word) if word else b""
-        return self._kept(self, word, np.frombuffer(found, "<u4"))
+        self.held += ENTRY + len(word) + len(found)
+        if self.held > MEMO_BYTES:
+            self.old_words, self.held = dict(self), 0
+            self.clear()
+        self[word] = found
+        return found
 
     def decode(self, ids: list[int]) -> str:
         """The labels of tokens, joined as the file's decoder does; unknown ids are left out."""
