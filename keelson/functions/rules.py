@@ -5,10 +5,10 @@ Rounding is half-up on the decimal value throughout.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scalars import convert, leading_number, tolerance
+from .scalars import leading_number, tolerance, unit_factor
 
 # Risks by severity, of deviations and of field reports; thresholds and rates.
 DEVIATION_RISK = {"CRITICAL": 0.9, "MAJOR": 0.6, "MINOR": 0.3}
@@ -27,9 +27,8 @@ def by_value(key: Column, values: dict[str, float | str], otherwise: float | str
     return chosen.otherwise(otherwise if isinstance(otherwise, Column) else F.lit(otherwise))
 
 
-def complies(comparison: Column, submitted: Column, required: Column, highest: Column, allowed: Column) -> Column:
+def complies(comparison: Column, submitted: Column, required: Column, highest: Column, amount: Column, relative: Column) -> Column:
     """Whether a submitted number meets a requirement; null if it can't be compared."""
-    amount, relative = tolerance(allowed)
     margin = F.coalesce(F.when(relative, amount * required).otherwise(amount), F.lit(1e-9))
     return (
         F.when(comparison == "greater_equal", submitted >= required)
@@ -43,18 +42,30 @@ def margin_percent(submitted: Column, required: Column) -> Column:
     return F.round(F.when(required == 0, F.lit(0.0)).otherwise(F.try_divide(F.abs(submitted - required), F.abs(required)) * 100), 2)
 
 
-def compared(requirement: str = "", parameter: str = "submitted_") -> dict[str, Column]:
-    """The columns of a comparison, from the columns of a requirement and (prefixed) a parameter."""
+def with_comparison(rows: DataFrame, requirement: str = "", parameter: str = "submitted_") -> DataFrame:
+    """``rows`` with the columns of a comparison, from those of a requirement and (prefixed) a parameter.
+
+    Numbers and tolerance are parsed, and the units' factor looked up, once a
+    row: they are elements of an array that is exploded, as the optimiser would
+    otherwise write them out anew wherever they are used.
+    """
     r, p = (lambda c: F.col(f"{requirement}{c}")), (lambda c: F.col(f"{parameter}{c}"))
-    value = convert(leading_number(p("value")), p("unit"), r("unit"))
-    required = leading_number(r("value"))
-    return {
-        "submitted_value_num": leading_number(p("value")),
-        "compared_value": F.round(value, 6),
-        "required_value": required,
-        "compliant": complies(r("comparison"), value, required, leading_number(r("value_max")), r("tolerance")),
-        "margin_pct": margin_percent(value, required),
-    }
+    amount, relative = tolerance(r("tolerance"))
+    parsed = F.struct(
+        leading_number(p("value")).alias("submitted"), unit_factor(p("unit"), r("unit")).alias("factor"), leading_number(r("value")).alias("required"),
+        leading_number(r("value_max")).alias("highest"), amount.alias("amount"), relative.alias("relative"),
+    )
+    rows = rows.select("*", F.explode(F.array(parsed)).alias("__n"))
+    value, required = F.col("__n.submitted") * F.col("__n.factor"), F.col("__n.required")
+    return rows.withColumns(
+        {
+            "submitted_value_num": F.col("__n.submitted"),
+            "compared_value": F.round(value, 6),
+            "required_value": required,
+            "compliant": complies(r("comparison"), value, required, F.col("__n.highest"), F.col("__n.amount"), F.col("__n.relative")),
+            "margin_pct": margin_percent(value, required),
+        }
+    ).drop("__n")
 
 
 def deviation_risk(severity: Column, margin: Column) -> Column:

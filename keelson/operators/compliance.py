@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import compared, deviation_risk, overall_risk
+from ..functions.rules import deviation_risk, overall_risk, with_comparison
 from ..functions.scalars import leading_number, unit_factor, words
+from ..sources.store import scratch
 from .events import first_by
 
 LEAST_OVERLAP = 2
@@ -29,23 +32,33 @@ def best_matches(requirements: DataFrame, parameters: DataFrame, req_key: str =
     Of parameters with the requirement's canonical name, the one whose name
     shares most words, then one of a convertible unit, then the first. Without
     any, the same order over all that share ``LEAST_OVERLAP`` words or more.
-    Candidates are found by equal keys (canonical name, or a shared word within
-    the group), never by pairing everything.
+
+    What decides is a name's words, the canonical name, the unit and whether a
+    number is given, which recur: rows are first brought to their distinct kinds,
+    a parameter's kind with its first row. Kinds are joined by equal canonical
+    names, or by a pair of words within the group, so that a word that all names
+    have adds nothing; of several pairs that two kinds share the first counts.
     """
     on = [group] if group else []
-    req = requirements.select(req_key, *on, F.col("canonical_parameter").alias("r_canon"), F.col("unit").alias("r_unit"), words(F.col("parameter")).alias("r_words"))
-    par = parameters.select(*on, "seq", F.col("canonical_parameter").alias("p_canon"), F.col("unit").alias("p_unit"), F.col("value").alias("p_value"), words(F.col("parameter")).alias("p_words"))
-    fits = leading_number(F.col("p_value")).isNotNull() & unit_factor(F.col("p_unit"), F.col("r_unit")).isNotNull()
-    scored = [F.size(F.array_intersect("r_words", "p_words")).alias("overlap"), F.coalesce(fits, F.lit(False)).alias("fits")]
-    same = [req[g] == par[g] for g in on]
-    canonical = req.join(par, [*same, (F.col("r_canon") == F.col("p_canon")) & (F.col("r_canon") != "")]).select(req[req_key], "seq", F.lit(True).alias("canonical"), *scored)
-    by_word = req.select("*", F.explode("r_words").alias("word"))
-    of_word = par.select("*", F.explode("p_words").alias("word"))
-    same = [by_word[g] == of_word[g] for g in on]
-    shared = by_word.join(of_word, [*same, by_word["word"] == of_word["word"]]).select(by_word[req_key], "seq", F.lit(False).alias("canonical"), *scored).where(F.col("overlap") >= LEAST_OVERLAP).distinct()
-    every = canonical.unionByName(shared)
-    best = first_by(every, [req_key], F.col("canonical").desc(), F.col("overlap").desc(), F.col("fits").desc(), F.col("seq").asc())
-    return best.select(req_key, "seq", "canonical", "overlap", "fits")
+    kind = ["canon", "unit", "words", *on]
+    shape = lambda df, *more: df.select(*on, F.col("canonical_parameter").alias("canon"), F.lower(F.trim("unit")).alias("unit"), F.array_sort(words(F.col("parameter"))).alias("words"), *more)
+    req = shape(requirements, req_key)
+    req_kinds = scratch(req.select(*kind).distinct().withColumn("r", F.monotonically_increasing_id()), "kinds")
+    number = leading_number(F.col("value")).isNotNull().alias("number")
+    par_kinds = scratch(shape(parameters, "seq", number).groupBy(*kind, "number").agg(F.min("seq").alias("seq")), "kinds")
+    r = req_kinds.select("r", *on, F.col("canon").alias("r_canon"), F.col("unit").alias("r_unit"), F.col("words").alias("r_words"))
+    p = par_kinds.select("seq", "number", *on, F.col("canon").alias("p_canon"), F.col("unit").alias("p_unit"), F.col("words").alias("p_words"))
+    fits = F.col("number") & unit_factor(F.col("p_unit"), F.col("r_unit")).isNotNull()
+    shared = F.array_intersect("r_words", "p_words")
+    scored = lambda canonical: ["r", "seq", F.lit(canonical).alias("canonical"), F.size("shared").alias("overlap"), F.coalesce(fits, F.lit(False)).alias("fits")]
+    named = r.where("r_canon <> ''").join(p.withColumnRenamed("p_canon", "r_canon"), [*on, "r_canon"]).withColumn("shared", shared).select(*scored(True))
+    by_pair = lambda df, own: df.withColumn("pair", F.explode(F.flatten(F.transform(own, lambda a, i: F.transform(F.slice(own, i + 2, F.size(own)), lambda b: F.concat(a, F.lit(" "), b))))))
+    paired = by_pair(r, "r_words").join(by_pair(p, "p_words"), [*on, "pair"]).withColumn("shared", shared)
+    paired = paired.where(F.col("pair") == F.array_join(F.slice("shared", 1, LEAST_OVERLAP), " ")).select(*scored(False))
+    best = first_by(named.unionByName(paired), ["r"], F.col("canonical").desc(), F.col("overlap").desc(), F.col("fits").desc(), F.col("seq").asc())
+    best = best.join(req_kinds, "r")
+    same = reduce(lambda a, b: a & b, (req[k].eqNullSafe(best[k]) for k in kind))
+    return req.join(best, same).select(req_key, "seq", "canonical", "overlap", "fits")
 
 
 def comparisons(requirements: DataFrame, parameters: DataFrame, req_key: str = "req", group: str | None = None) -> DataFrame:
@@ -53,7 +66,7 @@ def comparisons(requirements: DataFrame, parameters: DataFrame, req_key: str = "
     matched = best_matches(requirements, parameters, req_key, group).select(req_key, "seq")
     submitted = parameters.select("seq", *(F.col(c).alias(f"submitted_{c}") for c in ("parameter", "value", "unit", "page")))
     joined = requirements.join(matched, req_key).join(submitted, "seq")
-    return joined.withColumns(compared()).where(F.col("compliant").isNotNull())
+    return with_comparison(joined).where(F.col("compliant").isNotNull())
 
 
 def deviations(compared_rows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import content_id, safe_name
+from ..sources.store import scratch
 from .events import first_by
 
 # What may be uploaded, and how large; the characters of a chunk of pages.
@@ -112,28 +113,53 @@ def page_chunks(pages: DataFrame, budget: int = CHUNK_CHARS) -> DataFrame:
     return folded.select("doc_id", F.posexplode("chunks").alias("chunk", "c")).select("doc_id", "chunk", "c.*")
 
 
+#: Characters of the grams that names are found by (a shorter name is one gram), and of the chunks that texts are cut to.
+GRAM, CHUNK = 4, 4096
+
+
+def _grams(text: Column, sizes: list[int]) -> Column:
+    """The distinct grams of a text: its characters are split once (and bound to a name for that), so this is linear in it."""
+
+    def of_letters(letters: Column) -> Column:
+        def of_size(k: int) -> Column:
+            starts = F.when(F.size(letters) >= k, F.sequence(F.lit(0), F.size(letters) - k)).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda i: F.concat(*(F.get(letters, i + j) for j in range(k))))
+
+        return F.concat(*map(of_size, sizes))
+
+    return F.array_distinct(F.get(F.transform(F.array(F.split(text, "")), of_letters), F.lit(0)))
+
+
+def _anchors(names: DataFrame) -> DataFrame:
+    """``name, gram``: of each distinct name the gram that the fewest names have, and of these the first."""
+    short = F.length("name") < GRAM
+    grams = F.when(short, F.array("name")).otherwise(_grams(F.col("name"), [GRAM]))
+    each = names.select("name", F.explode(grams).alias("gram"))
+    common = each.groupBy("gram").agg(F.count("*").alias("n"))
+    return first_by(each.join(common, "gram"), ["name"], F.col("n").asc(), F.col("gram").asc()).select("name", "gram")
+
+
 def occurring(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
     """Rows of ``texts`` beside each row of ``names`` whose ``name`` the text contains, anywhere.
 
-    Instead of comparing all pairs, the substrings that may be names are joined
-    by equality: those around each hyphen that have the shape (characters before
-    the first hyphen, and in all) of some name. Shapes are as few as lengths are.
-    Empty and null names occur nowhere.
+    Names are indexed by their rarest gram. Texts are cut to overlapping chunks,
+    whose grams are joined with the index by equality, and what that finds is
+    tested in its chunk: work is linear in the texts, however long one is, and
+    grows with the names that share a gram, not with all. Repeated rows of either
+    side stay, nulls contain nothing, and empty and null names occur nowhere.
     """
-    names = names.where(F.length(name) > 0)
-    shapes = names.select((F.instr(name, "-") - 1).alias("before"), F.length(name).alias("long")).distinct().collect()
-    if not shapes:
+    known = scratch(_anchors(names.where(F.length(name) > 0).select(F.col(name).alias("name")).distinct()), "anchors")
+    longest, sizes = known.agg(F.max(F.length("name")), F.array_sort(F.collect_set(F.length("gram")))).first()  # up to GRAM sizes
+    if not sizes:
         return texts.join(names, F.lit(False))
-    n = F.length(text)
-    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    hyphens = F.filter(places, lambda i: F.substring(F.col(text), i, F.lit(1)) == "-")
-
-    def parts(before: int, long: int) -> Column:
-        starts = F.transform(hyphens, lambda i: i - before) if before >= 0 else places
-        return F.transform(F.filter(starts, lambda i: (i >= 1) & (i + long - 1 <= n)), lambda i: F.substring(F.col(text), i, F.lit(long)))
-
-    found = F.array_distinct(F.concat(*(parts(s["before"], s["long"]) for s in shapes)))
-    return texts.withColumn("__found", F.explode(found)).join(names, F.col("__found") == F.col(name)).drop("__found")
+    size = max(CHUNK, longest)
+    rows = scratch(texts.withColumn("__row", F.monotonically_increasing_id()), "texts")
+    parts = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    over = lambda own: F.transform(own, lambda x, i: F.concat(x, F.substring(F.coalesce(F.get(own, i + 1), F.lit("")), 1, longest - 1)))
+    chunks = rows.where(F.length(text) > 0).select("__row", F.explode(F.flatten(F.transform(F.array(parts), over))).alias("__chunk"))
+    found = chunks.select("__row", "__chunk", F.explode(_grams(F.col("__chunk"), list(sizes))).alias("gram")).join(known, "gram").where(F.contains("__chunk", "name"))
+    pairs = found.select("__row", F.col("name").alias("__name")).distinct()
+    return rows.join(pairs, "__row").join(names, F.col("__name") == F.col(name)).drop("__row", "__name")
 
 
 def clause_texts(clauses: DataFrame, pages: DataFrame) -> DataFrame:

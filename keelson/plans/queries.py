@@ -365,7 +365,7 @@ def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("p_type").isin("STANDARD", "SMALL"), "CRITICAL").when(F.col("p_type") == "PROMO", "MINOR").otherwise("MAJOR").alias("criticality"),
         F.when(k == 1, F.concat((whole * 1000).cast("string"), F.lit(" kVA"))).otherwise(F.concat(whole.cast("string"), F.lit(" %"))).alias("submitted_value"), F.when(k == 1, "kVA").otherwise("%").alias("submitted_unit"),
     )
-    return rows.withColumns(rules.compared())
+    return rules.with_comparison(rows)
 
 
 @query(f"with {_COMPARED} select l_orderkey, l_linenumber, l_partkey, op as comparison, compliant from jud")
