@@ -44,7 +44,7 @@ def verdicts(results: DataFrame, steps: DataFrame) -> DataFrame:
     total = steps.groupBy("procedure_id").agg(F.count("*").alias("n_steps"))
     done = results.groupBy("session_id", "procedure_id").agg(F.count("*").alias("n_done"), F.count_if(F.col("result") == "FAIL").alias("n_failed"))
     state = F.when(F.col("n_done") < F.col("n_steps"), "in_progress").when(F.col("n_failed") == 0, "passed").otherwise("failed")
-    return done.join(F.broadcast(total), "procedure_id").select("session_id", "procedure_id", "n_done", "n_failed", state.alias("state"))
+    return done.join(total, "procedure_id").select("session_id", "procedure_id", "n_done", "n_failed", state.alias("state"))
 
 
 def started(requests: DataFrame, procedures: DataFrame) -> DataFrame:

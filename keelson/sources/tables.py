@@ -30,7 +30,7 @@ def register(cells: DataFrame) -> DataFrame:
     low = F.transform("cells", lambda c: F.lower(F.coalesce(c, F.lit(""))))
     rows = cells.withColumn("low", low)
     heads = rows.where(F.exists("low", lambda c: c.contains(HEADINGS["rfi_id"]))).groupBy("file").agg(F.min(F.struct("row", "low")).alias("head"))
-    placed = rows.join(F.broadcast(heads), "file").where(F.col("row") > F.col("head.row"))
+    placed = rows.join(heads, "file").where(F.col("row") > F.col("head.row"))
     column = lambda text: clean_cell(F.get("cells", F.array_position(F.transform("head.low", lambda c: c.contains(text)), True).cast("int") - 1))
     at = lambda text: F.array_position(F.transform("head.low", lambda c: c.contains(text)), True) > 0
     found = placed.select("file", "row", *(F.when(at(HEADINGS[f]), column(HEADINGS[f])).alias(f) for f in RFI_FIELDS))

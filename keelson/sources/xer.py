@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .store import scratch
+
 # Kinds of links in the export.
 LINKS = {"PR_FS": "FS", "PR_SS": "SS", "PR_FF": "FF", "PR_SF": "SF"}
 HOURS_PER_DAY = 8.0
@@ -14,27 +16,25 @@ _TABLES = ("PROJECT", "TASK", "TASKPRED")
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
     """``file, table_name, seq, fields``: each %R record as a map from its table's field names.
 
-    A file is one row, as its records depend on the lines before them; many files are read in parallel.
+    Files are read in splits. A line's ``seq`` is its split's place in the file
+    and the line's number in the task, which a split's bytes exceed: it grows
+    along a file over all splits. The few header lines, with what holds after
+    each, are gathered a file, and every record takes the last one before it, in
+    whatever split that is; records are not shuffled.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\r?\n").alias("lines"))
-    blank = F.struct(F.lit("").alias("name"), F.array().cast("array<string>").alias("names"), F.array().cast("array<struct<name:string,seq:int,fields:map<string,string>>>").alias("rows"), F.lit(0).alias("n"))
-
-    def step(state, line):
-        parts = F.split(line, "\t")
-        kind, rest = F.element_at(parts, 1), F.slice(parts, 2, 10_000)
-        values = F.transform(state["names"], lambda _, i: F.get(rest, i))
-        row = F.struct(state["name"].alias("name"), (state["n"] + 1).alias("seq"), F.map_from_arrays(state["names"], values).alias("fields"))
-        is_row = kind == "%R"
-        return F.struct(
-            F.when(kind == "%T", F.element_at(parts, 2)).otherwise(state["name"]).alias("name"),
-            F.when(kind == "%F", rest).otherwise(state["names"]).alias("names"),
-            F.when(is_row & state["name"].isin(*_TABLES), F.concat(state["rows"], F.array(row))).otherwise(state["rows"]).alias("rows"),
-            (state["n"] + is_row.cast("int")).alias("n"),
-        )
-
-    rows = whole.select("file", F.explode(F.aggregate("lines", blank, step, lambda s: s["rows"])).alias("r"))
-    return rows.select("file", F.col("r.name").alias("table_name"), F.col("r.seq").cast("long").alias("seq"), F.col("r.fields").alias("fields"))
-
+    at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") + at).alias("seq"), "value")
+    parts = F.split("value", "\t")
+    heads = lines.where(F.col("value").startswith("%T") | F.col("value").startswith("%F"))
+    so_far = Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda kind, value: F.last(F.when(parts[0] == kind, value), ignorenulls=True).over(so_far)
+    heads = heads.select("file", "seq", F.coalesce(last("%T", F.get(parts, F.lit(1))), F.lit("")).alias("name"), last("%F", F.slice(parts, 2, 10_000)).alias("names"))
+    heads = scratch(heads.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("seq", "name", "names"))).alias("heads")), "heads")
+    records = lines.where(F.col("value").startswith("%R")).join(heads, "file")
+    records = records.select("file", "seq", "value", F.try_element_at(F.filter("heads", lambda h: h["seq"] < F.col("seq")), F.lit(-1)).alias("head"))
+    records = records.where(F.col("head.name").isin(*_TABLES) & F.col("head.names").isNotNull())
+    fields = F.map_from_arrays("head.names", F.transform("head.names", lambda _, i: F.get(parts, i + 1)))
+    return records.select("file", F.col("head.name").alias("table_name"), "seq", fields.alias("fields"))
 
 
 def read_schedule(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -45,7 +45,7 @@ def read_schedule(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     days = lambda name: f(name).try_cast("double") / HOURS_PER_DAY
     first = rows.where("table_name = 'PROJECT'").groupBy("file").agg(F.min(F.struct("seq", *(F.col("fields")[n].alias(n) for n in ("proj_id", "proj_short_name", "last_recalc_date")))).alias("p"))
     projects = first.select("file", F.col("p.proj_id").alias("proj_id"), F.col("p.proj_short_name").alias("project_name"), F.substring("p.last_recalc_date", 1, 10).try_cast("date").alias("data_date"))
-    tasks = rows.where("table_name = 'TASK'").withColumn("proj_id", f("proj_id")).join(F.broadcast(projects.select("file", "proj_id")), ["file", "proj_id"])
+    tasks = rows.where("table_name = 'TASK'").withColumn("proj_id", f("proj_id")).join(projects.select("file", "proj_id"), ["file", "proj_id"])
     total_float = f("total_float_hr_cnt").try_cast("double") / HOURS_PER_DAY
     activities = tasks.select(
         "file", f("task_code").alias("task_code"), f("task_id").alias("uid"), f("task_name").alias("name"), f("task_type").alias("type"),
