@@ -63,6 +63,30 @@ def merged_attributes(versions: DataFrame, key: str = "node_id", attributes: str
     return latest.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias(attributes))
 
 
+def current_nodes(writes: DataFrame, key: str = "node_id", time: str = "tx_time", seq: str = "seq") -> DataFrame:
+    """``key, node_type, attributes, valid_time, transaction_time`` of each node after all its writes.
+
+    A node keeps the type of its first write, merges attributes, and keeps its
+    ``valid_time`` unless a write gives one (without any, it is the time of the
+    first write); ``transaction_time`` is the last write's. All are aggregates that
+    Spark begins before the shuffle, so a node of many writes is no hot task.
+    """
+    when = F.struct(time, seq)
+    given = F.max_by("valid_time", F.when(F.col("valid_time").isNotNull(), when))
+    heads = writes.groupBy(key).agg(F.min_by("node_type", when).alias("node_type"), F.coalesce(given, F.min(time)).alias("valid_time"), F.max(time).alias("transaction_time"))
+    merged = merged_attributes(writes, key, "attributes", time, seq)
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return heads.join(merged, key, "left").select(key, "node_type", F.coalesce("attributes", none).alias("attributes"), "valid_time", "transaction_time")
+
+
+def node_history(writes: DataFrame, key: str = "node_id", time: str = "tx_time", seq: str = "seq", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Every version of each node in both times: ``node_type`` as first written, the ``valid_time`` that held, and ``tx_from`` to ``tx_to``."""
+    first = F.min_by("node_type", F.struct(time, seq)).alias("node_type")
+    heads = writes.groupBy(key).agg(first, F.min(time).alias("__first"))
+    held = with_last(writes.drop("node_type"), [key], [time, seq], "valid_time", "__valid", hot_rows).join(heads, key)
+    return with_validity(held.withColumn("valid_time", F.coalesce("__valid", "__first")).drop("__valid", "__first"), key, time, seq, hot_rows)
+
+
 def agent_risks(updates: DataFrame, key: str = "node_id", order: str = "seq") -> DataFrame:
     """Each key's risk: the largest of its agents' latest scores, and those by agent."""
     latest = first_by(updates, [key, "agent"], F.col(order).desc())
@@ -193,6 +217,27 @@ def fact_graph(nodes: DataFrame, submittals: DataFrame, requirements: DataFrame,
     return every, procured.select(*names).union(specified.select(*names)).union(linked.select(*names)).union(tested.select(*names))
 
 
+def changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """``op`` (added, changed or removed) and the columns of ``old`` (keys unique): what makes ``new`` of it.
+
+    Rows are compared by a hash of the columns beside the keys; equal rows are left
+    out, and of a removed row the old columns are given.
+    """
+    rest = [c for c in old.columns if c not in keys]
+    plain = lambda c, kind: F.to_json(F.struct(F.array_sort(F.map_entries(c)).alias("m"))) if kind.startswith("map") else F.to_json(F.struct(F.col(c).alias("v")))
+    digest = F.sha2(F.concat_ws("|", F.lit(""), *(plain(c, kind) for c, kind in old.dtypes if c in rest)), 256)
+    side = lambda df, name: df.select(*(F.col(k).alias(k) for k in keys), F.struct(digest.alias("digest"), *rest).alias(name))
+    both = side(old, "__old").join(side(new.select(*old.columns), "__new"), keys, "full")
+    op = F.when(F.col("__old").isNull(), "added").when(F.col("__new").isNull(), "removed").when(F.col("__old.digest") != F.col("__new.digest"), "changed")
+    return both.withColumn("op", op).where("op is not null").select("op", *keys, *(F.coalesce(f"__new.{c}", F.when(F.col("op") == "removed", F.col(f"__old.{c}"))).alias(c) for c in rest))
+
+
+def applied(old: DataFrame, changed: DataFrame, keys: list[str]) -> DataFrame:
+    """``old`` after ``changes``: untouched rows as they are, without those changed or removed, and the new ones."""
+    untouched = old.join(changed.select(*keys), keys, "left_anti")
+    return untouched.select(*old.columns).unionByName(changed.where("op <> 'removed'").select(*old.columns))
+
+
 def replaced(rows: DataFrame, stale: Column, fresh: DataFrame) -> DataFrame:
     """``rows`` without the stale ones, and the fresh ones: a derivation replaces the one before."""
     return rows.where(~F.coalesce(stale, F.lit(False))).unionByName(fresh, allowMissingColumns=True)

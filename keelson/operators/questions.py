@@ -7,7 +7,7 @@ what it needs and nothing is collected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import at_risk
@@ -81,3 +81,51 @@ def evidence(facts: DataFrame, most: int = 5) -> DataFrame:
     first = facts.orderBy("kind", "id", "path").limit(most)  # five rows
     entry = F.struct("kind", "id", "path", "fact")
     return first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda f: F.coalesce(f["fact"], F.lit("null"))), ", ").alias("facts")).select(F.concat(F.lit("Graph evidence: ["), "facts", F.lit("]")).alias("answer"))
+
+
+# Bundles
+
+
+def _first_few(rows: DataFrame, name: str, most: int, *fields: str) -> DataFrame:
+    """``entity_id``, ``n_<name>``, and ``name``: the first ``most`` rows of an entity by id, cut before they are gathered."""
+    rank = F.row_number().over(Window.partitionBy("entity_id").orderBy("id"))
+    few = rows.withColumn("__rank", rank).where(F.col("__rank") <= most)
+    by_id = lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)
+    listed = few.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("id", *fields)), by_id).alias(name))
+    return listed.join(rows.groupBy("entity_id").agg(F.count("*").alias(f"n_{name}")), "entity_id")
+
+
+def first_delay(nodes: DataFrame, order: str = "node_id") -> DataFrame:
+    """One row or none: the first milestone that a simulation has judged, with its results."""
+    judged = nodes.where(F.col("node_type") == "Milestone").where(F.map_contains_key("attributes", "expected_delay_days"))
+    result = [_ATTRIBUTE(k).alias(k) for k in ("mc_p50", "mc_p90", "baseline_finish", "expected_delay_days", "sla_breach_risk")]
+    return judged.agg(F.min_by(F.struct(F.col("node_id").alias("id"), *result), order).alias("milestone")).where("milestone is not null")
+
+
+def entity_bundles(nodes: DataFrame, edges: DataFrame, entities: DataFrame | None = None, most: int = 20, order: str = "node_id") -> DataFrame:
+    """What is known around each entity, as far as an answer or an alert shows it.
+
+    ``entity_id, node_type, attributes`` (without the long list of submitted
+    parameters), and of deviations, activities that need it, open RFIs on those
+    and open field reports on it the number (``n_...``) and the first ``most``
+    by id; ``milestone`` is the first that a simulation has judged (by ``order``),
+    the same for all. ``entities`` (entity_id) are all nodes if not given; those
+    that the graph does not know have nulls and empty lists. A deviation belongs
+    to the entity that its id names.
+    """
+    known = nodes.select(F.col("node_id").alias("entity_id"), "node_type", F.map_filter("attributes", lambda k, _: k != "submitted_parameters").alias("attributes"))
+    entities = known.select("entity_id") if entities is None else entities.select("entity_id").distinct()
+    far = nodes.select(F.col("node_id").alias("id"), "node_type", "attributes", F.lower(F.coalesce(_ATTRIBUTE("status"), F.lit(""))).alias("status"))
+    reached = lambda kind: edges.where(F.col("relationship") == kind).select(F.col("src").alias("id"), F.col("dst").alias("entity_id")).distinct()
+    named = lambda *names: [_ATTRIBUTE(n).alias(n) for n in names]
+    deviations = far.where("node_type = 'Deviation'").select(F.try_element_at(F.split("id", "::"), F.lit(2)).alias("entity_id"), "id", "attributes").where("entity_id is not null")
+    activities = reached("REQUIRES").join(far, "id").select("entity_id", "id", *named("name", "status", "is_critical"))
+    live = far.where("node_type = 'RFI' and status = 'open'").select("id", *named("subject"))
+    linked = live.join(reached("LINKED_TO").withColumnRenamed("entity_id", "activity"), "id")
+    rfis = activities.select("entity_id", F.col("id").alias("activity")).join(linked, "activity").select("entity_id", "id", "subject").distinct()
+    reports = reached("IMPACTS").join(far.where("node_type = 'NCR' and status <> 'closed'"), "id").select("entity_id", "id", *named("title", "severity", "raised_by"))
+    bundle = entities.join(known, "entity_id", "left")
+    for rows, name, fields in ((deviations, "deviations", ("attributes",)), (activities, "activities", ("name", "status", "is_critical")), (rfis, "open_rfis", ("subject",)), (reports, "open_ncrs", ("title", "severity", "raised_by"))):
+        few = _first_few(rows, name, most, *fields)
+        bundle = bundle.join(few, "entity_id", "left").withColumns({f"n_{name}": F.coalesce(f"n_{name}", F.lit(0)), name: F.coalesce(name, F.array().cast(few.schema[name].dataType))})
+    return bundle.join(first_delay(nodes, order), how="left")  # one row beside

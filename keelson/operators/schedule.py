@@ -8,7 +8,7 @@ schedule's depth. Results in between are written, so that each starts anew.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,10 @@ from .quantiles import summarised
 LOGISTICS = re.compile(r"deliver|receiv|procure|fabricat|ship|manufactur", re.I)
 TRIALS, SEED = 5000, 42
 TRIALS_PER_BLOCK = 2500
-#: Activities of one schedule at most: they are one row.
-MOST_TASKS = 100_000
+#: Activities of a schedule that is one row, and bytes of a block's arrays, at most.
+MOST_TASKS, TRIAL_BYTES = 100_000, 64 << 20
+#: What draws are taken modulo.
+PRIME = (1 << 31) - 1
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -161,64 +163,118 @@ def triangular(duration: float, name: str, status: str) -> tuple[float, float, f
     return max(duration - spread, 0.5 * duration), duration, duration + 2 * spread
 
 
-def _trials(tasks: list[dict], milestone: str, random: np.random.Generator, n: int) -> np.ndarray:
-    """The milestone's finish in ``n`` trials; ``tasks`` in the order of their waves."""
+def _key(seed: int, schedule: Column, code: Column) -> list[Column]:
+    """Two numbers below ``PRIME`` of an activity, the first not 0."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), schedule.cast("string"), code).cast("binary"))
+    part = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
+    return [(1 + part(1) % (PRIME - 1)).alias("a"), (part(9) % PRIME).alias("b")]
+
+
+def _durations(a: int, b: int, trials: np.ndarray, least: float, likeliest: float, most: float) -> np.ndarray:
+    """An activity's duration in each trial: its draws are the points of a lattice of its own, shifted and spaced by its key."""
+    u = ((a * trials + b) % PRIME + 0.5) / PRIME
+    rising = u * (most - least) < likeliest - least
+    return np.where(rising, least + np.sqrt(u * (most - least) * (likeliest - least)), most - np.sqrt((1 - u) * (most - least) * (most - likeliest)))
+
+
+def _trials(tasks: list[dict], milestone: str, trials: np.ndarray) -> np.ndarray:
+    """The milestone's finish in some trials; ``tasks`` in the order of their waves. What no later one needs is let go."""
+    last = {link["predecessor"]: i for i, task in enumerate(tasks) for link in task["links"] or ()}
+    done: dict[int, list[str]] = {}
+    for code, i in last.items():
+        done.setdefault(i, []).append(code)
     start: dict[str, np.ndarray] = {}
     finish: dict[str, np.ndarray] = {}
-    for task in tasks:
+    n = len(trials)
+    for i, task in enumerate(tasks):
         code, d = task["task_code"], task["duration"]
         if task["status"] == "TK_Complete":
-            start[code] = np.full(n, min(task["fixed_finish"], 0.0))
-            finish[code] = np.full(n, task["fixed_finish"])
-            continue
-        sampled = random.triangular(*triangular(d, task["name"], task["status"]), n) if d > 0 else np.zeros(n)
-        begin = np.full(n, max(0.0, task["planned"] or 0.0) if task["status"] == "TK_NotStart" else 0.0)
-        for link in task["links"] or ():
-            before, lag = link["predecessor"], link["lag"]
-            begin = np.maximum(begin, start[before] + lag if link["link"] == "SS" else finish[before] + lag - (sampled if link["link"] == "FF" else 0))
-        start[code], finish[code] = begin, begin + sampled
+            start[code], finish[code] = np.full(n, min(task["fixed_finish"], 0.0)), np.full(n, task["fixed_finish"])
+        else:
+            sampled = _durations(task["a"], task["b"], trials, *triangular(d, task["name"], task["status"])) if d > 0 else np.zeros(n)
+            begin = np.full(n, max(0.0, task["planned"] or 0.0) if task["status"] == "TK_NotStart" else 0.0)
+            for link in task["links"] or ():
+                before, lag = link["predecessor"], link["lag"]
+                begin = np.maximum(begin, start[before] + lag if link["link"] == "SS" else finish[before] + lag - (sampled if link["link"] == "FF" else 0))
+            start[code], finish[code] = begin, begin + sampled
+        for over in [*done.get(i, ()), *(() if code in last else (code,))]:
+            if over != milestone:
+                del start[over], finish[over]
     return finish[milestone]
 
 
-def _simulator(seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def simulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                one = row.drop_columns("schedule").to_pylist()[0]
-                finish = _trials(one["tasks"], one["milestone"], np.random.default_rng([seed, one["stream"], one["block"]]), one["n"])
-                key = row.column("schedule").take(pa.array(np.zeros(one["n"], np.int64)))
-                yield pa.RecordBatch.from_arrays([key, pa.array(np.arange(one["first"], one["first"] + one["n"])), pa.array(finish)], names=["schedule", "trial", "finish"])
-
-    return simulate
-
-
-def simulate_each(activities: DataFrame, links: DataFrame, data_date: Column, milestones: DataFrame, schedule: str, trials: int = TRIALS, seed: int = SEED) -> DataFrame:
+def _simulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            one = row.drop_columns("schedule").to_pylist()[0]
+            trials = np.arange(one["first"], one["first"] + one["n"])
+            finish = _trials(one["tasks"], one["milestone"], trials)
+            key = row.column("schedule").take(pa.array(np.zeros(one["n"], np.int64)))
+            yield pa.RecordBatch.from_arrays([key, pa.array(trials), pa.array(finish)], names=["schedule", "trial", "finish"])
+
+
+def _simulate_wide(work: DataFrame, linked: DataFrame, milestones: DataFrame, trials: int) -> DataFrame:
+    """``schedule, trial, finish`` with a row for each activity and trial, solved as one network without links between trials."""
+    u = ((F.col("a") * F.col("trial") + F.col("b")) % PRIME + 0.5) / PRIME
+    spread = F.when(F.coalesce("name", F.lit("")).rlike(f"(?i){LOGISTICS.pattern}"), F.greatest(0.1 * F.col("duration"), F.lit(3.0))).when(F.col("status") == "TK_Active", F.greatest(0.1 * F.col("duration"), F.lit(1.0))).otherwise(0.1 * F.col("duration"))
+    work = work.withColumn("spread", spread).withColumns({"low": F.greatest(F.col("duration") - F.col("spread"), 0.5 * F.col("duration")), "high": F.col("duration") + 2 * F.col("spread")})
+    width, up, down = F.col("high") - F.col("low"), F.col("duration") - F.col("low"), F.col("high") - F.col("duration")
+    drawn = F.when(u * width < up, F.col("low") + F.sqrt(u * width * up)).otherwise(F.col("high") - F.sqrt((1 - u) * width * down))
+    fixed = F.coalesce(F.col("status") == "TK_Complete", F.lit(False))
+    each = work.withColumn("trial", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trials - 1).cast("long"))))
+    own = _cut(each.select("schedule", "trial", "task_code", fixed.alias("fixed"), "fixed_finish", F.when(F.col("duration") > 0, drawn).otherwise(0.0).alias("d"), F.when(F.col("status") == "TK_NotStart", F.greatest(F.lit(0.0), F.coalesce("planned", F.lit(0.0)))).otherwise(0.0).alias("least")))
+    end = lambda name, *columns: own.select("trial", F.col("task_code").alias(name), *(F.col(c).alias(f"{name[0]}_{c}") for c in columns))
+    into = linked.select("predecessor", "successor", "link", F.coalesce("lag_days", F.lit(0.0)).alias("lag")).join(end("successor", "d", "fixed").where("not s_fixed"), "successor").join(end("predecessor", "d", "fixed", "fixed_finish"), ["predecessor", "trial"])
+    before = F.when(F.col("link") == "SS", F.lit(0.0)).otherwise(F.col("p_d"))
+    weight = F.col("lag") - F.when(F.col("link") == "FF", F.col("s_d")).otherwise(0.0)
+    known = F.when(F.col("link") == "SS", F.least("p_fixed_finish", F.lit(0.0))).otherwise(F.col("p_fixed_finish")) + weight
+    node = lambda code: F.concat_ws("|", F.col("trial").cast("string"), code)
+    into = _cut(into.select("trial", "predecessor", "successor", (before + weight).alias("weight"), F.when(F.col("p_fixed"), known).alias("known")))
+    raised = into.where("known is not null").groupBy("trial", F.col("successor").alias("task_code")).agg(F.max("known").alias("known"))
+    nodes = own.where("not fixed").join(raised, ["trial", "task_code"], "left").select(node("task_code").alias("node"), F.greatest("least", "known").alias("least"))
+    started = longest(nodes, into.where("known is null").select(node("predecessor").alias("src"), node("successor").alias("dst"), "weight"))
+    asked = own.join(milestones.select("schedule", F.col("milestone").alias("task_code")), ["schedule", "task_code"]).withColumn("node", node("task_code"))
+    return asked.join(started, "node", "left").select("schedule", "trial", F.when(F.col("fixed"), F.col("fixed_finish")).otherwise(F.col("value") + F.col("d")).alias("finish"))
+
+
+def simulate_each(activities: DataFrame, links: DataFrame, data_date: Column, milestones: DataFrame, schedule: str, trials: int = TRIALS, seed: int = SEED, most_tasks: int = MOST_TASKS) -> DataFrame:
     """``schedule, trial, finish`` of every schedule: its milestone's finish in each trial, in workdays from the data date.
 
     ``activities`` has the column named by ``schedule``, ``milestones`` has it
-    and ``milestone``, one a schedule; links stay within a schedule. A schedule
-    with its links is one row of at most ``MOST_TASKS`` activities (a larger one
-    fails the job) and goes to as many tasks as its trials have blocks; each
-    block has a random stream of its own, so that the result depends neither on
-    the tasks nor on the other schedules. Nothing is gathered on the driver.
+    and ``milestone``, one a schedule; links stay within a schedule. A trial's
+    draws follow from the seed, the schedule, the activity and the trial's number
+    alone, so results depend neither on tasks nor on other schedules.
+
+    A schedule of up to ``most_tasks`` activities is one row with its links, and
+    goes to as many tasks as its trials have blocks: a block's arrays take
+    ``TRIAL_BYTES`` at most. A larger one is spread, a row for each activity and
+    trial. Nothing is gathered on the driver.
     """
     linked = valid_links(activities, links)
-    order = waves(activities, linked)
     offset = lambda day: workdays_between(data_date, day).cast("double")
+    key = F.col(schedule)
+    work = remaining_durations(activities, data_date).select(
+        key.alias("schedule"), "task_code", "name", "status", "duration", offset(F.coalesce("actual_end", data_date)).alias("fixed_finish"), offset(F.col("target_start")).alias("planned"), *_key(seed, key, F.col("task_code"))
+    )
+    ends = milestones.select(key.alias("schedule"), "milestone")
+    large = _cut(work.groupBy("schedule").agg(F.count("*").alias("n")).where(F.col("n") > most_tasks).select("schedule"))
+    wide = None
+    if not large.isEmpty():
+        big = _cut(work.join(large, "schedule", "left_semi"))
+        wide = _simulate_wide(big, linked.join(big.select(F.col("task_code").alias("successor")), "successor", "left_semi"), ends.join(large, "schedule", "left_semi"), trials)
+        work = work.join(large, "schedule", "left_anti")
+        activities, ends = activities.join(large, key == large["schedule"], "left_anti"), ends.join(large, "schedule", "left_anti")
     link = F.struct("seq", "predecessor", "link", F.coalesce("lag_days", F.lit(0.0)).alias("lag"))
     into = linked.groupBy(F.col("successor").alias("task_code")).agg(F.array_sort(F.collect_list(link)).alias("links"))
-    work = remaining_durations(activities, data_date).join(order, "task_code").join(into, "task_code", "left")
-    task = F.struct("wave", "task_code", "name", "status", "duration", offset(F.coalesce("actual_end", data_date)).alias("fixed_finish"), offset(F.col("target_start")).alias("planned"), "links")
-    whole = work.groupBy(F.col(schedule).alias("schedule")).agg(F.array_sort(F.collect_list(task)).alias("tasks"))
-    bounded = F.when(F.size("tasks") > MOST_TASKS, F.raise_error(F.lit(f"a schedule has over {MOST_TASKS} activities")).cast(whole.schema["tasks"].dataType)).otherwise(F.col("tasks"))
-    whole = whole.withColumn("tasks", bounded).join(milestones.select(F.col(schedule).alias("schedule"), "milestone"), "schedule")
-    n_blocks = -(-trials // TRIALS_PER_BLOCK)
-    blocks = whole.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).repartition("schedule", "block")
-    first = F.col("block") * TRIALS_PER_BLOCK
-    stream = F.crc32(F.col("schedule").cast("string").cast("binary"))
-    blocks = blocks.select("schedule", "tasks", "milestone", "block", stream.alias("stream"), first.cast("long").alias("first"), F.least(F.lit(TRIALS_PER_BLOCK), F.lit(trials) - first).alias("n"))
-    return blocks.mapInArrow(_simulator(seed), f"schedule {whole.schema['schedule'].dataType.simpleString()}, trial long, finish double")
+    work = work.join(waves(activities, linked), "task_code").join(into, "task_code", "left")
+    task = F.struct("wave", "task_code", "name", "status", "duration", "fixed_finish", "planned", "a", "b", "links")
+    whole = work.groupBy("schedule").agg(F.array_sort(F.collect_list(task)).alias("tasks")).join(ends, "schedule")
+    size = F.greatest(F.lit(1), F.least(F.lit(TRIALS_PER_BLOCK), F.expr(f"cast({TRIAL_BYTES} div (16 * size(tasks)) as int)")))
+    blocks = whole.withColumn("size", size.cast("long")).withColumn("first", F.explode(F.expr(f"if({trials} = 0, cast(array() as array<bigint>), sequence(0L, {trials} - 1L, size))")))
+    blocks = blocks.select("schedule", "tasks", "milestone", "first", F.least("size", F.lit(trials) - F.col("first")).alias("n")).repartition("schedule", "first")
+    found = blocks.mapInArrow(_simulate, f"schedule {whole.schema['schedule'].dataType.simpleString()}, trial long, finish double")
+    return found if wide is None else found.unionByName(wide)
 
 
 def simulate_finish(spark: SparkSession, activities: DataFrame, links: DataFrame, data_date: Column, milestone: str, trials: int = TRIALS, seed: int = SEED) -> DataFrame:

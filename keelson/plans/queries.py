@@ -7,6 +7,7 @@ for arrays and maps, so that results compare as plain values.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -275,32 +276,131 @@ def open_items_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").where(F.lower("o_orderstatus") == "o").join(touched, "o_orderkey", "left_semi").select("o_orderkey")
 
 
+# The sales tables as a graph: parts are equipment, orders activities, customers RFIs on their orders, suppliers vendors.
+_GRAPH = """eq as (select 'P' || p_partkey as tag, p_brand, p_retailprice / 2000 as risk from part),
+act as (select 'A' || o_orderkey as code, o_orderpriority = '1-URGENT' as crit, o_orderstatus from orders),
+req as (select distinct 'A' || l_orderkey as src, 'P' || l_partkey as dst from lineitem),
+rfi as (select 'R' || c_custkey as id, c_mktsegment = 'BUILDING' as live from customer), lnk as (select 'R' || o_custkey as src, 'A' || o_orderkey as dst from orders),
+ncr as (select 'N' || l_orderkey || '-' || l_linenumber as id, min(l_returnflag) as flag from lineitem where l_quantity > 45 group by 1), imp as (select distinct 'N' || l_orderkey || '-' || l_linenumber as src, 'P' || l_partkey as dst from lineitem where l_quantity > 45),
+dev as (select distinct 'P' || l_partkey as tag, 'DEV::P' || l_partkey || '::C-' || l_linenumber || '::x' as id from lineitem where l_discount >= 0.09)"""
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    part, orders, customers, lines = (load(spark, sf_dir, t) for t in ("part", "orders", "customer", "lineitem"))
+    id_ = lambda letter, column: F.concat(F.lit(letter), F.col(column).cast("string"))
+    report = F.concat(F.lit("N"), "l_orderkey", F.lit("-"), "l_linenumber")
+    node = lambda df, id_, kind, risk=None, **more: df.select(id_.alias("node_id"), F.lit(kind).alias("node_type"), F.create_map(*(x for k, v in more.items() for x in (F.lit(k), v))).alias("attributes"), (F.lit(None).cast("double") if risk is None else risk).alias("risk_score"))
+    edge = lambda df, src, dst, kind: df.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("relationship")).distinct()
+    heavy = lines.where("l_quantity > 45")
+    reports = heavy.groupBy(report.alias("id")).agg(F.min("l_returnflag").alias("flag"))
+    found = lines.where("l_discount >= 0.09").select(F.concat(F.lit("DEV::P"), "l_partkey", F.lit("::C-"), "l_linenumber", F.lit("::x")).alias("id")).distinct()
+    nodes = [
+        node(part, id_("P", "p_partkey"), "Equipment", F.col("p_retailprice") / 2000, vendor=F.col("p_brand"), submitted_parameters=F.lit("many")),
+        node(orders, id_("A", "o_orderkey"), "ScheduleActivity", status=F.col("o_orderstatus"), is_critical=(F.col("o_orderpriority") == "1-URGENT").cast("string")),
+        node(customers, id_("R", "c_custkey"), "RFI", status=F.when(F.col("c_mktsegment") == "BUILDING", "Open").otherwise("Closed")),
+        node(reports, F.col("id"), "NCR", status=F.when(F.col("flag") == "R", "Closed").otherwise("open"), title=F.col("flag")),
+        node(found, F.col("id"), "Deviation", parameter=F.lit("x")),
+        node(load(spark, sf_dir, "region"), id_("M", "r_regionkey"), "Milestone", expected_delay_days=F.col("r_regionkey").cast("string")),
+    ]
+    edges = [
+        edge(lines, id_("A", "l_orderkey"), id_("P", "l_partkey"), "REQUIRES"),
+        edge(orders, id_("R", "o_custkey"), id_("A", "o_orderkey"), "LINKED_TO"),
+        edge(heavy, report, id_("P", "l_partkey"), "IMPACTS"),
+        edge(part, id_("P", "p_partkey"), F.col("p_brand"), "PROCURED_FROM"),
+    ]
+    return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges)
+
+
 @query(
-    """select p_partkey, count(distinct o_orderkey) as n_activities, count(distinct case when o_orderstatus = 'O' then o_orderkey end) as n_open, coalesce(string_agg(distinct case when o_orderpriority = '1-URGENT' then cast(o_orderkey as varchar) end, ',' order by case when o_orderpriority = '1-URGENT' then cast(o_orderkey as varchar) end), '') as critical,
-      bool_or(o_orderpriority = '1-URGENT') as on_critical_path from part join lineitem on p_partkey = l_partkey join orders on o_orderkey = l_orderkey group by 1"""
+    f"""with {_GRAPH}, act_of as (select dst as tag, count(*) as n, bool_or(crit) as crit from req join act on code = src group by 1), ncr_of as (select dst as tag, count(*) as n from imp join ncr on id = src where flag <> 'R' group by 1),
+    rfi_of as (select req.dst as tag, count(distinct lnk.src) as n from req join lnk on lnk.dst = req.src join rfi on rfi.id = lnk.src where live group by 1), dev_of as (select tag, count(*) as n from dev group by 1)
+    select tag as entity_id, coalesce(act_of.n, 0) as n_activities, coalesce(ncr_of.n, 0) as n_open_ncrs, coalesce(rfi_of.n, 0) as n_open_rfis, coalesce(dev_of.n, 0) as n_deviations, coalesce(act_of.crit, false) as on_critical_path
+    from eq left join act_of using (tag) left join ncr_of using (tag) left join rfi_of using (tag) left join dev_of using (tag)"""
 )
 def entity_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = load(spark, sf_dir, "part").select("p_partkey")
-    joined = part.join(load(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey"), F.col("p_partkey") == F.col("l_partkey")).join(load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), F.col("o_orderkey") == F.col("l_orderkey"))
-    each = joined.select("p_partkey", "o_orderkey", "o_orderstatus", "o_orderpriority").distinct()  # then plain counts: one distinct for all of them
-    urgent = F.col("o_orderpriority") == "1-URGENT"
-    return each.groupBy("p_partkey").agg(
-        F.count("*").alias("n_activities"), F.count_if(F.col("o_orderstatus") == "O").alias("n_open"),
-        F.array_join(F.array_sort(F.collect_list(F.when(urgent, F.col("o_orderkey").cast("string")))), ",").alias("critical"), F.bool_or(urgent).alias("on_critical_path"),
-    )
+    return questions.entity_contexts(*_graph(spark, sf_dir)).select("entity_id", "n_activities", "n_open_ncrs", "n_open_rfis", "n_deviations", "on_critical_path")
+
+
+def _few(rows: str, more: str = "") -> str:
+    """SQL: the first three ids of each tag, with what else is told of them, and how many there are."""
+    return f"(select tag, string_agg(id{more}, ',' order by id) filter (where rn <= 3) as ids, count(*) as n from (select *, row_number() over (partition by tag order by id) as rn from ({rows})) group by 1)"
+
+
+@query(
+    f"""with {_GRAPH} select e.tag as entity_id, d.ids as deviations, a.ids as activities, r.ids as open_rfis, n.ids as open_ncrs, coalesce(d.n, 0) as n_deviations, coalesce(a.n, 0) as n_activities, coalesce(r.n, 0) as n_open_rfis, coalesce(n.n, 0) as n_open_ncrs, p_brand as vendor, 'M0=0' as milestone
+    from eq e left join {_few("select tag, id from dev")} d using (tag) left join {_few("select req.dst as tag, code as id, crit from req join act on code = src", " || '=' || crit")} a using (tag)
+    left join {_few("select distinct req.dst as tag, rfi.id from req join lnk on lnk.dst = req.src join rfi on rfi.id = lnk.src where live")} r using (tag) left join {_few("select dst as tag, id, flag from imp join ncr on id = src where flag <> 'R'", " || '=' || flag")} n using (tag)"""
+)
+def entity_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _graph(spark, sf_dir)
+    found = questions.entity_bundles(nodes, edges, most=3).where("node_type = 'Equipment'")
+    told = lambda name, more=None: F.nullif(F.array_join(F.transform(name, lambda x: F.concat(x["id"], F.lit("="), x[more]) if more else x["id"]), ","), F.lit("")).alias(name)
+    numbers = [f"n_{c}" for c in ("deviations", "activities", "open_rfis", "open_ncrs")]
+    return found.select("entity_id", told("deviations"), told("activities", "is_critical"), told("open_rfis"), told("open_ncrs", "title"), *numbers, F.col("attributes")["vendor"].alias("vendor"), F.concat("milestone.id", F.lit("="), "milestone.expected_delay_days").alias("milestone"))
 
 
 @query(
-    """select 'deviation' as kind, 'P' || l_partkey || ' <-derived- ' || l_orderkey as path from lineitem where l_partkey = 77 and l_discount >= 0.05
-    union select 'activity', l_orderkey || ' -REQUIRES-> P77' from lineitem where l_partkey = 77 union select 'vendor', 'P77 -PROCURED_FROM-> S' || l_suppkey from lineitem where l_partkey = 77"""
+    f"""with {_GRAPH} select 'equipment' as kind, tag as id, null as path from eq where tag = 'P77' union all select 'deviation', id, 'P77 <-derived- ' || id from dev where tag = 'P77' union all select 'activity', src, src || ' -REQUIRES-> P77' from req where dst = 'P77'
+    union all select 'vendor', p_brand, 'P77 -PROCURED_FROM-> ' || p_brand from eq where tag = 'P77' and false union all select 'ncr', src, src || ' -IMPACTS-> P77' from imp where dst = 'P77'"""
 )
 def entity_status_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = load(spark, sf_dir, "lineitem").where("l_partkey = 77").select("l_orderkey", "l_suppkey", "l_discount")
-    edge = lambda src, dst, kind: lines.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("relationship")).distinct()
-    activity = edge(F.col("l_orderkey").cast("string"), F.lit("P77"), "REQUIRES").select(F.lit("activity").alias("kind"), graph.path_text().alias("path"))
-    vendor = edge(F.lit("P77"), F.concat(F.lit("S"), "l_suppkey"), "PROCURED_FROM").select(F.lit("vendor").alias("kind"), graph.path_text().alias("path"))
-    deviation = lines.where("l_discount >= 0.05").select(F.lit("deviation").alias("kind"), F.concat(F.lit("P77 <-derived- "), F.col("l_orderkey").cast("string")).alias("path")).distinct()
-    return deviation.unionByName(activity).unionByName(vendor)
+    return questions.equipment_status(*_graph(spark, sf_dir), "P77").select("kind", "id", "path")
+
+
+@query(
+    f"""with {EVENT_LOG}, w as (select entity_id, seq, ts, agent, severity, case when severity = 'CRITICAL' then ts + interval 1 hour end as given from ev),
+    h as (select entity_id, first(agent order by ts, seq) as node_type, coalesce(last(given order by ts, seq) filter (given is not null), min(ts)) as v, max(ts) as t from w group by 1),
+    a as (select *, row_number() over (partition by entity_id, agent order by ts desc, seq desc) as rn from w)
+    select h.entity_id, node_type, epoch_us(v) as valid_time, epoch_us(t) as transaction_time, string_agg(agent || '=' || severity, ';' order by agent) as attributes from h join a on a.entity_id = h.entity_id and rn = 1 group by 1, 2, 3, 4"""
+)
+def node_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.current_nodes(_writes(spark, sf_dir))
+    pairs = F.array_join(F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return found.select(F.col("node_id").alias("entity_id"), "node_type", F.unix_micros("valid_time").alias("valid_time"), F.unix_micros("transaction_time").alias("transaction_time"), pairs.alias("attributes"))
+
+
+def _writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = F.when(F.col("severity") == "CRITICAL", F.col("ts") + F.expr("interval 1 hour"))
+    return event_log(spark, sf_dir).select(F.col("entity_id").alias("node_id"), F.col("agent").alias("node_type"), F.create_map("agent", "severity").alias("attributes"), given.alias("valid_time"), F.col("ts").alias("tx_time"), "seq")
+
+
+@query(
+    f"""with {EVENT_LOG}, w as (select entity_id, seq, ts, agent, case when severity = 'CRITICAL' then ts + interval 1 hour end as given from ev)
+    select entity_id, seq, first_value(agent) over k as node_type, epoch_us(coalesce(last_value(given ignore nulls) over (partition by entity_id order by ts, seq rows between unbounded preceding and current row), first_value(ts) over k)) as valid_time,
+      epoch_us(lead(ts) over k) as tx_to from w window k as (partition by entity_id order by ts, seq)"""
+)
+def node_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.node_history(_writes(spark, sf_dir))
+    return found.select(F.col("node_id").alias("entity_id"), "seq", "node_type", F.unix_micros("valid_time").alias("valid_time"), F.unix_micros("tx_to").alias("tx_to"))
+
+
+@query(
+    """with a as (select p_partkey as k, p_name, p_size from part where p_partkey % 10 <> 0), b as (select p_partkey as k, p_name, case when p_partkey % 7 = 0 then p_size + 1 else p_size end as p_size from part where p_partkey % 10 <> 1)
+    select case when a.k is null then 'added' when b.k is null then 'removed' else 'changed' end as op, coalesce(a.k, b.k) as k, coalesce(b.p_name, a.p_name) as p_name, coalesce(b.p_size, a.p_size) as p_size
+    from a full join b on a.k = b.k where a.k is null or b.k is null or a.p_size <> b.p_size"""
+)
+def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_name", "p_size")
+    new = part.where("k % 10 <> 1").withColumn("p_size", F.when(F.col("k") % 7 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")))
+    return graph.changes(part.where("k % 10 <> 0"), new, ["k"])
+
+
+@query(
+    """with e as (select distinct 'UPS-' || lpad(cast(p_size as varchar), 2, '0') as tag from part), c as (select 'SPEC::C' || p_partkey || '::' || p_type as clause, 'unit UPS-' || lpad(cast(p_size as varchar), 2, '0') || ' ' || p_type || ' ' || p_name as t from part where p_partkey % 3 = 0),
+    s as (select distinct 'UPS-' || lpad(cast(l_linenumber as varchar), 2, '0') as tag, 'S' || l_suppkey as vendor from lineitem), q as (select tag from e union select tag from s)
+    select tag as src, vendor as dst, 'PROCURED_FROM' as relationship from s union select tag, clause, 'SPECIFIED_BY' from q, c where contains(upper(t), tag) or contains(upper(t), 'UPS')
+    union select 'R' || o_custkey, 'A' || o_orderkey, 'LINKED_TO' from orders where o_orderstatus = 'O' union select 'T' || r_regionkey, 'UPS-0' || r_regionkey, 'TESTS' from region where 'UPS-0' || r_regionkey in (select tag from q)"""
+)
+def fact_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, lines, orders, regions = (load(spark, sf_dir, t) for t in ("part", "lineitem", "orders", "region"))
+    tag = lambda c: F.concat(F.lit("UPS-"), F.lpad(F.col(c).cast("string"), 2, "0"))
+    activity = F.concat(F.lit("A"), "o_orderkey")
+    nodes = part.select(tag("p_size").alias("node_id"), F.lit("Equipment").alias("node_type")).distinct().union(orders.where("o_orderstatus = 'O'").select(activity, F.lit("ScheduleActivity")))
+    submittals = lines.select(tag("l_linenumber").alias("equipment_tag"), F.concat(F.lit("S"), "l_suppkey").alias("vendor"))
+    requirements = part.where("p_partkey % 3 = 0").select(F.concat(F.lit("C"), "p_partkey").alias("clause_id"), F.col("p_type").alias("parameter"), F.lit(None).cast("string").alias("canonical_parameter"), F.concat(F.lit("unit "), tag("p_size")).alias("system"), F.col("p_name").alias("source_text"))
+    rfis = orders.select(F.concat(F.lit("R"), "o_custkey").alias("rfi_id"), activity.alias("linked_activity"))
+    procedures = regions.select(F.concat(F.lit("T"), "r_regionkey").alias("procedure_id"), F.concat(F.lit("load test of UPS-0"), "r_regionkey").alias("title"))
+    return graph.fact_graph(nodes, submittals, requirements, rfis, procedures)[1]
 
 
 # Deliveries
@@ -570,14 +670,46 @@ def slip_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*_split_code(), "slip").withColumnRenamed("turn", "origin")
 
 
-@query()
-def mc_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Every conversation as a schedule, with durations from its texts.
+# Every conversation as a schedule, with durations from its texts; a turn's draws follow from its name and the trial.
+_TRIALS = """act as (
+  select conv_id, turn, cast(length(text) % 10 + 1 as double) as d, 'C' || conv_id || '-' || turn as code from conversations
+), keyed as (
+  select *, md5('42|' || conv_id || '|' || code) as h from act
+), drawn as (
+  select conv_id, turn, trial, d, 0.9 * d as low, 1.2::double * d as high,
+    (((1 + ('0x' || h[1:8])::bigint % 2147483646) * trial + ('0x' || h[9:16])::bigint % 2147483647) % 2147483647 + 0.5::double) / 2147483647 as u from keyed, range({0}) t(trial)
+), spread as (
+  select conv_id, turn, trial, d, greatest(d - 0.1::double * d, 0.5::double * d) as low, d + 2 * (0.1::double * d) as high, u from drawn
+), took as (
+  select conv_id, turn, trial, case when u * (high - low) < d - low then low + sqrt(u * (high - low) * (d - low)) else high - sqrt((1 - u) * (high - low) * (high - d)) end as x from spread
+), walk as (
+  select conv_id, trial, 0::bigint as turn, 0::double as s, x as f, null::double as s2 from took where turn = 0
+  union all select w.conv_id, w.trial, w.turn + 1, greatest(0, w.f, coalesce(w.s2 + 3, 0)), greatest(0, w.f, coalesce(w.s2 + 3, 0)) + t.x, w.s from walk w join took t on t.conv_id = w.conv_id and t.trial = w.trial and t.turn = w.turn + 1
+), fin as (select conv_id, trial, f as finish from walk qualify row_number() over (partition by conv_id, trial order by turn desc) = 1)"""
+
+
+def _simulated(spark: SparkSession, sf_dir: str, trials: int) -> DataFrame:
     activities, links = turns(spark, sf_dir)
     work = activities.withColumns({"original_duration_days": F.col("duration") + 1, "early_end": F.lit(None).cast("date")})
     last = work.groupBy("conv_id").agg(F.max_by("task_code", "turn").alias("milestone"))
-    trials = schedule.simulate_each(work, links, _data_date(), last, "conv_id", trials=1000)
-    return schedule.simulation_summary(trials, _data_date(), F.lit("2026-08-20").cast("date"), by="schedule").withColumnRenamed("schedule", "conv_id")
+    return schedule.simulate_each(work, links, _data_date(), last, "conv_id", trials=trials)
+
+
+@query(f"with recursive {_TRIALS.format(50)} select conv_id, trial, round(finish, 6) as finish from fin")
+def mc_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _simulated(spark, sf_dir, 50).select(F.col("schedule").alias("conv_id"), "trial", F.round("finish", 6).alias("finish"))
+
+
+@query(
+    f"""with recursive {_TRIALS.format(400)}, p as (
+      select conv_id, quantile_cont(finish, 0.5) as p50, quantile_cont(finish, 0.8) as p80, quantile_cont(finish, 0.9) as p90, round(avg(cast(finish > 23 as integer)), 3) as breach from fin group by 1
+    ), k as (select *, 5 * date_diff('week', date '1970-01-05', date '2026-07-20') as base from p)
+    select conv_id, round(p50, 6) as p50, round(p80, 6) as p80, round(p90, 6) as p90, breach,
+      {", ".join(f"strftime(date '1970-01-05' + cast(((base + trunc(p{q})::bigint) // 5) * 7 + (base + trunc(p{q})::bigint) % 5 as integer), '%Y-%m-%d') as p{q}_date" for q in (50, 80, 90))} from k"""
+)
+def mc_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = schedule.simulation_summary(_simulated(spark, sf_dir, 400), _data_date(), F.lit("2026-08-20").cast("date"), by="schedule")
+    return told.select(F.col("schedule").alias("conv_id"), *(F.round(f"p{q}", 6).alias(f"p{q}") for q in (50, 80, 90)), "breach", *(F.col(f"p{q}_date").cast("string").alias(f"p{q}_date") for q in (50, 80, 90)))
 
 
 @query("select quantile_cont(l_extendedprice, 0.5) as p50, quantile_cont(l_extendedprice, 0.8) as p80, quantile_cont(l_extendedprice, 0.9) as p90, round(avg(cast(l_extendedprice > 50000 as integer)), 3) as breach from lineitem")

@@ -193,3 +193,34 @@ def test_passes_of_deep_schedules_agree_with_a_loop(spark):
             want[code] = (start, start + d, driver)
     assert got == want
     assert schedule.forward_pass(a.limit(0), spark.createDataFrame(links, "predecessor string, successor string, link string, lag_days double, seq long"), day).count() == 0
+
+
+def test_a_schedule_too_large_for_a_row_is_simulated_alike(spark):
+    r = random.Random(4)
+    day = F.lit("2026-07-20").cast("date")
+    acts, links = [], []
+    for s in ("x", "y"):
+        for i in range(12):
+            status = r.choice(["TK_NotStart"] * 5 + ["TK_Complete"]) if i < 11 else "TK_NotStart"
+            acts.append((s, f"{s}{i}", r.choice(["Deliver pump", "work", None]), status, float(r.randint(0, 9)), "2026-07-13" if status == "TK_Complete" else None, r.choice([None, "2026-07-27"])))
+            links += [(f"{s}{j}", f"{s}{i}", r.choice(["FS", "SS", "FF"]), r.choice([None, 1.0]), i) for j in {i - 1, i - 3} if j >= 0]
+    acts = [*acts, ("z", "z0", "done", "TK_Complete", 3.0, "2026-07-14", None)]
+    a = spark.createDataFrame(acts, "s string, task_code string, name string, status string, original_duration_days double, actual_end string, target_start string")
+    a = a.selectExpr("*", "cast(null as date) early_end", "cast(null as date) target_end").withColumns({c: F.col(c).cast("date") for c in ("actual_end", "target_start")})
+    links = spark.createDataFrame(links, "predecessor string, successor string, link string, lag_days double, seq long")
+    ends = spark.createDataFrame([("x", "x11"), ("y", "y11"), ("z", "z0")], "s string, milestone string")
+    rows = lambda most: {(x.schedule, x.trial): round(x.finish, 9) for x in schedule.simulate_each(a, links, day, ends, "s", trials=20, most_tasks=most).collect()}
+    small = rows(100)
+    assert len(small) == 60 and rows(5) == small and len({v for (s, _), v in small.items() if s == "x"}) > 10
+    assert schedule.simulate_each(a, links, day, ends, "s", trials=0).count() == 0
+
+
+def test_blocks_of_trials_are_bounded_and_change_nothing(spark, monkeypatch):
+    day = F.lit("2026-07-20").cast("date")
+    a = spark.range(6).selectExpr("'s' as s", "cast(id as string) as task_code", "'w' as name", "'TK_NotStart' as status", "cast(id + 1 as double) as original_duration_days", "cast(null as date) actual_end", "cast(null as date) target_start", "cast(null as date) early_end", "cast(null as date) target_end")
+    links = spark.range(5).selectExpr("cast(id as string) as predecessor", "cast(id + 1 as string) as successor", "'FS' as link", "0.0 as lag_days", "id as seq")
+    ends = spark.createDataFrame([("s", "5")], "s string, milestone string")
+    rows = lambda: {x.trial: x.finish for x in schedule.simulate_each(a, links, day, ends, "s", trials=30).collect()}
+    one = rows()
+    monkeypatch.setattr(schedule, "TRIAL_BYTES", 16 * 6 * 7)
+    assert rows() == one and sorted(one) == list(range(30))
