@@ -246,6 +246,19 @@ def replaced(rows: DataFrame, stale: Column, fresh: DataFrame) -> DataFrame:
 # Questions
 
 
+def of_status(rows: DataFrame, status: str, column: str = "status") -> DataFrame:
+    """Rows of a status, written in any case; a null is no status."""
+    return rows.where(F.lower(F.coalesce(column, F.lit(""))) == status.lower())
+
+
+def of_prefix(nodes: DataFrame, prefix: str, key: str = "node_id", but: tuple[str, ...] = ()) -> DataFrame:
+    """Nodes whose id begins with ``prefix`` but with none of ``but``: pushed down to the scan."""
+    test = F.col(key).startswith(prefix)
+    for other in but:
+        test = test & ~F.col(key).startswith(other)
+    return nodes.where(test)
+
+
 def at_risk(nodes: DataFrame, threshold: float = AT_RISK) -> DataFrame:
     """Equipment of a risk over the threshold (not at it)."""
     return nodes.where((F.col("node_type") == "Equipment") & (F.col("risk_score") > threshold))
@@ -262,7 +275,7 @@ def open_on_critical_path(items: DataFrame, links: DataFrame, activities: DataFr
     ``items`` (item, status), ``links`` (item, activity), ``activities``
     (activity, is_critical), ``milestones`` (activity, milestone, seq).
     """
-    live = items.where(F.lower(F.coalesce("status", F.lit(""))) == "open")
+    live = of_status(items, "open")
     first = first_by(milestones, ["activity"], F.col("seq").asc()).select("activity", "milestone")
     hops = live.join(links, "item").join(activities, "activity").join(first, "activity", "left")
     kept = hops.where(F.coalesce("is_critical", F.lit(False)) | F.col("milestone").isNotNull())

@@ -102,6 +102,27 @@ def first_delay(nodes: DataFrame, order: str = "node_id") -> DataFrame:
     return judged.agg(F.min_by(F.struct(F.col("node_id").alias("id"), *result), order).alias("milestone")).where("milestone is not null")
 
 
+def _reached(edges: DataFrame, relationship: str) -> DataFrame:
+    return edges.where(F.col("relationship") == relationship).select(F.col("src").alias("id"), F.col("dst").alias("entity_id")).distinct()
+
+
+def _told(nodes: DataFrame, kind: str, *names: str) -> DataFrame:
+    """``id``, ``status`` in lower case, and attributes of the nodes of a kind."""
+    return nodes.where(F.col("node_type") == kind).select(F.col("node_id").alias("id"), F.lower(F.coalesce(_ATTRIBUTE("status"), F.lit(""))).alias("live"), *(_ATTRIBUTE(n).alias(n) for n in names))
+
+
+def open_rfis(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``entity_id, id, subject`` of the open RFIs that are linked to an activity which needs the entity, each pair once."""
+    linked = _told(nodes, "RFI", "subject").where("live = 'open'").join(_reached(edges, "LINKED_TO").withColumnRenamed("entity_id", "activity"), "id")
+    needs = _reached(edges, "REQUIRES").withColumnRenamed("id", "activity")
+    return needs.join(linked, "activity").select("entity_id", "id", "subject").distinct()
+
+
+def open_reports(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``entity_id, id, title, severity, raised_by`` of the field reports on an entity that are not closed."""
+    return _reached(edges, "IMPACTS").join(_told(nodes, "NCR", "title", "severity", "raised_by").where("live <> 'closed'"), "id").select("entity_id", "id", "title", "severity", "raised_by")
+
+
 def entity_bundles(nodes: DataFrame, edges: DataFrame, entities: DataFrame | None = None, most: int = 20, order: str = "node_id") -> DataFrame:
     """What is known around each entity, as far as an answer or an alert shows it.
 
@@ -115,15 +136,11 @@ def entity_bundles(nodes: DataFrame, edges: DataFrame, entities: DataFrame | Non
     """
     known = nodes.select(F.col("node_id").alias("entity_id"), "node_type", F.map_filter("attributes", lambda k, _: k != "submitted_parameters").alias("attributes"))
     entities = known.select("entity_id") if entities is None else entities.select("entity_id").distinct()
-    far = nodes.select(F.col("node_id").alias("id"), "node_type", "attributes", F.lower(F.coalesce(_ATTRIBUTE("status"), F.lit(""))).alias("status"))
-    reached = lambda kind: edges.where(F.col("relationship") == kind).select(F.col("src").alias("id"), F.col("dst").alias("entity_id")).distinct()
-    named = lambda *names: [_ATTRIBUTE(n).alias(n) for n in names]
-    deviations = far.where("node_type = 'Deviation'").select(F.try_element_at(F.split("id", "::"), F.lit(2)).alias("entity_id"), "id", "attributes").where("entity_id is not null")
-    activities = reached("REQUIRES").join(far, "id").select("entity_id", "id", *named("name", "status", "is_critical"))
-    live = far.where("node_type = 'RFI' and status = 'open'").select("id", *named("subject"))
-    linked = live.join(reached("LINKED_TO").withColumnRenamed("entity_id", "activity"), "id")
-    rfis = activities.select("entity_id", F.col("id").alias("activity")).join(linked, "activity").select("entity_id", "id", "subject").distinct()
-    reports = reached("IMPACTS").join(far.where("node_type = 'NCR' and status <> 'closed'"), "id").select("entity_id", "id", *named("title", "severity", "raised_by"))
+    found = nodes.where("node_type = 'Deviation'").select(F.try_element_at(F.split("node_id", "::"), F.lit(2)).alias("entity_id"), F.col("node_id").alias("id"), "attributes")
+    deviations = found.where("entity_id is not null")
+    about = nodes.select(F.col("node_id").alias("id"), *(_ATTRIBUTE(n).alias(n) for n in ("name", "status", "is_critical")))
+    activities = _reached(edges, "REQUIRES").join(about, "id").select("entity_id", "id", "name", "status", "is_critical")
+    rfis, reports = open_rfis(nodes, edges), open_reports(nodes, edges)
     bundle = entities.join(known, "entity_id", "left")
     for rows, name, fields in ((deviations, "deviations", ("attributes",)), (activities, "activities", ("name", "status", "is_critical")), (rfis, "open_rfis", ("subject",)), (reports, "open_ncrs", ("title", "severity", "raised_by"))):
         few = _first_few(rows, name, most, *fields)

@@ -67,12 +67,11 @@ def strongest_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with {_SCORES} select entity_id, score, case when on_critical_path then 1.5 else 1.0 end::double as criticality_weight, 30 as delay_days, 1500000.0::double as exposure,
-      entity_id || ' flagged independently by ' || replace(agents, ',', ', ') as narrative, n_agents as n_signals from kept"""
+      entity_id || ' flagged independently by ' || replace(agents, ',', ', ') || ' (score ' || score || ')' as narrative, n_agents as n_signals from kept"""
 )
 def converge_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = convergence.alerts(event_log(spark, sf_dir), critical_entities(spark, sf_dir), F.lit(30))
-    narrative = F.regexp_replace("narrative", r" \(score .*\)$", "")
-    return told.select("entity_id", "score", "criticality_weight", "delay_days", "exposure", narrative.alias("narrative"), F.size("agent_signals").cast("long").alias("n_signals"))
+    return told.select("entity_id", "score", "criticality_weight", "delay_days", "exposure", "narrative", F.size("agent_signals").cast("long").alias("n_signals"))
 
 
 # Events
@@ -195,12 +194,12 @@ def topn_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select o_orderkey, o_orderstatus from orders where lower(o_orderstatus) = 'o'")
 def status_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "orders").where(F.lower(F.coalesce("o_orderstatus", F.lit(""))) == "o").select("o_orderkey", "o_orderstatus")
+    return graph.of_status(load(spark, sf_dir, "orders"), "O", "o_orderstatus").select("o_orderkey", "o_orderstatus")
 
 
 @query("select p_partkey, p_brand from part where starts_with(p_brand, 'Brand#2') and not starts_with(p_brand, 'Brand#22')")
 def prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "part").where(F.col("p_brand").startswith("Brand#2") & ~F.col("p_brand").startswith("Brand#22")).select("p_partkey", "p_brand")
+    return graph.of_prefix(load(spark, sf_dir, "part"), "Brand#2", "p_brand", but=("Brand#22",)).select("p_partkey", "p_brand")
 
 
 @query("select doc_id, substr(sha256(text), 1, 12) as version_id, regexp_matches(substr(sha256(text), 1, 12), '^[0-9a-f]{12}$') as ok, regexp_replace(source || '/' || lang, '[^A-Za-z0-9._ -]', '_', 'g') as name from documents")
@@ -269,13 +268,6 @@ def edge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.latest_edges(edges).select(F.col("src").alias("l_suppkey"), F.col("dst").alias("l_partkey"), "l_orderkey")
 
 
-@query("select distinct o_orderkey from orders where o_orderstatus = 'O' and o_orderkey in (select l_orderkey from lineitem join part on l_partkey = p_partkey where p_type = 'PROMO')")
-def open_items_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    promo = load(spark, sf_dir, "part").where("p_type = 'PROMO'").select(F.col("p_partkey").alias("l_partkey"))
-    touched = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(promo, "l_partkey", "left_semi").select(F.col("l_orderkey").alias("o_orderkey"))
-    return load(spark, sf_dir, "orders").where(F.lower("o_orderstatus") == "o").join(touched, "o_orderkey", "left_semi").select("o_orderkey")
-
-
 # The sales tables as a graph: parts are equipment, orders activities, customers RFIs on their orders, suppliers vendors.
 _GRAPH = """eq as (select 'P' || p_partkey as tag, p_brand, p_retailprice / 2000 as risk from part),
 act as (select 'A' || o_orderkey as code, o_orderpriority = '1-URGENT' as crit, o_orderstatus from orders),
@@ -403,6 +395,16 @@ def fact_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.fact_graph(nodes, submittals, requirements, rfis, procedures)[1]
 
 
+@query(f"with {_GRAPH} select distinct req.dst as entity_id, rfi.id from req join lnk on lnk.dst = req.src join rfi on rfi.id = lnk.src where live")
+def open_items_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return questions.open_rfis(*_graph(spark, sf_dir)).select("entity_id", "id")
+
+
+@query(f"with {_GRAPH} select dst as entity_id, id, flag as title from imp join ncr on id = src where flag <> 'R'")
+def open_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return questions.open_reports(*_graph(spark, sf_dir)).select("entity_id", "id", "title")
+
+
 # Deliveries
 
 _BUFFERS = """orders_of as (select l_partkey as tag, min(case when l_linenumber = 1 then l_orderkey end) as delivery from lineitem group by 1),
@@ -492,6 +494,18 @@ def deviation_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compliance.overall(compliance.deviations(_compared(spark, sf_dir).withColumn("source_text", F.lit(None).cast("string"))))
 
 
+@query(
+    """with s as (select distinct l_partkey from lineitem where l_suppkey = 7) select 'C' || p_partkey as clause_id, p_type as parameter, l_partkey is not null as linked from part left join s on l_partkey = p_partkey where l_partkey is not null or contains(upper(p_name), 'RING')"""
+)
+def governing_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, lines = load(spark, sf_dir, "part"), load(spark, sf_dir, "lineitem")
+    requirements = part.select(F.concat(F.lit("C"), "p_partkey").alias("clause_id"), F.col("p_type").alias("parameter"), F.col("p_name").alias("source_text"))
+    linked = lines.where("l_suppkey = 7").select("l_partkey").distinct()
+    specified = part.join(linked, F.col("p_partkey") == F.col("l_partkey"), "left_semi").select(F.concat(F.lit("C"), "p_partkey").alias("clause_id"), F.col("p_type").alias("parameter"))
+    found = compliance.governing(requirements, specified, "ring")
+    return found.join(specified.select("clause_id", F.lit(True).alias("hit")), "clause_id", "left").select("clause_id", "parameter", F.coalesce("hit", F.lit(False)).alias("linked"))
+
+
 _MATCH = """req as (select p_partkey as req, p_brand, p_type as canon, p_name as words from part where p_partkey % 2 = 0),
 par as (select p_partkey as seq, p_brand, case when p_size < 25 then p_type end as canon, p_name as words, p_size % 3 > 0 as fits from part where p_partkey % 2 = 1),
 pairs as (
@@ -841,7 +855,14 @@ def page_chunks_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.groupBy("doc_id").agg(F.sum("chars").alias("chars")).join(sizes, "doc_id").select("doc_id", "n_pages", "chars")
 
 
-@query()
+@query(
+    """with recursive l as (select doc_id, unnest(string_split(text, chr(10))) as line, cast(generate_subscripts(string_split(text, chr(10)), 1) - 1 as integer) as page from documents where text is not null),
+    p as (select doc_id, page, cast(length(line) as integer) as n, row_number() over (partition by doc_id order by page) as rn from l where length(line) > 0),
+    w as (
+      select doc_id, rn, page, 0 as chunk, page as first_page, n as chars from p where rn = 1
+      union all select p.doc_id, p.rn, p.page, w.chunk + (w.chars + p.n > 6000)::integer, case when w.chars + p.n > 6000 then p.page else w.first_page end, case when w.chars + p.n > 6000 then p.n else w.chars + p.n end from w join p on p.doc_id = w.doc_id and p.rn = w.rn + 1
+    ) select doc_id, chunk, first_page, max(page) as last_page, max(chars) as chars from w group by 1, 2, 3"""
+)
 def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text"))
     return documents.page_chunks(pages)
@@ -849,8 +870,9 @@ def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents where text is not null),
-    h as (select doc_id, pos, 'CL-' || (doc_id % 20) || '.' || (pos % 3) as clause_id from l), f as (select * from h qualify row_number() over (partition by clause_id order by doc_id, pos) = 1)
-    select clause_id, doc_id as page, cast(pos as integer) as line from f"""
+    h as (select doc_id, pos, 'CL-' || (doc_id % 20) || '.' || (pos % 3) as clause_id from l), f as (select * from h qualify row_number() over (partition by clause_id order by doc_id, pos) = 1),
+    n as (select doc_id, len(string_split(text, chr(10))) as n from documents where text is not null)
+    select clause_id, doc_id as page, trim(array_to_string(list_transform(range(pos, least(pos + 2, n) + 1), lambda p: 'CL-' || (doc_id % 20) || '.' || (p % 3) || ' at ' || p || ' '), ' '))[1:400] as source_text from f join n using (doc_id)"""
 )
 def clause_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Each line is led by the clause id that it stands for.
@@ -859,7 +881,7 @@ def clause_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = lines.select("page", F.array_join(F.transform("ls", lambda x, i: F.concat(id_(i), F.lit(" at "), (i + 1).cast("string"), F.lit(" "))), "\n").alias("text"))
     clauses = spark.range(60).select(F.concat(F.lit("CL-"), F.expr("cast(id div 3 as string)"), F.lit("."), (F.col("id") % 3).cast("string")).alias("clause_id"))
     found = documents.clause_texts(clauses, pages)
-    return found.select("clause_id", "page", F.regexp_extract("source_text", r"^\S+ at (\d+)", 1).cast("int").alias("line"))
+    return found.select("clause_id", "page", "source_text")
 
 
 @query("select p_partkey, case when p_size < 10 then 'reference only' when p_size < 20 then 'on file' when p_size < 30 then 'not parsed yet' when p_partkey % 2 = 1 then case when p_size < 40 then 'changed: derived again on the next run' else 'changed: rebuild to parse again' end else 'parsed' end as status from part")
