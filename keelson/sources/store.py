@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -141,6 +142,95 @@ class Store:
         return self.replace(self.spark.createDataFrame([], self.schema))
 
 
+class KeyedStore(Store):
+    """A table of unique keys, changed row by row: a change writes what it changes, and reading merges.
+
+    Every version is dealt into ``buckets`` folders by a hash of the key, so that a
+    look-up of keys reads their buckets only. Of a key the row of the newest version
+    counts; a removal is a row too. ``compact`` replaces the versions by what they
+    amount to once changes outweigh ``SHARE`` of the rows, and ``reap`` deletes what
+    no reader needs any more.
+    """
+
+    SHARE = 0.25
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], buckets: int = 16):
+        super().__init__(spark, path, f"{schema}, __removed boolean, __bucket int")
+        self.keys, self.buckets = keys, buckets
+        self.columns = [c for c in self.spark.createDataFrame([], self.schema).columns if not c.startswith("__")]
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def _write(self, rows: DataFrame, replaces: bool) -> str:
+        aside = f"{self.path}/_aside-{uuid.uuid4().hex}"
+        empty = self.spark.createDataFrame([], self.schema)
+        whole = empty.unionByName(rows, allowMissingColumns=True).select(*empty.columns).withColumn("__bucket", self._bucket())
+        whole.repartition(self.buckets, "__bucket").write.partitionBy("__bucket").parquet(aside)
+        if replaces:
+            self._files.create(self._path(f"{aside}/_replaces"), False).close()
+        return aside
+
+    def _rows(self, parts: list[str]) -> DataFrame:
+        """All rows of some versions, each with the number of its version."""
+        if not parts:
+            return self.spark.createDataFrame([], f"{self.schema}, __version int")
+        each = [self.spark.read.schema(self.schema).parquet(p).withColumn("__version", F.lit(int(p.rsplit("/v", 1)[1]))) for p in parts]
+        return reduce(DataFrame.unionByName, each)
+
+    def _merged(self, rows: DataFrame) -> DataFrame:
+        newest = rows.groupBy(*self.keys).agg(F.max_by(F.struct("__removed", *(c for c in self.columns if c not in self.keys)), "__version").alias("row"))
+        return newest.where(~F.coalesce("row.__removed", F.lit(False))).select(*(F.col(c) if c in self.keys else F.col(f"row.{c}").alias(c) for c in self.columns))
+
+    def read(self) -> DataFrame:
+        return self._merged(self._rows(self._current(self._versions())))
+
+    def get(self, wanted: DataFrame) -> DataFrame:
+        """The rows of some keys: only their buckets are read."""
+        keys = wanted.select(*self.keys).distinct()
+        buckets = [r[0] for r in keys.select(self._bucket()).distinct().collect()]  # at most ``buckets``
+        rows = self._rows(self._current(self._versions())).where(F.col("__bucket").isin(buckets) if buckets else F.lit(False))
+        return self._merged(rows.join(keys, self.keys, "left_semi"))
+
+    def put(self, rows: DataFrame, order: str | None = None) -> None:
+        """Add rows or put them in place of those of their keys; of rows of one key the last by ``order`` counts (else any)."""
+        rest = [c for c in self.columns if c not in self.keys]
+        one = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), order).alias("row")).select(*self.keys, "row.*") if order else rows.dropDuplicates(self.keys)
+        self._add(one.select(*self.columns).withColumn("__removed", F.lit(False)))
+
+    def remove(self, keys: DataFrame) -> None:
+        self._add(keys.select(*self.keys).distinct().withColumn("__removed", F.lit(True)))
+
+    def apply(self, changes: DataFrame) -> None:
+        """``graph.changes`` as one version: readers see all of them or none."""
+        self._add(changes.select(*self.columns, (F.col("op") == "removed").alias("__removed")))
+
+    def _add(self, rows: DataFrame) -> None:
+        aside = self._write(rows, False)
+        while not self._commit(aside, self._next()):
+            pass
+
+    def compact(self, always: bool = False) -> bool:
+        """Put one version in place of all, if what was changed since the last is much; false if it is left, also to another writer."""
+        versions = self._versions()
+        parts = self._current(versions)
+        if len(parts) < 2:
+            return False
+        sizes = self._rows(parts).groupBy("__version").count().orderBy("__version").collect()  # a row a version
+        if not always and sum(r["count"] for r in sizes[1:]) <= self.SHARE * sizes[0]["count"]:
+            return False
+        return self._commit(self._write(self._merged(self._rows(parts)), True), versions[-1] + 1)
+
+    def reap(self, keep: int = 1) -> int:
+        """Delete the versions that the newest replacement made void, but for the last ``keep`` of them, for readers under way."""
+        versions = self._versions()
+        void = [n for n in versions if f"{self.path}/v{n}" not in self._current(versions)]
+        gone = void[: len(void) - keep] if keep else void
+        for n in gone:
+            self._files.delete(self._path(f"{self.path}/v{n}"), True)
+        return len(gone)
+
+
 def publish(store: Store, events: DataFrame) -> DataFrame:
     """Append events after checking them; their numbers continue the log's, also when several writers publish at once."""
     checked = scratch(publishable(events), "published")
