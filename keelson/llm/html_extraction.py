@@ -13,7 +13,10 @@ beside it whose importance is below a share of its own are cut from each page.
 The tree is over all elements. Besides it there is a prior: elements whose tag,
 role, class or id says that they are no content (navigation, adverts, notices,
 forms, comments and the like) are left out, as on a host of one page, or with
-menus that change from page to page, entropies cannot tell.
+menus that change from page to page, entropies cannot tell. Names count by their
+words: what tells of the layout (``no-sidebar``) says nothing, what stands around
+an article (headers, notices) is content inside it, and an element that turns
+out to have the article in it is kept from there on.
 
 Pages of a host that have the same blocks are one content, and count once.
 Features are counted as hashes with partial sums before the shuffle, so a host
@@ -26,7 +29,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -50,12 +53,19 @@ RAW = frozenset("script style textarea title noscript template iframe svg math x
 #: Elements that are never part of the main text, and words of a class, id or role that say so.
 DROPPED = frozenset("head script style noscript template iframe svg math object embed canvas nav footer aside form button select option input textarea label fieldset dialog menu title xmp audio video".split())
 BLOCK = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption center".split())
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|side-?bar|nav|navbar|navigation|menu|breadcrumbs?|footer|header|masthead|comments?|commentlist|respond|replies|disqus|share|sharing|social|related|recommend(?:ed|ations)?|newsletter|subscribe|signup|login|search|pagination|pager|toolbar|widget|skip-link|copyright|complementary|contentinfo)(?:$|[\s_-])",
-    re.I,
+#: Words of a class, id or role that say that an element is no content: those of what stands around an article, which inside one
+#: are its own (a heading's wrapper, a warning), and those of what is none of it anywhere.
+AROUND = frozenset("banner notice notification alert widget header masthead footer contentinfo complementary copyright toolbar login signup search sidebar".split())
+NOISE = AROUND | frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs comment comments commentlist respond replies disqus"
+    " share sharing social related recommend recommended recommendations newsletter subscribe pagination pager".split()
 )
+#: A token that begins so tells of a page's layout, not of an element's kind.
+LAYOUT = frozenset("no not non without with has have is hide hides show shows layout page body".split())
+_JOINED = re.compile("side[-_]bar|skip[-_]link")
 #: An open element of the first kind ends where one of the second begins.
 _CLOSES = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
+_CLOSED_BY = {tag: [kind for kind, by in _CLOSES.items() if tag in by] for tag in frozenset().union(*_CLOSES.values())}
 _SCOPES = frozenset("html body article aside section div main nav header footer table ul ol dl form blockquote td th li figure".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)  # the last form: a quote is never closed
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -63,18 +73,41 @@ _DIGITS = re.compile(r"\d+")
 _SPACES = re.compile(r"\s+")
 
 
+#: How the prior sees an element: content; dropped but for an article, or but for a ``main``, inside it; and dropped.
+KEPT, BUT_ARTICLE, BUT_MAIN, GONE = range(4)
+
+
 class Element:
-    """An open element: its path in the style tree, and whether the prior drops it."""
+    """An open element: its path in the style tree, how the prior sees it, and what it is in: the block, and whether an article."""
 
-    __slots__ = ("tag", "path", "dropped", "children")
+    __slots__ = ("tag", "path", "dropped", "children", "block", "in_article")
 
-    def __init__(self, tag: str, path: tuple[str, ...], dropped: bool):
+    def __init__(self, tag: str, path: tuple[str, ...], dropped: int, above: Element | None):
         self.tag, self.path, self.dropped, self.children = tag, path, dropped, []
+        self.block = self if above is None or tag in BLOCK else above.block
+        self.in_article = tag in ("article", "main") or (above is not None and above.in_article)
+
+    def holder(self) -> Element:
+        """The innermost element that holds this one's text: no inline one, unless it is dropped otherwise."""
+        return self.block if self.block.dropped == self.dropped else self
 
 
-def _signature(tag: str, attributes: str, in_article: bool) -> tuple[str, bool]:
-    """The element's name in the style tree, and whether the prior drops it."""
-    dropped = tag in DROPPED or (tag == "header" and not in_article)
+def _noise(marks: str, in_article: bool) -> int:
+    """What the tokens of a class, id or role say of an element, by their words."""
+    found = KEPT
+    for token in _JOINED.sub("sidebar", marks.lower()).split():
+        words = re.split("[-_]", token)
+        if words[0] in LAYOUT:
+            continue
+        said = NOISE.intersection(words)
+        if said - AROUND or (said and not in_article):
+            found = max(found, BUT_MAIN if said - AROUND else BUT_ARTICLE)
+    return found
+
+
+def _signature(tag: str, attributes: str, in_article: bool) -> tuple[str, int]:
+    """The element's name in the style tree, and how the prior sees it."""
+    dropped = GONE if tag in DROPPED or (tag == "header" and not in_article) else KEPT
     if not attributes.strip():
         return tag, dropped
     named = {m[0].lower(): m[1] or m[2] or m[3] for m in _NAMED.findall(attributes)}
@@ -84,9 +117,9 @@ def _signature(tag: str, attributes: str, in_article: bool) -> tuple[str, bool]:
             name += f"{'#.@'[('id', 'class', 'role').index(key)]}{_DIGITS.sub('0', _SPACES.sub('.', value.strip().lower()))}"
     hidden = "hidden" in named or named.get("aria-hidden", "").lower() == "true"
     marks = " ".join(named.get(k, "") for k in ("class", "id", "role"))
-    if tag not in ("html", "body", "article", "main") and NOISE.search(marks):
-        dropped = True
-    return name, dropped or hidden
+    if tag not in ("html", "body", "main"):
+        dropped = max(dropped, _noise(marks, in_article))
+    return name, GONE if hidden else dropped
 
 
 def parse(page: str) -> tuple[list[tuple[tuple[str, ...], bool, str]], list[tuple[tuple[str, ...], bool, tuple[str, ...]]]]:
@@ -99,8 +132,10 @@ def parse(page: str) -> tuple[list[tuple[tuple[str, ...], bool, str]], list[tupl
     """
     blocks: list[tuple[tuple[str, ...], bool, str]] = []
     elements: list[tuple[tuple[str, ...], bool, tuple[str, ...]]] = []
-    root = Element("", (), False)
+    root = Element("", (), KEPT, None)
     stack = [root]
+    places: dict[str, list[int]] = {}  # where in the stack a tag is open
+    scopes: list[int] = [0]  # and where elements are that an end inside them does not leave
     text: list[str] = []
     holder = root
 
@@ -108,18 +143,24 @@ def parse(page: str) -> tuple[list[tuple[tuple[str, ...], bool, str]], list[tupl
         if text:
             whole = _SPACES.sub(" ", html.unescape("".join(text))).strip()
             if whole:
-                blocks.append((holder.path, holder.dropped, whole))
+                blocks.append((holder.path, holder.dropped > KEPT, whole))
             text.clear()
 
     def close(count: int) -> None:
         nonlocal holder
         for _ in range(count):
             element = stack.pop()
+            places[element.tag].pop()
+            if scopes[-1] == len(stack):
+                scopes.pop()
             if element.tag in BLOCK or element.dropped != stack[-1].dropped:
                 flush()
-            elements.append((element.path, element.dropped, tuple(element.children)))
+            elements.append((element.path, element.dropped > KEPT, tuple(element.children)))
         if not text:
-            holder = _block_of(stack)
+            holder = stack[-1].holder()
+
+    def innermost(tags: Iterable[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     at, end = 0, len(page)
     while at < end:
@@ -127,7 +168,7 @@ def parse(page: str) -> tuple[list[tuple[tuple[str, ...], bool, str]], list[tupl
         run = page[at : found.start() if found else end]
         if run:
             if not text:
-                holder = _block_of(stack)
+                holder = stack[-1].holder()
             text.append(run)
         if not found:
             break
@@ -137,52 +178,43 @@ def parse(page: str) -> tuple[list[tuple[tuple[str, ...], bool, str]], list[tupl
             continue
         tag = tag.lower()
         if ending:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    close(len(stack) - depth)
-                    break
-                if tag not in BLOCK and stack[depth].tag in _SCOPES:
-                    break
+            depth = innermost((tag,))
+            if depth and (tag in BLOCK or depth >= scopes[-1]):
+                close(len(stack) - depth)
             continue
         if tag == "br":
             text.append(" ") if text else None
             continue
-        if tag in _CLOSES["p"] or tag in ("li", "dt", "dd", "option", "tr", "td", "th", "tbody", "tfoot"):
-            for depth in range(len(stack) - 1, 0, -1):
-                if tag in _CLOSES.get(stack[depth].tag, ()):
-                    close(len(stack) - depth)
-                    break
-                if stack[depth].tag in _SCOPES:
-                    break
-        name, dropped = _signature(tag, attributes, any(e.tag in ("article", "main") for e in stack))
+        if tag in _CLOSED_BY:
+            depth = innermost(_CLOSED_BY[tag])
+            if depth and depth >= scopes[-1]:
+                close(len(stack) - depth)
         parent = stack[-1]
+        name, dropped = _signature(tag, attributes, parent.in_article)
+        if dropped or parent.dropped > {"article": BUT_ARTICLE, "main": BUT_MAIN}.get(tag, KEPT):
+            dropped = max(dropped, parent.dropped)
         parent.children.append(name)
         if tag in BLOCK or dropped != parent.dropped:
             flush()
         if tag in VOID:
             continue
-        element = Element(tag, (*parent.path, name) if len(parent.path) < MAX_DEPTH else parent.path, parent.dropped or dropped)
+        element = Element(tag, (*parent.path, name) if len(parent.path) < MAX_DEPTH else parent.path, dropped, parent)
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}\s*>|$", re.I).search(page, at)
             elements.append((element.path, True, ()))
             at = max(stop.end(), at)
             continue
+        places.setdefault(tag, []).append(len(stack))
+        if tag in _SCOPES:
+            scopes.append(len(stack))
         stack.append(element)
         if not text:
-            holder = _block_of(stack)
+            holder = element.holder()
     close(len(stack) - 1)
     flush()
     return blocks, elements
 
 
-def _block_of(stack: list[Element]) -> Element:
-    """The innermost open element that holds text of its own: not an inline one."""
-    for element in reversed(stack):
-        if element.tag in BLOCK or element is stack[0]:
-            return element if element.dropped == stack[-1].dropped else stack[-1]
-    return stack[0]
-
-
 def node_id(path: tuple[str, ...]) -> int:
     return xxhash.xxh3_64_intdigest("/".join(path)) - (1 << 63)
 

@@ -260,3 +260,30 @@ def test_cascade_is_exact(spark):
     right = universe.join(listed, "key", "left_semi").where(cascade.has(F.col("key"))).count()
     assert got == right == math.ceil(20_000 / 37)
     assert url_filters.BloomCascade(universe, listed.limit(0)).levels == []
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<body><div class="site no-sidebar"><article><p>A</p></article></div>', "A"),
+        ('<article><div class="entry-header"><h1>Title</h1></div><p>Body</p><div class="alert">Warning: hot.</div></article>', "Title\nBody\nWarning: hot."),
+        ('<div class="sidebar-layout"><p>x</p><main><p>M</p><div class="share">s</div></main><p>y</p></div>', "M"),
+        ('<div class="menu-open"><nav>n</nav><main>M</main></div>', "M"),
+        ('<div id="comments"><article class="comment"><p>c</p></article></div><article><p>A</p></article><div class="site-header">no</div>', "A"),
+        ('<div class="related-posts"><article><p>teaser</p></article></div><article>A</article>', "A"),
+        ('<div class="side-bar">s</div><div class="has-menu">kept</div><p class="cookie-notice">n', "kept"),
+        ("<p>a<b>c<p>d</b>e", "ac\nde"),
+        ("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>x", "a\nb\nc\nd\nx"),
+    ],
+)
+def test_names_of_layouts_and_of_parts_of_an_article_drop_nothing(page, text):
+    assert html_extraction.page_text(page) == text
+
+
+@pytest.mark.parametrize("unit", ["<b>x", "<div>x", "<h1><b>x</i>", "<li><b>x</i></em>", "<p><b>x</div>"])
+def test_parsing_is_linear_in_nesting(unit):
+    import time
+
+    began = time.process_time()
+    found = html_extraction.page_text(unit * 100_000)
+    assert found.count("x") == 100_000 and time.process_time() - began < 20
