@@ -53,8 +53,9 @@ RAW = frozenset("script style textarea title noscript template iframe svg math x
 #: Elements that are never part of the main text, and words of a class, id or role that say so.
 DROPPED = frozenset("head script style noscript template iframe svg math object embed canvas nav footer aside form button select option input textarea label fieldset dialog menu title xmp audio video".split())
 BLOCK = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption center".split())
-#: Words of a class, id or role that say that an element is no content: those of what stands around an article, which inside one
-#: are its own (a heading's wrapper, a warning), and those of what is none of it anywhere.
+#: Words of a class, id or role that say that an element is no content: those of what stands around an article, and the others.
+#: ``OWN`` are content inside an article: its heading's wrapper, its warnings.
+OWN = frozenset("header alert".split())
 AROUND = frozenset("banner notice notification alert widget header masthead footer contentinfo complementary copyright toolbar login signup search sidebar".split())
 NOISE = AROUND | frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs comment comments commentlist respond replies disqus"
@@ -99,8 +100,8 @@ def _noise(marks: str, in_article: bool) -> int:
         words = re.split("[-_]", token)
         if words[0] in LAYOUT:
             continue
-        said = NOISE.intersection(words)
-        if said - AROUND or (said and not in_article):
+        said = NOISE.intersection(words) - (OWN if in_article else frozenset())
+        if said:
             found = max(found, BUT_MAIN if said - AROUND else BUT_ARTICLE)
     return found
 
