@@ -46,21 +46,24 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def jaccard_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, the document of the smallest id.
+    """Of each component of near copies, the document of the smallest id (of ids alike or null, any one).
 
-    Rows of a null id stay. Rows that repeat an id and its text are one document.
-    Where different texts share an id, all of them stay if one's component has
-    that id, and else none: their rows cannot be told apart by what the join returns.
+    A document is what has one id and one text: it is joined by a hash of both,
+    so different texts that share an id are judged each, and rows that repeat an
+    id and its text are one. Null ids come last.
     """
-    ids = jaccard_join.jaccard_components(docs.select("doc_id", "text")).select("doc_id", "component_id")
-    by_id = scratch(ids.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count("*").alias("n")).where("gone or n > 1"), "gone")
-    hint = F.broadcast if by_id.count() <= jaccard_join.BROADCAST_ROWS else lambda df: df
-    kept = docs.join(hint(by_id.where("gone")), "doc_id", "left_anti")
-    repeated = by_id.where("n > 1 and doc_id is not null").select("doc_id")
-    if not repeated.isEmpty():
-        again = kept.join(hint(repeated), "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("text"))
-        kept = kept.join(hint(repeated), "doc_id", "left_anti").select(*docs.columns).union(again.dropDuplicates(["doc_id", "text"]).select("row.*"))
-    return kept.select(*docs.columns)
+    key = F.xxhash64("doc_id", "text")
+    ids = jaccard_join.jaccard_components(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), F.col("component_id").alias("group"))
+    by_key = ids.groupBy("key").agg(F.min("group").alias("group"), F.count("*").alias("n"))
+    several = by_key.groupBy("group").agg(F.sum("n").alias("rows")).where("rows > 1")
+    members = scratch(by_key.join(several, "group").select("key", "group", "n"), "members")
+    hint = F.broadcast if members.count() <= jaccard_join.BROADCAST_ROWS else lambda df: df
+    named = docs.select(key.alias("key"), "doc_id").join(hint(members), "key").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
+    stays = named.select(F.col("first.key").alias("key"), F.lit(True).alias("stays"))
+    members = scratch(members.join(stays, "key", "left").select(F.col("key").alias("__key"), F.coalesce("stays", F.lit(False)).alias("__stays"), F.col("n").alias("__n")), "members")
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), key.alias("__key")).join(hint(members), "__key", "left").where("__stays or __stays is null")
+    once = rows.where("__n > 1").dropDuplicates(["__key"])
+    return rows.where("__n = 1 or __n is null").unionByName(once).select("__row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
