@@ -71,3 +71,11 @@ def test_copies_keep_one_whole_text(spark):
     assert [d for d in kept if 100 <= d < 200] == [100]
     assert any(sum(line in text.split("\n") for line in near) == 39 for text in kept.values())
     assert all(kept.values())
+
+
+def test_texts_that_share_an_id_are_judged_each(spark):
+    text = lambda k: " ".join(f"w{k}y{i}" for i in range(30))
+    rows = [(1, text("a")), (1, text("b")), (2, text("b")), (3, text("b") + " end"), (4, text("c")), (4, text("c")), (None, text("a")), (None, text("d")), (None, text("d")), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.jaccard_join_stage(spark, docs, "").collect()), key=str)
+    assert kept == sorted([(1, text("a")), (1, text("b")), (4, text("c")), (None, text("d")), (5, "")], key=str)
