@@ -145,8 +145,8 @@ class Store:
 class KeyedStore(Store):
     """A table of unique keys, changed row by row: a change writes what it changes, and reading merges.
 
-    Every version is dealt into ``buckets`` folders by a hash of the key, so that a
-    look-up of keys reads their buckets only. Of a key the row of the newest version
+    Every version is dealt into ``buckets`` folders by a hash of the columns ``by``
+    (the key, or some of it), so that a look-up of these reads their buckets only. Of a key the row of the newest version
     counts; a removal is a row too. ``compact`` replaces the versions by what they
     amount to once changes outweigh ``SHARE`` of the rows, and ``reap`` deletes what
     no reader needs any more.
@@ -154,13 +154,13 @@ class KeyedStore(Store):
 
     SHARE = 0.25
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], buckets: int = 16):
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], buckets: int = 16, by: list[str] | None = None):
         super().__init__(spark, path, f"{schema}, __removed boolean, __bucket int")
-        self.keys, self.buckets = keys, buckets
+        self.keys, self.buckets, self.by = keys, buckets, by or keys
         self.columns = [c for c in self.spark.createDataFrame([], self.schema).columns if not c.startswith("__")]
 
     def _bucket(self):
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*self.by), F.lit(self.buckets)).cast("int")
 
     def _write(self, rows: DataFrame, replaces: bool) -> str:
         aside = f"{self.path}/_aside-{uuid.uuid4().hex}"
@@ -186,11 +186,11 @@ class KeyedStore(Store):
         return self._merged(self._rows(self._current(self._versions())))
 
     def get(self, wanted: DataFrame) -> DataFrame:
-        """The rows of some keys: only their buckets are read."""
-        keys = wanted.select(*self.keys).distinct()
+        """The rows that have the ``by`` columns of ``wanted``: only their buckets are read."""
+        keys = wanted.select(*self.by).distinct()
         buckets = [r[0] for r in keys.select(self._bucket()).distinct().collect()]  # at most ``buckets``
         rows = self._rows(self._current(self._versions())).where(F.col("__bucket").isin(buckets) if buckets else F.lit(False))
-        return self._merged(rows.join(keys, self.keys, "left_semi"))
+        return self._merged(rows.join(keys, self.by, "left_semi"))
 
     def put(self, rows: DataFrame, order: str | None = None) -> None:
         """Add rows or put them in place of those of their keys; of rows of one key the last by ``order`` counts (else any)."""

@@ -98,3 +98,32 @@ def test_facts_as_a_graph(spark):
     assert rows_of(edges) == [("CX-1", "GEN-01", "TESTS"), ("GEN-01", "SPEC::E-2::run time", "SPECIFIED_BY"), ("RFI-1", "ACT-1", "LINKED_TO"), ("UPS-02A", "PowerVolt", "PROCURED_FROM"), ("UPS-02A", "SPEC::E-1::output", "SPECIFIED_BY")]
     kept = graph.replaced(edges, F.col("relationship") == "TESTS", edges.limit(0))
     assert kept.count() == 4
+
+
+def test_rebuild_in_five_steps(spark, tmp_path):
+    from keelson.plans.rebuild import Sources, rebuild
+    from tests.test_large_sources import DATA, TEXTS, make_workbook
+    from tests.test_sources_schedule import export
+
+    export(tmp_path)
+    (tmp_path / "spec.json").write_text('[{"clause_id": "ELEC-4.2.1", "parameter": "rated output", "source_text": ""}, {"clause_id": "X-1", "canonical_parameter": "run time", "criticality": "MAJOR", "source_text": "UPS shall run"}]')
+    (tmp_path / "sub.json").write_text('{"vendor": "PowerVolt", "equipment_tag": "UPS-02A", "parameters": [{"parameter": "Rated output", "value": "1.8", "unit": "MVA"}, {"parameter": "Run time", "value": "10", "unit": "min"}]}')
+    (tmp_path / "proc.json").write_text('[{"procedure_id": "CX-1", "title": "test of UPS-02A", "steps": []}]')
+    make_workbook(tmp_path / "rfi.xlsx", {"data": DATA}, TEXTS)
+    pages = spark.createDataFrame([("spec", 1, "intro"), ("spec", 2, "ELEC-4.2.1 Output\nThe UPS shall give 2.0 MVA.\nEnd")], "doc_id string, page int, text string")
+    at = lambda name: str(tmp_path / name)
+    sources = Sources(pages, at("spec.json"), at("sub.json"), at("proc.json"), at("a.xer"), at("rfi.xlsx"))
+    project, stages = rebuild(spark, sources, at("stores"))
+    assert {r.stage: r.rows for r in stages.collect()} == {"specification": 2, "submittals": 2, "schedule": 4, "register": 2, "index": 6}
+    spec = {r.clause_id: r for r in project.read("requirements").collect()}
+    assert spec["ELEC-4.2.1"].source_text == "ELEC-4.2.1 Output The UPS shall give 2.0 MVA. End" and spec["ELEC-4.2.1"].page == 2
+    assert (spec["X-1"].parameter, spec["X-1"].mandatory, spec["X-1"].system) == ("run time", True, "X")
+    edges = {tuple(r) for r in project.edges.read().collect()}
+    assert {("UPS-02A", "PowerVolt", "PROCURED_FROM"), ("UPS-02A", "SPEC::X-1::run time", "SPECIFIED_BY"), ("CX-1", "UPS-02A", "TESTS")} <= edges
+    (tmp_path / "sub.json").write_text('{"vendor": "Volta", "equipment_tag": "UPS-02A", "parameters": []}')
+    again, _ = rebuild(spark, sources, at("stores"))
+    last = again.edges._versions()[-1]
+    assert {tuple(r)[:3] for r in spark.read.parquet(f"{again.edges.path}/v{last}").select("src", "dst", "relationship").collect()} == {("UPS-02A", "PowerVolt", "PROCURED_FROM"), ("UPS-02A", "Volta", "PROCURED_FROM")}
+    assert {tuple(r) for r in again.edges.read().collect()} == edges - {("UPS-02A", "PowerVolt", "PROCURED_FROM")} | {("UPS-02A", "Volta", "PROCURED_FROM")}
+    again.reset()
+    assert again.nodes.read().count() == again.read("rfis").count() == again.read("corpus").count() == 0

@@ -90,12 +90,17 @@ def test_stream_equals_batch(spark, tmp_path, small):
     from keelson.plans.analogues import critical_entities, event_log
 
     log = event_log(spark, small)
-    log.write.parquet(str(tmp_path / "in"))
     critical = critical_entities(spark, small)
+    (tmp_path / "in").mkdir()
     source = spark.readStream.schema(log.schema).parquet(str(tmp_path / "in"))
+    scores = stream.stores(spark, str(tmp_path / "out"))[1]
+    for part in ("seq % 3 <> 0", "seq % 3 = 0"):
+        log.where(part).write.mode("append").parquet(str(tmp_path / "in"))
+        stream.start(source, critical, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    rows = lambda df: {(r["entity_id"], r["score"], r["n_agents"], r["first_seen"], r["on_critical_path"]) for r in df.collect()}
+    assert rows(scores.read()) == rows(convergence_scores(log, critical))
     stream.start(source, critical, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    got = {(r["entity_id"], r["score"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {(r["entity_id"], r["score"]) for r in convergence_scores(log, critical).collect()}
+    assert rows(scores.read()) == rows(convergence_scores(log, critical))
 
 
 def test_a_whole_project(spark, tmp_path):
