@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import hours_saved, risk_band
@@ -71,3 +73,30 @@ def summary(nodes: DataFrame, activities: DataFrame, milestones: DataFrame, aler
         "alerts": alerts,
         "recent_events": recent(events, recent_events),
     }
+
+
+def report(nodes: DataFrame, activities: DataFrame, milestones: DataFrame, alerts: DataFrame, events: DataFrame, most: int = 25) -> DataFrame:
+    """``section, place, id, body``: the whole summary as one table, a section in its order after the other, bodies as JSON.
+
+    Lists (equipment by risk, deviations, the critical path, alerts by score,
+    the newest events) show their first ``most`` rows, the metrics count all. What
+    there is none of has no rows.
+    """
+    parts = summary(nodes, activities, milestones, alerts, events, most)
+
+    def section(name: str, id_: str, *order: Column) -> DataFrame:
+        rows = parts[name]
+        first = rows.orderBy(*order).limit(most) if order else rows
+        place = F.row_number().over(Window.orderBy(*(order or (F.lit(1),))))  # over ``most`` rows
+        return first.select(F.lit(name).alias("section"), place.alias("place"), (F.col(id_) if id_ else F.lit(None)).cast("string").alias("id"), F.to_json(F.struct("*")).alias("body"))
+
+    sections = [
+        section("metrics", ""),
+        section("equipment", "node_id", F.col("risk_score").desc_nulls_last(), F.col("node_id")),
+        section("deviations", "node_id", F.col("node_id")),
+        section("milestone", "node_id"),
+        section("critical_path", "task_code", F.col("early_start").asc_nulls_first(), F.col("task_code")),
+        section("alerts", "entity_id", F.col("score").desc(), F.col("first_seen")),
+        section("recent_events", "seq", F.col("seq").desc()),
+    ]
+    return reduce(DataFrame.unionByName, sections)

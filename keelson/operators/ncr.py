@@ -68,6 +68,14 @@ def mirrored(reports: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame
     return kept, edges
 
 
+def in_step(reports: DataFrame, log: DataFrame, nodes: DataFrame, tags: DataFrame, hot_rows: int = 100_000) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What a log of actions makes of reports, and of the graph and the risks beside them: reports with the ``status`` that their
+    actions lead to (those without any keep theirs), the mirrored nodes and edges, and ``tag, field_risk``."""
+    after = states(log, hot_rows=hot_rows).where("status <> ''").select("ncr_id", F.col("status").alias("__status"))
+    now = reports.join(after, "ncr_id", "left").withColumn("status", F.coalesce("__status", "status")).drop("__status").select(*reports.columns)
+    return now, *mirrored(now, nodes), field_risk(now, tags)
+
+
 def report_events(reports: DataFrame, nodes: DataFrame) -> DataFrame:
     """The events of new reports: on the tag, if the graph knows it, or else on the report."""
     known = nodes.select(F.col("node_id").alias("equipment_tag")).distinct().withColumn("known", F.lit(True))

@@ -602,6 +602,22 @@ def field_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ncr.field_risk(reports, log.select(F.col("entity_id").alias("tag")))
 
 
+@query(
+    f"""with recursive {_FOLD}, r as (select id, 'T' || (cast(id as bigint) % 10) as tag, case cast(id as bigint) % 3 when 0 then 'CRITICAL' when 1 then 'MAJOR' else 'MINOR' end as severity, case when status = '' then 'OPEN' else status end as status from states),
+    live as (select * from r where status <> 'CLOSED'), risk as (select tag, max(case severity when 'CRITICAL' then 0.9::double when 'MAJOR' then 0.7::double else 0.4::double end) as worst, count(*) as n from live group by 1)
+    select t.tag, coalesce(worst, 0.1::double) as field_risk, coalesce(n, 0) as n_impacts, (select count(*) from live) + 12 as n_nodes from (select 'T' || i as tag from range(12) x(i)) t left join risk using (tag)"""
+)
+def ncr_in_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _report_log(spark, sf_dir)
+    number = F.col("ncr_id").cast("long")
+    severity = F.when(number % 3 == 0, "CRITICAL").when(number % 3 == 1, "MAJOR").otherwise("MINOR")
+    reports = log.select("ncr_id").distinct().select("ncr_id", F.concat(F.lit("T"), number % 10).alias("equipment_tag"), severity.alias("severity"), F.lit("OPEN").alias("status"))
+    tags = spark.range(12).select(F.concat(F.lit("T"), "id").alias("node_id"), F.lit("Equipment").alias("node_type"))
+    _, nodes, edges, risks = ncr.in_step(reports, log, tags, tags.select(F.col("node_id").alias("tag")))
+    impacts = edges.groupBy(F.col("dst").alias("tag")).agg(F.count("*").alias("n_impacts"))
+    return risks.join(impacts, "tag", "left").fillna(0, ["n_impacts"]).join(nodes.agg(F.count("*").alias("n_nodes")))  # one row beside
+
+
 # Days and schedules
 
 
@@ -824,6 +840,23 @@ def dashboard_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.counters(nodes, load(spark, sf_dir, "region"), load(spark, sf_dir, "events")).drop("n_submittals", "n_rfis", "n_itps")
 
 
+@query(
+    f"""with {_SCORES}, {_GRAPH}, firsts as (select s.entity_id, min(s.seq) as first_seen from sig s where rn = 1 group by 1)
+    select 'metrics' as section, 1 as place, null as id union all select * from (select 'equipment', (row_number() over (order by risk desc, tag))::int as p, tag from eq) where p <= 25
+    union all select * from (select 'deviations', (row_number() over (order by id))::int as p, id from dev) where p <= 25 union all select 'milestone', 1, 'M0'
+    union all select * from (select 'critical_path', (row_number() over (order by cast(o_orderdate as date), 'A' || o_orderkey))::int as p, 'A' || o_orderkey from orders where o_orderpriority = '1-URGENT') where p <= 25
+    union all select * from (select 'alerts', (row_number() over (order by score desc, first_seen))::int as p, k.entity_id from kept k join firsts using (entity_id)) where p <= 25
+    union all select * from (select 'recent_events', (row_number() over (order by seq desc))::int as p, seq::varchar from ev) where p <= 25"""
+)
+def dashboard_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _graph(spark, sf_dir)[0].withColumn("status", F.col("attributes")["status"])
+    activities = load(spark, sf_dir, "orders").select(F.concat(F.lit("A"), "o_orderkey").alias("task_code"), F.to_date("o_orderdate").alias("early_start"), (F.col("o_orderpriority") == "1-URGENT").alias("is_critical"))
+    milestones = load(spark, sf_dir, "region").select(F.concat(F.lit("M"), "r_regionkey").alias("node_id"), F.col("r_regionkey").cast("double").alias("p90"))
+    log = event_log(spark, sf_dir)
+    alerted = convergence.convergence_scores(log, critical_entities(spark, sf_dir))
+    return dashboard.report(nodes, activities, milestones, alerted, log).select("section", "place", "id")
+
+
 @query("select c_nationkey, round(count(*) * 5.5 + count(*) filter (where c_acctbal > 0) * 0.75 + count(*) filter (where c_acctbal < 0) * 2.5, 1)::double as hours from customer group by 1")
 def hours_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = load(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("a"), F.count_if(F.col("c_acctbal") > 0).alias("b"), F.count_if(F.col("c_acctbal") < 0).alias("c"))
