@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, binaries
+from .common import arrow_schema, binaries, frugal, in_groups, small_batches
 
 SPACE = "▁"
-MEMO_PARTS = 900_000
+#: Bytes of parts and their ids that a task remembers, an entry having ENTRY besides.
+MEMO_BYTES, ENTRY = 128 << 20, 150
 #: Documents that a result batch holds, so that batches of long texts stay small.
 BATCH_DOCS = 128
 
@@ -161,6 +162,7 @@ class Codec:
         lines = parts and byte_pieces and not any("\n" in p for p in pieces)
         self.part = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if lines else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall if parts else None
         self.ids: dict[bytes, bytes] = {}
+        self.held = 0
         self.simple = lines and self.normalizer.plain and self.normalizer.dummy and self.normalizer.escape
         self.source_widths = self.widths - 2 * np.array([p.count(SPACE) for p in pieces], np.int32)
         self.decimals = [str(i) for i in range(len(pieces))]
@@ -170,12 +172,13 @@ class Codec:
         known = self.ids
         new = parts.difference(known)
         if new:
-            if len(known) + len(new) > MEMO_PARTS:
+            if self.held > MEMO_BYTES:
                 known.clear()
-                new = parts
+                self.held, new = 0, parts
             new = list(new)
             for part, ids in zip(new, self.segmenter.encode(list(map(_spell, new)), num_threads=1), strict=True):
-                known[part] = struct.pack(f"{len(ids)}i", *ids)
+                known[part] = packed = struct.pack(f"{len(ids)}i", *ids)
+                self.held += ENTRY + len(part) + len(packed)
 
     def encode(self, source: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and of each piece the first source byte and the one after the last."""
@@ -239,6 +242,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...
     A null text is encoded like an empty one, to no ids. Rows and repeats are
     encoded each; an empty table gives no rows; other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(*keep, F.col(text).alias("__text"))
     ints = T.ArrayType(T.IntegerType())
     schema = T.StructType([*(rows.schema[k] for k in keep), *(T.StructField(n, ints) for n in ("ids", "begins", "ends"))])
@@ -247,13 +251,14 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model)
         for batch in batches:
-            for start in range(0, batch.num_rows, BATCH_DOCS):
-                part = batch.slice(start, BATCH_DOCS)
-                found = codec.encode_all([t or b"" for t in binaries(part.column(len(keep)))])
-                columns = [*part.columns[: len(keep)], *(_lists([f[i] for f in found]) for i in range(3))]
+            done = 0
+            for texts in in_groups(binaries(batch.column(len(keep)))):
+                found = codec.encode_all([t or b"" for t in texts])
+                columns = [*batch.slice(done, len(texts)).columns[: len(keep)], *(_lists([f[i] for f in found]) for i in range(3))]
+                done += len(texts)
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, wanted, strict=True)], schema=wanted)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)
 
 
 def _each_ids(encoded: DataFrame, model: str, keep: tuple[str, ...], more: list[T.StructField], of) -> DataFrame:
@@ -271,7 +276,7 @@ def _each_ids(encoded: DataFrame, model: str, keep: tuple[str, ...], more: list[
                 columns = [*part.columns[: len(keep)], *(pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), list(wanted)[len(keep) :], strict=True))]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, wanted, strict=True)], schema=wanted)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)
 
 
 def decode(encoded: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
