@@ -7,7 +7,7 @@ target and relationship; of repeated ones the last counts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import tags_in
@@ -182,6 +182,20 @@ def schedule_graph(activities: DataFrame, links: DataFrame) -> tuple[DataFrame,
     return nodes.unionByName(equipment), edges
 
 
+def discovered(activities: DataFrame, order: str = "seq", most: int = 1000) -> DataFrame:
+    """``tag, n_activities, discovered_in`` of the equipment that activities' names mention.
+
+    ``discovered_in`` has the activities' codes, each once, in the order that
+    they come; of a tag that more than ``most`` mention it is the first of them,
+    and ``n_activities`` counts all.
+    """
+    each = activities.select("task_code", F.col(order).alias("__order"), F.explode(tags_in(F.col("name"))).alias("tag")).groupBy("tag", "task_code").agg(F.min("__order").alias("__order"))
+    place = F.row_number().over(Window.partitionBy("tag").orderBy("__order", "task_code"))
+    few = each.withColumn("__place", place).where(F.col("__place") <= most)
+    listed = few.groupBy("tag").agg(F.transform(F.array_sort(F.collect_list(F.struct("__place", "task_code"))), lambda x: x["task_code"]).alias("discovered_in"))
+    return each.groupBy("tag").agg(F.count("*").alias("n_activities")).join(listed, "tag")
+
+
 def final_milestone(activities: DataFrame) -> DataFrame:
     """One row: the milestone named so, or else the one of the latest early end."""
     named = F.lower("name").contains(FINAL_MILESTONE)

@@ -405,6 +405,16 @@ def open_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions.open_reports(*_graph(spark, sf_dir)).select("entity_id", "id", "title")
 
 
+@query(
+    """with t as (select 'UPS-' || lpad(cast(l_partkey % 50 as varchar), 2, '0') as tag, 'A' || l_orderkey as code, min(l_orderkey) as seq from lineitem where l_linenumber = 1 group by 1, 2), r as (select *, row_number() over (partition by tag order by seq, code) as rn from t)
+    select tag, count(*) as n_activities, string_agg(code, ',' order by rn) filter (where rn <= 1000) as discovered_in from r group by 1"""
+)
+def equipment_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tag = F.concat(F.lit("UPS-"), F.lpad((F.col("l_partkey") % 50).cast("string"), 2, "0"))
+    named = load(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("A"), "l_orderkey").alias("task_code"), F.concat(F.lit("Install "), tag, F.lit(" for RFI-01")).alias("name"), F.col("l_orderkey").alias("seq"))
+    return graph.discovered(named).select("tag", "n_activities", F.array_join("discovered_in", ",").alias("discovered_in"))
+
+
 # Deliveries
 
 _BUFFERS = """orders_of as (select l_partkey as tag, min(case when l_linenumber = 1 then l_orderkey end) as delivery from lineitem group by 1),
