@@ -671,6 +671,29 @@ def cpm_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule.forward_pass(activities, links, _data_date()).select(*_split_code(), "start", "finish")
 
 
+@query(
+    """with recursive act as (select conv_id, turn, cast(length(text) % 10 as double) as d, case when turn = 0 then 'C' when turn = 1 and conv_id % 3 = 0 then 'A' else 'N' end as st from conversations),
+    walk as (
+      select conv_id, turn, d, -10::double as s, -5::double as f, null::double as f1, null::bigint as driver from act where turn = 0
+      union all select a.conv_id, a.turn, a.d, case when a.st = 'A' then -3 else greatest(0, w.f, coalesce(w.f1 + 1 - a.d, 0)) end, case when a.st = 'A' then a.d else greatest(0, w.f, coalesce(w.f1 + 1 - a.d, 0)) + a.d end, w.f,
+        case when a.st = 'N' and greatest(w.f, coalesce(w.f1 + 1 - a.d, w.f)) > 0 then case when w.f >= coalesce(w.f1 + 1 - a.d, w.f) then w.turn else w.turn - 1 end end
+      from walk w join act a on a.conv_id = w.conv_id and a.turn = w.turn + 1
+    ) select conv_id, turn, s as start, f as finish, driver from walk"""
+)
+def cpm_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Finished and active turns with actual dates; turn n follows n-1 (FS) and ends a day after n-2 does (FF).
+    activities, links = turns(spark, sf_dir)
+    done, active = F.col("turn") == 0, (F.col("turn") == 1) & (F.col("conv_id") % 3 == 0)
+    day = lambda text: F.lit(text).cast("date")
+    activities = activities.withColumns(
+        {"status": F.when(done, "TK_Complete").when(active, "TK_Active").otherwise("TK_NotStart"), "actual_start": F.when(done, day("2026-07-06")).when(active, day("2026-07-15")), "actual_end": F.when(done, day("2026-07-13"))}
+    )
+    ss = F.col("link") == "SS"
+    links = links.withColumns({"link": F.when(ss, "FF").otherwise(F.col("link")), "lag_days": F.when(ss, 1.0).otherwise(F.col("lag_days"))})
+    passed = schedule.forward_pass(activities, links, _data_date())
+    return passed.select(*_split_code(), "start", "finish", F.split("driver", "-")[1].cast("long").alias("driver"))
+
+
 _DRIVERS = f"""{FORWARD}, cand as (
   select a.conv_id, a.turn, p.turn as who, case when a.turn - p.turn = 1 then p.finish else p.start + 3 end as cand, case when a.turn - p.turn = 1 then 0 else 1 end as kind
   from passed a join passed p on p.conv_id = a.conv_id and a.turn - p.turn in (1, 2)
