@@ -38,7 +38,7 @@ def as_column(value: Column | str) -> Column:
 
 def leading_number(text: Column) -> Column:
     """The number that a text begins with; null without one."""
-    return F.expr("try_cast(null as double)") if text is None else F.nullif(F.regexp_extract(text.cast("string"), r"^\s*(-?\d+(\.\d+)?)", 1), F.lit("")).try_cast("double")
+    return F.expr("try_cast(null as double)") if text is None else F.regexp_extract(text.cast("string"), r"^\s*(-?\d+(\.\d+)?)", 1).try_cast("double")
 
 
 def unit_name(unit: Column) -> Column:
@@ -60,7 +60,7 @@ def convert(value: Column, source: Column, target: Column) -> Column:
 
 def tolerance(text: Column) -> tuple[Column, Column]:
     """(amount, is relative) of a tolerance such as '±10%' or '±2'; nulls without one."""
-    number = F.nullif(F.regexp_extract(text, r"±?\s*(\d+(?:\.\d+)?)\s*(%?)", 1), F.lit("")).try_cast("double")
+    number = F.regexp_extract(text, r"±?\s*(\d+(?:\.\d+)?)\s*(%?)", 1).try_cast("double")
     relative = F.regexp_extract(text, r"±?\s*(\d+(?:\.\d+)?)\s*(%?)", 2) == "%"
     return F.when(relative, number / 100).otherwise(number), relative
 
