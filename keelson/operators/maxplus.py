@@ -31,7 +31,7 @@ FILL = 2
 
 
 def _solve_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Values of the nodes that are left, in the order of their links; ``node, least`` rows and ``node, source, weight`` rows come together."""
+    """Values of the nodes that are left, in the order of their links, null on a cycle or behind one; ``node, least`` rows and ``node, source, weight`` rows come together."""
     least: dict[str, float] = {}
     out: dict[str, list[tuple[str, float]]] = {}
     waits: dict[str, int] = {}
@@ -42,18 +42,16 @@ def _solve_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 out.setdefault(source, []).append((node, weight))
                 waits[node] = waits.get(node, 0) + 1
-    ready, solved = [n for n in least if n not in waits], 0
+    ready, solved = [n for n in least if n not in waits], {}
     while ready:
         node = ready.pop()
-        solved += 1
+        solved[node] = least[node]
         for successor, weight in out.get(node, ()):
             least[successor] = max(least[successor], least[node] + weight)
             waits[successor] -= 1
             if not waits[successor]:
                 ready.append(successor)
-    if solved < len(least):
-        raise ValueError("the links have a cycle")
-    yield pa.RecordBatch.from_pydict({"node": pa.array(least, pa.string()), "value": pa.array(least.values(), pa.float64())})
+    yield pa.RecordBatch.from_pydict({"node": pa.array(least, pa.string()), "value": pa.array([solved.get(n) for n in least], pa.float64())})
 
 
 def longest(nodes: DataFrame, links: DataFrame, rest: int = REST, fill: int = FILL) -> DataFrame:
@@ -93,6 +91,8 @@ def longest(nodes: DataFrame, links: DataFrame, rest: int = REST, fill: int = FI
     left = nodes.join(linked, "node", "left_semi").select("node", "least", F.lit(None).cast("string").alias("source"), F.lit(None).cast("double").alias("weight"))
     left = left.unionAll(links.select("dst", F.lit(None).cast("double"), "src", "weight"))  # at most ``rest`` links
     solved = scratch(alone.unionAll(left.coalesce(1).mapInArrow(_solve_rest, "node string, value double")), "solved")
+    if not solved.where("value is null").isEmpty():
+        raise ValueError("the links have a cycle")
     for own, into in reversed(gone):
         best = into.join(solved.select(F.col("node").alias("before"), "value"), "before").groupBy("node").agg(F.max(F.col("value") + F.col("w")).alias("got"))
         level = own.join(best, "node", "left").select("node", F.greatest("least", "got").alias("value"))
