@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from ..sources.store import scratch
 
-#: Links that one task solves.
-REST = 1000
+#: Links that one task solves: some MB.
+REST = 20_000
 #: Links past a node that its elimination may add, for each link that it has.
 FILL = 2
 

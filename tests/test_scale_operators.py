@@ -146,7 +146,7 @@ def test_a_chain_of_10000_links_takes_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(maxplus, "scratch", lambda df, name: rounds.append(name) or write(df, name))
     nodes = spark.range(10_001).selectExpr("cast(id as string) as node", "cast(id % 7 = 0 as int) * id as least")
     links = spark.range(10_000).selectExpr("cast(id as string) as src", "cast(id + 1 as string) as dst", "0.5 as weight")
-    got = {int(x["node"]): x["value"] for x in maxplus.longest(nodes, links).collect()}
+    got = {int(x["node"]): x["value"] for x in maxplus.longest(nodes, links, rest=1000).collect()}
     value, want = 0.0, {}
     for i in range(10_001):
         value = max(value + 0.5 if i else 0.0, i if i % 7 == 0 else 0)
