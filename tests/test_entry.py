@@ -35,3 +35,15 @@ def test_query(spark, duck, small, name):
         assert got == plain(duck.execute(f"select {', '.join(columns)} from ({sql})").fetchall())
     else:
         assert got
+
+
+def test_upsert_of_parts_numbered_like_regions(spark, tmp_path):
+    """A million parts and more have the numbers that regions are added under."""
+    con = duckdb.connect()
+    con.execute("create table part as select 999998 + i as p_partkey from range(9) t(i)")
+    con.execute("create table region as select i as r_regionkey from range(5) t(i)")
+    for t in ("part", "region"):
+        con.execute(f"copy {t} to '{tmp_path}/{t}.parquet' (format parquet)")
+    got = queries.QUERIES["vector_upsert"](spark, str(tmp_path)).select("id", "state")
+    want = plain(con.execute(queries.ORACLE_SQL["vector_upsert"]).fetchall())
+    assert plain(got.collect()) == want and len(want) == 14
