@@ -94,3 +94,34 @@ def test_filters_by_status_and_prefix(spark):
     rows = spark.createDataFrame([("SPEC::a", "Open"), ("SPEC::b", None), ("DEV::a", "OPEN"), (None, "closed")], "node_id string, status string")
     assert [r.node_id for r in graph.of_status(rows, "open").orderBy("node_id").collect()] == ["DEV::a", "SPEC::a"]
     assert [r.node_id for r in graph.of_prefix(rows, "SPEC::", but=("SPEC::b",)).collect()] == ["SPEC::a"]
+
+
+def records_shuffled(spark, job):
+    """Rows that the stages of ``job`` wrote for a shuffle."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark._jvm.java.util.ArrayList()
+    stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+    count = lambda: sum(s.shuffleWriteRecords() for s in (found.apply(i) for found in [stages()] for i in range(found.size())))
+    before = count()
+    job()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return count() - before
+
+
+def test_edges_of_clauses_are_not_shuffled(spark):
+    """A keyword ties a clause to all equipment of a prefix: 300 clauses and 400 tags have 120,000 edges."""
+    tags = spark.range(400).select(F.format_string("UPS-%03d", "id").alias("tag"))
+    clauses = spark.range(300).select(F.col("id").alias("clause"), F.concat(F.lit("the uninterruptible unit "), "id").alias("text"))
+    edges = []
+    shuffled = records_shuffled(spark, lambda: edges.append(graph.clause_edges(tags, clauses).agg(F.count("*")).first()))
+    assert edges[0][0] == 120_000 and shuffled < 12_000
+
+
+def test_edges_of_clauses_come_once(spark):
+    """Clauses of several texts, one of them without an id, name tags beside those that their words mean."""
+    names = ["UPS-01", "UPS-02", "ups-01", "GEN-1", "XY-1", "XY-2", "XY", "CH-1", "CHWP-1", None]
+    texts = [(1, "unit XY-1"), (1, "ups-01 and XY-1"), (2, "UPS-01"), (None, "standby engine GEN-1"), (None, "XY-2, gen-1"), (3, "chilled water pump by CH-1"), (4, None), (2, "ch-1 xy-2"), (5, "battery")]
+    tags = spark.createDataFrame([(n,) for n in names + names[:3]], "tag string")
+    got = [tuple(r) for r in graph.clause_edges(tags, spark.createDataFrame(texts, "clause int, text string")).collect()]
+    holds = lambda t, n: n.upper() in t.upper() or any(k in t.upper() for k in graph.KEYWORDS.get(n.split("-")[0], []))
+    want = {(n, c) for c, t in texts if t for n in names if n and holds(t, n)}
+    assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 15
