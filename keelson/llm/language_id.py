@@ -12,9 +12,11 @@ with more than ``MODEL_WINDOWS`` of them, which could not be broadcast, raises
 ``ValueError``.
 
 A text's language is the one whose model gives its letters the lowest cross
-entropy per character. Rejection is calibrated on a bounded sample of training
-documents: a text is ``rejected`` if its entropy lies further above its
-language's mean, for its length, than all but one in a thousand of them.
+entropy per character. Rejection is calibrated on all training documents whose
+language is found: a text is ``rejected`` if its entropy lies further above its
+language's mean, for its length, than all but one in a thousand of them. Texts
+are scored once; what is written of each is a few numbers, of which the means
+and the exact quantile are taken.
 """
 
 from __future__ import annotations
@@ -24,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.quantiles import quantiles
 from .common import WordMemo, arrow_schema, binaries, bucket_of, frugal, in_groups, scratch, small_batches
 
 ORDER = 4
@@ -35,8 +38,7 @@ ORDER = 4
 MODEL_WINDOWS = 1 << 23
 #: Distinct words that a task counts before it emits their windows.
 MAX_WORDS = 300_000
-#: Training documents that rejection is calibrated on, and the share of them that it would reject.
-CALIBRATION = 2000
+#: The share of the training documents that rejection would reject.
 REJECTED_SHARE = 0.001
 FOLDS, HELD_OUT = 4, 2
 _START, _END, _OTHER = 1, 2, 3
@@ -193,29 +195,42 @@ class LanguageModels:
         self.means, self.limit = np.zeros(len(names)), np.inf
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", calibration: int = CALIBRATION) -> LanguageModels:
+def _learnable(lang: str) -> Column:
+    """Whether a row's text and language may be learned from: it has a language and is outside the held-out fold."""
+    return F.col(lang).isNotNull() & F.coalesce(bucket_of("doc_id", FOLDS) != HELD_OUT, F.lit(False))
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModels:
     """Models from every row with a text and a language outside the held-out fold."""
     small_batches(docs.sparkSession)
-    rows = docs.select("doc_id", F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    rows = rows.where(F.coalesce(bucket_of("doc_id", FOLDS) != HELD_OUT, F.lit(False)))
-    counts = scratch(rows.select("lang", "text").mapInArrow(frugal(_count), _COUNTS).groupBy("lang", "gram").agg(F.sum("times").alias("times")), "grams")
+    rows = docs.where(_learnable(lang)).select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("text is not null")
+    counts = scratch(rows.mapInArrow(frugal(_count), _COUNTS).groupBy("lang", "gram").agg(F.sum("times").alias("times")), "grams")
     if (total := counts.count()) > MODEL_WINDOWS:
         raise ValueError(f"{total} distinct windows; models may have {MODEL_WINDOWS}")
     got = sorted(counts.groupBy("lang").applyInArrow(_assemble, _MODEL).toArrow().to_pylist(), key=lambda r: r["lang"])  # of a checked size
-    names, models = [r["lang"] for r in got], [_restored(r) for r in got]
-    learned = LanguageModels(names, models)
-    if models:
-        ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration)  # of ids alone, so that no task gathers texts
-        sample = rows.join(F.broadcast(ids), "doc_id")
-        seen = _score(sample, learned, "text", ("lang",)).where("n_units > 0").toArrow().to_pydict()
-        best, entropy, n = (np.array(seen[c]) for c in ("best", "entropy", "n_units"))
-        right = np.array([names[b] == one for b, one in zip(best, seen["lang"], strict=True)], bool)
-        for i in range(len(names)):
-            chosen = right & (best == i)
-            learned.means[i] = entropy[chosen].mean() if chosen.any() else np.inf
-        if right.any():
-            learned.limit = float(np.quantile((entropy - learned.means[best])[right] * np.sqrt(n[right]), 1 - REJECTED_SHARE))
-    return learned
+    return LanguageModels([r["lang"] for r in got], [_restored(r) for r in got])
+
+
+def calibrate(learned: LanguageModels, scored: DataFrame) -> None:
+    """Set each language's mean entropy and the limit above it, from all rows of ``scored`` whose ``lang`` was found (held-out rows have none)."""
+    right = scored.where((F.col("n_units") > 0) & (_of_language(learned.names, "string") == F.col("lang")))
+    means = right.groupBy("best").agg(F.avg(F.col("entropy").cast("decimal(18,12)")).cast("double").alias("mean")).collect()  # a row a language
+    learned.means = np.full(len(learned.names), np.inf)
+    for row in means:
+        learned.means[row["best"]] = row["mean"]
+    limit = quantiles(right.select(_away(learned).alias("away")), "away", {"limit": 1 - REJECTED_SHARE}).first()["limit"]
+    learned.limit = np.inf if limit is None else limit
+
+
+def _of_language(values: Iterable, kind: str) -> Column:
+    """Of a value for each language, that of the best one."""
+    each = [F.lit(v) for v in values]
+    return F.get(F.array(*each) if each else F.lit(None).cast(f"array<{kind}>"), F.col("best"))
+
+
+def _away(learned: LanguageModels) -> Column:
+    """How far a text's entropy lies above its language's mean, for its length."""
+    return (F.col("entropy") - _of_language(map(float, learned.means), "double")) * F.sqrt("n_units")
 
 
 def _score(docs: DataFrame, learned: LanguageModels, text: str, keep: tuple[str, ...]) -> DataFrame:
@@ -269,15 +284,14 @@ def identify_languages(docs: DataFrame, text: str = "text", lang: str = "lang")
     looked at, and the language only where the models learn from it.
     """
     learned = fit(docs, text, lang)
-    scored = _score(docs, learned, text, ("doc_id",))
-    names = F.array(*map(F.lit, learned.names)) if learned.names else F.lit(None).cast("array<string>")
-    means = F.array(*(F.lit(float(m)) for m in learned.means)) if learned.names else F.lit(None).cast("array<double>")
-    away = (F.col("entropy") - F.get(means, F.col("best"))) * F.sqrt("n_units")
+    told = docs.select("doc_id", F.when(_learnable(lang), F.col(lang)).alias("lang"), F.col(text).alias("text"))
+    scored = scratch(_score(told, learned, "text", ("doc_id", "lang")), "scored")
+    calibrate(learned, scored)
     return scored.select(
         "doc_id",
         (bucket_of("doc_id", FOLDS) == HELD_OUT).alias("held_out"),
-        F.coalesce(F.get(names, F.col("best")), F.lit("und")).alias("lang_pred"),
+        F.coalesce(_of_language(learned.names, "string"), F.lit("und")).alias("lang_pred"),
         F.coalesce("share", F.lit(0.0)).alias("score"),
         "entropy",
-        F.coalesce(away > F.lit(float(learned.limit)), F.lit(True)).alias("rejected"),
+        F.coalesce(_away(learned) > F.lit(float(learned.limit)), F.lit(True)).alias("rejected"),
     )

@@ -227,6 +227,20 @@ def test_language_on_held_out_rows(spark):
     assert np.mean([g["rejected"] for g in got]) < 0.05
 
 
+def test_rejection_is_calibrated_on_all_training_rows(spark):
+    """Of 9,000 texts in random words, about 6,750 are learned from: each of them counts for the means and the limit."""
+    r = random.Random(5)
+    words = {lang: ["".join(r.choice(letters) for _ in range(r.randint(2, 7))) for _ in range(400)] for lang, letters in (("aa", "abcdefgh"), ("zz", "fghijklmno"))}
+    rows = [(i, " ".join(r.choice(words[lang]) for _ in range(r.randint(2, 30))), lang, "x") for i in range(9000) for lang in (r.choice(["aa", "zz"]),)]
+    got = {g["doc_id"]: g for g in language_id.identify_languages(spark.createDataFrame(rows, DOCS)).collect()}
+    length = {i: sum(len(w) + 1 for w in text.split()) for i, text, *_ in rows}
+    right = [i for i, _, lang, _ in rows if got[i]["lang_pred"] == lang and zlib.crc32(str(i).encode()) % 4 != 2]
+    mean = {lang: np.mean([got[i]["entropy"] for i in right if got[i]["lang_pred"] == lang]) for lang in words}
+    away = {i: (g["entropy"] - mean[g["lang_pred"]]) * length[i] ** 0.5 for i, g in got.items()}
+    limit = np.quantile([away[i] for i in right], 0.999)
+    assert len(right) > 6500 and {i for i, g in got.items() if g["rejected"]} == {i for i in got if away[i] > limit + 1e-9} and any(a > limit for a in away.values())
+
+
 def test_language_edge_cases(spark):
     docs = spark.createDataFrame([(i, t, "en", "x") for i, t in enumerate(["the cat and the dog", "this is that and the other"] * 8)] + [(100, None, "en", "x"), (101, "", "en", "x"), (102, "123 !?", None, "x"), (103, "the", None, "x"), (None, "the", "en", "x"), (104, "q" * 60_000, "en", "x")], "doc_id long, text string, lang string, score string")
     got = {g["doc_id"]: g for g in language_id.identify_languages(docs).collect()}
