@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, binaries, frugal, in_groups, small_batches
+from .common import arrow_schema, binaries, frugal, in_groups, kept, small_batches
 from .packing import _PLAIN, WordTokenizer
 from .sentencepiece_codec import _int_lists, _lists
 
@@ -307,14 +307,9 @@ class AutomatonTokenizer(WordTokenizer):
         return b"".join(labels).decode("utf-8", "replace") if self.joins_bytes else b" ".join(labels).decode()
 
 
-_TOKENIZERS: dict[str, AutomatonTokenizer] = {}
-
-
 def tokenizer(path: str) -> AutomatonTokenizer:
-    """The compiled automaton of a file, once a process."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = AutomatonTokenizer(path)
-    return _TOKENIZERS[path]
+    """The compiled automaton of a file, kept between this operator's tasks."""
+    return kept(AutomatonTokenizer, path)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -64,16 +64,48 @@ def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def frugal(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``function``, which gives a task's memory back to the system at its end: Python workers are kept for later stages."""
+#: What this worker keeps between tasks, and whose tasks it keeps it for.
+_KEPT: dict[tuple[str, str], object] = {}
+_OWNER = [""]
+
+
+def kept(make: Callable[[str], object], path: str):
+    """``make(path)``, which a Python worker keeps until it gets a task of another owner."""
+    key = (make.__qualname__, path)
+    if key not in _KEPT:
+        _KEPT[key] = make(path)
+    return _KEPT[key]
+
+
+def let_go(owner: str) -> None:
+    """A task of ``owner`` begins: what the worker kept for another one goes."""
+    if _OWNER[0] != owner:
+        _OWNER[0] = owner
+        if _KEPT:
+            _KEPT.clear()
+            give_back()
+
+
+def give_back() -> None:
+    """Return unused memory to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+def frugal(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``function``, which gives a task's memory back to the system at its end: Python workers are kept for later stages.
+
+    What they ``kept`` for an ``owner`` (the function's module) other than this one goes at its start.
+    """
+    owner = owner or function.__module__
 
     @functools.wraps(function)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(owner)
         yield from function(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
-        if trim:
-            trim(0)
+        give_back()
 
     return run
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, frugal, rows_to_batches, scratch, small_batches
+from .common import arrow_schema, frugal, kept, rows_to_batches, scratch, small_batches
 
 LENGTH = 2048
 SLACK = 4
@@ -35,8 +35,11 @@ SLACK = 4
 BLOCK = 100_000
 GROUP = 100_000
 SEPARATOR = 0
-#: Words, and parts of words, whose ids a task remembers, and as many that it met before these.
+#: Words, and parts of words, whose ids a worker remembers, and as many that it met before these; fewer where they take more bytes.
 MEMO_WORDS = 200_000
+MEMO_BYTES = 20 << 20
+#: Bytes of an entry besides its word and ids: two objects' heads and a place in the mapping.
+_ENTRY = 160
 
 _MEMBER = ("doc_id", "piece", "start", "length", "ids_crc32")
 BIN = T.StructType(
@@ -74,7 +77,7 @@ class WordTokenizer(dict):
 
     Where the vocabulary's pre-tokenizer drops white space and joins nothing over
     it, the ids of a text are those of its words in order, and each distinct word
-    is encoded once (the last ``MEMO_WORDS`` are kept, and those of the ones before that are met again). Texts are parted at space, tab and
+    is encoded once (the last ``MEMO_WORDS`` of ``MEMO_BYTES`` are kept, and those of the ones before that are met again). Texts are parted at space, tab and
     newline; other white space stays inside a "word", which the library handles
     whole. Words of the common Latin ranges are parted by the vocabulary's own
     pattern here, and the library's model encodes each distinct part. For files
@@ -91,6 +94,7 @@ class WordTokenizer(dict):
         super().__init__()
         self.tokenizer, self.parts = Tokenizer.from_file(path), {}
         self.old_words, self.old_parts = {}, {}
+        self.word_bytes = self.part_bytes = 0
         self.model = self.tokenizer.model
         spec = json.loads(self.tokenizer.to_str())
         spec["model"] = {k: v for k, v in spec["model"].items() if k not in ("vocab", "merges")}
@@ -114,9 +118,10 @@ class WordTokenizer(dict):
             if found is None:
                 mapped = part.encode().decode("latin-1").translate(self.alphabet)
                 found = _as_bytes([t.id for t in self.model.tokenize(mapped)])
-            if len(self.parts) >= MEMO_WORDS:
-                self.old_parts, self.parts = self.parts, {}
+            if len(self.parts) >= MEMO_WORDS or self.part_bytes >= MEMO_BYTES:
+                self.old_parts, self.parts, self.part_bytes = self.parts, {}, 0
             self.parts[part] = found
+            self.part_bytes += _ENTRY + len(part) + len(found)
         return found
 
     def __missing__(self, word: str) -> bytes:
@@ -127,10 +132,11 @@ class WordTokenizer(dict):
             found = b"".join(map(self._part, self.find(word.lower())))
         else:
             found = self._library(word) if word else b""
-        if len(self) >= MEMO_WORDS:
-            self.old_words = dict(self)
+        if len(self) >= MEMO_WORDS or self.word_bytes >= MEMO_BYTES:
+            self.old_words, self.word_bytes = dict(self), 0
             self.clear()
         self[word] = found
+        self.word_bytes += _ENTRY + len(word) + len(found)
         return found
 
     def ids(self, text: str) -> bytes:
@@ -176,15 +182,6 @@ def best_fit(sizes: list[int], length: int = LENGTH) -> list[list[int]]:
     return bins
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
-
-
-def _tokenizer(path: str) -> WordTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
-
-
 def _pack_locally(path: str, length: int, block: int):
     wanted = arrow_schema(BIN)
 
@@ -194,7 +191,7 @@ def _pack_locally(path: str, length: int, block: int):
             yield (0, sum(m[3] for m in members), *map(list, zip(*members, strict=True)))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        tokenizer = _tokenizer(path)
+        tokenizer = kept(WordTokenizer, path)
         end = np.asarray([SEPARATOR], "<u4").tobytes()
         pieces: list[tuple] = []
         for batch in batches:
@@ -252,7 +249,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", length: int = LENG
     while n_open > 1:
         groups = max(1, -(-n_open // group))
         dealt = open_bins.repartition(groups, F.xxhash64("doc_id", "piece")) if groups > 1 else open_bins.coalesce(1)
-        merged = scratch(dealt.mapInArrow(frugal(_pack_bins(length)), BIN), "bins")
+        merged = scratch(dealt.mapInArrow(frugal(_pack_bins(length), "merging"), BIN), "bins")
         left = merged.count()
         if groups == 1 or left > 0.98 * n_open:
             open_bins = merged

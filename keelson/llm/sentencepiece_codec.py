@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, binaries, frugal, in_groups, small_batches
+from .common import arrow_schema, binaries, frugal, in_groups, kept, small_batches
 
 SPACE = "▁"
 #: Bytes of parts and their ids that a task remembers, an entry having ENTRY besides.
@@ -215,13 +215,8 @@ class Codec:
         return ids, marks[:-1], marks[1:]
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def _codec(path: str) -> Codec:
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    return kept(Codec, path)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 
 pytest.importorskip("public_tokenizers")
-from keelson.llm import packing, sentencepiece_codec  # noqa: E402
+from keelson.llm import bpe_automaton, packing, sentencepiece_codec  # noqa: E402
+from keelson.llm.common import frugal  # noqa: E402
 from keelson.llm.queries import PIECE_VOCABULARY, WORD_VOCABULARY, vocabulary  # noqa: E402
 
 TEXTS = [None, "", " ", "a", "Hello  World\n\nx ", "Ünïcödé ﬁ ①Ａ㍿\t中文 😀 ▁ \x0b\x85 x", "don't I'LL <|endoftext|> 12½", "the " * 5000, "ΑΣ İıẞ", "trailing\n"]
@@ -127,3 +128,38 @@ def test_encode_decode_on_spark(spark):
         source = (TEXTS[r["doc_id"]] or "").encode()
         assert not source or (r["begins"][0] == 0 and r["ends"][-1] == len(source))
     assert sentencepiece_codec.encode(df.limit(0), model).count() == 0
+
+
+def test_workers_let_go_of_what_another_operator_kept(spark):
+    """A worker that packed keeps its vocabulary and words for more packing, not for other operators' tasks."""
+
+    def held(batches):
+        import gc
+        import os
+
+        import pyarrow as pa
+
+        for batch in batches:
+            found = sum(type(o).__name__ in ("WordTokenizer", "AutomatonTokenizer", "Codec") for o in gc.get_objects())
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()] * batch.num_rows), pa.array([found] * batch.num_rows)], names=["pid", "held"])
+
+    rows = spark.range(64).repartition(16)
+    df = spark.createDataFrame([(i, f"word{i} and more") for i in range(64)], "doc_id long, text string").repartition(16)
+    packing.pack(df, vocabulary(WORD_VOCABULARY)).collect()
+    bpe_automaton.encode(df, vocabulary(WORD_VOCABULARY)).collect()
+    sentencepiece_codec.encode(df, vocabulary(PIECE_VOCABULARY)).collect()
+    packing.pack(df, vocabulary(WORD_VOCABULARY)).collect()
+    kept = {r["pid"]: r["held"] for r in rows.mapInArrow(held, "pid long, held long").collect()}
+    assert max(kept.values()) <= 1  # the last operator's alone
+    assert {r["held"] for r in rows.mapInArrow(frugal(held), "pid long, held long").collect()} == {0}
+
+
+def test_word_memo_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO_BYTES", 20_000)
+    words = packing.WordTokenizer(vocabulary(WORD_VOCABULARY))
+    r = random.Random(5)
+    for _ in range(50):
+        text = " ".join("".join(r.choice("abcdefgh") for _ in range(r.choice([3, 9, 3000]))) for _ in range(40))
+        assert np.frombuffer(words.ids(text), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+        for memo in (words, words.old_words, words.parts, words.old_parts):
+            assert sum(len(k) + len(v) for k, v in memo.items()) < 20_000 + 20_000  # one entry over
