@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow_schema, binaries, frugal, in_groups, kept, small_batches
-from .packing import _PLAIN, WordTokenizer
+from .packing import WordTokenizer
 from .sentencepiece_codec import _int_lists, _lists
 
 #: Table states that are kept, and bytes of words, and of their parts, with ids, that are remembered (an entry has ENTRY
@@ -287,11 +287,7 @@ class AutomatonTokenizer(WordTokenizer):
 
     def __missing__(self, word: str) -> bytes:
         found = self.old_words.get(word)
-        if found is not None:
-            pass
-        elif self.find and _PLAIN(word) and not self.has_special(word):
-            found = b"".join(map(self._part, self.find(word.lower())))
-        else:
+        if found is None:
             found = self._library(word) if word else b""
         self.held += ENTRY + len(word) + len(found)
         if self.held > MEMO_BYTES:

@@ -35,9 +35,9 @@ SLACK = 4
 BLOCK = 100_000
 GROUP = 100_000
 SEPARATOR = 0
-#: Words, and parts of words, whose ids a worker remembers, and as many that it met before these; fewer where they take more bytes.
-MEMO_WORDS = 200_000
-MEMO_BYTES = 20 << 20
+#: Words, and parts of words, whose ids a worker remembers in all, and as many that it met before these; fewer where they take more bytes.
+MEMO_WORDS = 400_000
+MEMO_BYTES = 40 << 20
 #: Bytes of an entry besides its word and ids: two objects' heads and a place in the mapping.
 _ENTRY = 160
 
@@ -55,8 +55,9 @@ BIN = T.StructType(
 )
 
 
-#: Words of these characters are NFC already and lower-cased alike by any library; letters, then digits, of the range.
-_PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+").fullmatch
+#: Texts of these characters are NFC already and lower-cased alike by any library; letters, then digits, of the range.
+_PLAIN_CHARACTERS = " -~\u00a1-\u012f\u0131-\u024f"
+_PLAIN = re.compile(f"[{_PLAIN_CHARACTERS}]*").fullmatch
 _LETTERS = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _DIGITS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 
@@ -73,15 +74,17 @@ def byte_alphabet() -> dict[int, int]:
 
 
 class WordTokenizer(dict):
-    """Ids of whole texts by a ``tokenizers`` file; a mapping from words to their ids.
+    """Ids of whole texts by a ``tokenizers`` file; a mapping from odd words to their ids.
 
     Where the vocabulary's pre-tokenizer drops white space and joins nothing over
-    it, the ids of a text are those of its words in order, and each distinct word
-    is encoded once (the last ``MEMO_WORDS`` of ``MEMO_BYTES`` are kept, and those of the ones before that are met again). Texts are parted at space, tab and
-    newline; other white space stays inside a "word", which the library handles
-    whole. Words of the common Latin ranges are parted by the vocabulary's own
-    pattern here, and the library's model encodes each distinct part. For files
-    of another kind every text is given to the library whole.
+    it, the ids of a text are those of its words in order. Runs of words of the
+    common Latin ranges are lower-cased and parted by the vocabulary's own pattern
+    here, and the library's model encodes each distinct part. A word with another
+    character or an added token goes to the library whole; words end at space, tab
+    and newline, other white space stays inside them. Each distinct part or word
+    is encoded once (the last ``MEMO_WORDS`` of ``MEMO_BYTES`` are kept, and those
+    of the ones before that are met again). For files of another kind every text
+    is given to the library whole.
     """
 
     def __init__(self, path: str):
@@ -94,7 +97,7 @@ class WordTokenizer(dict):
         super().__init__()
         self.tokenizer, self.parts = Tokenizer.from_file(path), {}
         self.old_words, self.old_parts = {}, {}
-        self.word_bytes = self.part_bytes = 0
+        self.held = 0
         self.model = self.tokenizer.model
         spec = json.loads(self.tokenizer.to_str())
         spec["model"] = {k: v for k, v in spec["model"].items() if k not in ("vocab", "merges")}
@@ -105,12 +108,21 @@ class WordTokenizer(dict):
         self.by_words = bool(split) and kinds == ["NFC", "Replace", "Lowercase"] and " " not in pattern and spec["post_processor"] is None
         own = pattern.replace("\\s", " ").replace("[\\p{L}]", f"[{_LETTERS}]").replace("\\p{L}", _LETTERS).replace("[\\p{N}]", f"[{_DIGITS}]").replace("\\p{N}", _DIGITS)
         self.find = re.compile(own).findall if self.by_words and "\\" not in own else None
-        self.has_special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)").search
+        special = "|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)"
+        self.has_special = re.compile(special).search
+        self.odd = re.compile(f"[^{_PLAIN_CHARACTERS}]|{special}").search
         self.alphabet = byte_alphabet()
 
     def _library(self, text: str) -> bytes:
         return _as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def _hold(self, key: str, found: bytes) -> None:
+        """Count an entry that is about to be kept; when the memo is full, what it has become the old ones."""
+        if len(self) + len(self.parts) >= MEMO_WORDS or self.held >= MEMO_BYTES:
+            self.old_words, self.old_parts, self.parts, self.held = dict(self), self.parts, {}, 0
+            self.clear()
+        self.held += _ENTRY + len(key) + len(found)
+
     def _part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
@@ -118,32 +130,41 @@ class WordTokenizer(dict):
             if found is None:
                 mapped = part.encode().decode("latin-1").translate(self.alphabet)
                 found = _as_bytes([t.id for t in self.model.tokenize(mapped)])
-            if len(self.parts) >= MEMO_WORDS or self.part_bytes >= MEMO_BYTES:
-                self.old_parts, self.parts, self.part_bytes = self.parts, {}, 0
+            self._hold(part, found)
             self.parts[part] = found
-            self.part_bytes += _ENTRY + len(part) + len(found)
         return found
 
     def __missing__(self, word: str) -> bytes:
         found = self.old_words.get(word)
-        if found is not None:
-            pass
-        elif self.find and _PLAIN(word) and not self.has_special(word):
-            found = b"".join(map(self._part, self.find(word.lower())))
-        else:
+        if found is None:
             found = self._library(word) if word else b""
-        if len(self) >= MEMO_WORDS or self.word_bytes >= MEMO_BYTES:
-            self.old_words, self.word_bytes = dict(self), 0
-            self.clear()
+        self._hold(word, found)
         self[word] = found
-        self.word_bytes += _ENTRY + len(word) + len(found)
         return found
 
+    def _plain(self, text: str) -> bytes:
+        """Ids of a text of plain words and spaces, without added tokens."""
+        known, part = self.parts.get, self._part
+        return b"".join([known(p) or part(p) for p in self.find(text.lower())])
+
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         if not self.by_words:
             return self._library(text)
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
+        text = text.replace("\n", " ").replace("\t", " ")
+        if not self.find:
+            return b"".join(map(self.__getitem__, text.split(" ")))
+        if _PLAIN(text) and not self.has_special(text):
+            return self._plain(text)
+        found, at = [], 0
+        odd = self.odd(text)
+        while odd:
+            begin = text.rfind(" ", at, odd.start()) + 1 or at
+            end = text.find(" ", odd.end())
+            end = len(text) if end < 0 else end
+            found += self._plain(text[at:begin]), self[text[begin:end]]
+            at, odd = end, self.odd(text, end)
+        return b"".join([*found, self._plain(text[at:])])
 
 
 def cut(ids: bytes, length: int = LENGTH) -> list[tuple[int, int, int, int]]:

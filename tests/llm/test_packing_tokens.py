@@ -163,3 +163,26 @@ def test_word_memo_is_bounded_in_bytes(monkeypatch):
         assert np.frombuffer(words.ids(text), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
         for memo in (words, words.old_words, words.parts, words.old_parts):
             assert sum(len(k) + len(v) for k, v in memo.items()) < 20_000 + 20_000  # one entry over
+
+
+def test_words_in_many_guises_are_encoded_once():
+    """Case and marks beside a word make no entry of their own; odd words alone go to the library whole."""
+    words = packing.WordTokenizer(vocabulary(WORD_VOCABULARY))
+    r = random.Random(6)
+    stems = ["".join(r.choice("abcdéü") for _ in range(9)) for _ in range(50)]
+    guises = [g + end for s in stems for g in (s, s.upper(), s.title()) for end in ("", ",", ".", "!!", ")")]
+    odd = ["中文", "x\x0bÉ", "a<|endoftext|>B", "<|startoftext|>", "e\u0301t\u00e9", "ΑΣ,", "\u3000", "İ"]
+    asked = []
+
+    class Counting:
+        def tokenize(self, part, model=words.model):
+            asked.append(part)
+            return model.tokenize(part)
+
+    words.model = Counting()
+    for n in range(60):
+        text = "".join(r.choice(guises + odd * (n % 3) * 20) + r.choice([" ", "  ", "\n", "\t"]) for _ in range(r.randint(1, 200)))
+        for text in (text, text.strip(), "\n" + text):
+            assert np.frombuffer(words.ids(text), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert len(asked) == len(set(asked)) <= 50 + 4
+    assert set(words) == set(odd)
